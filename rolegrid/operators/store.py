@@ -1,10 +1,331 @@
-from pyspark.sql import DataFrame, Column
+"""The postings table: upsert, lifecycle, scores, prompts.
+
+The table is a plain snapshot; every operator takes the current table and returns the next one. See
+``sources.tables`` for how snapshots are written and published.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from rolegrid.operators.scoring import rule_criteria
 
+from rolegrid.functions.text import fold, non_empty
+from rolegrid.operators import review, scoring
+from rolegrid.operators.dedupe import greedy_keep
+from rolegrid.operators.matching import with_search_text
+from rolegrid.operators.skew import heavy_keys, key_counts, salted_join
+from rolegrid.schemas import DEFAULT_RULES, LISTING_ONLY_PREFIX, METADATA_COLUMNS, POSTING, RULE_LISTS
+from rolegrid.session import stage
+
+# Texts that carry no information in an update.
+UNKNOWN_TEXTS = ("unknown location", "unknown company", "unknown title")
+STORED = [f for f in POSTING.fieldNames() if f != "id"]
+ENUMS = ("remote_status", "employment_type", "seniority")
+KEPT_WHEN_MISSING = (*METADATA_COLUMNS, "score", "score_explanations")
+
+
+def to_store_columns(postings: DataFrame, seen_at: Column | None = None) -> DataFrame:
+    """Bring extracted postings into the shape of the store; times default to ``seen_at``.
+
+    Columns that are not part of the store (for example the order) stay.
+    """
+    now = seen_at if seen_at is not None else F.current_timestamp()
+    defaults = {"job_status": F.lit("active"), "discovered_at": now, "last_seen_at": now}
+    missing = {
+        f.name: defaults.get(f.name, F.lit(None)).cast(f.dataType)
+        for f in POSTING if f.name != "id" and f.name not in postings.columns
+    }
+    return postings.withColumns(missing) if missing else postings
+
+
+def backfill(postings: DataFrame) -> DataFrame:
+    """Add status and last-seen time to tables written without them (PR9)."""
+    if "job_status" not in postings.columns:
+        postings = postings.withColumn("job_status", F.lit("active"))
+    if "last_seen_at" not in postings.columns:
+        first = F.coalesce("discovered_at", "posted_at", F.current_timestamp())
+        postings = postings.withColumn("last_seen_at", first)
+    return postings
+
+
+def _informative(value: Column) -> Column:
+    return ~fold(F.trim(value)).isin(*UNKNOWN_TEXTS)
+
+
+def _described(value: Column) -> Column:
+    return ~value.startswith(LISTING_ONLY_PREFIX)
+
+
+def merge_json(old: Column, new: Column) -> Column:
+    """Shallow merge of two JSON objects, new wins, keys sorted."""
+    kind = "map<string,variant>"
+    empty = F.from_json(F.lit("{}"), kind)
+    left, right = (F.coalesce(F.from_json(c, kind), empty) for c in (old, new))
+    entries = F.concat(
+        F.filter(F.map_entries(left), lambda e: ~F.map_contains_key(right, e["key"])), F.map_entries(right)
+    )
+    ordered = F.transform(F.array_sort(F.transform(entries, lambda e: e["key"])), lambda k: F.struct(
+        k.alias("key"), F.coalesce(right[k], left[k]).alias("value")))
+    return F.when(old.isNull() | new.isNull(), F.coalesce(new, old)).otherwise(F.to_json(F.map_from_entries(ordered)))
+
+
+def merged(old: Column, new: Column) -> dict[str, Column]:
+    """Field by field result of an update of ``old`` by ``new`` (SK5, LC2)."""
+    out = {f: new[f] for f in ("source_site", "url", "title", "company", "posted_at", "discovered_at")}
+    out["source_job_id"] = F.coalesce(non_empty(new["source_job_id"]), old["source_job_id"])
+    out["location"] = F.when(_informative(new["location"]), new["location"]).otherwise(old["location"])
+    for name in ENUMS:
+        out[name] = F.when(new[name] == "unknown", old[name]).otherwise(new[name])
+    out["job_status"] = F.lit("active")
+    out["last_seen_at"] = F.greatest(new["last_seen_at"], old["last_seen_at"])
+    keep_old = ~_described(new["description_text"]) & (old["description_text"] != "") & _described(old["description_text"])
+    out["description_text"] = F.when(keep_old, old["description_text"]).otherwise(new["description_text"])
+    for name in KEPT_WHEN_MISSING:
+        out[name] = F.coalesce(new[name], old[name])
+    out["extra"] = merge_json(old["extra"], new["extra"])
+    return out
+
+
+def _merged_struct(old: Column, new: Column) -> Column:
+    fields = merged(old, new)
+    return F.struct(*[fields[name].alias(name) for name in STORED])
+
+
+# ---- upsert ------------------------------------------------------------------------------------------
+
+
+def match_incoming(store: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
+    """``order, target, conflict``: the stored row each incoming row meets, url before source id (JN9).
+
+    Two inner joins on narrow columns. Rows without an id stay out of the id join, so nulls do not pile
+    up in one partition. ``conflict`` marks a row whose url and id point at two different stored rows.
+    """
+    by_url = incoming.select(order, "url").join(store.select("id", "url"), "url").select(order, "id", F.lit(1).alias("rule"))
+    identity = ["source_site", "source_job_id"]
+    with_id = F.col("source_job_id") != ""
+    by_id = (
+        incoming.where(with_id).select(order, *identity)
+        .join(store.where(with_id).select("id", *identity), identity)
+        .select(order, "id", F.lit(2).alias("rule"))
+    )
+    return by_url.unionByName(by_id).groupBy(order).agg(
+        F.min_by("id", "rule").alias("target"), (F.min("id") != F.max("id")).alias("conflict")
+    )
+
+
+def collapse_batch(incoming: DataFrame, order: str) -> DataFrame:
+    """Fold rows of one batch that are the same posting into one row, in order.
+
+    Several queries may bring the same posting. Rows are grouped under the first row they share a url or
+    a source id with, and folded with the update rules, each of which is an aggregate (last value, last
+    informative value, maximum), so Spark combines them before the shuffle. Adds ``seen``, the number of
+    rows folded.
+    """
+    identity = F.when(F.col("source_job_id") != "", F.concat(F.lit("i:"), "source_site", F.lit(":"), "source_job_id"))
+    keyed = stage(
+        incoming.select(
+            F.col(order).alias("ord"),
+            F.array_compact(F.array(F.md5(F.concat(F.lit("u:"), "url")), F.md5(identity))).alias("keys"),
+        ),
+        "batch",
+    )
+    kept = stage(greedy_keep(keyed, "ord", F.col("keys")), "leaders")
+    pairs = keyed.select("ord", F.posexplode("keys").alias("rule", "key"))
+    owners = pairs.join(kept, "ord", "left_semi").select("key", F.col("ord").alias("leader"))
+    counts = key_counts(pairs, "key")
+    tied = salted_join(pairs, owners, "key", "inner", heavy_keys(counts, "key"), spread="ord")
+    leader = tied.where(F.col("leader") <= F.col("ord")).groupBy("ord").agg(F.min_by("leader", "rule").alias("leader"))
+    rows = incoming.join(leader.withColumnRenamed("ord", order), order)
+
+    def last(name: str, condition: Column | None = None) -> Column:
+        position = F.col(order) if condition is None else F.when(condition, F.col(order))
+        return F.max_by(name, position)
+
+    folds = {f: last(f) for f in ("source_site", "url", "title", "company", "posted_at", "discovered_at", "job_status")}
+    folds["source_job_id"] = last("source_job_id", F.col("source_job_id") != "")
+    folds["location"] = F.coalesce(last("location", _informative(F.col("location"))), F.min_by("location", order))
+    for name in ENUMS:
+        folds[name] = F.coalesce(last(name, F.col(name) != "unknown"), F.lit("unknown"))
+    folds["last_seen_at"] = F.max("last_seen_at")
+    folds["description_text"] = F.coalesce(last("description_text", _described(F.col("description_text"))), last("description_text"))
+    for name in (*KEPT_WHEN_MISSING, "extra"):
+        folds[name] = last(name, F.col(name).isNotNull())
+    return rows.groupBy("leader").agg(
+        *[folds[name].alias(name) for name in STORED], F.count("*").alias("seen")
+    ).withColumnRenamed("leader", order)
+
+
+def dense_ids(rows: DataFrame, order: str, start: int) -> DataFrame:
+    """Number rows ``start, start + 1, ...`` in the given order without sorting them in one task.
+
+    Rows are range-partitioned; each partition is numbered by itself and shifted by the sizes of the
+    partitions before it. Only one number per partition is ordered globally.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stage(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return placed.join(F.broadcast(shifts), "_part").withColumn("id", inside + F.col("_shift") + F.lit(start - 1)).drop("_part", "_shift")
+
+
+def upsert_postings(store: DataFrame, incoming: DataFrame, order: str = "seq", collapsed: bool = False) -> dict[str, DataFrame]:
+    """Insert new postings, update known ones (SK5).
+
+    Returns ``store`` (the next table), ``outcome`` (``order``, ``action``: inserted, updated or conflict)
+    and ``conflicts`` (the incoming rows that meet two stored rows; they are left out). Incoming urls are
+    expected in canonical form. Unless ``collapsed``, rows of the batch that are the same posting are
+    folded first; after that at most two incoming rows can meet one stored row, one by url and one by id.
+    The later of the two updates the row only if it still matches it after the first update, else it is
+    a new posting.
+    """
+    store = store.select("id", *STORED)
+    batch = incoming if collapsed else collapse_batch(to_store_columns(incoming), order)
+    batch = stage(batch.select(order, *STORED), "incoming")
+    match = stage(match_incoming(store, batch, order), "match")
+
+    hits = batch.join(match.where("NOT conflict"), order)
+    old = store.select(F.col("id").alias("target"), F.struct("source_job_id").alias("old"))
+    groups = (
+        hits.groupBy("target")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*STORED).alias("new")))).alias("u"))
+        .join(old, "target")
+        .withColumn("first", F.col("u")[0])
+        .withColumn("second", F.get("u", F.lit(1)))
+        .withColumn(
+            "follows",
+            F.coalesce(
+                non_empty("first.new.source_job_id").isNull()
+                & (F.col("second.new.source_job_id") == F.col("old.source_job_id")),
+                F.lit(False),
+            ),
+        )
+    )
+    groups = stage(groups.select(F.col("target").alias("id"), "first", "second", "follows"), "updates")
+    pieces = store.join(groups, "id", "left").withColumn("row", F.struct(*STORED))
+    once = F.when(F.col("first").isNull(), F.col("row")).otherwise(_merged_struct(F.col("row"), F.col("first.new")))
+    pieces = pieces.select("id", "second", "follows", once.alias("row"))
+    twice = F.when(F.coalesce("follows", F.lit(False)), _merged_struct(F.col("row"), F.col("second.new"))).otherwise(F.col("row"))
+    kept = pieces.select("id", twice.alias("row")).select("id", "row.*")
+
+    late = groups.where(F.col("second").isNotNull() & ~F.col("follows")).select(
+        F.col("second.o").alias(order), "second.new.*"
+    )
+    fresh = batch.join(match, order, "left_anti").unionByName(late)
+    last_id = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    added = dense_ids(fresh, order, last_id + 1)
+    conflicts = batch.join(match.where("conflict"), order)
+    outcome = (
+        added.select(order, F.lit("inserted").alias("action"))
+        .unionByName(groups.select(F.col("first.o").alias(order), F.lit("updated").alias("action")))
+        .unionByName(groups.where("follows").select(F.col("second.o").alias(order), F.lit("updated").alias("action")))
+        .unionByName(conflicts.select(order, F.lit("conflict").alias("action")))
+    )
+    return {
+        "store": kept.select("id", *STORED).unionByName(added.select("id", *STORED)),
+        "outcome": outcome,
+        "conflicts": conflicts,
+    }
+
+
+def new_only(store: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows absent from the store by url and by source identity (JN10)."""
+    identity = ["source_site", "source_job_id"]
+    fresh = found.join(store.select("url"), "url", "left_anti")
+    with_id = F.col("source_job_id") != ""
+    known = store.where(with_id).select(*identity)
+    # rows without an id cannot match and skip the shuffle on it
+    return fresh.where(with_id).join(known, identity, "left_anti").select(*found.columns).unionByName(
+        fresh.where(~F.coalesce(with_id, F.lit(False))).select(*found.columns)
+    )
+
+
+def insert_new_matches(store: DataFrame, found: DataFrame, order: str) -> DataFrame:
+    """Rows of ``found`` to append: new to the store, earlier rows of the batch first (SK4)."""
+    fresh = stage(new_only(store, found), "fresh")
+    identity = F.when(F.col("source_job_id") != "", F.concat(F.lit("i:"), "source_site", F.lit(":"), "source_job_id"))
+    keys = F.array_compact(F.array(F.md5(F.concat(F.lit("u:"), "url")), F.md5(identity)))
+    return fresh.join(greedy_keep(fresh, order, keys).withColumnRenamed("ord", order), order, "left_semi")
+
+
+# ---- scores and lifecycle ------------------------------------------------------------------------------
+
+
+def write_scores(store: DataFrame, scored: DataFrame) -> DataFrame:
+    """Replace score and explanations of the given urls (SK7)."""
+    new = scored.select(
+        "url", F.col("score").alias("_score"), F.col("score_explanations").alias("_text"), F.lit(True).alias("_hit")
+    )
+    taken = F.col("_hit").isNotNull()
+    return (
+        store.join(new, "url", "left")
+        .withColumn("score", F.when(taken, F.col("_score")).otherwise(F.col("score")))
+        .withColumn("score_explanations", F.when(taken, F.col("_text")).otherwise(F.col("score_explanations")))
+        .select(*store.columns)
+    )
+
+
+def set_status(store: DataFrame, changes: DataFrame) -> DataFrame:
+    """Replace the status of the given urls; ``changes`` holds ``url, job_status`` (SK8)."""
+    new = changes.select("url", F.col("job_status").alias("_status"))
+    return store.join(new, "url", "left").withColumn("job_status", F.coalesce("_status", "job_status")).select(*store.columns)
+
+
+def mark_stale(store: DataFrame, days: int, now: Column, current: DataFrame | None = None, *,
+               limit: int | None = review.CANDIDATE_LIMIT, job_status: str | None = None, **filters) -> dict[str, DataFrame]:
+    """Active postings not seen for ``days`` days become stale (LC1).
+
+    Returns the next ``store`` and ``changed`` (the urls). ``limit=None`` looks at the whole table.
+    """
+    if days < 1:
+        raise ValueError("days must be at least 1")
+    rows = review.newest(review.select_postings(store, current, job_status=job_status or "active", **filters), limit)
+    old = F.col("last_seen_at") < now - F.make_dt_interval(F.lit(days))
+    changed = rows.where(old & (F.col("job_status") != "archived")).select("url", F.lit("stale").alias("job_status"))
+    return {"store": set_status(store, changed), "changed": changed}
+
+
+def rule_set(rules: DataFrame | None = None) -> Column:
+    """Scoring criteria of a one-row rule table, or of the default rules, as a literal."""
+    given = rules.first().asDict() if rules is not None else DEFAULT_RULES
+    named = F.struct(
+        *[F.array(*[F.lit(v) for v in (given.get(n) or [])]).cast("array<string>").alias(n) for n in RULE_LISTS]
+    )
+    return scoring.rule_criteria(named)
+
+
+def rescore(store: DataFrame, rules: DataFrame | None = None, current: DataFrame | None = None, *,
+            limit: int | None = review.CANDIDATE_LIMIT, **filters) -> dict[str, DataFrame]:
+    """Score stored postings again (SC4). Returns the next ``store`` and ``scored``."""
+    rows = review.newest(review.select_postings(store, current, **filters), limit)
+    scored = scoring.score(with_search_text(rows), rule_set(rules)).select("url", "score", "score_explanations")
+    return {"store": write_scores(store, scored), "scored": scored}
+
+
+def maintenance_summary(**counts: int) -> str:
+    """Summary line of a maintenance job (AG5)."""
+    if "rescored" in counts:
+        return f"Rescored {counts['rescored']} jobs."
+    if "stale" in counts:
+        return f"Marked {counts['stale']} jobs stale using threshold={counts['days']} days."
+    return f"Stored {counts['inserted']} new matched jobs out of {counts['total']} matched."
+
+
+# ---- prompts and decisions -----------------------------------------------------------------------------
+
+
+def upsert_prompts(prompts: DataFrame, new: DataFrame) -> DataFrame:
+    """First ``created_at``, last text and ``updated_at`` per name (SK9).
 
-def rule_set(rules: DataFrame) -> Column:
-    """Scoring criteria of a one-row rule table as a literal."""
-    row = rules.first()
-    named = F.struct(*[F.array(*[F.lit(v) for v in (row[n] or [])]).cast("array<string>").alias(n) for n in rules.columns])
-    return rule_criteria(named)
+    Both tables hold ``name, raw_prompt_text, created_at, updated_at, seq``; ``seq`` is the write order and
+    rows already stored come before new ones.
+    """
+    both = prompts.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    at = F.struct("_new", "seq")
+    return both.groupBy("name").agg(
+        F.max_by("raw_prompt_text", at).alias("raw_prompt_text"),
+        F.min_by("created_at", at).alias("created_at"),
+        F.max_by("updated_at", at).alias("updated_at"),
+        F.max_by("seq", at).alias("seq"),
+    )
