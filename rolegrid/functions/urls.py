@@ -178,3 +178,17 @@ def company_from_board_url(url: Column | str, site: Column | str) -> Column:
         [(site == name) & url_host(url).startswith(host) for name, host in BOARD_HOSTS.items()],
     )
     return F.when(known & (slug != ""), title_case(F.translate(slug, "-_", "  ")))
+
+
+def http_url(url: Column | str) -> Column:
+    """Stored form of a web address: scheme and host in lower case, a path always; null when it is none."""
+    url = F.trim(as_col(url))
+    scheme, host, port, path = F.lower(url_part(url, "scheme")), url_host(url), url_port(url), url_part(url, "path")
+    keep_port = (port != "") & ~(((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")))
+    user = F.regexp_extract(url_part(url, "authority"), "^(.*@)", 1)
+    rest = F.regexp_extract(url, r"^[^?#]*((?:\?[^#]*)?(?:#(?s:.*))?)$", 1)
+    text = F.concat(
+        scheme, F.lit("://"), user, host, F.when(keep_port, F.concat(F.lit(":"), port)).otherwise(""),
+        F.when(path == "", "/").otherwise(path), rest,
+    )
+    return F.when(scheme.isin("http", "https") & (host != "") & ~url.rlike(r"\s"), text)

@@ -113,13 +113,13 @@ def match_incoming(store: DataFrame, incoming: DataFrame, order: str) -> DataFra
     )
 
 
-def collapse_batch(incoming: DataFrame, order: str) -> DataFrame:
+def collapse_batch(incoming: DataFrame, order: str, with_members: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Fold rows of one batch that are the same posting into one row, in order.
 
     Several queries may bring the same posting. Rows are grouped under the first row they share a url or
     a source id with, and folded with the update rules, each of which is an aggregate (last value, last
     informative value, maximum), so Spark combines them before the shuffle. Adds ``seen``, the number of
-    rows folded.
+    rows folded. With ``with_members`` the pair (``order, leader`` rows, folded rows) is returned.
     """
     identity = F.when(F.col("source_job_id") != "", F.concat(F.lit("i:"), "source_site", F.lit(":"), "source_job_id"))
     keyed = stage(
@@ -135,7 +135,8 @@ def collapse_batch(incoming: DataFrame, order: str) -> DataFrame:
     counts = key_counts(pairs, "key")
     tied = salted_join(pairs, owners, "key", "inner", heavy_keys(counts, "key"), spread="ord")
     leader = tied.where(F.col("leader") <= F.col("ord")).groupBy("ord").agg(F.min_by("leader", "rule").alias("leader"))
-    rows = incoming.join(leader.withColumnRenamed("ord", order), order)
+    leader = stage(leader.withColumnRenamed("ord", order), "members")
+    rows = incoming.join(leader, order)
 
     def last(name: str, condition: Column | None = None) -> Column:
         position = F.col(order) if condition is None else F.when(condition, F.col(order))
@@ -150,9 +151,10 @@ def collapse_batch(incoming: DataFrame, order: str) -> DataFrame:
     folds["description_text"] = F.coalesce(last("description_text", _described(F.col("description_text"))), last("description_text"))
     for name in (*KEPT_WHEN_MISSING, "extra"):
         folds[name] = last(name, F.col(name).isNotNull())
-    return rows.groupBy("leader").agg(
+    folded = rows.groupBy("leader").agg(
         *[folds[name].alias(name) for name in STORED], F.count("*").alias("seen")
     ).withColumnRenamed("leader", order)
+    return (leader, folded) if with_members else folded
 
 
 def dense_ids(rows: DataFrame, order: str, start: int) -> DataFrame:
