@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("matching",)
+MODULES = ("matching", "identity", "review")
 
 
 def _collect(attribute: str) -> dict:
