@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("matching", "identity", "review")
+MODULES = ("matching", "identity", "review", "store", "pages")
 
 
 def _collect(attribute: str) -> dict:

@@ -126,17 +126,12 @@ def remote_status(value: Column | str) -> Column:
 
 
 def title_case(value: Column | str) -> Column:
-    """Upper-case every letter that follows a non-letter, lower-case the others."""
-    chars = F.split(fold(value), "")
-    return F.array_join(
-        F.transform(
-            chars,
-            lambda c, i: F.when(
-                (i == 0) | ~F.element_at(chars, F.greatest(i, F.lit(1))).rlike(r"^\p{L}$"), F.upper(c)
-            ).otherwise(c),
-        ),
-        "",
-    )
+    """Upper-case every letter that follows a non-letter, lower-case the others.
+
+    ``initcap`` capitalizes after blanks, so a marked blank is put at each boundary and removed again.
+    """
+    apart = F.regexp_replace(fold(value), r"(?<=\P{L})(?=\p{L})", "\x01 ")
+    return F.replace(F.initcap(apart), F.lit("\x01 "), F.lit(""))
 
 
 POSTED_TIME_PATTERN = (

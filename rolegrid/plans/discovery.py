@@ -13,7 +13,7 @@ from rolegrid.operators.dedupe import dedupe_postings
 from rolegrid.operators.store import collapse_batch, to_store_columns, upsert_postings
 from rolegrid.operators.telemetry import discovery_counters
 from rolegrid.sources import pages as page_source
-from rolegrid.session import stage
+from rolegrid.session import spread_small, stage
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ def page_index(pages: DataFrame) -> DataFrame:
 
     Everything after this works on a narrow table, however long the pages are.
     """
-    read = _kind(pages, "listing").select(
+    read = spread_small(_kind(pages, "listing")).select(
         "url", "site", page_source.listing_cards("site", "html").alias("cards"), page_source.next_href("html").alias("href")
     )
     indexed = read.select(
@@ -52,6 +52,9 @@ def page_index(pages: DataFrame) -> DataFrame:
 def collect_postings(queries: DataFrame, pages: DataFrame, options: DiscoveryOptions = DiscoveryOptions()) -> dict[str, DataFrame]:
     """Walk, extract, enrich and deduplicate (the part of CJ1 before the store).
 
+    The order of postings is query id, page, position; the separator sorts before every printable
+    character, so that a query id that is the beginning of another one comes first.
+
     ``queries(query_id, source_site, start_url, include_keywords, exclude_keywords, location_hints)``,
     ``pages(url, site, html[, kind])``. Returns ``visits``, ``parsed`` (before duplicate removal) and
     ``postings`` with ``query_id`` and the unique order column ``ord``.
@@ -64,7 +67,7 @@ def collect_postings(queries: DataFrame, pages: DataFrame, options: DiscoveryOpt
     starts = queries.select("query_id", F.col("start_url").alias("board_url"), "include_keywords", "exclude_keywords", "location_hints")
     cards = seen.join(index.select("url", "site", "cards"), ["url", "site"]).join(starts, "query_id")
     rows = page_source.apply_defaults(page_source.listing_hints(cards.withColumnRenamed("url", "page_url")))
-    rows = rows.withColumn("ord", F.format_string("%s|%06d|%09d", F.col("query_id").cast("string"), "hop", "position"))
+    rows = rows.withColumn("ord", F.format_string("%s\x01%06d\x01%09d", F.col("query_id").cast("string"), "hop", "position"))
     rows = select_for_enrichment(rows, options.selective_detail_enrichment, options.min_listing_stage_score)
     on = F.col("source_site").isin(*options.enriched_sites())
     rows = rows.withColumn("selected", on & (F.col("selected") | (F.col("source_site") == "linkedin")))

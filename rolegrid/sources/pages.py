@@ -16,6 +16,7 @@ from rolegrid.functions.urls import (
     SITE_BASE_URL, company_from_board_url, linkedin_job_id, query_value, source_id_from_url, url_tail,
 )
 from rolegrid.schemas import LISTING_ONLY_TEXT, UNKNOWN_COMPANY, UNKNOWN_LOCATION, UNKNOWN_TITLE
+from rolegrid.session import spread_small
 from rolegrid.sources import markup
 
 # Ship the walkers with the functions, so that executors need no installed copy of the package.
@@ -45,6 +46,15 @@ def site_capabilities(site: str) -> dict[str, bool]:
     return _capabilities(site)
 
 
+def once(reader):
+    """Keep Spark from running a page reader twice.
+
+    For a deterministic column under an explode Spark infers the filter "size > 0", pushes it below, and
+    with it evaluates the column a second time. Reading a page is far too dear for that.
+    """
+    return reader.asNondeterministic()
+
+
 def listing_cards(site: Column | str, html: Column | str) -> Column:
     """Raw cards of a listing page; empty for a site without extractor."""
     own = dict(_EXTRACTORS)
@@ -58,7 +68,7 @@ def listing_cards(site: Column | str, html: Column | str) -> Column:
 
         return pd.Series([one(n, p) for n, p in zip(sites, pages)])
 
-    return cards(as_col(site), as_col(html))
+    return once(cards)(as_col(site), as_col(html))
 
 
 def detail_captures(site: Column | str, html: Column | str) -> Column:
@@ -71,7 +81,7 @@ def detail_captures(site: Column | str, html: Column | str) -> Column:
         ]
         return pd.DataFrame(rows, columns=columns)
 
-    return captures(as_col(site), as_col(html))
+    return once(captures)(as_col(site), as_col(html))
 
 
 def resolve_url(base: Column | str, href: Column | str) -> Column:
@@ -89,12 +99,12 @@ def next_href(html: Column | str) -> Column:
     def link(pages: pd.Series) -> pd.Series:
         return pd.Series([markup.read_next_link(p) for p in pages], dtype=object)
 
-    return link(as_col(html))
+    return once(link)(as_col(html))
 
 
 def extract_next_links(pages: DataFrame) -> DataFrame:
     """``url, next_url``; null when a page announces no next page (SR9)."""
-    return pages.select("url", resolve_url("url", next_href("html")).alias("next_url"))
+    return spread_small(pages).select("url", resolve_url("url", next_href("html")).alias("next_url"))
 
 
 def listing_hints(cards: DataFrame, board_url: str = "board_url") -> DataFrame:
@@ -136,7 +146,7 @@ def extract_listing_hints(pages: DataFrame) -> DataFrame:
     """Listing rows of stored pages before defaults (SR5). ``board_url`` defaults to the page URL."""
     if "board_url" not in pages.columns:
         pages = pages.withColumn("board_url", F.col("url"))
-    cards = pages.withColumn("cards", listing_cards("site", "html")).drop("html")
+    cards = spread_small(pages).withColumn("cards", listing_cards("site", "html")).drop("html")
     return listing_hints(cards.withColumnRenamed("url", "page_url"))
 
 
@@ -191,7 +201,7 @@ def extract_details(pages: DataFrame) -> DataFrame:
     """
     site, url = F.col("site"), F.col("url")
     board = F.col("board_url") if "board_url" in pages.columns else F.lit(None).cast("string")
-    raw = pages.select(
+    raw = spread_small(pages).select(
         "url", "site", board.alias("board_url"), detail_captures("site", "html").alias("d")
     ).withColumn(
         "insight", F.when(site == "linkedin", insight_fields(F.coalesce("d.primary", F.lit("")), "d.insights"))
