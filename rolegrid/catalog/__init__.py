@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("matching", "identity", "review", "store", "pages")
+MODULES = ("matching", "identity", "review", "store", "pages", "prompts")
 
 
 def _collect(attribute: str) -> dict:

@@ -49,17 +49,20 @@ def same_fallback_identity(left: str, right: str) -> Column:
     return pair[0] == pair[1]
 
 
-def posting_keys() -> Column:
+def posting_keys(canonical: bool = False) -> Column:
     """The duplicate keys of a posting as short digests, one name space per rule.
 
+    ``canonical`` says that ``url`` already has its canonical form.
+
     A digest keeps the shuffled key at a fixed width whatever the length of the text behind it. Rows
     without a source id have no source key.
     """
     key = fallback_key()
+    url = F.col("url") if canonical else canonical_url("url", "source_site")
     return F.array_compact(
         F.array(
             F.md5(F.concat(F.lit("s:"), source_identity())),
-            F.md5(F.concat(F.lit("u:"), canonical_url("url", "source_site"))),
+            F.md5(F.concat(F.lit("u:"), url)),
             F.md5(F.concat(F.lit("f:"), F.to_json(key))),
         )
     )

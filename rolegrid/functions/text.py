@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,14 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to ``value``, with ``value`` computed once per row.
+
+    A column that is mentioned several times is otherwise repeated in the plan and in the work.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def squash_ws(value: Column | str) -> Column:
     """Collapse runs of whitespace to one blank and trim (PR1)."""
     return F.trim(F.regexp_replace(as_col(value), WHITESPACE, " "))
@@ -56,14 +65,13 @@ def distinct_ci(value: Column | str, folded: bool = False) -> Column:
     The lower-cased list is built once; an item stays when its own position is the first one of its
     lower-cased form.
     """
-    items = string_list(value)
-    lowered = F.transform(items, F.lower)
-    # bound to a struct so that the lower-cased list is evaluated once per row, not once per item
-    pair = F.struct(items.alias("a"), lowered.alias("b"))
-    kept = F.transform(
-        F.array(pair),
-        lambda p: F.filter(p["a"], lambda x, i: F.array_position(p["b"], F.lower(x)) == i + 1),
-    )[0]
+    kept = let(
+        string_list(value),
+        lambda items: let(
+            F.transform(items, F.lower),
+            lambda low: F.filter(items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1),
+        ),
+    )
     return F.transform(kept, F.lower) if folded else kept
 
 
@@ -71,8 +79,13 @@ def concat_lists(*values: Column | str) -> Column:
     return F.concat(*[string_list(v) for v in values])
 
 
-def any_contains(haystack: Column, needles: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [haystack.contains(n) for n in needles])
+def any_contains(haystack: Column, needles: Iterable[str]) -> Column:
+    """Any of the words is a substring; one pattern, so one pass over the text."""
+    return haystack.rlike("|".join(map(re.escape, needles)))
+
+
+def any_prefix(text: Column, prefixes: Iterable[str]) -> Column:
+    return text.rlike("^(?:" + "|".join(map(re.escape, prefixes)) + ")")
 
 
 def site_slug(value: Column | str) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolegrid.functions.text import as_col, non_empty, title_case
+from rolegrid.functions.text import as_col, let, non_empty, title_case
 
 # Query parameters that never identify a posting.
 TRACKING_PREFIX = "utm_"
@@ -113,20 +113,33 @@ def canonical_url(url: Column | str, site: Column | str | None = None) -> Column
     """Canonical URL used as a duplicate key (FN1, FN5)."""
     url = as_col(url)
     site = F.coalesce(as_col(site), F.lit("")) if site is not None else F.lit("")
-    scheme = F.coalesce(non_empty(F.lower(url_part(url, "scheme"))), F.lit("https"))
-    host = canonical_host(url_host(url), site)
-    port = url_port(url)
-    default_port = ((scheme == "http") & (port.try_cast("int") == 80)) | (
-        (scheme == "https") & (port.try_cast("int") == 443)
-    )
-    port_text = F.when((port == "") | default_port, "").otherwise(F.concat(F.lit(":"), port.try_cast("int")))
-    path = canonical_path(url_part(url, "path"), host, site)
-    query = canonical_query(url_part(url, "query"), path, site)
-    return F.concat(
-        scheme, F.lit("://"), host, port_text, path,
-        F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
+    parts = F.struct(
+        F.coalesce(non_empty(F.lower(url_part(url, "scheme"))), F.lit("https")).alias("scheme"),
+        F.regexp_replace(url_part(url, "authority"), "^.*@", "").alias("host_port"),
+        url_part(url, "path").alias("path"),
+        url_part(url, "query").alias("query"),
+        site.alias("site"),
     )
 
+    def on_host(p: Column, host: Column) -> Column:
+        port = F.regexp_extract(p["host_port"], r":(\d+)$", 1).try_cast("int")
+        default_port = ((p["scheme"] == "http") & (port == 80)) | ((p["scheme"] == "https") & (port == 443))
+        port_text = F.when(port.isNotNull() & ~default_port, F.concat(F.lit(":"), port)).otherwise("")
+
+        def with_path(path: Column) -> Column:
+            query = canonical_query(p["query"], path, p["site"])
+            mark = F.when(query == "", "").otherwise("?")
+            return F.concat(p["scheme"], F.lit("://"), host, port_text, path, mark, query)
+
+        return let(canonical_path(p["path"], host, p["site"]), with_path)
+
+    def on_parts(p: Column) -> Column:
+        raw_host = F.lower(F.regexp_replace(p["host_port"], r":\d*$", ""))
+        host = let(raw_host, lambda h: canonical_host(h, p["site"]))
+        return let(host, lambda h: on_host(p, h))
+
+    return F.when(url.isNotNull(), let(parts, on_parts))
+
 
 def path_parts(url: Column | str) -> Column:
     return F.filter(F.split(url_part(url, "path"), "/"), lambda x: x != "")
@@ -149,10 +162,13 @@ def query_value(url: Column | str, key: str) -> Column:
 
 def linkedin_job_id(url: Column | str) -> Column:
     """Part after ``view`` on job pages, else the ``currentJobId`` parameter (FN13)."""
-    parts = path_parts(url)
-    on_job_page = F.array_contains(parts, "view") & F.array_contains(parts, "jobs")
-    after_view = F.try_element_at(parts, (F.array_position(parts, "view") + 1).cast("int"))
-    return F.when(on_job_page, after_view).otherwise(query_value(url, "currentJobId"))
+
+    def from_path(parts: Column) -> Column:
+        on_job_page = F.array_contains(parts, "view") & F.array_contains(parts, "jobs")
+        after_view = F.try_element_at(parts, (F.array_position(parts, "view") + 1).cast("int"))
+        return F.when(on_job_page, after_view).otherwise(query_value(url, "currentJobId"))
+
+    return let(path_parts(url), from_path)
 
 
 def source_id_from_url(url: Column | str, site: Column | str) -> Column:

@@ -35,8 +35,8 @@ def canonicalize_postings(postings: DataFrame) -> DataFrame:
     return postings.withColumn("url", canonical_url("url", "source_site"))
 
 
-def _round(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One round over ``(ord, n_keys, key)``: returns kept orders and what is still undecided."""
+def _round(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """One round over ``(ord, n_keys, key)``: returns kept orders and what is still undecided, if any."""
     per_key = stage(
         pairs.groupBy("key").agg(
             F.min(F.struct("ord", "n_keys")).alias("first"), F.count("*").alias("n")
@@ -49,6 +49,8 @@ def _round(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "kept",
     )
     shared = per_key.where(F.col("n") > 1)
+    if shared.isEmpty():
+        return kept, None
     taken = shared.join(kept, "ord", "left_semi").select("key")
     hit = salted_join(pairs, taken, "key", "left_semi", heavy_keys(shared, "key"), spread="ord")
     decided = hit.select("ord").unionByName(kept).distinct()
@@ -80,6 +82,8 @@ def greedy_keep(rows: DataFrame, order: str, keys: Column, rounds_before_scan: i
     while True:
         kept, left = _round(pairs)
         survivors = survivors.unionByName(kept)
+        if left is None:
+            return survivors
         pairs = stage(left, "undecided")
         done += 1
         open_pairs = pairs.count()
@@ -97,7 +101,7 @@ def dedupe_postings(postings: DataFrame, order: str, scope: str | None = None) -
     """
     return postings.transform(canonicalize_postings).transform(
         lambda df: df.join(
-            greedy_keep(df, order, scoped(posting_keys(), scope)).withColumnRenamed("ord", order), order, "left_semi"
+            greedy_keep(df, order, scoped(posting_keys(canonical=True), scope)).withColumnRenamed("ord", order), order, "left_semi"
         )
     )
 

@@ -7,14 +7,13 @@ match is what the split leaves on its left.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegrid.functions.reports import intent_summary, parser_notes
-from rolegrid.functions.text import clean_list, distinct_ci, squash_ws
+from rolegrid.functions.text import any_contains, any_prefix, clean_list, distinct_ci, let, squash_ws
 from rolegrid.schemas import LIST_CONSTRAINTS
+from rolegrid.session import spread_small
 
 # Unicode-aware case folding, word characters and word boundaries.
 CI = "(?iuU)"
@@ -155,15 +154,6 @@ FILLER_WORDS = (
 )
 
 
-def _has(text: Column, words: tuple[str, ...]) -> Column:
-    """Any of the words occurs as a substring of the lower-case text."""
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
-
-
-def _starts(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [text.startswith(w) for w in words])
-
-
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -187,23 +177,29 @@ def clause_items(clauses: Column) -> Column:
 
 def after_markers(text: Column, markers: tuple[str, ...]) -> Column:
     """Items of the clauses that follow each marker, marker by marker (IN1)."""
-    return F.concat(*[clause_items(_all(text, rf"{CI}\b{m}\s+([^.;]+)")) for m in markers])
+    return clause_items(F.concat(*[_all(text, rf"{CI}\b{m}\s+([^.;]+)") for m in markers]))
 
 
 def contexts(text: Column, pattern: str) -> Column:
     """Matches of a pattern with the text before each (IN16): ``phrase``, ``excluded``, ``preferred``."""
     plain = F.translate(text, "\x01\x02", "  ")
-    parts = F.split(F.regexp_replace(plain, CI + pattern, "\x01$0\x02"), "\x01")
+    marked = F.split(F.regexp_replace(plain, CI + pattern, "\x01$0\x02"), "\x01")
 
-    def one(part: Column, i: Column) -> Column:
-        before = F.lower(F.replace(F.array_join(F.slice(parts, F.lit(1), i + 1), ""), F.lit("\x02"), F.lit("")))
+    def match(part: Column, before: Column) -> Column:
         return F.struct(
             F.regexp_extract(F.substring_index(part, "\x02", 1), CI + pattern, 1).alias("phrase"),
-            _has(F.right(before, F.lit(EXCLUSION_WINDOW)), EXCLUSION_CONTEXT).alias("excluded"),
-            _has(F.right(before, F.lit(PREFERENCE_WINDOW)), PREFERENCE_CONTEXT).alias("preferred"),
+            any_contains(F.right(before, F.lit(EXCLUSION_WINDOW)), EXCLUSION_CONTEXT).alias("excluded"),
+            any_contains(F.right(before, F.lit(PREFERENCE_WINDOW)), PREFERENCE_CONTEXT).alias("preferred"),
         )
 
-    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), one)
+    def matches(parts: Column) -> Column:
+        def one(part: Column, i: Column) -> Column:
+            left = F.lower(F.replace(F.array_join(F.slice(parts, F.lit(1), i + 1), ""), F.lit("\x02"), F.lit("")))
+            return let(left, lambda before: match(part, before))
+
+        return F.transform(F.slice(parts, F.lit(2), F.size(parts)), one)
+
+    return let(marked, matches)
 
 
 def normalize_title(title: Column) -> Column:
@@ -258,14 +254,14 @@ def _keyword_like(item: Column) -> Column:
 
 
 def role_or_category(item: Column) -> Column:
-    return _has(F.lower(item), CATEGORY_TERMS)
+    return any_contains(F.lower(item), CATEGORY_TERMS)
 
 
 def place_like(item: Column) -> Column:
     low = F.lower(item)
     return ~(
-        _starts(low, KEYWORD_STARTS) | low.contains("company") | low.isin(*NOT_PLACES) | _starts(low, VAGUE_STARTS)
-        | _has(low, WORKPLACE_WORDS) | role_or_category(item)
+        any_prefix(low, KEYWORD_STARTS) | low.contains("company") | low.isin(*NOT_PLACES) | any_prefix(low, VAGUE_STARTS)
+        | any_contains(low, WORKPLACE_WORDS) | role_or_category(item)
     )
 
 
@@ -343,8 +339,8 @@ def unresolved_fragments(text: Column, wanted: Column) -> Column:
         return (
             (F.trim(clause) != "")
             & ~F.exists(tokens, lambda t: low.contains(t))
-            & ~((wanted["remote_preference"] != "unspecified") & _has(low, WORKPLACE_WORDS))
-            & ~(wanted["freshness_window_days"].isNotNull() & _has(low, FRESHNESS_WORDS))
+            & ~((wanted["remote_preference"] != "unspecified") & any_contains(low, WORKPLACE_WORDS))
+            & ~(wanted["freshness_window_days"].isNotNull() & any_contains(low, FRESHNESS_WORDS))
             & (F.size(words) >= 2)
         )
 
@@ -357,7 +353,7 @@ def parse_prompts(prompts: DataFrame, text: str = "raw_prompt_text") -> DataFram
     A prompt that is empty or names a window outside 1..365 days gets an error and no constraints.
     """
     t = F.col(text)
-    base = prompts.withColumn("_roles", contexts(t, ROLE_PATTERN)).withColumn("_titles", contexts(t, TITLE_PATTERN))
+    base = spread_small(prompts).withColumn("_roles", contexts(t, ROLE_PATTERN)).withColumn("_titles", contexts(t, TITLE_PATTERN))
     explicit = F.transform(F.filter("_titles", lambda m: ~m["excluded"]), lambda m: normalize_title(m["phrase"]))
     roles = F.col("_roles")
     keywords = F.concat(after_markers(t, KEYWORD_MARKERS), role_keywords(roles, preferred=False))

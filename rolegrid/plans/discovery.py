@@ -61,7 +61,7 @@ def collect_postings(queries: DataFrame, pages: DataFrame, options: DiscoveryOpt
     """
     index = page_index(pages)
     single = F.when(F.col("site") == "linkedin", F.lit(None).cast("string")).otherwise(F.col("next_url"))
-    visits = stage(walk_pages(queries, index.withColumn("next_url", single), options.max_pages), "visits")
+    visits = walk_pages(queries, index.withColumn("next_url", single), options.max_pages)
     # the walk of a query whose start page is missing has no found page, so it brings no postings
     seen = visits.where("found").select("query_id", "hop", "url", F.col("source_site").alias("site"))
     starts = queries.select("query_id", F.col("start_url").alias("board_url"), "include_keywords", "exclude_keywords", "location_hints")
