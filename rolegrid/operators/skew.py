@@ -5,34 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A list of heavy keys never has more rows than this, which is what makes broadcasting it safe. Keys that
-# do not fit on the list simply take the shuffled path.
+# A list of heavy keys never has more entries than this, which is what makes it safe to collect and to
+# broadcast. Keys that do not fit on the list take the plain shuffled path.
 MAX_HEAVY_KEYS = 1000
 HEAVY_ROWS = 20_000
 
 
-def heavy_keys(counts: DataFrame, key: str, count: str = "n", min_rows: int = HEAVY_ROWS) -> DataFrame:
-    """The most frequent keys, at most ``MAX_HEAVY_KEYS`` of them."""
-    return (
+def heavy_keys(counts: DataFrame, key: str, count: str = "n", min_rows: int = HEAVY_ROWS) -> DataFrame | None:
+    """The most frequent keys as a table of at most ``MAX_HEAVY_KEYS`` rows, None when there are none.
+
+    ``counts`` holds one row per key; it comes from an aggregate that combines before the shuffle.
+    """
+    found = (
         counts.where((F.col(count) >= min_rows) & F.col(key).isNotNull())
         .orderBy(F.desc(count), key)
         .limit(MAX_HEAVY_KEYS)
         .select(key)
     )
+    rows = found.collect()
+    return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, heavy: DataFrame,
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, heavy: DataFrame | None,
                 spread: str, buckets: int | None = None) -> DataFrame:
     """Equi join where rows of heavy left keys are spread over ``buckets`` partitions.
 
     ``spread`` names a left column with many values; it decides the bucket, so a retried task puts a row
     in the same place. Right rows of a heavy key are repeated once per bucket, all others are not.
     Valid for inner, left, left_semi and left_anti: every left row meets all right rows of its key.
+    Without heavy keys this is the plain join.
     """
+    if heavy is None:
+        return left.join(right, key, how)
     buckets = buckets or max(8, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     mark = F.broadcast(heavy.select(F.col(key), F.lit(True).alias("_heavy")))
     bucket = F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int")).otherwise(0)
