@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.operators.registry import registry_order
 from rolegrid.operators.review import attach_decisions
+from rolegrid.schemas import DECISION_LOG
 
 EXPORT_COLUMNS = (
     "source_site", "source_job_id", "title", "company", "location", "url", "remote_status", "employment_type",
@@ -39,4 +40,5 @@ def write_registry(registry: DataFrame, path: str) -> None:
 
 def append_decisions(new: DataFrame, path: str) -> None:
     """Append to the decision log; the current state is derived from it (SK6)."""
-    new.select("seq", "posting_url", "decision", "decided_at", "note").write.mode("append").parquet(path)
+    rows = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DECISION_LOG])
+    rows.write.mode("append").parquet(path)
