@@ -26,6 +26,14 @@ def url_part(url: Column | str, part: str) -> Column:
     return F.regexp_extract(F.trim(as_col(url)), URI, index)
 
 
+def url_parts(url: Column) -> Column:
+    """Scheme, authority, path, query and the rest after the path, out of one pass of the pattern."""
+    rest = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)((?:\?([^#]*))?(?:#(?s:.*))?)$"
+    groups = F.split(F.regexp_replace(F.translate(F.trim(url), "\x01", " "), rest, "$1\x01$2\x01$3\x01$5\x01$4"), "\x01")
+    names = ("scheme", "authority", "path", "query", "rest")
+    return let(groups, lambda g: F.struct(*[g[i].alias(n) for i, n in enumerate(names)]))
+
+
 def _host_port(url: Column) -> Column:
     return F.regexp_replace(url_part(url, "authority"), "^.*@", "")
 
@@ -113,12 +121,13 @@ def canonical_url(url: Column | str, site: Column | str | None = None) -> Column
     """Canonical URL used as a duplicate key (FN1, FN5)."""
     url = as_col(url)
     site = F.coalesce(as_col(site), F.lit("")) if site is not None else F.lit("")
-    parts = F.struct(
-        F.coalesce(non_empty(F.lower(url_part(url, "scheme"))), F.lit("https")).alias("scheme"),
-        F.regexp_replace(url_part(url, "authority"), "^.*@", "").alias("host_port"),
-        url_part(url, "path").alias("path"),
-        url_part(url, "query").alias("query"),
-        site.alias("site"),
+    parts = let(
+        url_parts(url),
+        lambda p: F.struct(
+            F.coalesce(non_empty(F.lower(p["scheme"])), F.lit("https")).alias("scheme"),
+            F.regexp_replace(p["authority"], "^.*@", "").alias("host_port"),
+            p["path"].alias("path"), p["query"].alias("query"), site.alias("site"),
+        ),
     )
 
     def on_host(p: Column, host: Column) -> Column:
@@ -199,12 +208,14 @@ def company_from_board_url(url: Column | str, site: Column | str) -> Column:
 def http_url(url: Column | str) -> Column:
     """Stored form of a web address: scheme and host in lower case, a path always; null when it is none."""
     url = F.trim(as_col(url))
-    scheme, host, port, path = F.lower(url_part(url, "scheme")), url_host(url), url_port(url), url_part(url, "path")
-    keep_port = (port != "") & ~(((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")))
-    user = F.regexp_extract(url_part(url, "authority"), "^(.*@)", 1)
-    rest = F.regexp_extract(url, r"^[^?#]*((?:\?[^#]*)?(?:#(?s:.*))?)$", 1)
-    text = F.concat(
-        scheme, F.lit("://"), user, host, F.when(keep_port, F.concat(F.lit(":"), port)).otherwise(""),
-        F.when(path == "", "/").otherwise(path), rest,
-    )
-    return F.when(scheme.isin("http", "https") & (host != "") & ~url.rlike(r"\s"), text)
+
+    def whole(p: Column) -> Column:
+        scheme, user = F.lower(p["scheme"]), F.regexp_extract(p["authority"], "^(.*@)", 1)
+        host_port = F.lower(F.regexp_replace(p["authority"], "^.*@", ""))
+        default = F.when(scheme == "http", r":(80)?$").otherwise(r":(443)?$")
+        host = F.regexp_replace(host_port, default, F.lit(""))
+        path = F.when(p["path"] == "", "/").otherwise(p["path"])
+        text = F.concat(scheme, F.lit("://"), user, host, path, p["rest"])
+        return F.when(scheme.isin("http", "https") & (host != "") & ~host.startswith(":"), text)
+
+    return F.when(~url.rlike(r"\s"), let(url_parts(url), whole))

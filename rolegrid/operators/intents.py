@@ -7,6 +7,9 @@ match is what the split leaves on its left.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,17 +70,18 @@ FAMILY_WORD = (
 ROLE_PATTERN = rf"\b((?:{LEVEL}|{FAMILY_WORD})(?:[\s/-]+(?:{FAMILY_WORD}|trust|safety)){{0,3}})\s+(roles?|jobs?|positions?|openings?)\b"
 LEADING_LEVEL = r"(?U)^(?:senior|sr|junior|jr|staff|lead|principal|mid|mid level)\s+"
 
+# Level, pattern, words one of which it needs.
 SENIORITY_PATTERNS = (
-    ("intern", r"\bintern(ship)?\b"),
-    ("entry", r"\b(junior|jr\.?|entry(?:-level)?)\b"),
-    ("mid", r"\bmid(?:-level)?\b"),
-    ("senior", r"\bsenior\b|\bsr\.?\b"),
-    ("staff", r"\bstaff\b"),
-    ("principal", r"\bprincipal\b"),
-    ("lead", r"\blead\b"),
-    ("manager", r"\bmanager\b"),
-    ("director", r"\bdirector\b"),
-    ("executive", r"\bexecutive\b|\bvp\b|\bchief\b"),
+    ("intern", r"\bintern(ship)?\b", ("intern",)),
+    ("entry", r"\b(junior|jr\.?|entry(?:-level)?)\b", ("junior", "jr", "entry")),
+    ("mid", r"\bmid(?:-level)?\b", ("mid",)),
+    ("senior", r"\bsenior\b|\bsr\.?\b", ("senior", "sr")),
+    ("staff", r"\bstaff\b", ("staff",)),
+    ("principal", r"\bprincipal\b", ("principal",)),
+    ("lead", r"\blead\b", ("lead",)),
+    ("manager", r"\bmanager\b", ("manager",)),
+    ("director", r"\bdirector\b", ("director",)),
+    ("executive", r"\bexecutive\b|\bvp\b|\bchief\b", ("executive", "vp", "chief")),
 )
 # Tried in this order.
 REMOTE_PATTERNS = (
@@ -90,23 +94,23 @@ REMOTE_PATTERNS = (
     ("onsite_preferred", r"\bprefer(?:ably)? on-?site\b|\bon-?site preferred\b|\bideally on-?site\b"),
     ("onsite_ok", r"\bon-?site (?:is )?(?:ok|okay|fine)\b"),
 )
-# Tried in this order: pattern, days per unit of the captured number, or days as such.
+# Tried in this order: pattern, days per unit of the captured number, or days as such, and a needed word.
 FRESHNESS_PATTERNS = (
-    (r"\b(?:last|past)\s+(\d+)\s+days?\b", 1, None),
-    (r"\b(?:last|past)\s+(\d+)\s+weeks?\b", 7, None),
-    (r"\b(?:last|past)\s+(\d+)\s+months?\b", 30, None),
-    (r"\b(?:last|past)\s+24\s+hours?\b", None, 1),
-    (r"\b(?:last|past)\s+fortnight\b", None, 14),
-    (r"\b(?:last|past)\s+week\b", None, 7),
-    (r"\b(?:last|past)\s+month\b", None, 30),
-    (r"\bthis\s+week\b", None, 7),
-    (r"\btoday\b", None, 1),
-    (r"\byesterday\b", None, 1),
+    (r"\b(?:last|past)\s+(\d+)\s+days?\b", 1, None, "day"),
+    (r"\b(?:last|past)\s+(\d+)\s+weeks?\b", 7, None, "week"),
+    (r"\b(?:last|past)\s+(\d+)\s+months?\b", 30, None, "month"),
+    (r"\b(?:last|past)\s+24\s+hours?\b", None, 1, "hour"),
+    (r"\b(?:last|past)\s+fortnight\b", None, 14, "fortnight"),
+    (r"\b(?:last|past)\s+week\b", None, 7, "week"),
+    (r"\b(?:last|past)\s+month\b", None, 30, "month"),
+    (r"\bthis\s+week\b", None, 7, "week"),
+    (r"\btoday\b", None, 1, "today"),
+    (r"\byesterday\b", None, 1, "yesterday"),
 )
 SITE_PATTERNS = (
-    ("linkedin", r"\b(?:on|using|via)\s+linkedin\b|\bsearch\s+linkedin\s+jobs\b|\blinkedin\s+(?:jobs|source|site)\b"),
-    ("greenhouse", r"\bgreenhouse\b"),
-    ("lever", r"\blever\b"),
+    ("linkedin", r"\b(?:on|using|via)\s+linkedin\b|\bsearch\s+linkedin\s+jobs\b|\blinkedin\s+(?:jobs|source|site)\b", ("linkedin",)),
+    ("greenhouse", r"\bgreenhouse\b", ("greenhouse",)),
+    ("lever", r"\blever\b", ("lever",)),
 )
 CLAUSE_STOP = (
     r"\b(?:in|from|at|on|within|over|during|posted|last|past|today|yesterday|"
@@ -124,18 +128,18 @@ PREFERRED_PLACE_MARKERS = (
     "prefer", "ideally", "preferred",
 )
 PLACE_PATTERNS = (
-    r"\b(?:roles?|jobs?|positions?|openings?)\s+in\s+([^.;]+)",
-    r"\b(?:based in|located in|remote in|must be in|only in)\s+([^.;]+)",
-    r"\b(?:anywhere in)\s+([^.;]+)",
-    r"\b(?:at|from)\s+[A-Za-z0-9 .&-]+\s+in\s+([^.;]+)",
+    (r"\b(?:roles?|jobs?|positions?|openings?)\s+in\s+([^.;]+)", ("role", "job", "position", "opening")),
+    (r"\b(?:based in|located in|remote in|must be in|only in)\s+([^.;]+)", ("based in", "located in", "remote in", "must be in", "only in")),
+    (r"\b(?:anywhere in)\s+([^.;]+)", ("anywhere in",)),
+    (r"\b(?:at|from)\s+[A-Za-z0-9 .&-]+\s+in\s+([^.;]+)", ("at", "from")),
 )
 INCLUDE_COMPANY_PATTERNS = (
-    CI + r"\b(?:at|from)\s+([^.;]+)",
-    CI + r"\b(?:include|prefer|target)\s+companies?\s+(?:like\s+)?([^.;]+)",
+    (CI + r"\b(?:at|from)\s+([^.;]+)", ("at", "from")),
+    (CI + r"\b(?:include|prefer|target)\s+companies?\s+(?:like\s+)?([^.;]+)", ("compan",)),
 )
 EXCLUDE_COMPANY_PATTERNS = (
-    CI + r"\b(?:avoid|exclude|excluding)\s+companies?\s+(?:like\s+)?([^.;]+)",
-    r"(?U)\b(?:avoid|exclude|excluding)\s+([A-Z][^.;]+)",
+    (CI + r"\b(?:avoid|exclude|excluding)\s+companies?\s+(?:like\s+)?([^.;]+)", ("compan",)),
+    (r"(?U)\b(?:avoid|exclude|excluding)\s+([A-Z][^.;]+)", ("avoid", "exclud")),
 )
 PREFERENCE_CONTEXT, PREFERENCE_WINDOW = ("prefer", "preferred", "ideally", "nice to have", "bonus"), 30
 EXCLUSION_CONTEXT, EXCLUSION_WINDOW = ("avoid", "exclude", "excluding", "without", "not", "no "), 60
@@ -154,6 +158,33 @@ FILLER_WORDS = (
 )
 
 
+@dataclass(frozen=True)
+class Prompt:
+    """Columns of a prompt text.
+
+    Most patterns occur in few prompts, and a substring test is far cheaper than a pattern. So each pattern
+    comes with words one of which must occur in the lower-case text. ``odd`` marks texts with letters that
+    match an ASCII letter ignoring case without lower-casing to it; they always take the pattern.
+    """
+
+    text: Column
+    low: Column
+    odd: Column
+
+    def mentions(self, *words: str) -> Column:
+        return reduce(lambda a, b: a | b, [self.low.contains(w) for w in words], self.odd)
+
+    def all(self, pattern: str, *words: str) -> Column:
+        """First groups of all matches."""
+        return F.when(self.mentions(*words), _all(self.text, pattern)).otherwise(F.array().cast("array<string>"))
+
+    def has(self, pattern: str, *words: str) -> Column:
+        return self.mentions(*words) & self.text.rlike(CI + pattern)
+
+
+ODD_LETTERS = "[\u017f\u0131\u0130\u212a]"
+
+
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -175,14 +206,14 @@ def clause_items(clauses: Column) -> Column:
     return F.flatten(cut)
 
 
-def after_markers(text: Column, markers: tuple[str, ...]) -> Column:
+def after_markers(prompt: Prompt, markers: tuple[str, ...]) -> Column:
     """Items of the clauses that follow each marker, marker by marker (IN1)."""
-    return clause_items(F.concat(*[_all(text, rf"{CI}\b{m}\s+([^.;]+)") for m in markers]))
+    return clause_items(F.concat(*[prompt.all(rf"{CI}\b{m}\s+([^.;]+)", m) for m in markers]))
 
 
-def contexts(text: Column, pattern: str) -> Column:
+def contexts(prompt: Prompt, pattern: str, words: tuple[str, ...]) -> Column:
     """Matches of a pattern with the text before each (IN16): ``phrase``, ``excluded``, ``preferred``."""
-    plain = F.translate(text, "\x01\x02", "  ")
+    plain = F.translate(prompt.text, "\x01\x02", "  ")
     marked = F.split(F.regexp_replace(plain, CI + pattern, "\x01$0\x02"), "\x01")
 
     def match(part: Column, before: Column) -> Column:
@@ -199,7 +230,8 @@ def contexts(text: Column, pattern: str) -> Column:
 
         return F.transform(F.slice(parts, F.lit(2), F.size(parts)), one)
 
-    return let(marked, matches)
+    none = F.array().cast("array<struct<phrase:string,excluded:boolean,preferred:boolean>>")
+    return F.when(prompt.mentions(*words), let(marked, matches)).otherwise(none)
 
 
 def normalize_title(title: Column) -> Column:
@@ -269,9 +301,9 @@ def _without_prefix(item: Column) -> Column:
     return F.regexp_replace(item, CI + r"^(?:companies?|company)\s+like\s+", "")
 
 
-def company_hints(text: Column, patterns: tuple[str, ...]) -> Column:
+def company_hints(prompt: Prompt, patterns: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
     """Company names after at/from or after an exclusion (IN14)."""
-    items = F.transform(clause_items(F.concat(*[_all(text, p) for p in patterns])), _without_prefix)
+    items = F.transform(clause_items(F.concat(*[prompt.all(p, *words) for p, words in patterns])), _without_prefix)
 
     def fits(x: Column) -> Column:
         low = F.lower(x)
@@ -280,50 +312,51 @@ def company_hints(text: Column, patterns: tuple[str, ...]) -> Column:
     return distinct_ci(F.filter(items, fits))
 
 
-def locations(text: Column) -> Column:
+def locations(prompt: Prompt) -> Column:
     """Required places (IN8)."""
-    clauses = F.concat(*[_all(text, CI + p) for p in PLACE_PATTERNS])
+    clauses = F.concat(*[prompt.all(CI + p, *words) for p, words in PLACE_PATTERNS])
     return distinct_ci(F.filter(clause_items(clauses), place_like))
 
 
-def preferred_locations(text: Column) -> Column:
+def preferred_locations(prompt: Prompt) -> Column:
     """Places after a preference (IN9)."""
-    return distinct_ci(F.filter(after_markers(text, PREFERRED_PLACE_MARKERS), place_like))
+    return distinct_ci(F.filter(after_markers(prompt, PREFERRED_PLACE_MARKERS), place_like))
 
 
 def _first(*choices: tuple[Column, Column], default: Column) -> Column:
     return F.coalesce(*[F.when(test, value) for test, value in choices], default)
 
 
-def remote_preference(text: Column) -> Column:
+def remote_preference(prompt: Prompt) -> Column:
     """First pattern group that occurs (IN10)."""
-    return _first(*[(text.rlike(CI + p), F.lit(name)) for name, p in REMOTE_PATTERNS], default=F.lit("unspecified"))
+    choices = [(prompt.has(p, "remote", "hybrid", "site"), F.lit(name)) for name, p in REMOTE_PATTERNS]
+    return _first(*choices, default=F.lit("unspecified"))
 
 
-def _named(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(CI + p), F.lit(name)) for name, p in patterns]))
+def _named(prompt: Prompt, patterns: tuple[tuple[str, str, tuple[str, ...]], ...]) -> Column:
+    return F.array_compact(F.array(*[F.when(prompt.has(p, *words), F.lit(name)) for name, p, words in patterns]))
 
 
-def seniority_preferences(text: Column) -> Column:
+def seniority_preferences(prompt: Prompt) -> Column:
     """All levels named, in level order (IN11)."""
-    return _named(text, SENIORITY_PATTERNS)
+    return _named(prompt, SENIORITY_PATTERNS)
 
 
-def source_sites(text: Column) -> Column:
+def source_sites(prompt: Prompt) -> Column:
     """Sites asked for; linkedin only by an explicit phrase (IN12)."""
-    return _named(text, SITE_PATTERNS)
+    return _named(prompt, SITE_PATTERNS)
 
 
-def freshness_days(text: Column) -> Column:
+def freshness_days(prompt: Prompt) -> Column:
     """Window in days of the first pattern that occurs, patterns in list order (IN13)."""
     choices = []
-    for pattern, unit, days in FRESHNESS_PATTERNS:
+    for pattern, unit, days, word in FRESHNESS_PATTERNS:
         if days is None:
-            value = F.regexp_extract(text, CI + pattern, 1).try_cast("bigint") * F.lit(unit)
+            value = F.regexp_extract(prompt.text, CI + pattern, 1).try_cast("bigint") * F.lit(unit)
             value = F.coalesce(value, F.lit(-1).cast("bigint"))  # a number that does not fit is no valid window
         else:
             value = F.lit(days).cast("bigint")
-        choices.append((text.rlike(CI + pattern), value))
+        choices.append((prompt.has(pattern, word), value))
     return _first(*choices, default=F.lit(None).cast("bigint"))
 
 
@@ -353,26 +386,32 @@ def parse_prompts(prompts: DataFrame, text: str = "raw_prompt_text") -> DataFram
     A prompt that is empty or names a window outside 1..365 days gets an error and no constraints.
     """
     t = F.col(text)
-    base = spread_small(prompts).withColumn("_roles", contexts(t, ROLE_PATTERN)).withColumn("_titles", contexts(t, TITLE_PATTERN))
+    p = Prompt(t, F.col("_low"), F.col("_odd"))
+    base = spread_small(prompts).withColumns({"_low": F.lower(t), "_odd": t.rlike(ODD_LETTERS)}).withColumns(
+        {
+            "_roles": contexts(p, ROLE_PATTERN, ("role", "job", "position", "opening")),
+            "_titles": contexts(p, TITLE_PATTERN, tuple(TITLE_NOUN.split("|"))),
+        }
+    )
     explicit = F.transform(F.filter("_titles", lambda m: ~m["excluded"]), lambda m: normalize_title(m["phrase"]))
     roles = F.col("_roles")
-    keywords = F.concat(after_markers(t, KEYWORD_MARKERS), role_keywords(roles, preferred=False))
+    keywords = F.concat(after_markers(p, KEYWORD_MARKERS), role_keywords(roles, preferred=False))
     step = base.withColumns(
         {
             "target_titles": distinct_ci(F.concat(explicit, role_titles(roles, preferred=False))),
             "preferred_titles": distinct_ci(role_titles(roles, preferred=True)),
             "include_keywords": distinct_ci(F.filter(keywords, _keyword_like)),
-            "_preferred": F.concat(after_markers(t, PREFERENCE_MARKERS), role_keywords(roles, preferred=True)),
-            "_excluded": after_markers(t, EXCLUDE_MARKERS),
-            "excluded_role_categories": distinct_ci(F.filter(after_markers(t, CATEGORY_MARKERS), role_or_category)),
-            "location_constraints": locations(t),
-            "preferred_locations": preferred_locations(t),
-            "remote_preference": remote_preference(t),
-            "seniority_preferences": seniority_preferences(t),
-            "source_site_preferences": source_sites(t),
-            "_days": freshness_days(t),
-            "include_companies": company_hints(t, INCLUDE_COMPANY_PATTERNS),
-            "exclude_companies": company_hints(t, EXCLUDE_COMPANY_PATTERNS),
+            "_preferred": F.concat(after_markers(p, PREFERENCE_MARKERS), role_keywords(roles, preferred=True)),
+            "_excluded": after_markers(p, EXCLUDE_MARKERS),
+            "excluded_role_categories": distinct_ci(F.filter(after_markers(p, CATEGORY_MARKERS), role_or_category)),
+            "location_constraints": locations(p),
+            "preferred_locations": preferred_locations(p),
+            "remote_preference": remote_preference(p),
+            "seniority_preferences": seniority_preferences(p),
+            "source_site_preferences": source_sites(p),
+            "_days": freshness_days(p),
+            "include_companies": company_hints(p, INCLUDE_COMPANY_PATTERNS),
+            "exclude_companies": company_hints(p, EXCLUDE_COMPANY_PATTERNS),
         }
     )
     taken = F.transform(F.concat("include_keywords", "preferred_locations"), F.lower)

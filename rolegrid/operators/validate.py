@@ -41,18 +41,18 @@ def judge_postings(postings: DataFrame) -> DataFrame:
         _issue(~_blank("source_site") & ~is_site_slug("source_site"),
                "source_site: must contain letters, numbers, spaces, hyphens, or underscores")
     )
-    checks.append(_issue(http_url("url").isNull(), "url: not a web address"))
+    checks.append(_issue(F.col("_url").isNull(), "url: not a web address"))
     checks += [
         _issue(~F.coalesce(F.col(name).isin(*domain), F.lit(False)), f"{name}: unsupported value")
         for name, domain in DOMAINS.items()
     ]
     checks.append(_issue(F.col("posted_at") > F.col("discovered_at"), "posted_at cannot be later than discovered_at"))
     checks.append(_issue(F.col("last_seen_at") < F.col("discovered_at"), "last_seen_at cannot be earlier than discovered_at"))
-    judged = postings.withColumn("reasons", F.array_compact(F.array(*checks)))
+    judged = postings.withColumn("_url", http_url("url")).withColumn("reasons", F.array_compact(F.array(*checks)))
     normal = {name: squash_ws(name) for name in (*REQUIRED_TEXT, "source_job_id")}
     normal["source_site"] = site_slug("source_site")
-    normal["url"] = F.coalesce(http_url("url"), F.col("url"))
-    return judged.withColumns(normal)
+    normal["url"] = F.coalesce("_url", "url")
+    return judged.withColumns(normal).drop("_url")
 
 
 def validate_postings(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
