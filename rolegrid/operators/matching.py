@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rolegrid.functions.text import as_col, iso_text, string_list
 from rolegrid.operators.scoring import constraint_criteria, score_events
 from rolegrid.operators.skew import heavy_keys, key_counts, salted_join
+from rolegrid.session import spread_small
 
 SEARCHED = ("title", "company", "location", "description")
 
@@ -27,7 +28,7 @@ REJECTS_UNKNOWN = ("remote_only", "hybrid_preferred", "hybrid_only", "onsite_onl
 
 def with_search_text(postings: DataFrame) -> DataFrame:
     """Lower-case the searched columns once per posting."""
-    return postings.withColumns(
+    return spread_small(postings).withColumns(
         {
             "title_l": F.lower("title"),
             "company_l": F.lower("company"),

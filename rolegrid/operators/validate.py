@@ -9,7 +9,7 @@ from rolegrid.functions.text import as_col, company_key, list_has_blank, site_sl
 from rolegrid.functions.urls import http_url
 from rolegrid.operators.skew import heavy_keys, salted_join
 from rolegrid.schemas import BOARD_SITES, EMPLOYMENT_TYPES, JOB_STATUSES, REMOTE_STATUSES, SENIORITY_LEVELS
-from rolegrid.session import stage
+from rolegrid.session import spread_small, stage
 
 REQUIRED_TEXT = ("source_site", "title", "company", "location", "description_text")
 DOMAINS = {
@@ -48,7 +48,7 @@ def judge_postings(postings: DataFrame) -> DataFrame:
     ]
     checks.append(_issue(F.col("posted_at") > F.col("discovered_at"), "posted_at cannot be later than discovered_at"))
     checks.append(_issue(F.col("last_seen_at") < F.col("discovered_at"), "last_seen_at cannot be earlier than discovered_at"))
-    judged = postings.withColumn("_url", http_url("url")).withColumn("reasons", F.array_compact(F.array(*checks)))
+    judged = spread_small(postings).withColumn("_url", http_url("url")).withColumn("reasons", F.array_compact(F.array(*checks)))
     normal = {name: squash_ws(name) for name in (*REQUIRED_TEXT, "source_job_id")}
     normal["source_site"] = site_slug("source_site")
     normal["url"] = F.coalesce("_url", "url")

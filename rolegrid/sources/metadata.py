@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.operators.review import json_score
 from rolegrid.schemas import METADATA_COLUMNS
+from rolegrid.session import spread_small
 
 KNOWN = (*METADATA_COLUMNS, "score", "score_explanations")
 
@@ -20,7 +21,7 @@ def decode_metadata(rows: DataFrame, json: str = "metadata_json") -> DataFrame:
     out["score"] = json_score(json).cast("int")
     out["score_explanations"] = F.try_variant_get(doc, "$.score_explanations", "array<string>")
     out["extra"] = F.when(F.size(rest) > 0, F.to_json(rest))
-    return rows.withColumns(out)
+    return spread_small(rows).withColumns(out)
 
 
 def encode_metadata(rows: DataFrame, json: str = "metadata_json") -> DataFrame:

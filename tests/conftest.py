@@ -11,8 +11,8 @@ from rolegrid.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", master="local[4]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
-        spark__sql__shuffle__partitions="4", spark__driver__memory="6g",
+        "tests", master="local[2]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
+        spark__sql__shuffle__partitions="2", spark__driver__memory="6g",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
