@@ -57,15 +57,20 @@ def _round(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return kept, pairs.join(decided, "ord", "left_anti")
 
 
-def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pairs = pd.concat(list(frames), ignore_index=True)
-    used: set[str] = set()
-    kept = []
-    for order, keys in pairs.groupby("ord", sort=True)["key"]:
-        if used.isdisjoint(keys):
-            kept.append(order)
-            used.update(keys)
-    yield pd.DataFrame({"ord": pd.Series(kept, dtype=pairs["ord"].dtype)})
+def _ordered_scan():
+    """The bounded last step; built here so that it travels to the executors with the job."""
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = pd.concat(list(frames), ignore_index=True)
+        used: set[str] = set()
+        kept = []
+        for order, keys in pairs.groupby("ord", sort=True)["key"]:
+            if used.isdisjoint(keys):
+                kept.append(order)
+                used.update(keys)
+        yield pd.DataFrame({"ord": pd.Series(kept, dtype=pairs["ord"].dtype)})
+
+    return scan
 
 
 def greedy_keep(rows: DataFrame, order: str, keys: Column, rounds_before_scan: int = ROUNDS_BEFORE_SCAN) -> DataFrame:
@@ -90,7 +95,7 @@ def greedy_keep(rows: DataFrame, order: str, keys: Column, rounds_before_scan: i
         if open_pairs == 0:
             return survivors
         if done >= rounds_before_scan and open_pairs <= SCAN_LIMIT:
-            tail = pairs.select("ord", "key").repartition(1).mapInPandas(_scan, survivors.schema)
+            tail = pairs.select("ord", "key").repartition(1).mapInPandas(_ordered_scan(), survivors.schema)
             return survivors.unionByName(tail)
 
 

@@ -40,11 +40,9 @@ def page_index(pages: DataFrame) -> DataFrame:
 
     Everything after this works on a narrow table, however long the pages are.
     """
-    read = spread_small(_kind(pages, "listing")).select(
-        "url", "site", page_source.listing_cards("site", "html").alias("cards"), page_source.next_href("html").alias("href")
-    )
+    read = spread_small(_kind(pages, "listing")).select("url", "site", page_source.page_content("site", "html").alias("c"))
     indexed = read.select(
-        "url", "site", "cards", F.size("cards").alias("n_items"), page_source.resolve_url("url", "href").alias("next_url")
+        "url", "site", "c.cards", F.size("c.cards").alias("n_items"), page_source.resolve_url("url", "c.href").alias("next_url")
     )
     return stage(indexed, "page-index")
 

@@ -165,11 +165,10 @@ class Capture:
         return done if done[1] else None
 
 
-class ListingWalker(HTMLParser):
+class ListingWalker:
     """Cards of a listing page as dicts of raw captures."""
 
     def __init__(self, rules: dict) -> None:
-        super().__init__(convert_charrefs=True)
         self.rules, self.cards, self.company = rules, [], None
         self.card: dict | None = None
         self.tag = None
@@ -178,8 +177,8 @@ class ListingWalker(HTMLParser):
         self.outer: str | None = None
         self.capture, self.naming = Capture(), None
 
-    def handle_starttag(self, tag, attrs):
-        attrs, rules = dict(attrs), self.rules
+    def start(self, tag, attrs):
+        rules = self.rules
         naming = rules.get("company")
         if naming and tag in naming[0] and _carries(attrs, naming[1]):
             self.naming = []
@@ -243,7 +242,7 @@ class ListingWalker(HTMLParser):
                 self.capture.begin(field, tag)
                 return
 
-    def handle_endtag(self, tag):
+    def end(self, tag):
         done = self.capture.end(tag)
         if done:
             field, value = done
@@ -264,17 +263,16 @@ class ListingWalker(HTMLParser):
             self.company = _text(self.naming) or self.company
             self.naming = None
 
-    def handle_data(self, data):
+    def data(self, data):
         self.capture.parts.append(data)
         if self.naming is not None:
             self.naming.append(data)
 
 
-class DetailWalker(HTMLParser):
+class DetailWalker:
     """Fields and description of a detail page."""
 
     def __init__(self, rules: dict) -> None:
-        super().__init__(convert_charrefs=True)
         self.rules, self.capture = rules, Capture()
         self.fields: dict[str, str] = {}
         self.insights: list[str] = []
@@ -282,12 +280,11 @@ class DetailWalker(HTMLParser):
         self.parts: list[str] = []
         self.description = ""
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag, attrs):
         if tag in ("script", "style"):
             self.skipping += 1
         if self.skipping:
             return
-        attrs = dict(attrs)
         marks = " ".join(filter(None, (attrs.get(a) for a in ("class", "id", self.rules["id_attr"])))).lower()
         blocks, tokens = self.rules["zone"]
         if self.depth:
@@ -303,7 +300,7 @@ class DetailWalker(HTMLParser):
                 self.capture.begin(field, tag)
                 return
 
-    def handle_endtag(self, tag):
+    def end(self, tag):
         if self.skipping:
             self.skipping -= tag in ("script", "style")
             return
@@ -319,7 +316,7 @@ class DetailWalker(HTMLParser):
         if not self.depth and self.parts:
             self.description = "".join(self.parts)
 
-    def handle_data(self, data):
+    def data(self, data):
         if self.skipping:
             return
         self.capture.parts.append(data)
@@ -327,36 +324,58 @@ class DetailWalker(HTMLParser):
             self.parts.append(data)
 
 
-class NextLinkWalker(HTMLParser):
+class NextLinkWalker:
     """Target of the first link that announces a next page."""
 
     HINTS = ("class", "rel", "aria-label", "title", "data-qa")
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.found = self.href = None
         self.hinted, self.parts = False, []
 
-    def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
+    def start(self, tag, attrs):
         if self.found is None and tag == "a" and attrs.get("href"):
             self.href, self.parts = attrs["href"], []
             self.hinted = "next" in " ".join(attrs.get(h) or "" for h in self.HINTS).lower()
 
-    def handle_data(self, data):
+    def data(self, data):
         self.parts.append(data)
 
-    def handle_endtag(self, tag):
+    def end(self, tag):
         if tag == "a" and self.href is not None:
             if self.hinted or _text(self.parts).lower().startswith("next"):
                 self.found = self.href
             self.href = None
 
 
-def _walk(walker: HTMLParser, html: str | None) -> HTMLParser:
-    walker.feed(html or "")
-    walker.close()
-    return walker
+class Reader(HTMLParser):
+    """Feeds the tags and texts of one page to any number of walkers, in one pass."""
+
+    def __init__(self, *walkers) -> None:
+        super().__init__(convert_charrefs=True)
+        self.walkers = walkers
+
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
+    def handle_starttag(self, tag, attrs):
+        named = dict(attrs)
+        for walker in self.walkers:
+            walker.start(tag, named)
+
+    def handle_endtag(self, tag):
+        for walker in self.walkers:
+            walker.end(tag)
+
+    def handle_data(self, data):
+        for walker in self.walkers:
+            walker.data(data)
+
+
+def _walk(html: str | None, *walkers) -> None:
+    reader = Reader(*walkers)
+    reader.feed(html or "")
+    reader.close()
 
 
 CARD_FIELDS = (
@@ -367,13 +386,27 @@ DETAIL_FIELDS = ("title", "company", "location", "department", "employment", "wo
 
 def read_cards(site: str, html: str | None) -> list[dict]:
     """Raw listing cards of one page; every card repeats the page's company name."""
-    walker = _walk(ListingWalker(LISTING_RULES[site]), html)
-    return [{f: c.get(f) or (walker.company if f == "company" else None) for f in CARD_FIELDS} for c in walker.cards]
+    return read_page(site, html, links=False)["cards"]
+
+
+def read_page(site: str, html: str | None, links: bool = True) -> dict:
+    """Cards and next link of a listing page; a site without rules has no cards."""
+    cards = ListingWalker(LISTING_RULES[site]) if site in LISTING_RULES else None
+    # a next link shows the word in an attribute or a text, plainly or as character references
+    link = NextLinkWalker() if links and html and ("next" in html.lower() or "&#" in html) else None
+    walkers = [w for w in (cards, link) if w is not None]
+    if walkers:
+        _walk(html, *walkers)
+    found = [
+        {f: c.get(f) or (cards.company if f == "company" else None) for f in CARD_FIELDS} for c in (cards.cards if cards else [])
+    ]
+    return {"cards": found, "href": link.found if link else None}
 
 
 def read_detail(site: str, html: str | None) -> dict:
     """Raw captures of one detail page."""
-    walker = _walk(DetailWalker(DETAIL_RULES[site]), html)
+    walker = DetailWalker(DETAIL_RULES[site])
+    _walk(html, walker)
     return {
         **{f: walker.fields.get(f) for f in DETAIL_FIELDS},
         "insights": walker.insights,
@@ -382,7 +415,8 @@ def read_detail(site: str, html: str | None) -> dict:
 
 
 def read_next_link(html: str | None) -> str | None:
-    return _walk(NextLinkWalker(), html).found
+    """Target of the first next link of any page."""
+    return read_page("", html)["href"]
 
 
 def resolve(base: str | None, href: str | None) -> str | None:

@@ -55,6 +55,23 @@ def once(reader):
     return reader.asNondeterministic()
 
 
+def page_content(site: Column | str, html: Column | str) -> Column:
+    """``cards`` and next-link target ``href`` of a listing page, read in one pass."""
+    own = dict(_EXTRACTORS)
+
+    @F.pandas_udf(f"struct<cards:{CARDS},href:string>")
+    def content(sites: pd.Series, pages: pd.Series) -> pd.DataFrame:
+        def one(name, page):
+            found = markup.read_page("" if name in own else name, page)
+            if name in own:
+                found["cards"] = [{f: c.get(f) for f in markup.CARD_FIELDS} for c in own[name](page)]
+            return found
+
+        return pd.DataFrame([one(n, p) for n, p in zip(sites, pages)], columns=["cards", "href"])
+
+    return once(content)(as_col(site), as_col(html))
+
+
 def listing_cards(site: Column | str, html: Column | str) -> Column:
     """Raw cards of a listing page; empty for a site without extractor."""
     own = dict(_EXTRACTORS)
@@ -64,7 +81,7 @@ def listing_cards(site: Column | str, html: Column | str) -> Column:
         def one(name, page):
             if name in own:
                 return [{f: c.get(f) for f in markup.CARD_FIELDS} for c in own[name](page)]
-            return markup.read_cards(name, page) if name in markup.LISTING_RULES else []
+            return markup.read_cards(name, page)
 
         return pd.Series([one(n, p) for n, p in zip(sites, pages)])
 
