@@ -23,8 +23,8 @@ def export_rows(postings: DataFrame, current: DataFrame | None = None) -> DataFr
 
 
 def export_postings_csv(postings: DataFrame, current: DataFrame | None, path: str) -> None:
-    """Write the export with a header line per file (SK1)."""
-    export_rows(postings, current).write.option("header", True).option("emptyValue", "").csv(path)
+    """Write the export with a header line per file; quotes inside a field are doubled (SK1)."""
+    export_rows(postings, current).write.option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def export_matches_csv(found: DataFrame, path: str) -> None:
