@@ -5,11 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rolegrid.llm import decontaminate, line_dedup, simhash
+from rolegrid.llm import decontaminate, language, line_dedup, mixing, simhash
 from rolegrid.llm.common import staged
 
 
+#: A document whose shortest code is no better than eight bits a byte is in no learned language.
+MOST_BITS = 8.0
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those that no learned language can code, go; ``lang`` becomes the prediction."""
+    model = language.fit(docs.where(~F.coalesce(language.fold_of("doc_id", 4) == 2, F.lit(False))))
+    found = language.with_language(docs, model, "found")
+    known = found.where((F.col("found.lang") != language.UNKNOWN) & (F.col("found.bits") < MOST_BITS))
+    return known.withColumn("lang", F.col("found.lang")).drop("found")
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents at least go, but for their first occurrence."""
     return line_dedup.dedup_lines(docs, keep="first", min_docs=10)
@@ -25,10 +38,17 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose expected tokens have the target shares of sources, languages and topics."""
+    return mixing.sample(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("languages", keep_known_languages),
     ("lines", drop_repeated_lines),
     ("near_copies", drop_near_copies),
     ("benchmark", drop_benchmark_copies),
+    ("mix", mix_sources),
 ]
 
 #: SQL cannot express the language model of the first stage.

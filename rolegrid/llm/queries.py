@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.llm import decontaminate, line_dedup, simhash
+from rolegrid.llm import decontaminate, language, line_dedup, mixing, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("fold", language.fold_of("doc_id", 4))
+    model = language.fit(docs.where("fold <> 2"))
+    found = language.with_language(docs.select("doc_id", "fold", "text"), model, "found")
+    return found.select("doc_id", F.coalesce(F.col("fold") == 2, F.lit(False)).alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score")
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["stop"] - s["start"])
@@ -21,6 +28,14 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.with_sampling(docs, "mix")
+    return mixed.select(
+        "doc_id", "mix.tokens", "mix.topic", F.round("mix.weight", 6).alias("weight"), F.round("mix.probability", 6).alias("probability"), "mix.sampled"
+    )
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, folder, "documents"), min_docs=10, min_chars=1)
 
@@ -29,4 +44,4 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"), radius=3, words=3).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op9_line_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_decontaminate, op8_mixing, op9_line_dedup, op10_simhash)}
