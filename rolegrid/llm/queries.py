@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.llm import decontaminate, language, line_dedup, mixing, simhash
+from rolegrid.llm import chat, decontaminate, language, line_dedup, mixing, neighbours, simhash
+
+
+#: Pruning of the vantage-point trees: one is exact, more prunes more.
+NEIGHBOUR_FACTOR = 1.0
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +32,20 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: A conversation whose texts hold the template's own control strings.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    talks = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    return chat.digest(chat.formatted(chat.as_events(talks.unionByName(tricky))))
+
+
+def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=NEIGHBOUR_FACTOR)
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     mixed = mixing.with_sampling(docs, "mix")
@@ -44,4 +62,4 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"), radius=3, words=3).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_decontaminate, op8_mixing, op9_line_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_decontaminate, op4_chat, op7_neighbours, op8_mixing, op9_line_dedup, op10_simhash)}
