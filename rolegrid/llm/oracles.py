@@ -64,6 +64,11 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length(er) + length(et) + 15)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""".replace("\\", "\\"),
+    "op5_html": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS h FROM pages),
+        t AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') AS h FROM a),
+        r AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM t)
+        SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM r""",
     "op7_neighbours": """
         WITH v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
