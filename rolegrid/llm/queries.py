@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.llm import chat, decontaminate, html, language, line_dedup, mixing, neighbours, simhash
+from rolegrid.llm import chat, decontaminate, html, language, line_dedup, mixing, neighbours, simhash, toxicity
 
 
 #: Pruning of the vantage-point trees: one is exact, more prunes more.
@@ -16,6 +16,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(language.fold_of("doc_id", 3) == 1, F.lit(False)))
+    labels = table(spark, folder, "labels").where(F.coalesce(language.fold_of("doc_id", 3) != 1, F.lit(False)))
+    found = toxicity.with_features(docs, toxicity.fit(docs, labels), "found")
+    return found.select("doc_id", "held_out", "found.score", (F.col("found.score") >= 0.7).cast("int").alias("predicted"), "found.hits")
+
+
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("fold", language.fold_of("doc_id", 4))
     model = language.fit(docs.where("fold <> 2"))
@@ -66,4 +73,4 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"), radius=3, words=3).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_decontaminate, op4_chat, op5_html, op7_neighbours, op8_mixing, op9_line_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_decontaminate, op4_chat, op5_html, op7_neighbours, op8_mixing, op9_line_dedup, op10_simhash)}
