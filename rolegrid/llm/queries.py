@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.llm import chat, decontaminate, html, language, line_dedup, mixing, neighbours, simhash, toxicity
+from rolegrid.llm import chat, decontaminate, html, language, line_dedup, mixing, neighbours, simhash, substrings, toxicity
 
 
 #: Pruning of the vantage-point trees: one is exact, more prunes more.
@@ -53,6 +53,10 @@ def op5_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op6_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digest(table(spark, folder, "documents"), length=100)
+
+
 def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=NEIGHBOUR_FACTOR)
 
@@ -73,4 +77,4 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"), radius=3, words=3).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_decontaminate, op4_chat, op5_html, op7_neighbours, op8_mixing, op9_line_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_decontaminate, op4_chat, op5_html, op6_substrings, op7_neighbours, op8_mixing, op9_line_dedup, op10_simhash)}
