@@ -9,6 +9,10 @@ fingerprints differ in at least as many bits as their counts differ over all par
 radius are skipped; all others meet tile by tile (numpy exclusive-or and bit counts). A task returns a spanning
 forest of the links it finds, never all pairs. Components are found by min-label steps with shortcutting in Spark.
 
+A fingerprint says little of a short or a much edited text. ``similarity`` adds a check of the links found: the
+documents must share that part of their shingles of five words. A wider radius then finds edited copies, nearest
+links first, and does not join strangers.
+
 Defined results: null and empty texts have fingerprint zero and are linked like any other; a null id never becomes
 a component id while the component has another; repeated rows stay, each with its class; an empty table gives an
 empty table. Other columns pass through untouched, whatever their names.
@@ -62,9 +66,12 @@ def with_fingerprint(docs: DataFrame, name: str, text: str = "text", words: int
     return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
-def cell_parts(n: int) -> int:
-    """Into how many parts the bits are cut; more fingerprints get finer cells. No choice changes the result."""
-    return 2 if n <= 50_000 else 4 if n <= 5_000_000 else 8
+def cell_parts(n: int, radius: int) -> int:
+    """Into how many parts the bits are cut; more fingerprints get finer cells. No choice changes the result.
+
+    A cell is sent to all cells within the radius, so a wide radius keeps to two parts.
+    """
+    return 2 if n <= 50_000 or radius > 3 else 4 if n <= 5_000_000 else 8
 
 
 def cell_of(fingerprint_column: Column, parts: int) -> Column:
@@ -113,23 +120,41 @@ class Forest:
 
 
 def compare(a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> None:
-    """All pairs of two tiles; blocks of rows skip what differs too much in population count."""
+    """All pairs of two tiles, nearest first; blocks of rows skip what differs too much in population count.
+
+    Pairs of one distance are joined as in Boruvka's algorithm: each tree takes one link to another tree a round.
+    """
     a, b = (x[np.argsort(np.bitwise_count(x), kind="stable")] for x in (a, b))
     pop, high = np.bitwise_count(a).astype(np.int64), np.bitwise_count(b).astype(np.int64)
+    met = []
     for i in range(0, len(a), 256):
         rows = a[i : i + 256]
         low, top = np.searchsorted(high, [pop[i] - radius, pop[min(i + 255, len(a) - 1)] + radius + 1])
-        x, y = np.nonzero(np.bitwise_count(rows[:, None] ^ b[None, low:top]) <= radius)
+        apart = np.bitwise_count(rows[:, None] ^ b[None, low:top])
+        x, y = np.nonzero(apart <= radius)
         if len(x):
-            near = rows[x] != b[low + y]
-            for p, q in zip(rows[x[near]].view(np.int64).tolist(), b[low + y[near]].view(np.int64).tolist()):
-                forest.add(p, q)
+            met.append((rows[x], b[low + y], apart[x, y]))
+    if not met:
+        return
+    p, q, apart = (np.concatenate(m) for m in zip(*met))
+    for distance in range(1, radius + 1):
+        at = apart == distance
+        left, right = p[at], q[at]
+        while len(left):
+            names, of = np.unique(np.concatenate([left, right]), return_inverse=True)
+            roots = np.array([forest.root(v) for v in names.view(np.int64).tolist()], np.int64)[of]
+            mine, other = roots[: len(left)], roots[len(left) :]
+            open_ = mine != other
+            left, right, mine = left[open_], right[open_], mine[open_]
+            _, first = np.unique(mine, return_index=True)
+            for v, w in zip(left[first].view(np.int64).tolist(), right[first].view(np.int64).tolist()):
+                forest.add(v, w)
 
 
 def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     """Links ``a, b`` between values of the single column of ``prints``, enough to connect all that is connected."""
     distinct = staged(prints.toDF("f").where("f is not null").distinct(), "fingerprints")
-    parts = cell_parts(distinct.count())
+    parts = cell_parts(distinct.count(), radius)
     celled = distinct.withColumn("cell", cell_of(F.col("f"), parts))
     sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
     tile = F.pmod(F.xxhash64("f"), F.col("tiles")).cast("int").alias("tile")
@@ -184,15 +209,43 @@ def components(edges: DataFrame) -> DataFrame:
         now = staged(tied.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
 
 
-def classes(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+def shingle_sketch(text: bytes, words: int, size: int) -> list[int]:
+    """The ``size`` smallest hashes of the distinct shingles of a text, in order; all of them, if fewer."""
+    tokens = text.lower().split()
+    shingles = {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
+    hashes = np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) >> 1 for x in shingles], np.int64))
+    return hashes[:size].tolist()
+
+
+def confirmed(edges: DataFrame, prints: DataFrame, docs: DataFrame, similarity: float, words: int = 5, size: int = 256) -> DataFrame:
+    """Those of ``edges`` whose documents share ``similarity`` of their shingles of ``words`` words at least.
+
+    One document stands for each fingerprint. Shared parts are counted among the ``size`` smallest hashes of both,
+    which is exact up to ``size`` distinct shingles and an unbiased estimate beyond.
+    """
+    ends = edges.select(F.col("a").alias("f")).union(edges.select("b")).distinct()
+    chosen = prints.join(ends, "f", "left_semi").groupBy("f").agg(F.min(F.struct("doc_id", "row_key")).alias("one")).select("f", F.xxhash64("one.doc_id").alias("id_hash"), F.col("one.row_key").alias("row_key"))
+    keyed = docs.withColumn("id_hash", F.xxhash64("doc_id")).join(chosen, ["id_hash", "row_key"]).select("f", "text")
+    sketched = map_batches(keyed, lambda b: [b.column(0), [shingle_sketch(t, words, size) for t in texts(b.column(1))]], "f bigint, sketch array<bigint>")
+    sketches = staged(sketched.groupBy("f").agg(F.min("sketch").alias("sketch")), "sketches")
+    met = edges.join(sketches.select(F.col("f").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("f").alias("b"), F.col("sketch").alias("y")), "b")
+    least = F.slice(F.array_sort(F.array_union("x", "y")), 1, size)
+    shared = F.size(F.array_intersect(least, F.array_intersect("x", "y")))
+    return met.where(shared >= F.lit(similarity) * F.size(least)).select("a", "b")
+
+
+def classes(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str = "text", words: int = 3, similarity: float | None = None) -> DataFrame:
     """Per row: ``doc_id, row_key, fingerprint, component_id, first_key``.
 
     ``row_key`` is a hash of the text; the row of a class that stays is the one with ``doc_id = component_id`` and
-    ``row_key = first_key``.
+    ``row_key = first_key``. With ``similarity``, links between different fingerprints must be ``confirmed``.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text), F.length(F.col(text))).alias("row_key"), F.col(text).alias("text"))
     prints = staged(with_fingerprint(narrow, "f", words=words).drop("text"), "prints")
-    roots = components(links(prints.select("f"), radius))
+    edges = links(prints.select("f"), radius)
+    if similarity is not None:
+        edges = confirmed(staged(edges.distinct(), "links"), prints, narrow, similarity)
+    roots = components(edges)
     rooted = prints.join(roots, prints["f"] == roots["node"], "left").select("doc_id", "row_key", "f", F.coalesce("root", "f").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     least = rooted.groupBy("root").agg(first.alias("least")).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("first_key"))
