@@ -29,6 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ from rolegrid.llm.common import free_name, map_batches, texts
 
 GRAM = 32
 #: Bytes of text handled at once, and bytes of text for each bucket of names.
-PIECE, BUCKET_BYTES = 1 << 21, 8 << 20
+PIECE, BUCKET_BYTES = 1 << 19, 2 << 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -244,6 +245,7 @@ def repeated_runs(candidates: DataFrame, length: int, buckets: int) -> DataFrame
     """``id, key, runs`` (packed pairs of start and stop; several rows a document) from ``id, key, text, names``."""
 
     def deal(batches):
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids, keys = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), batch.column(1).to_numpy()
             values = texts(batch.column(2))
@@ -281,11 +283,12 @@ def repeated_runs(candidates: DataFrame, length: int, buckets: int) -> DataFrame
             order, cuts = _dealt(entries["name"], buckets)
             entries, around = entries[order], [around[i] for i in order.tolist()]
             filled = np.flatnonzero(np.diff(cuts))
-            yield _arrow(AROUND, filled, [1] * len(filled), [entries[cuts[b] : cuts[b + 1]].tobytes() for b in filled], [b"".join(around[cuts[b] : cuts[b + 1]]) for b in filled])
+            yield _arrow(AROUND, filled, [1] * len(filled), [entries[cuts[b] : cuts[b + 1]].tobytes() for b in filled], [pack.compress(b"".join(around[cuts[b] : cuts[b + 1]])) for b in filled])
 
     def settle(rows):
         entries = np.concatenate([np.frombuffer(a, ENTRY) for kind, a, _ in rows if kind == 1] or [np.zeros(0, ENTRY)])
-        around = np.frombuffer(b"".join([b for kind, _, b in rows if kind == 1] + [bytes(length + 8)]), np.uint8)
+        unpack = zstandard.ZstdDecompressor()
+        around = np.frombuffer(b"".join([unpack.decompress(b) for kind, _, b in rows if kind == 1] + [bytes(length + 8)]), np.uint8)
         sizes = entries["size"].astype(np.int64)
         begin = np.cumsum(sizes) - sizes
         order = np.lexsort((entries["start"], entries["key"], entries["id"]))
@@ -314,20 +317,28 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text), F.length(F.col(text)))
 
 
-def with_runs(docs: DataFrame, name: str, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with a last column ``name``: packed runs of bytes that repeat earlier ones (see ``merged``)."""
+def _joined(keyed: DataFrame, docs: DataFrame, id_of: Column, key: str, name: str, length: int) -> DataFrame:
+    """``docs`` (which have the column ``key``) with the packed runs of ``keyed`` in a last column ``name``."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, math.ceil(size / BUCKET_BYTES))
-    keyed = docs.select(F.col(doc_id).cast("bigint").alias("id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
     names = repeated_names(keyed, length, buckets).groupBy("key").agg(F.collect_list("names").alias("names"))
-    runs = repeated_runs(keyed.join(names, "key"), length, buckets).groupBy("id", "key").agg(F.collect_list("runs").alias(name))
-    key_a, key_b = free_name(docs, "run_id"), free_name(docs, "run_key")
-    runs = runs.select(F.col("id").alias(key_a), F.col("key").alias(key_b), name)
-    no_id = F.lit(int(np.iinfo(np.int64).min)).cast("bigint")
-    joined = docs.withColumns({key_a: F.coalesce(F.col(doc_id).cast("bigint"), no_id), key_b: row_key(doc_id, text)}).join(runs, [key_a, key_b], "left")
-    return joined.select(*docs.columns, name)
+    runs = repeated_runs(keyed.join(names, "key"), length, buckets).groupBy("key").agg(F.collect_list(F.struct("id", "runs")).alias(name))
+    joined = docs.join(runs.withColumnRenamed("key", key), key, "left")
+    mine = F.filter(name, lambda r: r["id"] == F.coalesce(id_of, F.lit(int(np.iinfo(np.int64).min)).cast("bigint")))
+    return joined.withColumn(name, F.transform(mine, lambda r: r["runs"])).select(*docs.columns, name)
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("bigint").alias("id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
+
+
+def with_runs(docs: DataFrame, name: str, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with a last column ``name``: packed runs of bytes that repeat earlier ones (see ``merged``)."""
+    key = free_name(docs, "run_key")
+    out = _joined(_keyed(docs, doc_id, text), docs.withColumn(key, row_key(doc_id, text)), F.col(doc_id).cast("bigint"), key, name, length)
+    return out.drop(key)
 
 
 def without_repeats(docs: DataFrame, kept: str = "kept", text: str = "text", **options) -> DataFrame:
@@ -352,10 +363,13 @@ def without_repeats(docs: DataFrame, kept: str = "kept", text: str = "text", **o
     return map_batches(joined, run, T.StructType([*docs.schema.fields, T.StructField(kept, kind)]))
 
 
-def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = with_runs(narrow, "runs", **options)
+def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
+    """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
+
+    Both joins read the same columns dealt by the same key, so the texts are shuffled once.
+    """
+    keyed = _keyed(docs, doc_id, text)
+    found = _joined(keyed, keyed, F.col("id"), "key", "runs", length).select("id", "text", "runs")
 
     def run(batch: pa.RecordBatch):
         out = []
@@ -368,5 +382,5 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **option
             out.append((len(value), sum(b - a for a, b in spans), len(spans), state.hexdigest()))
         return [batch.column(0), *(zip(*out) if out else [[]] * 4)]
 
-    kind = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return map_batches(found, run, kind)
+    digests = map_batches(found, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return digests.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
