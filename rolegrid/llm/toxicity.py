@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolegrid.llm.common import map_batches, texts
+from rolegrid.llm.common import map_batches, staged, texts
 
 #: A-Z lowered; letters, digits, non-ASCII and the signs that stand in for letters kept; all else a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b in b"*@$" else 32 for b in range(256))
@@ -209,7 +209,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     judged = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
     chosen = judged.where("toxic in (0, 1)").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_label).drop("n")
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(chosen, "id").select("text", "toxic")
+    chosen = staged(chosen, "sample-ids")  # two labels, so at most 2 * rows_per_label rows: bounded, and broadcast below
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    rows = staged(rows.select("text", "toxic"), "sample")
 
     def count(batch: pa.RecordBatch):
         seen: dict[tuple[str, int], int] = defaultdict(int)
