@@ -248,8 +248,9 @@ FROM supplier LEFT JOIN cur ON cur.posting_url = 'u' || s_suppkey LEFT JOIN t ON
     "metadata_score": """
 WITH k AS (SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 n AS (SELECT *, CASE event_type WHEN 'purchase' THEN CAST(k AS DOUBLE) WHEN 'view' THEN k + 0.5 END AS number FROM k)
-SELECT event_id, number::DOUBLE AS number, coalesce(number >= 50, false) AS passes, 't' || user_id AS team, '{"z":1}' AS extra,
-  '{' || CASE WHEN number IS NOT NULL THEN '"score":' || CAST(floor(number) AS INTEGER) || ',' ELSE '' END || '"team":"t' || user_id || '","z":1}' AS metadata_json FROM n""",
+SELECT event_id, number::DOUBLE AS number, coalesce(number >= 50, false) AS passes, 't' || user_id AS team,
+  CASE event_type WHEN 'click' THEN '{"z":1,"score":true}' WHEN 'error' THEN '{"z":1,"score":"' || k || '"}' ELSE '{"z":1}' END AS extra,
+  '{' || CASE event_type WHEN 'click' THEN '"score":true,' WHEN 'error' THEN '"score":"' || k || '",' WHEN 'purchase' THEN '"score":' || k || ',' WHEN 'view' THEN '"score":' || k || '.5,' ELSE '' END || '"team":"t' || user_id || '","z":1}' AS metadata_json FROM n""",
     "export_csv_rows": f"""WITH {_LOG}, {_GOOD}, {_POST}
 SELECT source_site, CASE WHEN job_status = 'stale' THEN CAST(id AS VARCHAR) ELSE '' END AS source_job_id, title, company, location, url, remote_status, 'unknown' AS employment_type, 'unknown' AS seniority,
   coalesce(CAST(score AS VARCHAR), '') AS score, CASE WHEN decision IS NULL THEN 'false' ELSE 'true' END AS reviewed, coalesce(decision, '') AS decision FROM post LEFT JOIN cur ON posting_url = url""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rolegrid.catalog.common import joined, stamp, table, texts
 from rolegrid.operators import crawl, matching, review, scoring, store
 from rolegrid.operators.dedupe import canonicalize_postings
-from rolegrid.schemas import POSTING
+from rolegrid.schemas import POSTING, RULE_LISTS, RULES
 
 
 def _ts(text: str):
@@ -28,7 +28,7 @@ def stored_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _ts("2024-01-01").alias("posted_at"), _ts("2024-01-02").alias("discovered_at"),
         (_ts("2024-01-02") + F.make_dt_interval(F.col("p_size"))).alias("last_seen_at"),
         F.when(F.col("p_size") > 10, F.concat(F.lit("About "), "p_name")).otherwise("Listing-only discovery from Shop").alias("description_text"),
-        F.concat(F.lit("team "), "p_type").alias("team"), F.col("p_size").alias("score"),
+        F.concat(F.lit("team "), "p_type").alias("team"), F.col("p_size").cast("double").alias("score"),
         F.concat(F.lit('{"size":'), "p_size", F.lit(',"old":true}')).alias("extra"),
     )
     return store.to_store_columns(rows).select(*[f.name for f in POSTING])
@@ -67,7 +67,7 @@ def upsert_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result["store"].select(
         "id", "source_job_id", "url", "title", "location", "remote_status", "employment_type", "seniority", "job_status",
         stamp("posted_at").alias("posted_at"), stamp("last_seen_at").alias("last_seen_at"), "description_text", "team",
-        F.coalesce("score", F.lit(-1)).alias("score"), "extra",
+        F.coalesce("score", F.lit(-1.0)).alias("score"), "extra",
     )
 
 
@@ -107,6 +107,35 @@ def mark_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("id", "job_status").join(cut.select("id", F.col("job_status").alias("limited_status")), "id")
 
 
+def upsert_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as sightings of their parts, one after the other: each under one of two urls of the part, every
+    fourth without the part's id. So urls move, new postings appear beside the stored one, and some sightings conflict."""
+    stored = stored_parts(spark, sf_dir)
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint")
+    seq = (line * 1_000_000 + F.col("l_partkey")) * 2 + F.col("l_suppkey") % 2
+    rows = table(spark, sf_dir, "lineitem").select(
+        seq.alias("seq"), F.lit("shop").alias("source_site"), F.when(line % 4 != 0, F.concat(F.lit("J"), "l_partkey")).alias("source_job_id"),
+        F.concat(F.lit("https://shop.test/m/"), "l_partkey", F.lit("/"), F.col("l_suppkey") % 2).alias("url"), F.concat(F.lit("Seen "), seq).alias("title"),
+        F.lit("C").alias("company"), F.lit("here").alias("location"), F.lit("unknown").alias("remote_status"), F.lit("unknown").alias("employment_type"), F.lit("unknown").alias("seniority"),
+        F.lit("d").alias("description_text"), F.lit(None).cast("string").alias("extra"),
+    ).distinct()
+    out = store.upsert_postings(stored, store.to_store_columns(rows, _ts("2024-02-01")))
+    return out["store"].select("id", "url", "source_job_id", "title")
+
+
+RESCORE_RULES = {
+    "include_keywords": ["Red", "steel"], "exclude_keywords": ["bolt"], "preferred_locations": ["promo"], "discouraged_companies": ["brand#1"],
+    "preferred_remote_statuses": ["remote"],
+}
+
+
+def rescore_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stored parts scored again by one rule set."""
+    rules = spark.createDataFrame([tuple(RESCORE_RULES.get(n, []) for n in RULE_LISTS)], RULES)
+    out = store.rescore(stored_parts(spark, sf_dir), rules)["store"]
+    return out.select("id", "score", joined("score_explanations").alias("why"))
+
+
 def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores and states of parts replaced for the urls that have an update."""
     rows = stored_parts(spark, sf_dir)
@@ -185,6 +214,8 @@ def pages_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "upsert_store": upsert_store,
     "upsert_outcome": upsert_outcome,
+    "upsert_moves": upsert_moves,
+    "rescore_store": rescore_store,
     "new_matches": new_matches,
     "mark_stale": mark_stale,
     "status_updates": status_updates,
@@ -221,8 +252,39 @@ final AS (
 """
 
 ORACLES = {
-    "upsert_store": _UPSERT + "SELECT * REPLACE (CAST(coalesce(score, -1) AS INTEGER) AS score) FROM final",
+    "upsert_store": _UPSERT + "SELECT * REPLACE (CAST(coalesce(score, -1) AS DOUBLE) AS score) FROM final",
     "upsert_outcome": _UPSERT + "SELECT 'updated' AS action, count(*) AS n FROM hit UNION ALL SELECT 'inserted', count(*) FROM fresh",
+    "upsert_moves": """
+WITH RECURSIVE li AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY seq) AS n FROM (SELECT DISTINCT l_partkey AS p,
+   ((l_orderkey * 8 + l_linenumber)::BIGINT * 1000000 + l_partkey) * 2 + l_suppkey % 2 AS seq, (l_orderkey * 8 + l_linenumber) % 4 <> 0 AS has, l_suppkey % 2 AS k FROM lineitem)),
+r AS (
+ SELECT p_partkey AS p, 0::BIGINT AS n, 0 AS u0, 0 AS u1, CASE WHEN p_size <= 40 THEN 1 ELSE 0 END AS j, 1 AS cnt, 0 AS t, 0::BIGINT AS seq, 0::BIGINT AS k FROM part
+ UNION ALL
+ SELECT p, n, CASE WHEN t = 0 THEN u0 WHEN k = 0 THEN t WHEN u0 = t THEN 0 ELSE u0 END, CASE WHEN t = 0 THEN u1 WHEN k = 1 THEN t WHEN u1 = t THEN 0 ELSE u1 END,
+  CASE WHEN t = 0 OR NOT has THEN j ELSE t END, greatest(cnt, t), t, seq, k
+ FROM (SELECT p, n, u0, u1, j, cnt, has, seq, k, CASE WHEN x > 0 AND y > 0 AND x <> y THEN 0 WHEN x > 0 THEN x WHEN y > 0 THEN y ELSE cnt + 1 END AS t
+  FROM (SELECT r.p, li.n, u0, u1, j, cnt, has, li.seq, li.k, CASE li.k WHEN 0 THEN u0 ELSE u1 END AS x, CASE WHEN has THEN j ELSE 0 END AS y
+   FROM r JOIN li ON li.p = r.p AND li.n = r.n + 1))),
+seen AS (SELECT p, t, arg_max(k, seq) AS k, max(seq) AS seq, min(seq) AS first FROM r WHERE t > 0 GROUP BY p, t),
+held AS (SELECT p, arg_max(j, n) AS j FROM r GROUP BY p),
+touched AS (SELECT seen.*, CASE WHEN j = t THEN 'J' || p END AS jid FROM seen JOIN held USING (p))
+SELECT p_partkey + 1 AS id, coalesce('https://shop.test/m/' || p_partkey || '/' || k, 'https://shop.test/p/' || p_partkey) AS url,
+  CASE WHEN k IS NULL THEN CASE WHEN p_size <= 40 THEN 'J' || p_partkey END ELSE jid END AS source_job_id, coalesce('Seen ' || seq, p_name) AS title
+FROM part LEFT JOIN touched ON p = p_partkey AND t = 1
+UNION ALL
+SELECT (SELECT max(p_partkey) + 1 FROM part) + row_number() OVER (ORDER BY first), 'https://shop.test/m/' || p || '/' || k, jid, 'Seen ' || seq FROM touched WHERE t > 1""",
+    "rescore_store": """
+WITH e AS (SELECT p_partkey + 1 AS id, list_filter([
+  CASE WHEN contains(lower(p_name), 'red') THEN {'p': 15, 't': '+15 title matched include keyword ''red'''} END, CASE WHEN contains(lower(p_name), 'steel') THEN {'p': 15, 't': '+15 title matched include keyword ''steel'''} END,
+  CASE WHEN contains(lower(p_name), 'bolt') THEN {'p': -40, 't': '-40 title matched exclude keyword ''bolt'''} END,
+  CASE WHEN contains(lower(p_brand), 'brand#1') THEN {'p': -40, 't': '-40 company matched exclude keyword ''brand#1'''} END,
+  CASE WHEN contains(lower(p_type), 'promo') THEN {'p': 15, 't': '+15 location matched include keyword ''promo'''} END,
+  CASE WHEN p_size > 10 AND contains(lower(p_name), 'red') THEN {'p': 15, 't': '+15 description matched include keyword ''red'''} END,
+  CASE WHEN p_size > 10 AND contains(lower(p_name), 'steel') THEN {'p': 15, 't': '+15 description matched include keyword ''steel'''} END,
+  CASE WHEN p_size > 10 AND contains(lower(p_name), 'bolt') THEN {'p': -40, 't': '-40 description matched exclude keyword ''bolt'''} END,
+  CASE WHEN p_size > 25 THEN {'p': 12, 't': '+12 remote_status matched preferred value ''remote'''} ELSE {'p': -10, 't': '-10 remote_status did not match preferred values'} END
+ ], lambda x: x IS NOT NULL) AS e FROM part)
+SELECT id, list_sum(list_transform(e, lambda x: x.p))::DOUBLE AS score, array_to_string(list_transform(e, lambda x: x.t), ' | ') AS why FROM e""",
     "new_matches": """
 WITH stored AS (SELECT p_partkey, CASE WHEN p_size <= 40 THEN 'J' || p_partkey END AS jid FROM part WHERE p_type = 'SMALL'),
 f AS (SELECT lpad(CAST(min(l_orderkey) AS VARCHAR), 12, '0') || '-' || l_partkey || '-' || l_suppkey AS ord, 'J' || l_partkey AS jid, 'https://shop.test/p/' || l_partkey || '/' || l_suppkey AS url FROM lineitem GROUP BY l_partkey, l_suppkey)
@@ -234,7 +296,7 @@ SELECT id, CASE WHEN s = 'active' AND seen < TIMESTAMP '2024-01-30 12:00:00' THE
   CASE WHEN s = 'active' AND seen < TIMESTAMP '2024-01-30 12:00:00' AND id IN (FROM c) THEN 'stale' ELSE s END AS limited_status FROM u""",
     "status_updates": """
 WITH i AS (SELECT l_partkey, CAST(count(*) AS INTEGER) AS n, max(l_returnflag) AS f FROM lineitem GROUP BY 1)
-SELECT p_partkey + 1 AS id, coalesce(n, p_size) AS score, coalesce('+' || n, '') AS why,
+SELECT p_partkey + 1 AS id, CAST(coalesce(n, p_size) AS DOUBLE) AS score, coalesce('+' || n, '') AS why,
   CASE WHEN f = 'R' THEN 'archived' WHEN f = 'N' THEN 'stale' WHEN p_size > 45 THEN 'archived' ELSE 'active' END AS job_status FROM part LEFT JOIN i ON l_partkey = p_partkey""",
     "backfilled": """
 SELECT o_orderkey, 'active' AS job_status, strftime(CASE WHEN o_orderstatus = 'F' THEN o_orderdate ELSE o_orderdate - INTERVAL 3 DAY END, '%Y-%m-%d %H:%M:%S') AS last_seen_at FROM orders""",

@@ -20,21 +20,24 @@ def walk_pages(starts: DataFrame, index: DataFrame, max_pages: int = 1) -> DataF
 
     ``starts(query_id, source_site, start_url)``; ``index(url, site, next_url, n_items)`` is a narrow table
     without page text. One row per attempted page: ``query_id, hop, url, found, n_items, stop``. The walk of
-    a query ends at a missing page, at an empty page after a filled one, without a next link, at a page
+    a query ends at a missing page, at one that cannot be read, at an empty page after a filled one, without a next link, at a page
     seen before, or after ``max_pages`` pages. A start page that is missing fails the query. The loop runs
     at most ``max_pages`` times and ends when no query goes on.
     """
-    pages = index.select("url", F.col("site").alias("source_site"), "next_url", "n_items", F.lit(True).alias("hit"))
+    unread = F.col("error").isNotNull() if "error" in index.columns else F.lit(False)
+    pages = index.select("url", F.col("site").alias("source_site"), "next_url", "n_items", F.lit(True).alias("hit"), unread.alias("unread"))
     front = starts.select(
         "query_id", "source_site", F.col("start_url").alias("url"),
         F.array().cast("array<string>").alias("seen"), F.lit(False).alias("filled"),
     )
     hops = []
     for hop in range(1, max(1, max_pages) + 1):
-        found = F.coalesce(F.col("hit"), F.lit(False))
+        unread = F.coalesce(F.col("unread"), F.lit(False))
+        found = F.coalesce(F.col("hit"), F.lit(False)) & ~unread
         has_items = F.coalesce(F.col("n_items"), F.lit(0)) > 0
         stop = (
-            F.when(~found, "start_missing" if hop == 1 else "page_missing")
+            F.when(unread, "start_unreadable" if hop == 1 else "page_unreadable")
+            .when(~found, "start_missing" if hop == 1 else "page_missing")
             .when(~has_items & F.col("filled"), "empty_page")
             .when(F.col("next_url").isNull(), "no_next")
             .when(F.array_contains(F.array_append("seen", F.col("url")), F.col("next_url")), "repeated_page")

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from rolegrid.functions.reports import intent_summary, parser_notes
 from rolegrid.functions.text import any_contains, any_prefix, clean_list, distinct_ci, let, squash_ws
 from rolegrid.schemas import LIST_CONSTRAINTS
-from rolegrid.session import spread_small
 
 # Unicode-aware case folding, word characters and word boundaries.
 CI = "(?iuU)"
@@ -201,8 +200,9 @@ def split_items(text: Column) -> Column:
 
 
 def clause_items(clauses: Column) -> Column:
-    """Clauses cut at the first stop word and split into items (IN1)."""
-    cut = F.transform(clauses, lambda c: split_items(F.regexp_replace(c, CI + "(?s)" + CLAUSE_STOP + ".*", "")))
+    """Clauses cut at the first stop word, stripped of white space and split into items (IN1)."""
+    edge = r"(?U)^\s+|\s+$"
+    cut = F.transform(clauses, lambda c: split_items(F.regexp_replace(F.regexp_replace(c, CI + "(?s)" + CLAUSE_STOP + ".*", ""), edge, "")))
     return F.flatten(cut)
 
 
@@ -387,7 +387,7 @@ def parse_prompts(prompts: DataFrame, text: str = "raw_prompt_text") -> DataFram
     """
     t = F.col(text)
     p = Prompt(t, F.col("_low"), F.col("_odd"))
-    base = spread_small(prompts).withColumns({"_low": F.lower(t), "_odd": t.rlike(ODD_LETTERS)}).withColumns(
+    base = prompts.withColumns({"_low": F.lower(t), "_odd": t.rlike(ODD_LETTERS)}).withColumns(
         {
             "_roles": contexts(p, ROLE_PATTERN, ("role", "job", "position", "opening")),
             "_titles": contexts(p, TITLE_PATTERN, tuple(TITLE_NOUN.split("|"))),

@@ -15,7 +15,6 @@ SORT_KEYS = ("discovered_at", "posted_at", "title", "company", "location", "sour
 FOLDED_KEYS = ("title", "company", "location", "source_site")
 DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE = 25, 100
 HISTORY_LENGTH = 20
-CANDIDATE_LIMIT = 100_000
 
 
 # ---- decisions ---------------------------------------------------------------------------------------
@@ -123,14 +122,15 @@ def filter_postings(postings: DataFrame, *, location_contains: str | None = None
                     **equal: str | None) -> DataFrame:
     """Equality on the six listed columns, location pattern, minimum score (FL1, FL2, FL3).
 
-    ``%`` and ``_`` in the location are wildcards. A row without a score fails every minimum.
+    ``%`` and ``_`` in the location are wildcards, a backslash is itself. A row without a score fails every minimum.
     """
     unknown = set(equal) - set(EQUALITY)
     if unknown:
         raise ValueError(f"cannot filter on {sorted(unknown)}")
     tests = [F.col(name) == value for name, value in equal.items() if value is not None]
     if location_contains is not None:
-        tests.append(F.col("location").ilike(f"%{location_contains}%"))
+        escaped = location_contains.replace("\\", "\\\\")
+        tests.append(F.col("location").ilike(f"%{escaped}%"))
     if min_score is not None:
         tests.append(F.col("score") >= min_score)
     return postings.where(reduce(lambda a, b: a & b, tests)) if tests else postings
@@ -180,7 +180,7 @@ def select_postings(postings: DataFrame, current: DataFrame | None = None, *, re
     return reviewed_only(rows, current, reviewed)
 
 
-def list_postings(postings: DataFrame, current: DataFrame | None = None, *, limit: int | None = 100, offset: int = 0,
+def list_postings(postings: DataFrame, current: DataFrame | None = None, *, limit: int | None = None, offset: int = 0,
                   sort_by: str = "discovered_at", sort_desc: bool = True, **filters) -> DataFrame:
     """Review listing: every predicate before the sort, the sort before the slice (LC3)."""
     rows = select_postings(postings, current, **filters)
@@ -206,9 +206,15 @@ def page_of(rows: DataFrame, page: int, per_page: int = DEFAULT_PAGE_SIZE, sort_
     return shown, {"page": number, "per_page": size, **total.asDict()}
 
 
-def newest(postings: DataFrame, limit: int | None = CANDIDATE_LIMIT) -> DataFrame:
-    """Candidates of the maintenance jobs: the newest ``limit`` rows, or all (SO4)."""
-    return postings if limit is None else postings.orderBy(*sort_order()).limit(limit)
+def newest(postings: DataFrame, limit: int | None = None) -> DataFrame:
+    """Candidates of the maintenance jobs: all rows, or the newest ``limit`` if the caller says so (SO4).
+
+    The top-k runs on time and id alone; the rows are fetched by id afterwards.
+    """
+    if limit is None:
+        return postings
+    chosen = postings.select("id", "discovered_at").orderBy(*sort_order()).limit(limit).select("id")
+    return postings.join(chosen, "id", "left_semi")
 
 
 def posting_details(postings: DataFrame, current: DataFrame, log: DataFrame, k: int = HISTORY_LENGTH) -> DataFrame:

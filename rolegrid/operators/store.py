@@ -6,14 +6,17 @@ The table is a plain snapshot; every operator takes the current table and return
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolegrid.functions.text import fold, non_empty
 from rolegrid.operators import review, scoring
+from rolegrid.operators.components import components, shared_key_edges
 from rolegrid.operators.dedupe import greedy_keep
 from rolegrid.operators.matching import with_search_text
-from rolegrid.operators.skew import heavy_keys, key_counts, salted_join
 from rolegrid.schemas import DEFAULT_RULES, LISTING_ONLY_PREFIX, METADATA_COLUMNS, POSTING, RULE_LISTS
 from rolegrid.session import stage
 
@@ -92,51 +95,87 @@ def _merged_struct(old: Column, new: Column) -> Column:
 
 
 # ---- upsert ------------------------------------------------------------------------------------------
+#
+# An upsert looks up one incoming row after the other: by url first, then by source id, in the store as the rows
+# before have left it. What a row meets depends on keys alone, and only on rows it is connected with by shared
+# keys. So the lookups are replayed in order on narrow key rows, each connected component by itself; what the rows
+# then make of the posting they meet is an aggregate for each field.
 
+REPLAYED = "ord {kind}, target string, action string"
 
-def match_incoming(store: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
-    """``order, target, conflict``: the stored row each incoming row meets, url before source id (JN9).
 
-    Two inner joins on narrow columns. Rows without an id stay out of the id join, so nulls do not pile
-    up in one partition. ``conflict`` marks a row whose url and id point at two different stored rows.
+def _keys(df: DataFrame) -> Column:
+    identity = F.when(F.col("source_job_id") != "", F.concat(F.lit("i:"), "source_site", F.lit(":"), "source_job_id"))
+    return F.array_compact(F.array(F.concat(F.lit("u:"), "url"), identity))
+
+
+def _replay():
+    """Sequential lookups; built here so that it travels to the executors with the job."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, held = None, {}, {}
+        for batch in batches:
+            out = []
+            rows = zip(*(batch.column(n).to_pylist() for n in ("component", "stored", "ord", "row", "url", "source_site", "source_job_id")))
+            for component, stored, order, row, url, site, job in rows:
+                if component != now:
+                    now, at, held = component, {}, {}  # at: key -> posting; held: posting -> its keys and source id
+                job = job or None
+                by_url = at.get(("u", url))
+                by_id = at.get(("i", site, job)) if job else None
+                if not stored and by_url and by_id and by_url != by_id:
+                    out.append((order, None, "conflict"))
+                    continue
+                target = row if stored else by_url or by_id or row
+                known = target in held
+                old_keys, old_job = held.get(target, ((), None))
+                for key in old_keys:
+                    if at.get(key) == target:
+                        del at[key]
+                job = job or old_job
+                keys = (("u", url),) + ((("i", site, job),) if job else ())
+                held[target] = keys, job
+                for key in keys:
+                    at.setdefault(key, target) if stored else at.__setitem__(key, target)
+                if not stored:
+                    out.append((order, target, "updated" if known else "inserted"))
+            if out:
+                orders, targets, actions = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(orders, batch.schema.field("ord").type), pa.array(targets, pa.string()), pa.array(actions, pa.string())], ["ord", "target", "action"]
+                )
+
+    return run
+
+
+def replay_lookups(store: DataFrame, batch: DataFrame, order: str) -> DataFrame:
+    """``ord, target, action`` for each incoming row: the posting it meets and whether that inserted, updated or is
+    in conflict (JN9). Targets are ``s<id>`` for stored rows and ``n<order>`` for the row that inserts a posting.
+
+    A row in conflict meets one posting by url and another by source id; it changes nothing. Stored rows come in
+    only if they share a key with the batch. A task holds the keys of one component at a time.
     """
-    by_url = incoming.select(order, "url").join(store.select("id", "url"), "url").select(order, "id", F.lit(1).alias("rule"))
-    identity = ["source_site", "source_job_id"]
-    with_id = F.col("source_job_id") != ""
-    by_id = (
-        incoming.where(with_id).select(order, *identity)
-        .join(store.where(with_id).select("id", *identity), identity)
-        .select(order, "id", F.lit(2).alias("rule"))
-    )
-    return by_url.unionByName(by_id).groupBy(order).agg(
-        F.min_by("id", "rule").alias("target"), (F.min("id") != F.max("id")).alias("conflict")
+    narrow = ["url", "source_site", "source_job_id"]
+    # a key met only in the middle of the batch still is a key of some incoming row, so batch keys find all stored rows
+    incoming = batch.select(F.concat(F.lit("n"), F.col(order).cast("string")).alias("row"), F.col(order).alias("ord"), *narrow)
+    keys = incoming.select(F.explode(_keys(incoming)).alias("key")).distinct()
+    kept = store.select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("row"), F.lit(None).cast(batch.schema[order].dataType).alias("ord"), "id", *narrow)
+    touched = kept.select("row", F.explode(_keys(kept)).alias("key")).join(keys, "key", "left_semi").select("row").distinct()
+    rows = stage(
+        incoming.withColumns({"stored": F.lit(False), "id": F.lit(None).cast("bigint")})
+        .unionByName(kept.join(touched, "row", "left_semi").withColumn("stored", F.lit(True)).withColumn("id", F.col("id").cast("bigint"))),
+        "lookups",
     )
+    pairs = rows.select("row", F.explode(_keys(rows)).alias("key"))
+    tied = components(shared_key_edges(pairs, "row", "key"))
+    placed = rows.join(tied, rows["row"] == tied["node"], "left").withColumn("component", F.coalesce("root", "row")).drop("node", "root")
+    ordered = placed.repartition("component").sortWithinPartitions("component", F.desc("stored"), "id", "ord")
+    kind = batch.schema[order].dataType.simpleString()
+    return ordered.mapInArrow(_replay(), REPLAYED.format(kind=kind))
 
 
-def collapse_batch(incoming: DataFrame, order: str, with_members: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """Fold rows of one batch that are the same posting into one row, in order.
-
-    Several queries may bring the same posting. Rows are grouped under the first row they share a url or
-    a source id with, and folded with the update rules, each of which is an aggregate (last value, last
-    informative value, maximum), so Spark combines them before the shuffle. Adds ``seen``, the number of
-    rows folded. With ``with_members`` the pair (``order, leader`` rows, folded rows) is returned.
-    """
-    identity = F.when(F.col("source_job_id") != "", F.concat(F.lit("i:"), "source_site", F.lit(":"), "source_job_id"))
-    keyed = stage(
-        incoming.select(
-            F.col(order).alias("ord"),
-            F.array_compact(F.array(F.md5(F.concat(F.lit("u:"), "url")), F.md5(identity))).alias("keys"),
-        ),
-        "batch",
-    )
-    kept = stage(greedy_keep(keyed, "ord", F.col("keys")), "leaders")
-    pairs = keyed.select("ord", F.posexplode("keys").alias("rule", "key"))
-    owners = pairs.join(kept, "ord", "left_semi").select("key", F.col("ord").alias("leader"))
-    counts = key_counts(pairs, "key")
-    tied = salted_join(pairs, owners, "key", "inner", heavy_keys(counts, "key"), spread="ord")
-    leader = tied.where(F.col("leader") <= F.col("ord")).groupBy("ord").agg(F.min_by("leader", "rule").alias("leader"))
-    leader = stage(leader.withColumnRenamed("ord", order), "members")
-    rows = incoming.join(leader, order)
+def fold_updates(rows: DataFrame, target: str, order: str) -> DataFrame:
+    """One row for each target: its incoming rows folded in order with the update rules, each an aggregate."""
 
     def last(name: str, condition: Column | None = None) -> Column:
         position = F.col(order) if condition is None else F.when(condition, F.col(order))
@@ -149,12 +188,24 @@ def collapse_batch(incoming: DataFrame, order: str, with_members: bool = False)
         folds[name] = F.coalesce(last(name, F.col(name) != "unknown"), F.lit("unknown"))
     folds["last_seen_at"] = F.max("last_seen_at")
     folds["description_text"] = F.coalesce(last("description_text", _described(F.col("description_text"))), last("description_text"))
-    for name in (*KEPT_WHEN_MISSING, "extra"):
+    for name in KEPT_WHEN_MISSING:
         folds[name] = last(name, F.col(name).isNotNull())
-    folded = rows.groupBy("leader").agg(
-        *[folds[name].alias(name) for name in STORED], F.count("*").alias("seen")
-    ).withColumnRenamed("leader", order)
-    return (leader, folded) if with_members else folded
+    folded = rows.groupBy(target).agg(*[c.alias(n) for n, c in folds.items()], F.count("*").alias("seen"), F.min(order).alias("first_order"))
+    return folded.join(fold_metadata(rows, target, order), target, "left")
+
+
+def fold_metadata(rows: DataFrame, target: str, order: str) -> DataFrame:
+    """``target, extra``: the JSON objects of a target's rows merged key by key, the last value of a key wins."""
+    given = rows.where(F.col("extra").isNotNull()).select(target, order, F.explode(F.map_entries(F.from_json("extra", "map<string,variant>"))).alias("e"))
+    value = F.to_json(F.struct(F.col("e.value").alias("v")))
+    by_key = given.select(target, order, F.col("e.key").alias("k"), value.alias("v")).groupBy(target, "k").agg(F.max_by("v", order).alias("v"))
+
+    def inside(json: Column, frame: int) -> Column:
+        """JSON text without its frame: ["k"] to "k", {"v":x} to x."""
+        return json.substr(F.lit(frame), F.length(json) - frame)
+
+    text = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: F.concat(inside(F.to_json(F.array(e["k"])), 2), F.lit(":"), inside(e["v"], 6)))
+    return by_key.groupBy(target).agg(F.concat(F.lit("{"), F.array_join(text, ","), F.lit("}")).alias("extra"))
 
 
 def dense_ids(rows: DataFrame, order: str, start: int) -> DataFrame:
@@ -172,62 +223,28 @@ def dense_ids(rows: DataFrame, order: str, start: int) -> DataFrame:
     return placed.join(F.broadcast(shifts), "_part").withColumn("id", inside + F.col("_shift") + F.lit(start - 1)).drop("_part", "_shift")
 
 
-def upsert_postings(store: DataFrame, incoming: DataFrame, order: str = "seq", collapsed: bool = False) -> dict[str, DataFrame]:
-    """Insert new postings, update known ones (SK5).
+def upsert_postings(store: DataFrame, incoming: DataFrame, order: str = "seq") -> dict[str, DataFrame]:
+    """Insert new postings, update known ones, as if row by row in order (SK5).
 
-    Returns ``store`` (the next table), ``outcome`` (``order``, ``action``: inserted, updated or conflict)
-    and ``conflicts`` (the incoming rows that meet two stored rows; they are left out). Incoming urls are
-    expected in canonical form. Unless ``collapsed``, rows of the batch that are the same posting are
-    folded first; after that at most two incoming rows can meet one stored row, one by url and one by id.
-    The later of the two updates the row only if it still matches it after the first update, else it is
-    a new posting.
+    Returns ``store`` (the next table), ``outcome`` (``order``, ``action``: inserted, updated or conflict, one row
+    for each incoming row) and ``conflicts`` (the incoming rows in conflict; they change nothing). Incoming urls are
+    expected in canonical form; the order has to be unique.
     """
     store = store.select("id", *STORED)
-    batch = incoming if collapsed else collapse_batch(to_store_columns(incoming), order)
-    batch = stage(batch.select(order, *STORED), "incoming")
-    match = stage(match_incoming(store, batch, order), "match")
-
-    hits = batch.join(match.where("NOT conflict"), order)
-    old = store.select(F.col("id").alias("target"), F.struct("source_job_id").alias("old"))
-    groups = (
-        hits.groupBy("target")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*STORED).alias("new")))).alias("u"))
-        .join(old, "target")
-        .withColumn("first", F.col("u")[0])
-        .withColumn("second", F.get("u", F.lit(1)))
-        .withColumn(
-            "follows",
-            F.coalesce(
-                non_empty("first.new.source_job_id").isNull()
-                & (F.col("second.new.source_job_id") == F.col("old.source_job_id")),
-                F.lit(False),
-            ),
-        )
-    )
-    groups = stage(groups.select(F.col("target").alias("id"), "first", "second", "follows"), "updates")
-    pieces = store.join(groups, "id", "left").withColumn("row", F.struct(*STORED))
-    once = F.when(F.col("first").isNull(), F.col("row")).otherwise(_merged_struct(F.col("row"), F.col("first.new")))
-    pieces = pieces.select("id", "second", "follows", once.alias("row"))
-    twice = F.when(F.coalesce("follows", F.lit(False)), _merged_struct(F.col("row"), F.col("second.new"))).otherwise(F.col("row"))
-    kept = pieces.select("id", twice.alias("row")).select("id", "row.*")
-
-    late = groups.where(F.col("second").isNotNull() & ~F.col("follows")).select(
-        F.col("second.o").alias(order), "second.new.*"
-    )
-    fresh = batch.join(match, order, "left_anti").unionByName(late)
+    batch = stage(to_store_columns(incoming).select(order, *STORED), "incoming")
+    met = stage(replay_lookups(store, batch, order), "met")
+    rows = batch.join(met.withColumnRenamed("ord", order), order)
+    folded = stage(fold_updates(rows.where("action <> 'conflict'"), "target", order), "folded")
+    old = folded.where(F.col("target").startswith("s")).select(F.col("target").substr(F.lit(2), F.length("target")).cast(store.schema["id"].dataType).alias("id"), F.struct(*STORED).alias("new"))
+    pieces = store.join(old, "id", "left").withColumn("row", F.struct(*STORED))
+    kept = pieces.select("id", F.when(F.col("new").isNull(), F.col("row")).otherwise(_merged_struct(F.col("row"), F.col("new"))).alias("row")).select("id", "row.*")
     last_id = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    added = dense_ids(fresh, order, last_id + 1)
-    conflicts = batch.join(match.where("conflict"), order)
-    outcome = (
-        added.select(order, F.lit("inserted").alias("action"))
-        .unionByName(groups.select(F.col("first.o").alias(order), F.lit("updated").alias("action")))
-        .unionByName(groups.where("follows").select(F.col("second.o").alias(order), F.lit("updated").alias("action")))
-        .unionByName(conflicts.select(order, F.lit("conflict").alias("action")))
-    )
+    fresh = folded.where(F.col("target").startswith("n")).withColumnRenamed("first_order", order)
+    added = dense_ids(fresh.select(order, *STORED), order, last_id + 1)
     return {
         "store": kept.select("id", *STORED).unionByName(added.select("id", *STORED)),
-        "outcome": outcome,
-        "conflicts": conflicts,
+        "outcome": met.select(F.col("ord").alias(order), "action"),
+        "conflicts": rows.where("action = 'conflict'").select(order, *STORED),
     }
 
 
@@ -254,38 +271,51 @@ def insert_new_matches(store: DataFrame, found: DataFrame, order: str) -> DataFr
 # ---- scores and lifecycle ------------------------------------------------------------------------------
 
 
-def write_scores(store: DataFrame, scored: DataFrame) -> DataFrame:
-    """Replace score and explanations of the given urls (SK7)."""
-    new = scored.select(
-        "url", F.col("score").alias("_score"), F.col("score_explanations").alias("_text"), F.lit(True).alias("_hit")
-    )
-    taken = F.col("_hit").isNotNull()
+def _last_change(changes: DataFrame, fields: list[str], order: str | None) -> DataFrame:
+    """One change for each url: the last one by ``order``; without an order, the greatest by its values."""
+    value = F.struct(*fields)
+    last = F.max_by(value, order) if order else F.max(value)
+    return changes.groupBy("url").agg(last.alias("_change"))
+
+
+def write_scores(store: DataFrame, scored: DataFrame, order: str | None = None) -> DataFrame:
+    """Replace score and explanations of the given urls; of several for one url the last counts (SK7)."""
+    new = _last_change(scored, ["score", "score_explanations"], order)
+    taken = F.col("_change").isNotNull()
     return (
         store.join(new, "url", "left")
-        .withColumn("score", F.when(taken, F.col("_score")).otherwise(F.col("score")))
-        .withColumn("score_explanations", F.when(taken, F.col("_text")).otherwise(F.col("score_explanations")))
+        .withColumns({n: F.when(taken, F.col("_change")[n].cast(store.schema[n].dataType)).otherwise(F.col(n)) for n in ("score", "score_explanations")})
         .select(*store.columns)
     )
 
 
-def set_status(store: DataFrame, changes: DataFrame) -> DataFrame:
-    """Replace the status of the given urls; ``changes`` holds ``url, job_status`` (SK8)."""
-    new = changes.select("url", F.col("job_status").alias("_status"))
-    return store.join(new, "url", "left").withColumn("job_status", F.coalesce("_status", "job_status")).select(*store.columns)
+def set_status(store: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """Replace the status of the given urls; ``changes`` holds ``url, job_status``; the last for a url counts (SK8)."""
+    new = _last_change(changes, ["job_status"], order)
+    return store.join(new, "url", "left").withColumn("job_status", F.coalesce("_change.job_status", "job_status")).select(*store.columns)
 
 
 def mark_stale(store: DataFrame, days: int, now: Column, current: DataFrame | None = None, *,
-               limit: int | None = review.CANDIDATE_LIMIT, job_status: str | None = None, **filters) -> dict[str, DataFrame]:
+               limit: int | None = None, job_status: str | None = None, **filters) -> dict[str, DataFrame]:
     """Active postings not seen for ``days`` days become stale (LC1).
 
-    Returns the next ``store`` and ``changed`` (the urls). ``limit=None`` looks at the whole table.
+    Returns the next ``store`` and ``changed`` (the urls). All postings are looked at, unless the caller gives a
+    ``limit``. Without a limit and without review filters the store is rewritten by a projection, with no shuffle;
+    else the rows meant are marked by their ids.
     """
     if days < 1:
         raise ValueError("days must be at least 1")
-    rows = review.newest(review.select_postings(store, current, job_status=job_status or "active", **filters), limit)
-    old = F.col("last_seen_at") < now - F.make_dt_interval(F.lit(days))
-    changed = rows.where(old & (F.col("job_status") != "archived")).select("url", F.lit("stale").alias("job_status"))
-    return {"store": set_status(store, changed), "changed": changed}
+    status = job_status or "active"
+    old = (F.col("last_seen_at") < now - F.make_dt_interval(F.lit(days))) & (F.col("job_status") != "archived")
+    rows = review.newest(review.select_postings(store, current, job_status=status, **filters), limit)
+    changed = rows.where(old)
+    if limit is None and not filters:
+        stale = F.coalesce(old & (F.col("job_status") == status), F.lit(False))
+        after = store.withColumn("job_status", F.when(stale, "stale").otherwise(F.col("job_status")))
+    else:
+        meant = changed.select("id", F.lit("stale").alias("_stale"))
+        after = store.join(meant, "id", "left").withColumn("job_status", F.coalesce("_stale", "job_status")).select(*store.columns)
+    return {"store": after, "changed": changed.select("url", F.lit("stale").alias("job_status"))}
 
 
 def rule_set(rules: DataFrame | None = None) -> Column:
@@ -298,8 +328,8 @@ def rule_set(rules: DataFrame | None = None) -> Column:
 
 
 def rescore(store: DataFrame, rules: DataFrame | None = None, current: DataFrame | None = None, *,
-            limit: int | None = review.CANDIDATE_LIMIT, **filters) -> dict[str, DataFrame]:
-    """Score stored postings again (SC4). Returns the next ``store`` and ``scored``."""
+            limit: int | None = None, **filters) -> dict[str, DataFrame]:
+    """Score stored postings again, all of them unless a ``limit`` is given (SC4). Returns the next ``store`` and ``scored``."""
     rows = review.newest(review.select_postings(store, current, **filters), limit)
     scored = scoring.score(with_search_text(rows), rule_set(rules)).select("url", "score", "score_explanations")
     return {"store": write_scores(store, scored), "scored": scored}

@@ -22,7 +22,7 @@ def discovery_counters(queries: DataFrame, visits: DataFrame, parsed: DataFrame,
     pages = visits.groupBy("query_id").agg(
         F.count_if("found").alias("pages_fetched"),
         F.count_if(~F.col("found")).alias("pages_failed"),
-        F.bool_or(F.col("stop") == "start_missing").alias("failed"),
+        F.bool_or(F.col("stop").isin("start_missing", "start_unreadable")).alias("failed"),
     )
     selected = F.count_if("selected")
     jobs = parsed.groupBy("query_id").agg(

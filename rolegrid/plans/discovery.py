@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from rolegrid.functions.urls import canonical_url
 from rolegrid.operators.crawl import enrich, select_for_enrichment, walk_pages
 from rolegrid.operators.dedupe import dedupe_postings
-from rolegrid.operators.store import collapse_batch, to_store_columns, upsert_postings
+from rolegrid.operators.store import to_store_columns, upsert_postings
 from rolegrid.operators.telemetry import discovery_counters
 from rolegrid.sources import pages as page_source
-from rolegrid.session import spread_small, stage
+from rolegrid.session import stage
 
 
 @dataclass(frozen=True)
@@ -35,16 +35,27 @@ def _kind(pages: DataFrame, kind: str) -> DataFrame:
     return pages.where(F.col("kind") == kind) if "kind" in pages.columns else pages
 
 
+def newest_pages(pages: DataFrame) -> DataFrame:
+    """One version of each page: the newest by ``fetched_at``, told by narrow columns; text moves once."""
+    if "fetched_at" in pages.columns:
+        last = pages.groupBy("url", "site").agg(F.max("fetched_at").alias("fetched_at"))
+        pages = pages.join(last, ["url", "site", "fetched_at"], "left_semi")
+    return pages.dropDuplicates(["url", "site"])
+
+
 def page_index(pages: DataFrame) -> DataFrame:
     """One pass over the stored pages: cards and next link per page, page text dropped.
 
-    Everything after this works on a narrow table, however long the pages are.
+    A page stored several times counts once, in its newest version by ``fetched_at``. Everything after this works on a narrow table, however long the pages are.
     """
-    read = spread_small(_kind(pages, "listing")).select("url", "site", page_source.page_content("site", "html").alias("c"))
+    version = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(0)
+    read = _kind(pages, "listing").select("url", "site", version.alias("version"), page_source.page_content("site", "html").alias("c"))
     indexed = read.select(
-        "url", "site", "c.cards", F.size("c.cards").alias("n_items"), page_source.resolve_url("url", "c.href").alias("next_url")
+        "url", "site", "version", "c.cards", F.size("c.cards").alias("n_items"), "c.error",
+        page_source.resolve_url("url", "c.href").alias("next_url"),
     )
-    return stage(indexed, "page-index")
+    newest = F.max_by(F.struct("cards", "n_items", "error", "next_url"), F.struct("version", F.xxhash64("cards", "next_url"))).alias("c")
+    return stage(indexed.groupBy("url", "site").agg(newest).select("url", "site", "c.*"), "page-index")
 
 
 def collect_postings(queries: DataFrame, pages: DataFrame, options: DiscoveryOptions = DiscoveryOptions()) -> dict[str, DataFrame]:
@@ -74,7 +85,7 @@ def collect_postings(queries: DataFrame, pages: DataFrame, options: DiscoveryOpt
 
     wanted = rows.where("selected").select(F.col("detail_url").alias("url"), F.col("source_site").alias("site")).distinct()
     detail_pages = _kind(pages, "detail").join(wanted, ["url", "site"], "left_semi")
-    details = page_source.extract_details(detail_pages.dropDuplicates(["url", "site"]))
+    details = page_source.extract_details(newest_pages(detail_pages))
     parsed = stage(enrich(rows, details, order="ord"), "parsed")
     kept = dedupe_postings(parsed, order="ord", scope="query_id")
     return {"visits": visits, "parsed": parsed, "postings": stage(kept, "found")}
@@ -87,13 +98,8 @@ def discover(queries: DataFrame, pages: DataFrame, store: DataFrame, options: Di
     Returns the next ``store``, ``counters`` per query, ``conflicts`` and ``postings``.
     """
     found = collect_postings(queries, pages, options)
-    batch = to_store_columns(found["postings"], seen_at)
-    members, folded = collapse_batch(batch, "ord", with_members=True)
-    result = upsert_postings(store, folded, "ord", collapsed=True)
-    leaders = stage(result["outcome"].withColumnRenamed("ord", "leader"), "outcome")
-    first = F.when((F.col("action") == "inserted") & (F.col("ord") != F.col("leader")), "updated").otherwise(F.col("action"))
-    stored = (
-        found["postings"].select("query_id", "ord").join(members, "ord").join(leaders, "leader").withColumn("action", first)
-    )
+    batch = stage(to_store_columns(found["postings"], seen_at), "batch")
+    result = upsert_postings(store, batch, "ord")
+    stored = batch.select("query_id", "ord").join(result["outcome"], "ord")
     counters = discovery_counters(queries, found["visits"], found["parsed"], stored)
     return {"store": result["store"], "counters": counters, "conflicts": result["conflicts"], "postings": found["postings"]}

@@ -63,7 +63,7 @@ POSTING = T.StructType(
         T.StructField("last_seen_at", _TS, False),
         T.StructField("description_text", _S, False),
         *[T.StructField(name, kind) for name, kind in METADATA_COLUMNS.items()],
-        T.StructField("score", T.IntegerType()),
+        T.StructField("score", T.DoubleType()),
         T.StructField("score_explanations", _LIST),
         T.StructField("extra", _S),
     ]

@@ -57,13 +57,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread an input of fewer files than cores over all cores, before work that is heavy per row.
-
-    A large input has more files than cores and is returned as it is, without a shuffle; so is one that
-    does not come from files.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df

@@ -384,30 +384,44 @@ CARD_FIELDS = (
 DETAIL_FIELDS = ("title", "company", "location", "department", "employment", "workplace", "posted_time", "datetime", "primary")
 
 
+def _failure(html: str | None, *walkers) -> str | None:
+    """Walk a page; what stopped the parser, if anything did. One bad page must not end a job over all of them."""
+    try:
+        _walk(html, *walkers)
+    except Exception as problem:  # noqa: BLE001 - whatever the page provokes becomes a row
+        return f"{type(problem).__name__}: {problem}"
+    return None
+
+
 def read_cards(site: str, html: str | None) -> list[dict]:
     """Raw listing cards of one page; every card repeats the page's company name."""
     return read_page(site, html, links=False)["cards"]
 
 
 def read_page(site: str, html: str | None, links: bool = True) -> dict:
-    """Cards and next link of a listing page; a site without rules has no cards."""
+    """Cards and next link of a listing page; a site without rules has no cards.
+
+    A page the parser cannot get through has neither, and an ``error``.
+    """
     cards = ListingWalker(LISTING_RULES[site]) if site in LISTING_RULES else None
     # a next link shows the word in an attribute or a text, plainly or as character references
     link = NextLinkWalker() if links and html and ("next" in html.lower() or "&#" in html) else None
     walkers = [w for w in (cards, link) if w is not None]
-    if walkers:
-        _walk(html, *walkers)
+    if walkers and (error := _failure(html, *walkers)):
+        return {"cards": [], "href": None, "error": error}
     found = [
         {f: c.get(f) or (cards.company if f == "company" else None) for f in CARD_FIELDS} for c in (cards.cards if cards else [])
     ]
-    return {"cards": found, "href": link.found if link else None}
+    return {"cards": found, "href": link.found if link else None, "error": None}
 
 
 def read_detail(site: str, html: str | None) -> dict:
-    """Raw captures of one detail page."""
+    """Raw captures of one detail page; only an ``error`` if the parser cannot get through it."""
     walker = DetailWalker(DETAIL_RULES[site])
-    _walk(html, walker)
+    if error := _failure(html, walker):
+        return {**dict.fromkeys(DETAIL_FIELDS), "insights": None, "description": None, "error": error}
     return {
+        "error": None,
         **{f: walker.fields.get(f) for f in DETAIL_FIELDS},
         "insights": walker.insights,
         "description": walker.description,

@@ -16,14 +16,13 @@ from rolegrid.functions.urls import (
     SITE_BASE_URL, company_from_board_url, linkedin_job_id, query_value, source_id_from_url, url_tail,
 )
 from rolegrid.schemas import LISTING_ONLY_TEXT, UNKNOWN_COMPANY, UNKNOWN_LOCATION, UNKNOWN_TITLE
-from rolegrid.session import spread_small
 from rolegrid.sources import markup
 
 # Ship the walkers with the functions, so that executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(markup)
 
 CARDS = "array<struct<" + ",".join(f"{f}:string" for f in markup.CARD_FIELDS) + ">>"
-DETAIL = "struct<" + ",".join(f"{f}:string" for f in markup.DETAIL_FIELDS) + ",insights:array<string>,description:string>"
+DETAIL = "struct<" + ",".join(f"{f}:string" for f in markup.DETAIL_FIELDS) + ",insights:array<string>,description:string,error:string>"
 
 # Extractors by site (UD1): page text in, list of card dicts out.
 _EXTRACTORS: dict[str, Callable[[str | None], list[dict]]] = {}
@@ -56,10 +55,10 @@ def once(reader):
 
 
 def page_content(site: Column | str, html: Column | str) -> Column:
-    """``cards`` and next-link target ``href`` of a listing page, read in one pass."""
+    """``cards``, next-link target ``href`` and parse ``error`` of a listing page, read in one pass."""
     own = dict(_EXTRACTORS)
 
-    @F.pandas_udf(f"struct<cards:{CARDS},href:string>")
+    @F.pandas_udf(f"struct<cards:{CARDS},href:string,error:string>")
     def content(sites: pd.Series, pages: pd.Series) -> pd.DataFrame:
         def one(name, page):
             found = markup.read_page("" if name in own else name, page)
@@ -67,7 +66,7 @@ def page_content(site: Column | str, html: Column | str) -> Column:
                 found["cards"] = [{f: c.get(f) for f in markup.CARD_FIELDS} for c in own[name](page)]
             return found
 
-        return pd.DataFrame([one(n, p) for n, p in zip(sites, pages)], columns=["cards", "href"])
+        return pd.DataFrame([one(n, p) for n, p in zip(sites, pages)], columns=["cards", "href", "error"])
 
     return once(content)(as_col(site), as_col(html))
 
@@ -91,7 +90,7 @@ def listing_cards(site: Column | str, html: Column | str) -> Column:
 def detail_captures(site: Column | str, html: Column | str) -> Column:
     @F.pandas_udf(DETAIL)
     def captures(sites: pd.Series, pages: pd.Series) -> pd.DataFrame:
-        columns = [*markup.DETAIL_FIELDS, "insights", "description"]
+        columns = [*markup.DETAIL_FIELDS, "insights", "description", "error"]
         rows = [
             markup.read_detail(n, p) if n in markup.DETAIL_RULES else dict.fromkeys(columns)
             for n, p in zip(sites, pages)
@@ -121,7 +120,7 @@ def next_href(html: Column | str) -> Column:
 
 def extract_next_links(pages: DataFrame) -> DataFrame:
     """``url, next_url``; null when a page announces no next page (SR9)."""
-    return spread_small(pages).select("url", resolve_url("url", next_href("html")).alias("next_url"))
+    return pages.select("url", resolve_url("url", next_href("html")).alias("next_url"))
 
 
 def listing_hints(cards: DataFrame, board_url: str = "board_url") -> DataFrame:
@@ -163,7 +162,7 @@ def extract_listing_hints(pages: DataFrame) -> DataFrame:
     """Listing rows of stored pages before defaults (SR5). ``board_url`` defaults to the page URL."""
     if "board_url" not in pages.columns:
         pages = pages.withColumn("board_url", F.col("url"))
-    cards = spread_small(pages).withColumn("cards", listing_cards("site", "html")).drop("html")
+    cards = pages.withColumn("cards", listing_cards("site", "html")).drop("html")
     return listing_hints(cards.withColumnRenamed("url", "page_url"))
 
 
@@ -211,16 +210,16 @@ def extract_listings(pages: DataFrame) -> DataFrame:
 
 
 def extract_details(pages: DataFrame) -> DataFrame:
-    """One posting per stored detail page (SR6, SR7, SR8).
+    """One posting per stored detail page that can be read (SR6, SR7, SR8).
 
     The workplace is inferred from the workplace text or else from the location text, where a missing
     location counts as the text "Unknown location".
     """
     site, url = F.col("site"), F.col("url")
     board = F.col("board_url") if "board_url" in pages.columns else F.lit(None).cast("string")
-    raw = spread_small(pages).select(
+    raw = pages.select(
         "url", "site", board.alias("board_url"), detail_captures("site", "html").alias("d")
-    ).withColumn(
+    ).where("d.error IS NULL").withColumn(
         "insight", F.when(site == "linkedin", insight_fields(F.coalesce("d.primary", F.lit("")), "d.insights"))
     )
 

@@ -24,11 +24,6 @@ def read_postings_jdbc(spark: SparkSession, url: str, table: str = "jobs", **opt
     return backfill(reader.load())
 
 
-def parsed_postings(rows: DataFrame) -> DataFrame:
-    """Postings that come already parsed, as they are (SR12)."""
-    return rows
-
-
 def _json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     return rows.withColumn("idx", F.monotonically_increasing_id())
@@ -88,7 +83,7 @@ def read_prompts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A folder of text files with one prompt each; empty ones are set aside (SR16)."""
     files = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("name"),
-        F.col("value").alias("raw_prompt_text"),
+        F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("raw_prompt_text"),
     )
     empty = squash_ws("raw_prompt_text") == ""
     return files.where(~empty), files.where(empty).withColumn("reason", F.lit("prompt text is empty"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,11 +17,13 @@ def stream_upserts(postings: DataFrame, table: SnapshotTable, checkpoint: str, o
                    **trigger) -> StreamingQuery:
     """Upsert every micro-batch of extracted postings into a snapshot table (SM1).
 
-    A batch that is replayed after a failure is recognized by its number and skipped.
+    A batch that is replayed after a failure is recognized by the id of the query, which belongs to its checkpoint,
+    and its number, and is skipped. A new checkpoint under an old name starts a new count.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        label = f"{name}-{number}"
+        query = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        label = f"{name}-{query}-{number}"
         if batch.isEmpty() or table.committed(label):
             return
         result = upsert_postings(table.read(), canonicalize_postings(batch), order)

@@ -1,7 +1,10 @@
-"""Upsert, batch folding, lifecycle, new matches, prompts."""
+"""Upsert, folding, lifecycle, new matches, prompts."""
 
+import json
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolegrid.operators import store as S
@@ -40,7 +43,7 @@ def actions(result):
 
 
 def test_update_rules(spark):
-    old = posting(1, job_id="A", location="Lyon", remote_status="remote", job_status="archived", posted_at=T0, score=5,
+    old = posting(1, job_id="A", location="Lyon", remote_status="remote", job_status="archived", posted_at=T0, score=5.0,
                   last_seen_at=T0 + timedelta(days=3), description_text="Long text", team="core", extra='{"b":1,"a":2}')
     new = posting(url="https://x.test/1", location=" Unknown Location ", title="T2", employment_type="contract",
                   description_text="Listing-only discovery from Acme jobs page.", last_seen_at=T0 + timedelta(days=1),
@@ -60,7 +63,7 @@ def test_url_before_id_and_conflicts(spark):
     incoming = batch(spark, [
         posting(url="https://x.test/9", job_id="B", title="moved"),
         posting(url="https://x.test/1", job_id="B2", title="by url"),
-        posting(url="https://x.test/7", job_id="A", title="both"),
+        posting(url="https://x.test/7", job_id="B2", title="both"),
         posting(url="https://x.test/10", job_id="", title="new"),
         posting(url="https://x.test/11", job_id="b", title="case matters"),
     ])
@@ -75,21 +78,55 @@ def test_url_before_id_and_conflicts(spark):
 
 
 def sequential(stored, incoming):
-    """The rules applied one row at a time."""
+    """The rules applied one row at a time; a row that meets two postings changes nothing."""
     rows = {r["id"]: dict(r) for r in stored}
     out = {}
     for seq, new in enumerate(incoming, 1):
-        hit = next((r for r in rows.values() if r["url"] == new["url"]), None)
-        if hit is None and new["source_job_id"]:
-            hit = next((r for r in rows.values() if (r["source_site"], r["source_job_id"]) == (new["source_site"], new["source_job_id"])), None)
-        if hit is None:
+        by_url = next((r for r in rows.values() if r["url"] == new["url"]), None)
+        by_id = new["source_job_id"] and next((r for r in rows.values() if (r["source_site"], r["source_job_id"]) == (new["source_site"], new["source_job_id"])), None)
+        if by_url and by_id and by_url is not by_id:
+            out[seq] = "conflict"
+            continue
+        hit = by_url or by_id
+        if not hit:
             i = max(rows, default=0) + 1
             rows[i] = dict(new, id=i)
             out[seq] = "inserted"
         else:
-            hit.update(url=new["url"], title=new["title"], source_job_id=new["source_job_id"] or hit["source_job_id"])
+            extra = json.dumps(json.loads(hit["extra"] or "{}") | json.loads(new["extra"] or "{}"), sort_keys=True, separators=(",", ":")) if hit["extra"] or new["extra"] else None
+            hit.update(url=new["url"], title=new["title"], source_job_id=new["source_job_id"] or hit["source_job_id"], extra=extra)
             out[seq] = "updated"
-    return {(r["url"], r["source_job_id"], r["title"]) for r in rows.values()}, out
+    return {(r["id"], r["url"], r["source_job_id"], r["title"], r["extra"]) for r in rows.values()}, out
+
+
+def same_as_sequential(spark, stored, incoming):
+    result = S.upsert_postings(table(spark, stored), batch(spark, incoming).repartition(3))
+    rows, acts = sequential(stored, incoming)
+    assert actions(result) == acts
+    assert {(r.id, r.url, r.source_job_id, r.title, r.extra) for r in result["store"].collect()} == rows
+    return result
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_moving_urls_and_ids_equal_one_row_at_a_time(spark, seed):
+    rng = random.Random(seed)
+    stored, urls, ids = [], iter(range(100)), iter(range(100))
+    for i in range(rng.randint(0, 5)):
+        stored.append(posting(i + 1, f"u{next(urls)}", f"j{next(ids)}" if rng.random() < 0.6 else None, extra='{"old":1}' if rng.random() < 0.5 else None))
+    incoming = [
+        posting(url=f"u{rng.randrange(8)}", job_id=rng.choice([None, "", *(f"j{k}" for k in range(6))]) or None, title=f"t{n}", extra=rng.choice([None, '{"%s":%d}' % (rng.choice("ab"), n), '{"a":{"x":[%d]},"q\\"":"é"}' % n]))
+        for n in range(rng.randint(1, 25))
+    ]
+    same_as_sequential(spark, stored, incoming)
+
+
+def test_rows_that_chain(spark):
+    """Urls that move along rows of one batch, and four rows that meet one stored posting."""
+    empty = same_as_sequential(spark, [], [posting(url="v1", job_id="a"), posting(url="v2", job_id="a"), posting(url="v2", job_id="c")])
+    assert [(r.url, r.source_job_id) for r in empty["store"].collect()] == [("v2", "c")]
+    same_as_sequential(spark, [posting(1, "v2", "a")], [posting(url="v1", job_id="x"), posting(url="v2", job_id="x"), posting(url="v2", job_id="y"), posting(url="v9", job_id="a")])
+    merged = same_as_sequential(spark, [], [posting(url="v", extra='{"a":1}'), posting(url="v", extra='{"b":2}')])
+    assert merged["store"].first().extra == '{"a":1,"b":2}'
 
 
 def test_two_rows_meeting_one_stored_row(spark):
@@ -117,16 +154,36 @@ def test_upsert_twice_changes_nothing(spark):
     assert sorted(r.id for r in once.collect()) == [1, 2, 3, 4, 5]
 
 
-def test_batch_folding_keeps_known_values(spark):
+def test_folding_keeps_known_values(spark):
     rows = [
         posting(url="u1", job_id="J", location="Rome", remote_status="remote", description_text="Real", team="a"),
         posting(url="u2", job_id="J", location="unknown location", description_text="Listing-only discovery from X", title="last"),
         posting(url="u3", job_id="K"),
     ]
-    got = {r.seq: r for r in S.collapse_batch(batch(spark, rows), "seq").collect()}
-    assert sorted(got) == [1, 3] and (got[1].seen, got[3].seen) == (2, 1)
-    assert (got[1].url, got[1].title, got[1].location, got[1].remote_status) == ("u2", "last", "Rome", "remote")
-    assert (got[1].description_text, got[1].team) == ("Real", "a")
+    result = S.upsert_postings(table(spark, []), batch(spark, rows))
+    got = by_id(result["store"])
+    assert actions(result) == {1: "inserted", 2: "updated", 3: "inserted"} and sorted(got) == [1, 2]
+    assert (got[1]["url"], got[1]["title"], got[1]["location"], got[1]["remote_status"]) == ("u2", "last", "Rome", "remote")
+    assert (got[1]["description_text"], got[1]["team"]) == ("Real", "a")
+
+
+def test_repeated_changes_leave_one_row(spark):
+    stored = table(spark, [posting(1, "u1", score=3.5), posting(2, "u2")])
+    changes = spark.createDataFrame([("u1", "stale", 2), ("u1", "archived", 1), ("u9", "stale", 1)], "url string, job_status string, at int")
+    assert {r.id: r.job_status for r in S.set_status(stored, changes, "at").collect()} == {1: "stale", 2: "active"}
+    scores = spark.createDataFrame([("u1", 1.5, ["a"], 1), ("u1", None, None, 2)], "url string, score double, score_explanations array<string>, at int")
+    rows = S.write_scores(stored, scores, "at").orderBy("id").collect()
+    assert [(r.id, r.score) for r in rows] == [(1, None), (2, None)]
+
+
+def test_limits_are_the_callers(spark):
+    now = T0 + timedelta(days=20)
+    stored = table(spark, [posting(i, f"u{i}", discovered_at=T0 + timedelta(hours=i)) for i in range(1, 6)])
+    assert S.mark_stale(stored, 7, F.lit(now))["changed"].count() == 5
+    cut = S.mark_stale(stored, 7, F.lit(now), limit=2)
+    assert {r.id for r in cut["store"].where("job_status = 'stale'").collect()} == {4, 5}
+    plan = S.mark_stale(stored, 7, F.lit(now))["store"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_stale_scores_status(spark):
