@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A list of heavy keys never has more entries than this, which is what makes it safe to collect and to
-# broadcast. Keys that do not fit on the list take the plain shuffled path.
-MAX_HEAVY_KEYS = 1000
+# A key is heavy if it holds more than one part in HEAVY_PARTS of all rows. There are fewer than HEAVY_PARTS such keys,
+# however many rows there are, so their list is safe to collect and to broadcast; every other key is at most the
+# share of one task among HEAVY_PARTS. Keys of few rows are never worth a split.
+HEAVY_PARTS = 1000
 HEAVY_ROWS = 20_000
 
 
 def heavy_keys(counts: DataFrame, key: str, count: str = "n", min_rows: int = HEAVY_ROWS) -> DataFrame | None:
-    """The most frequent keys as a table of at most ``MAX_HEAVY_KEYS`` rows, None when there are none.
+    """All keys that hold more than one part in ``HEAVY_PARTS`` of the rows and ``min_rows`` at least, or None.
 
     ``counts`` holds one row per key; it comes from an aggregate that combines before the shuffle.
     """
-    found = (
-        counts.where((F.col(count) >= min_rows) & F.col(key).isNotNull())
-        .orderBy(F.desc(count), key)
-        .limit(MAX_HEAVY_KEYS)
-        .select(key)
-    )
+    large = counts.where((F.col(count) >= min_rows) & F.col(key).isNotNull())
+    if large.isEmpty():
+        return None
+    total = counts.agg(F.sum(count)).first()[0]
+    found = large.where(F.col(count) > total / HEAVY_PARTS).select(key)
     rows = found.collect()
     return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
