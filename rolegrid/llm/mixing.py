@@ -2,8 +2,9 @@
 
 Tokens are counted in cells of (source, language, topic). Starting from weight one for every token, the weights are
 scaled in turn until the weighted tokens of each source, language and topic have their target shares. Each document
-is then kept with probability proportional to its cell's weight, the largest one being one, so that the expected
-tokens of the sample have the target shares. Targets default to the observed shares to a power below one per margin,
+is then kept with probability min(1, rate * weight of its cell), where the rate makes the expected tokens of the sample
+``keep`` times all tokens. So the expected tokens have the target shares as far as there are enough of them: of what
+is scarce everything is kept. Targets default to the observed shares to a power below one per margin,
 made to add up to one: large sources, languages and topics are damped, small ones raised.
 
 A sweep is one aggregate over a table with a row for each source; documents are read twice, for the counts and for
@@ -26,6 +27,8 @@ from rolegrid.llm.common import free_name, staged
 #: Exponents of the observed shares for the default targets.
 DAMPING = {"source": 0.7, "lang": 0.7, "topic": 0.7}
 SWEEPS = 12
+#: Expected part of the tokens that a sample keeps, and steps to find the rate (each fixes the set of cells kept whole).
+KEEP, RATE_STEPS = 0.5, 8
 
 
 def tokens_of(text: str) -> Column:
@@ -60,11 +63,14 @@ def share(weights: dict, damping: float) -> dict:
 
 @dataclass
 class Mix:
-    """Raked weights: ``sources`` has ``source, scale``; a cell's weight is the scale times its combination's."""
+    """Raked weights: ``sources`` has ``source, scale``; a cell's weight is the scale times its combination's.
+
+    A document is kept with probability ``min(1, rate * weight)``.
+    """
 
     sources: DataFrame
     combinations: dict[tuple, float]
-    most: float
+    rate: float
 
     def weight(self, lang: Column, topic: Column, scale: Column) -> Column:
         entries = [x for (a, b), w in self.combinations.items() for x in (_pair(F.lit(a), F.lit(b)), F.lit(w))]
@@ -76,7 +82,7 @@ def _pair(lang: Column, topic: Column) -> Column:
     return F.concat(F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit("-")), F.lit("\x01"), F.coalesce(F.concat(F.lit("="), topic.cast("string")), F.lit("-")))
 
 
-def rake(cells: DataFrame, damping: dict[str, float] | None = None, targets: dict[str, dict] | None = None, sweeps: int = SWEEPS, max_combinations: int = 100_000) -> Mix:
+def rake(cells: DataFrame, damping: dict[str, float] | None = None, targets: dict[str, dict] | None = None, sweeps: int = SWEEPS, keep: float = KEEP, max_combinations: int = 100_000) -> Mix:
     """Rake ``cells`` (``source, lang, topic, tokens``) to the target shares of all three margins.
 
     ``targets`` may give shares for a margin by value; the others get their damped observed shares. A sweep scales
@@ -127,8 +133,16 @@ def rake(cells: DataFrame, damping: dict[str, float] | None = None, targets: dic
     weights = now()
     known = F.array(*[F.lit(w) for w in weights]) if weights else F.array(F.lit(0.0))
     sources = rows.select("source", scale(weights).alias("scale"), "entries")
-    most = sources.agg(F.max(F.col("scale") * F.array_max(F.transform("entries", lambda e: F.get(known, e["j"]))))).first()[0] or 0.0
-    return Mix(staged(sources.drop("entries"), "source-scales"), dict(zip(pairs, weights)), most)
+    sources = staged(sources.withColumn("cells", F.transform("entries", lambda e: F.struct(e["tokens"].alias("tokens"), (F.col("scale") * F.get(known, e["j"])).alias("weight")))).drop("entries"), "source-scales")
+    cell_weights = sources.select(F.explode("cells").alias("c")).select("c.*")
+    rate = keep if pairs else 0.0
+    for _ in range(RATE_STEPS if pairs else 0):
+        scarce = F.col("weight") * rate >= 1
+        full, rest = cell_weights.agg(F.sum(F.when(scarce, F.col("tokens"))), F.sum(F.when(~scarce, F.col("tokens") * F.col("weight")))).first()
+        before, rate = rate, (keep * whole - (full or 0.0)) / rest if rest else rate
+        if rate == before:
+            break
+    return Mix(sources.drop("cells"), dict(zip(pairs, weights)), rate)
 
 
 def with_sampling(docs: DataFrame, name: str, source: str = "source", lang: str = "lang", doc_id: str = "doc_id", text: str = "text", topic: Column | None = None, **options) -> DataFrame:
@@ -141,12 +155,12 @@ def with_sampling(docs: DataFrame, name: str, source: str = "source", lang: str
     joined = docs.join(scales, docs[source].eqNullSafe(scales[key]), "left")
     tokens = tokens_of(text)
     weight = F.when(tokens > 0, mix.weight(F.col(lang), topic, F.col(scale))).otherwise(0.0)
-    probability = weight / F.lit(mix.most) if mix.most > 0 else F.lit(0.0)
+    probability = F.least(F.lit(1.0), F.lit(mix.rate) * weight)
     state = F.struct(tokens.alias("tokens"), topic.alias("topic"), weight.alias("weight"), probability.alias("probability"), (uniform(doc_id) < probability).alias("sampled"))
     return joined.withColumn(name, state).select(*docs.columns, name)
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
-    """The documents kept, with the columns of ``docs``; their expected tokens have the target shares."""
+    """The documents kept, with the columns of ``docs``."""
     name = free_name(docs, "mix")
     return with_sampling(docs, name, **options).where(F.col(name)["sampled"]).drop(name)

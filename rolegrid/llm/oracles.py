@@ -7,7 +7,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _mixing(sweeps: int, damping: float) -> str:
-    """Raking unrolled: scales of sources (a), languages (b) and topics (c), one step after the other."""
+    """Raking unrolled: scales of sources (a), languages (b) and topics (c), one step after the other; then the rate."""
     steps, b, c = [], "b0", "c0"
     for k in range(1, sweeps + 2):
         steps.append(f"a{k} AS MATERIALIZED (SELECT source, s.share * (SELECT w FROM whole) / sum(tokens * b * c) AS a FROM cells JOIN {b} USING (lang) JOIN {c} USING (topic) JOIN (SELECT source, share FROM shares_source) s USING (source) GROUP BY source, s.share)")
@@ -15,6 +15,7 @@ def _mixing(sweeps: int, damping: float) -> str:
             steps.append(f"b{k} AS MATERIALIZED (SELECT lang, b * s.share * (SELECT w FROM whole) / sum(a * tokens * b * c) AS b FROM cells JOIN a{k} USING (source) JOIN {b} USING (lang) JOIN {c} USING (topic) JOIN shares_lang s USING (lang) GROUP BY lang, b, s.share)")
             steps.append(f"c{k} AS MATERIALIZED (SELECT topic, c * s.share * (SELECT w FROM whole) / sum(a * tokens * b * c) AS c FROM cells JOIN a{k} USING (source) JOIN b{k} USING (lang) JOIN {c} USING (topic) JOIN shares_topic s USING (topic) GROUP BY topic, c, s.share)")
             b, c = f"b{k}", f"c{k}"
+    rates = [f"r{k} AS MATERIALIZED (SELECT CASE WHEN rest > 0 THEN (0.5 * (SELECT w FROM whole) - whole_cells) / rest ELSE r END AS r FROM (SELECT r, coalesce(sum(CASE WHEN weight * r >= 1 THEN tokens END), 0) AS whole_cells, coalesce(sum(CASE WHEN weight * r < 1 THEN tokens * weight END), 0) AS rest FROM weights, r{k - 1} GROUP BY r))" for k in range(1, 9)]
     shares = [f"shares_{m} AS MATERIALIZED (SELECT {m}, p / sum(p) OVER () AS share FROM (SELECT {m}, pow(sum(tokens)::DOUBLE, {damping}) AS p FROM cells GROUP BY {m}))" for m in ("source", "lang", "topic")]
     return f"""
         WITH d AS MATERIALIZED (
@@ -26,9 +27,10 @@ def _mixing(sweeps: int, damping: float) -> str:
         ), cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d WHERE tokens > 0 GROUP BY ALL),
         whole AS (SELECT sum(tokens) AS w FROM cells), {", ".join(shares)},
         b0 AS (SELECT DISTINCT lang, 1.0::DOUBLE AS b FROM cells), c0 AS (SELECT DISTINCT topic, 1.0::DOUBLE AS c FROM cells), {", ".join(steps)},
-        weights AS MATERIALIZED (SELECT source, lang, topic, a * b * c AS weight FROM cells JOIN a{sweeps + 1} USING (source) JOIN {b} USING (lang) JOIN {c} USING (topic))
+        weights AS MATERIALIZED (SELECT source, lang, topic, tokens, a * b * c AS weight FROM cells JOIN a{sweeps + 1} USING (source) JOIN {b} USING (lang) JOIN {c} USING (topic)),
+        r0 AS (SELECT 0.5::DOUBLE AS r), {", ".join(rates)}
         SELECT doc_id, tokens, topic, round(w, 6) AS weight, round(p, 6) AS probability, u < p AS sampled
-        FROM (SELECT d.*, CASE WHEN tokens > 0 THEN weight ELSE 0 END AS w, CASE WHEN tokens > 0 THEN weight ELSE 0 END / (SELECT max(weight) FROM weights) AS p
+        FROM (SELECT d.*, CASE WHEN d.tokens > 0 THEN weight ELSE 0 END AS w, least(1.0::DOUBLE, (SELECT r FROM r8) * CASE WHEN d.tokens > 0 THEN weight ELSE 0 END) AS p
               FROM d LEFT JOIN weights USING (source, lang, topic))"""
 
 
