@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,6 +45,11 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def shared(spark: SparkSession, value) -> Broadcast:
+    """Broadcast a value of known bounded size; ``pickle.loads`` of it gives the value back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable], schema: T.StructType | str) -> DataFrame:
     """Apply ``function`` to each Arrow batch; it returns the columns of ``schema`` as lists or arrays."""
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)

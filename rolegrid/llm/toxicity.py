@@ -9,7 +9,7 @@ misspelled by one edit, unless such misspellings are common in the clean rows; s
 
 Each hit has a weight by its window: less inside quotation marks or near a verb of reporting, more near a pronoun
 that addresses somebody. The score of a document is a logistic function, fitted on the same sample, of its weighted
-exact and misspelled hits and their density. Texts are read whole; labels, language, source and id are no inputs.
+exact and misspelled hits. Texts are read whole; labels, language, source and id are no inputs.
 
 Defined results: a null or empty text is scored like one without hits; rows without label or id are not learned
 from, several labels of an id count as toxic if one is; without toxic or without clean rows the lexicon is empty and
@@ -18,6 +18,7 @@ all scores are zero; repeated rows are each scored; an empty table gives an empt
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolegrid.llm.common import map_batches, staged, texts
+from rolegrid.llm.common import map_batches, shared, staged, texts
 
 #: A-Z lowered; letters, digits, non-ASCII and the signs that stand in for letters kept; all else a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b in b"*@$" else 32 for b in range(256))
@@ -38,6 +39,7 @@ REPORTING = frozenset("said says wrote writes called quoted quote quotes told re
 ADDRESS = frozenset("you your youre ur du dich dir dein sie ihr euch tu te ti tus usted vous toi vos votre".encode().split())
 QUOTES = ('"', "“”", "„“", "«»", "»«", "‘’")
 WINDOW = 6
+MISSPELLED, QUOTED = 0.8, 0.2
 REMEMBERED = 400_000
 
 
@@ -119,7 +121,7 @@ def quoted(text: str, start: int, stop: int) -> bool:
 
 
 def features(text: bytes, memo: Memo) -> tuple[float, float, float, int]:
-    """Logarithms of the weighted exact and misspelled hits, weighted hits for a hundred tokens, number of hits."""
+    """Weighted exact hits, weighted misspelled hits, weighted hits for a hundred tokens, number of hits."""
     folded = text.translate(FOLD)
     tokens = folded.split()
     hits = [i for i, t in enumerate(tokens) if memo[t] >= 0]
@@ -141,13 +143,18 @@ def features(text: bytes, memo: Memo) -> tuple[float, float, float, int]:
             chars += len(text[chars_at:begin].decode("utf-8", "replace"))
             chars_at = begin
             if quoted(plain, chars, chars + len(tokens[i].decode("utf-8", "replace"))):
-                weight *= 0.2
+                weight *= QUOTED
         if not REPORTING.isdisjoint(near):
             weight *= 0.5
         if not ADDRESS.isdisjoint(near):
             weight *= 1.2
         sums[memo[tokens[i]]] += weight
-    return float(np.log1p(sums[0])), float(np.log1p(sums[1])), 100 * sum(sums) / len(tokens), len(hits)
+    return sums[0], sums[1], 100 * sum(sums) / len(tokens), len(hits)
+
+
+def load(exact, misspelled):
+    """What a document's hits weigh together; a misspelled one counts a little less."""
+    return np.log1p(exact + MISSPELLED * misspelled)
 
 
 @dataclass
@@ -156,10 +163,10 @@ class Model:
     stems: list[str] = field(default_factory=list)
     weights: np.ndarray | None = None
 
-    def score(self, exact: float, misspelled: float, density: float) -> float:
+    def score(self, exact: float, misspelled: float) -> float:
         if self.weights is None:
             return 0.0
-        z = float(self.weights @ np.array([1.0, exact, misspelled, min(density, 5.0)]))
+        z = float(self.weights @ np.array([1.0, load(exact, misspelled)]))
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
@@ -170,7 +177,7 @@ def choose(counts: dict[str, tuple[int, int]], toxic_rows: int, clean_rows: int,
     words = {w for w, (pos, neg) in counts.items() if len(w) >= 4 and strong(pos, neg, support)}
     sums: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
     for w, (pos, neg) in counts.items():
-        for n in range(4, min(7, len(w))):
+        for n in range(4, min(9, len(w))):
             s = sums[w[:n]]
             s[0] += pos
             s[1] += neg
@@ -179,8 +186,12 @@ def choose(counts: dict[str, tuple[int, int]], toxic_rows: int, clean_rows: int,
     for stem in sorted(sums, key=lambda s: (len(s), s)):
         pos, neg, kinds = sums[stem]
         main = max((counts[w][0] for w in words if w.startswith(stem)), default=0)
-        if kinds >= 4 and main < 0.6 * pos and strong(pos, neg, 3 * support) and not any(stem.startswith(s) for s in stems):
-            stems.append(stem)
+        if len(stem) > 6 or not (kinds >= 4 and main < 0.6 * pos and strong(pos, neg, 3 * support)) or any(stem.startswith(s) or s.startswith(stem) for s in stems):
+            continue
+        # as long as nearly all of its words agree in one more letter, a stem takes it: the longer, the surer
+        while longer := [s for s, (p, _, k) in sums.items() if len(s) == len(stem) + 1 and s.startswith(stem) and p >= 0.95 * pos and k >= 4]:
+            stem = longer[0]
+        stems.append(stem)
     kept = {w: int(len(w) >= 5) for w in words if not any(w.startswith(s) for s in stems)}
     trie = Trie(kept, stems)
     wrong: dict[str, int] = defaultdict(int)
@@ -235,7 +246,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     model = Model(words, stems)
     table = with_features(rows, model, "f").select("toxic", "f.*").toPandas()
     weight = table.toxic.map({k: n / took for k, (n, took) in sizes.items()}).to_numpy(float)
-    model.weights = regress(np.stack([table.exact, table.misspelled, table.density.clip(upper=5.0)], axis=1), table.toxic.to_numpy(float), weight)
+    # what the windows are for, as a prior of a twentieth of the toxic rows each: one plain hit, exact or misspelled, is
+    # abuse, one in quotation marks is not; samples where single hits say something else outweigh it
+    prior = [(1.0, 0.0, 1.0), (0.0, 1.0, 1.0), (QUOTED, 0.0, 0.0)]
+    exact, misspelled, toxic = np.concatenate([table[["exact", "misspelled", "toxic"]].to_numpy(float), prior]).T
+    weight = np.concatenate([weight, [sizes[1][0] / 20] * len(prior)])
+    model.weights = regress(load(exact, misspelled)[:, None], toxic, weight)
     return model
 
 
@@ -247,20 +263,21 @@ def hash_of(value: bytes) -> int:
 def with_features(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
     """``docs`` with a last column ``name``: struct of ``exact, misspelled, density, hits, score``."""
     at = docs.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
     fields = ("exact", "misspelled", "density", "hits", "score")
     kind = T.StructType([T.StructField(f, T.LongType() if f == "hits" else T.DoubleType()) for f in fields])
     arrow = pa.struct([(f, pa.int64() if f == "hits" else pa.float64()) for f in fields])
-    held: list[Memo] = []
+    held: list = []
 
     def run(batch: pa.RecordBatch):
-        model = shared.value
         if not held:
-            held.append(Memo(Trie(model.words, model.stems)))
+            model = pickle.loads(sent.value)
+            held.extend([model, Memo(Trie(model.words, model.stems))])
+        model, memo = held
         rows = []
         for value in texts(batch.column(at)):
-            found = features(value, held[0])
-            rows.append(dict(zip(fields, (*found, model.score(*found[:3])))))
+            found = features(value, memo)
+            rows.append(dict(zip(fields, (*found, model.score(*found[:2])))))
         return [*batch.columns, pa.array(rows, arrow)]
 
     return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))

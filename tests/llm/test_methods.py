@@ -69,7 +69,7 @@ def test_quotation_weighs_less():
     weight = lambda t: toxicity.features(t.encode(), memo)[:2]
     assert weight('He said "what an idiot" and left')[0] < weight('what an "idea": idiot and left')[0] <= weight("you idiot")[0]
     assert weight("an id1ot")[1] > 0 == weight("an id1ot")[0]
-    assert weight("nothing here") == (0, 0) and weight("„Du Idiot“ é idiot")[0] > 0
+    assert weight("nothing here") == (0.0, 0.0) and weight("„Du Idiot“ é idiot")[0] > 0
 
 
 def test_toxic_rows_are_found_and_clean_ones_left(spark):
