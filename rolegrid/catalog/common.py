@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, before work that is heavy for each row: a given table may be one file of one row group."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def joined(value: Column | str, sep: str = " | ") -> Column:
     return F.array_join(value, sep)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.catalog.common import joined, table, texts
+from rolegrid.catalog.common import joined, spread, table, texts
 from rolegrid.functions import keys, text, urls
 from rolegrid.operators import dedupe
 
@@ -14,7 +14,7 @@ SITES = ("greenhouse", "lever", "linkedin", "indeed", "acme")
 
 def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored page URL under the rules of every site."""
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(texts(*SITES)).alias("site"))
+    rows = spread(table(spark, sf_dir, "pages")).select("page_id", "url", F.explode(texts(*SITES)).alias("site"))
     return rows.select("page_id", "site", urls.canonical_url("url", "site").alias("canonical"))
 
 
@@ -35,7 +35,7 @@ def board_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ]
     )
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(forms).alias("form", "f")).select("p_partkey", "form", "f.*")
+    rows = spread(table(spark, sf_dir, "part")).select("p_partkey", F.posexplode(forms).alias("form", "f")).select("p_partkey", "form", "f.*")
     return rows.select(
         "p_partkey", "form",
         urls.canonical_url("url", "site").alias("canonical"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.catalog.common import joined, sql_list, table, texts
+from rolegrid.catalog.common import joined, spread, sql_list, table, texts
 from rolegrid.functions.reports import match_sentence
 from rolegrid.functions import reports
 from rolegrid.operators import matching, scoring
@@ -67,7 +67,7 @@ def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = matching.candidates(document_postings(spark, sf_dir), prompt_boards(spark), on="board", spread="id")
+    pairs = matching.candidates(spread(document_postings(spark, sf_dir)), prompt_boards(spark), on="board", spread="id")
     return matching.evaluate(pairs, F.lit(NOW).cast("timestamp"))
 
 
@@ -119,7 +119,7 @@ def rule_table(spark: SparkSession, **extra: list[str]) -> DataFrame:
 
 
 def score_long_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = matching.with_search_text(document_postings(spark, sf_dir))
+    ready = matching.with_search_text(spread(document_postings(spark, sf_dir)))
     return scoring.score_long(ready, scoring.long_rules(rule_table(spark)), "id").select(
         F.col("id").alias("doc_id"), "score", joined("score_explanations").alias("explanations")
     )
@@ -170,7 +170,7 @@ def rescore_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     from rolegrid.operators.store import rule_set
 
-    scored = scoring.score(matching.with_search_text(stored), rule_set(rules))
+    scored = scoring.score(matching.with_search_text(spread(stored)), rule_set(rules))
     return scored.select("p_partkey", "score", joined("score_explanations").alias("explanations"))
 
 

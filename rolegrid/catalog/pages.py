@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rolegrid.catalog.common import stamp, table
+from rolegrid.catalog.common import spread, stamp, table
 from rolegrid.operators import crawl
 from rolegrid.plans.discovery import DiscoveryOptions, discover
 from rolegrid.schemas import POSTING
@@ -47,7 +47,7 @@ def extract_greenhouse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://boards.greenhouse.io/order"), "l_orderkey").alias("url"), F.lit("greenhouse").alias("site"), "l_orderkey",
         html('<html><section class="level-0"><h1>Order ', F.col("l_orderkey"), "</h1></section><body>", F.array_join(cards, "\n"), "</body></html>").alias("html"),
     )
-    return page_source.extract_listings(pages).select(
+    return page_source.extract_listings(spread(pages)).select(
         "l_orderkey", F.col("position").cast("int").alias("position"), "source_job_id", "url", "title", "company", "location", "team", "remote_status", "description_text"
     )
 
@@ -65,7 +65,7 @@ def extract_lever(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pages = table(spark, sf_dir, "part").select(
         k, html("https://jobs.lever.co/part-", k, "_co?x=1").alias("url"), F.lit("lever").alias("site"), page.alias("html"))
-    return page_source.extract_listings(pages).select(
+    return page_source.extract_listings(spread(pages)).select(
         "p_partkey", F.col("position").cast("int").alias("position"), "source_job_id", "url", "title", "company", "location", "team", "workplace_type")
 
 
@@ -84,7 +84,7 @@ def extract_linkedin(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "orders").select(
         k, html("https://www.linkedin.com/jobs/search/", k).alias("url"), F.lit("linkedin").alias("site"),
         F.lit(None).cast("string").alias("board_url"), page.alias("html"))
-    return page_source.extract_listings(pages).select(
+    return page_source.extract_listings(spread(pages)).select(
         "o_orderkey", F.col("position").cast("int").alias("position"), "source_job_id", "url", "title", "company", "location", "remote_status",
         stamp("posted_at").alias("posted_at"), "posted_time")
 
@@ -99,7 +99,7 @@ def extract_indeed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pages = table(spark, sf_dir, "customer").select(
         k, html("https://www.indeed.com/q", k).alias("url"), F.lit("indeed").alias("site"), F.lit(None).cast("string").alias("board_url"), page.alias("html"))
-    return page_source.extract_listings(pages).select(
+    return page_source.extract_listings(spread(pages)).select(
         "c_custkey", F.col("position").cast("int").alias("position"), "source_job_id", "url", "title", "company", "location", "snippet")
 
 
@@ -127,7 +127,7 @@ def extract_details(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("linkedin").alias("site"), html("https://www.linkedin.com/jobs/view/", k, "/?x=1").alias("url"), linkedin.alias("html")),
     )).alias("f")
     pages = table(spark, sf_dir, "orders").select(forms).select("f.*")
-    return page_source.extract_details(pages).select(
+    return page_source.extract_details(spread(pages)).select(
         "source_site", "source_job_id", "title", "company", "location", "employment_type", "remote_status", "team", "posted_time",
         F.coalesce("employment_type_text", F.lit("")).alias("employment_type_text"), "description_text")
 
@@ -138,7 +138,7 @@ def detail_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://h.test/jobs/"), "doc_id").alias("url"), F.lit("greenhouse").alias("site"),
         html("<h1>Doc</h1><script>if (a < b) { x() }</script><div id=\"content\"><p>", escape(F.col("text")), "</p></div>").alias("html"),
     )
-    found = page_source.extract_details(pages)
+    found = page_source.extract_details(spread(pages))
     return found.select(F.col("source_job_id").cast("bigint").alias("doc_id"), F.md5("description_text").alias("text_md5"))
 
 
@@ -149,7 +149,7 @@ def next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(""), html('<a rel="next" href="?page=', k, '">more</a>'), html('<a href="/p/', k, '"> <b>Next</b> page</a>'),
         html('<a class="x PageNEXT" href="https://o.test/', k, '">&gt;</a>'), html('<a href="/zzz">see next</a><a aria-label="next" href="//n.test/', k, '">2</a>'),
     )
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.posexplode(kinds).alias("kind", "link"))
+    pages = spread(table(spark, sf_dir, "pages")).select("page_id", "url", "html", F.posexplode(kinds).alias("kind", "link"))
     both = pages.select("page_id", "kind", "url", F.concat("link", "html").alias("html"))
     return both.select("page_id", "kind", page_source.resolve_url("url", page_source.next_href("html")).alias("next_url"))
 
@@ -212,7 +212,7 @@ def _discovered(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     at = F.lit("2024-01-01").cast("timestamp")
     store = to_store_columns(stored, at).select(*[f.name for f in POSTING])
     options = DiscoveryOptions(max_pages=3, enrich_greenhouse_details=True)
-    return discover(queries, pages, store, options, seen_at=at)
+    return discover(queries, spread(pages), store, options, seen_at=at)
 
 
 def discover_job(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.catalog.common import joined, table
+from rolegrid.catalog.common import joined, spread, table
 from rolegrid.catalog.pages import customer_boards, html
 from rolegrid.operators import intents, matching, registry, validate
 from rolegrid.plans.search import search
@@ -36,7 +36,7 @@ def template_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = html("Find ", role, " at Firm ", c, " in ", place, work, ". Skills with Tool ", c, " and Lib/", n,
                 "; avoid Corp ", c, ", sales roles. Prefer Port ", n, ". past 2 weeks. strange wishes here ", n, ".")
     prompts = table(spark, sf_dir, "orders").select(n, text.alias("raw_prompt_text"))
-    return _flat(intents.parse_prompts(prompts), "o_orderkey")
+    return _flat(intents.parse_prompts(spread(prompts)), "o_orderkey")
 
 
 PHRASES = {0: "remote preferred, last 3 days", 1: "Hybrid-only jobs this week on Greenhouse", 2: "must be on-site, past 2 months via LinkedIn",
@@ -49,7 +49,7 @@ def prompt_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrase = F.create_map(*[F.lit(x) for pair in PHRASES.items() for x in pair])
     prompts = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.concat("text", F.lit(". "), F.coalesce(phrase[F.col("turn").cast("int")], F.lit("Senior lead manager"))).alias("raw_prompt_text"))
-    parsed = intents.parse_prompts(prompts)
+    parsed = intents.parse_prompts(spread(prompts))
     return parsed.select(
         "conv_id", "turn", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("want.remote_preference", F.lit("")).alias("remote_preference"),
         F.coalesce("want.freshness_window_days", F.lit(-1)).alias("days"), F.coalesce(joined("want.seniority_preferences"), F.lit("")).alias("seniority"),
@@ -163,7 +163,7 @@ def _searched(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     prompts = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("prompt_id"),
         html("Find backend roles at Firm ", F.col("c_custkey"), " or Firm ", F.col("c_nationkey"), ". avoid part 1", F.col("c_nationkey"), ".").alias("raw_prompt_text"))
-    return search(prompts, boards, pages.where("kind = 'listing'"), now=F.lit("2024-01-01").cast("timestamp"))
+    return search(prompts, boards, spread(pages.where("kind = 'listing'")), now=F.lit("2024-01-01").cast("timestamp"))
 
 
 def search_job(spark: SparkSession, sf_dir: str) -> DataFrame:

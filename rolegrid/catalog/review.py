@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.catalog.common import joined, stamp, table
+from rolegrid.catalog.common import joined, spread, stamp, table
 from rolegrid.functions import reports
 from rolegrid.operators import review, telemetry, validate
 from rolegrid.sources import metadata, sinks
@@ -133,7 +133,7 @@ def metadata_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("}"),
     )
     rows = table(spark, sf_dir, "events").select("event_id", doc.alias("metadata_json"))
-    decoded = metadata.decode_metadata(rows).withColumn("number", review.json_score("metadata_json"))
+    decoded = metadata.decode_metadata(spread(rows)).withColumn("number", review.json_score("metadata_json"))
     again = metadata.encode_metadata(decoded.drop("metadata_json"))
     return again.select(
         "event_id", "number", (F.coalesce(F.col("number") >= 50, F.lit(False))).alias("passes"), "team", "extra", "metadata_json"
@@ -163,7 +163,7 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_totalprice") < 50000, F.col("o_orderdate") - F.expr("INTERVAL 2 DAY")).otherwise(F.col("o_orderdate")).alias("last_seen_at"),
         F.lit("d").alias("description_text"),
     ).withColumn("remote_status", F.when(F.col("o_orderkey").isNotNull() & (F.col("remote_status") == "1-urgent"), "remote").otherwise(F.col("remote_status")))
-    judged = validate.judge_postings(rows)
+    judged = validate.judge_postings(spread(rows))
     good, bad = validate.split_valid(judged)
     columns = ["o_orderkey", "source_site", "title", "url"]
     return good.select(*columns, F.lit("").alias("reasons")).unionByName(bad.select(*columns, joined("reasons", "; ").alias("reasons")))
