@@ -19,6 +19,7 @@ are each scored; an empty table gives an empty table. Other columns pass through
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolegrid.llm.common import map_batches, texts
+from rolegrid.llm.common import map_batches, shared, staged, texts
 
 ORDER = 4
 UNKNOWN = "und"
@@ -199,7 +200,8 @@ def fit(labelled: DataFrame, language: str = "lang", doc_id: str = "doc_id", tex
     ids = narrow.select(F.col(language).cast("string").alias("language"), F.col(doc_id).alias("id"))
     order = Window.partitionBy("language").orderBy(F.xxhash64("id"), "id")
     chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language).select("id").distinct()
-    rows = narrow.select(F.col(language).cast("string").alias("language"), F.col(doc_id).alias("id"), F.col(text).alias("text")).join(chosen, "id", "left_semi")
+    chosen = staged(chosen, "sample-ids")  # at most rows_per_language for each language the model has a tree of, so it is broadcast
+    rows = narrow.select(F.col(language).cast("string").alias("language"), F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id", "left_semi")
 
     def count(batch: pa.RecordBatch):
         out = ([], [], [])
@@ -223,20 +225,21 @@ def fit(labelled: DataFrame, language: str = "lang", doc_id: str = "doc_id", tex
 
 def with_language(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
     """``docs`` with a last column ``name``: struct of ``lang``, ``score`` (posterior, 0 to 1) and ``bits`` a byte."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
     at = docs.columns.index(text)
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
-    held: list[Costs] = []
+    held: list = []
 
     def run(batch: pa.RecordBatch):
-        model = shared.value
+        if not held:
+            model = pickle.loads(sent.value)
+            held.extend([model, Costs(model.trees) if model.trees else None])
+        model, costs = held
         rows = []
         values = texts(batch.column(at))
         if not model.languages:
             return [*batch.columns, pa.array([{"lang": UNKNOWN, "score": 0.0, "bits": None}] * len(values), _STRUCT)]
-        if not held:
-            held.append(Costs(model.trees))
-        lengths = model.code_lengths(values, held[0])
+        lengths = model.code_lengths(values, costs)
         best = lengths.argmin(axis=1)
         least = lengths[np.arange(len(values)), best]
         score = 1 / np.exp2(np.maximum(least[:, None] - lengths, -1000)).sum(axis=1)
