@@ -20,7 +20,7 @@ HEADLINE = [
     "match_documents", "rejected_documents", "score_long_form", "freshness_events", "rescore_parts",
     "canonical_urls", "board_urls", "dedupe_pages", "dedupe_documents", "duplicate_links",
     "current_decisions", "decision_history", "review_filters", "review_page", "orphans", "metadata_score", "quarantine",
-    "telemetry_rollup", "upsert_store", "new_matches", "mark_stale", "enrich_parts", "prompt_upsert",
+    "telemetry_rollup", "upsert_store", "upsert_moves", "new_matches", "mark_stale", "rescore_store", "enrich_parts", "prompt_upsert",
     "extract_greenhouse", "extract_lever", "extract_linkedin", "extract_details", "detail_descriptions", "next_page_walk",
     "template_prompts", "registry_match", "registry_issues", "discover_job", "search_job",
 ]
