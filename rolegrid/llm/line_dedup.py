@@ -69,7 +69,7 @@ class Filters:
 
 def filter_bits(docs: DataFrame, text: str, bits_per_line: int, max_bits: int) -> int:
     """Power of two of at least ``bits_per_line`` for each line of the table, at most ``max_bits``."""
-    lines = docs.agg(F.sum(F.length(F.col(text)) - F.length(F.translate(F.col(text), "\n", "")) + 1)).first()[0] or 0
+    lines = docs.agg(F.sum(F.length(F.col(text)) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     return min(max_bits, max(1 << 16, 1 << int(max(1, lines * bits_per_line) - 1).bit_length()))
 
 
@@ -140,7 +140,8 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_
     number = F.coalesce(F.col("id").try_cast("decimal(38,0)"), F.lit(0))
     first = F.min(F.struct(F.col("id").isNull(), number, F.col("id"), F.col("row_b"), F.col("row_a")))
     repeated = suspects.groupBy("key").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") >= min_docs)
-    owners = repeated.select("key", F.col("first.row_a").alias("first_a"), F.col("first.row_b").alias("first_b"))
+    # written first, so that the join below reads a table: Spark may broadcast it by its size, or split a hot key
+    owners = staged(repeated.select("key", F.col("first.row_a").alias("first_a"), F.col("first.row_b").alias("first_b")), "repeated-lines")
     met = suspects.join(owners, "key").withColumn("own", (F.col("row_a") == F.col("first_a")) & (F.col("row_b") == F.col("first_b")))
     return met.groupBy("row_a", "row_b").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("own"), F.col("key"))).alias("own"))
 
@@ -197,7 +198,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
 
 def line_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per document: ``doc_id, n_lines, n_dropped, kept_sha256`` of what ``dedup_lines`` leaves."""
-    lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("n_lines", F.coalesce(lines, F.lit(1)).cast("bigint"))
     out = with_lines_dropped(narrow, "n_dropped", **options)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
