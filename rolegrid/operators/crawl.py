@@ -20,9 +20,9 @@ def walk_pages(starts: DataFrame, index: DataFrame, max_pages: int = 1) -> DataF
 
     ``starts(query_id, source_site, start_url)``; ``index(url, site, next_url, n_items)`` is a narrow table
     without page text. One row per attempted page: ``query_id, hop, url, found, n_items, stop``. The walk of
-    a query ends at a missing page, at one that cannot be read, at an empty page after a filled one, without a next link, at a page
-    seen before, or after ``max_pages`` pages. A start page that is missing fails the query. The loop runs
-    at most ``max_pages`` times and ends when no query goes on.
+    a query ends at a missing page, at one that cannot be read, at an empty page after a filled one, without a
+    next link, at a page seen before, or after ``max_pages`` pages. A start page that is missing or cannot be read
+    fails the query. The loop runs at most ``max_pages`` times and ends when no query goes on.
     """
     unread = F.col("error").isNotNull() if "error" in index.columns else F.lit(False)
     pages = index.select("url", F.col("site").alias("source_site"), "next_url", "n_items", F.lit(True).alias("hit"), unread.alias("unread"))

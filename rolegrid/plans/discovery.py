@@ -46,7 +46,8 @@ def newest_pages(pages: DataFrame) -> DataFrame:
 def page_index(pages: DataFrame) -> DataFrame:
     """One pass over the stored pages: cards and next link per page, page text dropped.
 
-    A page stored several times counts once, in its newest version by ``fetched_at``. Everything after this works on a narrow table, however long the pages are.
+    A page stored several times counts once, in its newest version by ``fetched_at``. Everything after this works
+    on a narrow table, however long the pages are.
     """
     version = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(0)
     read = _kind(pages, "listing").select("url", "site", version.alias("version"), page_source.page_content("site", "html").alias("c"))
