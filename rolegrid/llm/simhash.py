@@ -9,9 +9,12 @@ fingerprints differ in at least as many bits as their counts differ over all par
 radius are skipped; all others meet tile by tile (numpy exclusive-or and bit counts). A task returns a spanning
 forest of the links it finds, never all pairs. Components are found by min-label steps with shortcutting in Spark.
 
-A fingerprint says little of a short or a much edited text. ``similarity`` adds a check of the links found: the
-documents must share that part of their shingles of five words. A wider radius then finds edited copies, nearest
-links first, and does not join strangers.
+A fingerprint says little of a short or a much edited text. With ``similarity`` the links are between distinct texts,
+equal fingerprints too, and each must be confirmed: the texts share that part of all their distinct shingles of five
+words, counted in full. Only confirmed links join texts. Candidates are the pairs at ``radius`` bits or fewer, and at
+twice that together with a second fingerprint of other hashes, whose numbers of shingles allow the similarity; both
+fingerprints count distinct shingles once here, as the similarity does. A task returns a forest of its candidates and, where they are few, all others; the texts whose candidates were held back meet
+again in a next round, without the pairs that confirmed links have joined by then, until none is held back.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; a null id never becomes
 a component id while the component has another; repeated rows stay, each with its class; an empty table gives an
@@ -20,6 +23,8 @@ empty table. Other columns pass through untouched, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,12 +38,17 @@ SEED = 42
 BITS = 64
 #: Fingerprints of one cell that are compared as one tile.
 TILE = 2048
+#: Rounds in which candidates may be held back; the next one returns all that are left.
+ROUNDS = 8
+#: Candidates for each text beside the forest that a block of rows may return.
+SPARE = 4
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(tokens)
     if len(tokens) <= words:
         hashes = [xxhash.xxh64_intdigest(joined, SEED)]
@@ -48,13 +58,33 @@ def fingerprint(text: bytes, words: int = 3) -> int:
         stops = [*ends[words - 1 :].tolist(), len(joined)]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, stops)]
+    return np.array(hashes, "<u8")
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
-    values = np.array(hashes, "<u8")
     for i in range(0, len(values), 65536):
         ones += np.unpackbits(values[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(values), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, words: int = 3) -> int:
+    return majority(shingle_hashes(text, words))
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Other hashes made from hashes, for a second fingerprint."""
+    values = (values ^ (values >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    values = (values ^ (values >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return values ^ (values >> np.uint64(33))
+
+
+def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
+    """The hashes of the distinct shingles of a text, all of them."""
+    return np.unique(shingle_hashes(text, words)).view(np.int64)
+
+
 def with_fingerprint(docs: DataFrame, name: str, text: str = "text", words: int = 3) -> DataFrame:
     """``docs`` with a last column ``name``: the fingerprint as a signed long."""
     at = docs.columns.index(text)
@@ -66,16 +96,38 @@ def with_fingerprint(docs: DataFrame, name: str, text: str = "text", words: int
     return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
+def with_both_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``docs`` without its column ``text``; ``f`` is the fingerprint, ``p`` and ``g`` are two of distinct shingles for the
+    search, ``n`` counts the distinct shingles of five words."""
+    at, rest = docs.columns.index("text"), docs.drop("text")
+
+    def run(batch: pa.RecordBatch):
+        found = []
+        for t in texts(batch.column(at)):
+            hashes = shingle_hashes(t, words)
+            distinct = np.unique(hashes)
+            found.append((majority(hashes), majority(distinct), majority(mixed(distinct)), len(shingle_set(t))))
+        numbers = np.array(found, np.uint64).reshape(-1, 4).T.copy().view(np.int64)
+        return [*(c for i, c in enumerate(batch.columns) if i != at), *map(pa.array, numbers)]
+
+    return map_batches(docs, run, T.StructType([*rest.schema.fields, *(T.StructField(c, T.LongType()) for c in "fpgn")]))
+
+
 def cell_parts(n: int, radius: int) -> int:
     """Into how many parts the bits are cut; more fingerprints get finer cells. No choice changes the result.
 
-    A cell is sent to all cells within the radius, so a wide radius keeps to two parts.
+    A cell is sent to all cells within the radius, so a wide radius keeps to two parts, and one that skips next to
+    nothing to one.
     """
+    if radius > 12:
+        return 1
     return 2 if n <= 50_000 or radius > 3 else 4 if n <= 5_000_000 else 8
 
 
 def cell_of(fingerprint_column: Column, parts: int) -> Column:
     """Population counts of equal parts of the bits, as one number in base 65."""
+    if parts == 1:
+        return F.bit_count(fingerprint_column).cast("bigint")
     width = BITS // parts
     out = F.lit(0).cast("bigint")
     for i in range(parts):
@@ -151,20 +203,30 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> None:
                 forest.add(v, w)
 
 
-def links(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """Links ``a, b`` between values of the single column of ``prints``, enough to connect all that is connected."""
-    distinct = staged(prints.toDF("f").where("f is not null").distinct(), "fingerprints")
-    parts = cell_parts(distinct.count(), radius)
-    celled = distinct.withColumn("cell", cell_of(F.col("f"), parts))
-    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    tile = F.pmod(F.xxhash64("f"), F.col("tiles")).cast("int").alias("tile")
-    tiles = staged(celled.join(sizes, "cell").select("cell", tile, "f").groupBy("cell", "tile").agg(F.collect_list("f").alias("members")), "tiles")
+def dealt(rows: DataFrame, columns: list[str], radius: int, n: int) -> DataFrame:
+    """Every tile of ``rows`` as host, followed by itself and by the tiles to compare it with: ``at_cell, at_tile, guest, members``.
+
+    ``members`` has the values of ``columns``, longs of which the first is the fingerprint ``f``, row after row.
+    """
+    parts = cell_parts(n, radius)
+    size = TILE if n <= 100_000 or parts > 1 else 4 * TILE
+    celled = rows.withColumn("cell", cell_of(F.col("f"), parts))
+    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("tiles"))
+    tile = F.pmod(F.xxhash64(*columns), F.col("tiles")).cast("int").alias("tile")
+    listed = F.flatten(F.collect_list(F.array(*columns)))
+    tiles = staged(celled.join(sizes, "cell").select("cell", tile, *columns).groupBy("cell", "tile").agg(listed.alias("members")), "tiles")
     index = tiles.select("cell", "tile")
     steps = F.explode(F.array(*[F.lit(s).cast("bigint") for s in half_ball(parts, radius)]))
     to = index.select(F.col("cell").alias("at_cell"), F.col("tile").alias("at_tile"), steps.alias("step")).withColumn("cell", F.col("at_cell") + F.col("step"))
     pairs = to.join(index, "cell").where("step > 0 or tile > at_tile").select("at_cell", "at_tile", "cell", "tile")
     guests = tiles.join(pairs, ["cell", "tile"]).select("at_cell", "at_tile", F.lit(1).alias("guest"), "members")
     hosts = tiles.select(F.col("cell").alias("at_cell"), F.col("tile").alias("at_tile"), F.lit(0).alias("guest"), "members")
+    return hosts.unionByName(guests).repartition("at_cell", "at_tile").sortWithinPartitions("at_cell", "at_tile", "guest")
+
+
+def links(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """Links ``a, b`` between values of the single column of ``prints``, enough to connect all that is connected."""
+    distinct = staged(prints.toDF("f").where("f is not null").distinct(), "fingerprints")
 
     def run(batches):
         now, host, forest = None, None, Forest()
@@ -184,8 +246,78 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
                     a, b = zip(*forest.links)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = hosts.unionByName(guests).repartition("at_cell", "at_tile").sortWithinPartitions("at_cell", "at_tile", "guest")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt(distinct, ["f"], radius, distinct.count()).mapInArrow(run, "a bigint, b bigint")
+
+
+def meet(host: np.ndarray, guest: np.ndarray, radius: int, similarity: float, forest: Forest, turn: int):
+    """The candidates of two tiles, rows of ``f, g, n, node, ..., root``, block by block: arrays of nodes ``a, b`` to check,
+    and the nodes with candidates held back.
+
+    Each tree takes its first link to another tree, as in Boruvka's algorithm: the nearest one, or after the first round
+    any one, because the nearest was tried.
+    """
+    host, guest = (x[np.argsort(np.bitwise_count(x[:, 0].view(np.uint64)), kind="stable")] for x in (host, guest))
+    print_a, print_b = np.ascontiguousarray(host[:, 0]).view(np.uint64), np.ascontiguousarray(guest[:, 0]).view(np.uint64)
+    pop, high = np.bitwise_count(print_a).astype(np.int64), np.bitwise_count(print_b).astype(np.int64)
+    for i in range(0, len(host), 256):
+        low, top = np.searchsorted(high, [pop[i] - radius, pop[min(i + 255, len(host) - 1)] + radius + 1])
+        apart = np.bitwise_count(print_a[i : i + 256, None] ^ print_b[None, low:top])
+        x, y = np.nonzero(apart <= radius)
+        apart = apart[x, y].astype(np.int64)
+        p, q = host[i + x], guest[low + y]
+        apart += np.bitwise_count((p[:, 1] ^ q[:, 1]).view(np.uint64))
+        fit = (apart <= 2 * radius) & (np.minimum(p[:, 2], q[:, 2]) >= similarity * np.maximum(p[:, 2], q[:, 2])) & (p[:, -1] != q[:, -1])
+        if host is guest or np.array_equal(print_a, print_b):
+            fit &= p[:, 3] < q[:, 3]
+        p, q, apart = p[fit], q[fit], apart[fit]
+        if not len(p):
+            continue
+        order = np.argsort(apart, kind="stable") if turn == 1 else np.random.default_rng(turn + i).permutation(len(p))
+        p, q = p[order], q[order]
+        taken = np.zeros(len(p), bool)
+        left = np.arange(len(p))
+        while len(left):
+            names, of = np.unique(np.concatenate([p[left, -1], q[left, -1]]), return_inverse=True)
+            roots = np.array([forest.root(v) for v in names.tolist()], np.int64)[of]
+            open_ = roots[: len(left)] != roots[len(left) :]
+            mine, left = roots[: len(left)][open_], left[open_]
+            for k in left[np.unique(mine, return_index=True)[1]].tolist():
+                before = len(forest.links)
+                forest.add(int(p[k, -1]), int(q[k, -1]))
+                taken[k] = len(forest.links) > before
+        held = ~taken
+        if turn > ROUNDS or held.sum() <= SPARE * len(np.unique(np.concatenate([p[:, 3], q[:, 3]]))):
+            yield p[:, 3], q[:, 3], np.empty(0, np.int64)
+        else:
+            yield p[taken, 3], q[taken, 3], np.unique(np.concatenate([p[held, 3], q[held, 3]]))
+
+
+def candidates(nodes: DataFrame, radius: int, similarity: float, turn: int, n: int) -> DataFrame:
+    """Pairs ``a, b`` of nodes to check; a row without ``b`` says that candidates of ``a`` are held back.
+
+    ``nodes`` has ``f, g, n, node`` and, after the first round, ``root``; nodes with one root do not meet.
+    """
+    columns = nodes.columns
+
+    def run(batches):
+        now, host, forest, told = None, None, Forest(), set()
+        for batch in batches:
+            lists = batch.column(3)
+            bounds = lists.offsets.to_numpy()
+            values = lists.values.to_numpy(zero_copy_only=False)
+            for i, at in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]))):
+                members = values[bounds[i] : bounds[i + 1]].reshape(-1, len(columns))
+                if at[2] == 0:
+                    now, host, forest, told = at[:2], members.copy(), Forest(), set()
+                if at[:2] != now:
+                    raise ValueError("a tile came before its host")
+                for a, b, held in meet(host, host if at[2] == 0 else members, radius, similarity, forest, turn):
+                    forest.links = []
+                    held = [v for v in held.tolist() if v not in told]
+                    told.update(held)
+                    yield pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *held], pa.int64()), pa.array([*b.tolist(), *[None] * len(held)], pa.int64())], ["a", "b"])
+
+    return dealt(nodes, columns, radius, n).mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,44 +341,56 @@ def components(edges: DataFrame) -> DataFrame:
         now = staged(tied.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
 
 
-def shingle_sketch(text: bytes, words: int, size: int) -> list[int]:
-    """The ``size`` smallest hashes of the distinct shingles of a text, in order; all of them, if fewer."""
-    tokens = text.lower().split()
-    shingles = {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
-    hashes = np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) >> 1 for x in shingles], np.int64))
-    return hashes[:size].tolist()
-
-
-def confirmed(edges: DataFrame, prints: DataFrame, docs: DataFrame, similarity: float, words: int = 5, size: int = 256) -> DataFrame:
-    """Those of ``edges`` whose documents share ``similarity`` of their shingles of ``words`` words at least.
-
-    One document stands for each fingerprint. Shared parts are counted among the ``size`` smallest hashes of both,
-    which is exact up to ``size`` distinct shingles and an unbiased estimate beyond.
-    """
-    ends = edges.select(F.col("a").alias("f")).union(edges.select("b")).distinct()
-    chosen = prints.join(ends, "f", "left_semi").groupBy("f").agg(F.min(F.struct("doc_id", "row_key")).alias("one")).select("f", F.xxhash64("one.doc_id").alias("id_hash"), F.col("one.row_key").alias("row_key"))
-    keyed = docs.withColumn("id_hash", F.xxhash64("doc_id")).join(chosen, ["id_hash", "row_key"]).select("f", "text")
-    sketched = map_batches(keyed, lambda b: [b.column(0), [shingle_sketch(t, words, size) for t in texts(b.column(1))]], "f bigint, sketch array<bigint>")
-    sketches = staged(sketched.groupBy("f").agg(F.min("sketch").alias("sketch")), "sketches")
-    met = edges.join(sketches.select(F.col("f").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("f").alias("b"), F.col("sketch").alias("y")), "b")
-    least = F.slice(F.array_sort(F.array_union("x", "y")), 1, size)
-    shared = F.size(F.array_intersect(least, F.array_intersect("x", "y")))
-    return met.where(shared >= F.lit(similarity) * F.size(least)).select("a", "b")
+def shingle_sets(nodes: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, shingles`` of all ``nodes``: the hashes of all distinct shingles. One document stands for each text."""
+    chosen = prints.join(nodes, prints["row_key"] == nodes["node"], "left_semi").groupBy("row_key").agg(F.min("doc_id").alias("one"))
+    chosen = chosen.select(F.xxhash64("one").alias("id_hash"), "row_key")
+    keyed = docs.withColumn("id_hash", F.xxhash64("doc_id")).join(chosen, ["id_hash", "row_key"]).select(F.col("row_key").alias("node"), "text")
+    found = map_batches(keyed, lambda b: [b.column(0), [shingle_set(t) for t in texts(b.column(1))]], "node bigint, shingles array<bigint>")
+    return staged(found.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingles")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose texts share ``similarity`` of their distinct shingles at least."""
+    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    met = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("both"))
+    return met.where(F.col("shared") >= F.lit(similarity) * (F.col("both") - F.col("shared"))).select("a", "b")
+
+
+def similar_links(prints: DataFrame, docs: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Confirmed links between the texts of ``docs``, enough to connect all candidates that can be confirmed."""
+    nodes = staged(prints.select(F.col("p").alias("f"), "g", "n", F.col("row_key").alias("node")).distinct(), "nodes")
+    turn, open_, found, sets = 1, nodes, [], None
+    while n := open_.count():
+        tried = staged(candidates(open_, radius, similarity, turn, n).distinct(), "candidates")
+        if sets is None:
+            sets = shingle_sets(tried.select(F.col("a").alias("node")).union(tried.where("b is not null").select("b")).distinct(), prints, docs)
+        found.append(staged(confirmed(tried.where("b is not null"), sets, similarity), "links"))
+        held = tried.where("b is null").select(F.col("a").alias("node"))
+        if held.isEmpty():
+            break
+        roots = components(reduce(DataFrame.union, found))
+        held = nodes.join(held.distinct(), "node").join(roots, "node", "left")
+        open_ = staged(held.select("f", "g", "n", "node", F.coalesce("root", "node").alias("root")), "nodes")
+        turn += 1
+    return reduce(DataFrame.union, found) if found else nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
 
 
 def classes(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str = "text", words: int = 3, similarity: float | None = None) -> DataFrame:
     """Per row: ``doc_id, row_key, fingerprint, component_id, first_key``.
 
     ``row_key`` is a hash of the text; the row of a class that stays is the one with ``doc_id = component_id`` and
-    ``row_key = first_key``. With ``similarity``, links between different fingerprints must be ``confirmed``.
+    ``row_key = first_key``. With ``similarity``, links are between texts and must be ``confirmed``.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text), F.length(F.col(text))).alias("row_key"), F.col(text).alias("text"))
-    prints = staged(with_fingerprint(narrow, "f", words=words).drop("text"), "prints")
-    edges = links(prints.select("f"), radius)
-    if similarity is not None:
-        edges = confirmed(staged(edges.distinct(), "links"), prints, narrow, similarity)
+    if similarity is None:
+        prints = staged(with_fingerprint(narrow, "f", words=words).drop("text"), "prints")
+        key, edges = "f", links(prints.select("f"), radius)
+    else:
+        prints = staged(with_both_fingerprints(narrow, words), "prints")
+        key, edges = "row_key", similar_links(prints, narrow, radius, similarity)
     roots = components(edges)
-    rooted = prints.join(roots, prints["f"] == roots["node"], "left").select("doc_id", "row_key", "f", F.coalesce("root", "f").alias("root"))
+    rooted = prints.join(roots, prints[key] == roots["node"], "left").select("doc_id", "row_key", "f", F.coalesce("root", key).alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     least = rooted.groupBy("root").agg(first.alias("least")).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("first_key"))
     return rooted.join(least, "root").select("doc_id", "row_key", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id", "first_key")

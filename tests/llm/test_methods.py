@@ -351,6 +351,42 @@ def test_confirmed_links_drop_copies_and_keep_strangers(spark):
     assert copies and kept.isdisjoint(copies)
 
 
+def shingled(texts):
+    return [{" ".join(t.split(" ")[i : i + 5]) for i in range(max(1, len(t.split(" ")) - 4))} for t in texts]
+
+
+def plain_classes(texts, similarity=0.8):
+    """The smallest index of each text's class: all pairs, full sets of shingles."""
+    sets, root = shingled(texts), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("tile, spare, rounds", [(2048, 4, 8), (16, 0, 2)])
+def test_similar_classes_equal_all_pairs(spark, monkeypatch, tile, spare, rounds):
+    for name, value in (("TILE", tile), ("SPARE", spare), ("ROUNDS", rounds)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(2000)]
+    texts = []
+    for base in (rng.choices(vocabulary, k=n) for n in (150, 400)):
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(rng.randint(0, round(0.04 * len(copy)))):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    texts += near_copies(8, n=30)
+    rng.shuffle(texts)
+    want = plain_classes(texts)
+    assert 5 < len(set(want)) < len(texts) - 60
+    got = simhash.classes(frame(spark, texts).repartition(3), radius=18, similarity=0.8).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == want
+
+
 # ---- registered --------------------------------------------------------------------------------------
 
 
