@@ -387,6 +387,25 @@ def test_similar_classes_equal_all_pairs(spark, monkeypatch, tile, spare, rounds
     assert [r.component_id for r in got] == want
 
 
+def appended(seed, words, low, high, pairs=40):
+    """Texts of random words, each followed by itself with more words at its end."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(2000)]
+    texts = []
+    for _ in range(pairs):
+        text = rng.choices(vocabulary, k=words)
+        texts += [" ".join(text), " ".join(text + rng.choices(vocabulary, k=round(words * rng.uniform(low, high))))]
+    return texts
+
+
+def test_long_texts_are_judged_by_all_shingles(spark):
+    texts = appended(4, 900, 0.22, 0.28)
+    want = plain_classes(texts)
+    assert 50 < len(set(want)) < 70
+    kept = {r.doc_id for r in simhash.drop_near_copies(frame(spark, texts), radius=18, similarity=0.8).collect()}
+    assert kept == set(want)
+
+
 # ---- registered --------------------------------------------------------------------------------------
 
 
