@@ -30,7 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays; a class is tied by shared shingles of five words, 0.8 of them or more."""
-    return simhash.drop_near_copies(docs, radius=8, similarity=0.8)
+    return simhash.drop_near_copies(docs, radius=18, similarity=0.8)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from tests.llm.test_methods import appended, frame, plain_classes
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -30,3 +32,10 @@ def test_run_returns_documents(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and out.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_texts_with_an_added_paragraph_are_near_copies(spark):
+    texts = appended(6, 100, 0.1, 0.2)
+    want = set(plain_classes(texts))
+    assert len(want) == len(texts) // 2
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame(spark, texts), SMALL).collect()} == want
