@@ -34,7 +34,44 @@ def _mixing(sweeps: int, damping: float) -> str:
               FROM d LEFT JOIN weights USING (source, lang, topic))"""
 
 
+def _merkle() -> str:
+    """Levels of all trees by recursion, then the siblings left and right of each leaf's path, folded step by step; CRC-32 by its table."""
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(part, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    return f"""
+        WITH RECURSIVE bits AS MATERIALIZED (
+            SELECT v, (SELECT 1) AS one FROM range(256) t(v)
+        ), crc(v, k, c) AS (
+            SELECT v, 0, v::BIGINT FROM bits UNION ALL SELECT v, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM crc WHERE k < 8
+        ), tab AS MATERIALIZED (SELECT list(c ORDER BY v) AS t FROM crc WHERE k = 8),
+        d AS MATERIALIZED (
+            SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+            FROM (SELECT doc_id, source, text, {leaf('text')} AS leaf, {leaf('harmed')} AS again
+                  FROM (SELECT *, CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                            lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS harmed FROM documents, tab))
+        ), lv(l, source, i, digest, c) AS (
+            SELECT 0, source, i, leaf, count(*) OVER (PARTITION BY source) FROM d
+            UNION ALL SELECT l + 1, source, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (any_value(c) + 2) // 3 FROM lv WHERE c > 1 GROUP BY l, source, i // 3
+        ), subs AS MATERIALIZED (SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM lv WHERE c = 1),
+        top(l, i, digest, c) AS (
+            SELECT 0, g, digest, count(*) OVER () FROM subs
+            UNION ALL SELECT l + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (any_value(c) + 2) // 3 FROM top WHERE c > 1 GROUP BY l, i // 3
+        ), near AS MATERIALIZED (
+            SELECT d.r, v.l, v.i, v.digest, d.i // (3 ** v.l)::BIGINT AS me FROM d JOIN lv v ON d.source IS NOT DISTINCT FROM v.source AND v.i // 3 = d.i // (3 ** (v.l + 1))::BIGINT WHERE v.c > 1
+            UNION ALL SELECT d.r, 1000 + v.l, v.i, v.digest, s.g // (3 ** v.l)::BIGINT FROM d JOIN subs s ON d.source IS NOT DISTINCT FROM s.source JOIN top v ON v.i // 3 = s.g // (3 ** (v.l + 1))::BIGINT WHERE v.c > 1
+        ), steps AS MATERIALIZED (
+            SELECT r, row_number() OVER (PARTITION BY r ORDER BY l) AS k, coalesce(string_agg(digest, '' ORDER BY i) FILTER (i < me), '') AS low, coalesce(string_agg(digest, '' ORDER BY i) FILTER (i > me), '') AS high
+            FROM near GROUP BY r, l
+        ), proofs AS (SELECT r, sha256(string_agg(low || high, '' ORDER BY k)) AS p FROM steps GROUP BY r),
+        folded(r, k, digest) AS (
+            SELECT r, 0, again FROM d UNION ALL SELECT f.r, s.k, sha256(s.low || f.digest || s.high) FROM folded f JOIN steps s ON s.r = f.r AND s.k = f.k + 1
+        ), last AS (SELECT r, arg_max(digest, k) AS digest FROM folded GROUP BY r), root AS (SELECT digest FROM top WHERE c = 1)
+        SELECT doc_id, leaf, s.digest AS subroot, root.digest AS root, coalesce(p, sha256('')) AS proof_sha256, last.digest AS folded_root, last.digest = root.digest AS verified
+        FROM d JOIN subs s ON d.source IS NOT DISTINCT FROM s.source JOIN last USING (r) LEFT JOIN proofs USING (r), root"""
+
+
 ORACLES = {
+    "op11_merkle": _merkle(),
     "op8_mixing": _mixing(12, 0.7),
     "op3_decontaminate": """
         WITH words AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.llm import chat, decontaminate, html, language, line_dedup, mixing, neighbours, simhash, substrings, toxicity
+from rolegrid.llm import chat, decontaminate, html, language, line_dedup, merkle, mixing, neighbours, simhash, substrings, toxicity
 
 
 #: Pruning of the vantage-point trees: one is exact, more prunes more.
@@ -77,4 +77,8 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"), radius=3, words=3).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_decontaminate, op4_chat, op5_html, op6_substrings, op7_neighbours, op8_mixing, op9_line_dedup, op10_simhash)}
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.proof_table(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_decontaminate, op4_chat, op5_html, op6_substrings, op7_neighbours, op8_mixing, op9_line_dedup, op10_simhash, op11_merkle)}
