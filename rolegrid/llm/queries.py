@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.llm import chat, decontaminate, html, language, lattice, line_dedup, merkle, mixing, neighbours, simhash, substrings, toxicity
+from rolegrid.llm import alignment, chat, decontaminate, html, language, lattice, line_dedup, merkle, mixing, neighbours, simhash, substrings, toxicity
 
 
 #: Pruning of the vantage-point trees: one is exact, more prunes more.
@@ -81,8 +81,12 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.proof_table(table(spark, folder, "documents"))
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment(table(spark, folder, "documents"))
+
+
 def op13_lattice(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.near_copies(table(spark, folder, "embeddings"), least=0.93)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_decontaminate, op4_chat, op5_html, op6_substrings, op7_neighbours, op8_mixing, op9_line_dedup, op10_simhash, op11_merkle, op13_lattice)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_decontaminate, op4_chat, op5_html, op6_substrings, op7_neighbours, op8_mixing, op9_line_dedup, op10_simhash, op11_merkle, op12_alignment, op13_lattice)}
