@@ -14,6 +14,7 @@ from rolegrid.operators import crawl
 from rolegrid.plans.discovery import DiscoveryOptions, discover
 from rolegrid.schemas import POSTING
 from rolegrid.sources import pages as page_source
+from rolegrid.sources.page_store import write_page_store
 
 
 def html(*parts: str | Column) -> Column:
@@ -212,7 +213,7 @@ def _discovered(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     at = F.lit("2024-01-01").cast("timestamp")
     store = to_store_columns(stored, at).select(*[f.name for f in POSTING])
     options = DiscoveryOptions(max_pages=3, enrich_greenhouse_details=True)
-    return discover(queries, spread(pages), store, options, seen_at=at)
+    return discover(queries, write_page_store(pages), store, options, seen_at=at)
 
 
 def discover_job(spark: SparkSession, sf_dir: str) -> DataFrame:

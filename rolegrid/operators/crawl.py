@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,54 +12,73 @@ from rolegrid.operators.matching import with_search_text
 from rolegrid.operators.scoring import listing_stage_score
 from rolegrid.operators.skew import heavy_keys, key_counts, salted_join
 from rolegrid.schemas import LISTING_ONLY_PREFIX, METADATA_COLUMNS
-from rolegrid.session import stage
+from rolegrid.session import Rounds, stage
 
 
-def walk_pages(starts: DataFrame, index: DataFrame, max_pages: int = 1) -> DataFrame:
+class PageReader(Protocol):
+    """Reads pages when they are wanted; ``table`` holds ``url, site, next_url, n_items, error`` of all pages read so far."""
+
+    def read(self, wanted: DataFrame) -> None: ...
+
+    def table(self) -> DataFrame: ...
+
+
+def walk_pages(starts: DataFrame, pages: DataFrame | PageReader, max_pages: int | None = 1) -> DataFrame:
     """Follow next links from every start page (SR10).
 
-    ``starts(query_id, source_site, start_url)``; ``index(url, site, next_url, n_items)`` is a narrow table
-    without page text. One row per attempted page: ``query_id, hop, url, found, n_items, stop``. The walk of
-    a query ends at a missing page, at one that cannot be read, at an empty page after a filled one, without a
-    next link, at a page seen before, or after ``max_pages`` pages. A start page that is missing or cannot be read
-    fails the query. The loop runs at most ``max_pages`` times and ends when no query goes on.
+    ``starts(query_id, source_site, start_url)``, one row per query. ``pages`` is a narrow table ``url, site, next_url, n_items[, error]``
+    without page text, or a reader that makes such a table as the walk goes on: it is asked for the pages that open walks stand on
+    and that were not read before. So only visited pages are read, and each of them once.
+
+    One row per attempted page: ``query_id, source_site, hop, url, found, n_items, stop``. The walk of a query ends at a missing
+    page, at one that cannot be read, at an empty page after a filled one, without a next link, at a page seen before,
+    or after ``max_pages`` pages; without a bound it still ends, because no query sees a page twice. A start page that is
+    missing or cannot be read fails the query. Steps and read pages are tables that grow by a part each hop, so plans stay as small
+    in the thousandth hop as in the first.
     """
-    unread = F.col("error").isNotNull() if "error" in index.columns else F.lit(False)
-    pages = index.select("url", F.col("site").alias("source_site"), "next_url", "n_items", F.lit(True).alias("hit"), unread.alias("unread"))
-    front = starts.select(
-        "query_id", "source_site", F.col("start_url").alias("url"),
-        F.array().cast("array<string>").alias("seen"), F.lit(False).alias("filled"),
-    )
-    hops = []
-    for hop in range(1, max(1, max_pages) + 1):
-        unread = F.coalesce(F.col("unread"), F.lit(False))
-        found = F.coalesce(F.col("hit"), F.lit(False)) & ~unread
-        has_items = F.coalesce(F.col("n_items"), F.lit(0)) > 0
+    steps, stored = Rounds(starts.sparkSession, "steps"), isinstance(pages, DataFrame)
+    limit = None if max_pages is None else max(1, max_pages)
+    front = starts.select("query_id", "source_site", F.col("start_url").alias("url"), F.lit(False).alias("filled"))
+    hop = 0
+    while True:
+        hop += 1
+        if not stored:
+            wanted = front.select("url", F.col("source_site").alias("site")).distinct()
+            pages.read(wanted if hop == 1 else wanted.join(pages.table().select("url", "site"), ["url", "site"], "left_anti"))
+        known = pages if stored else pages.table()
+        error = F.col("error").isNotNull() if "error" in known.columns else F.lit(False)
+        known = known.select("url", F.col("site").alias("source_site"), "next_url", "n_items", F.lit(True).alias("hit"), error.alias("unread"))
+        unread = F.coalesce("unread", F.lit(False))
+        found = F.coalesce("hit", F.lit(False)) & ~unread
+        n_items = F.coalesce("n_items", F.lit(0))
         stop = (
             F.when(unread, "start_unreadable" if hop == 1 else "page_unreadable")
             .when(~found, "start_missing" if hop == 1 else "page_missing")
-            .when(~has_items & F.col("filled"), "empty_page")
+            .when((n_items == 0) & F.col("filled"), "empty_page")
             .when(F.col("next_url").isNull(), "no_next")
-            .when(F.array_contains(F.array_append("seen", F.col("url")), F.col("next_url")), "repeated_page")
+            .when(F.col("next_url") == F.col("url"), "repeated_page")
         )
-        if hop == max(1, max_pages):
+        if hop == limit:
+            # a link back to a page seen before is told below, for all hops alike
             stop = F.coalesce(stop, F.lit("page_limit"))
-        step = stage(
-            front.join(pages, ["url", "source_site"], "left").select(
-                "query_id", "source_site", F.lit(hop).alias("hop"), "url", found.alias("found"),
-                F.coalesce("n_items", F.lit(0)).alias("n_items"), "next_url", "seen", "filled",
-                stop.alias("stop"),
-            ),
-            f"hop{hop}",
-        )
-        hops.append(step)
-        front = step.where("stop IS NULL").select(
-            "query_id", "source_site", F.col("next_url").alias("url"),
-            F.array_append("seen", F.col("url")).alias("seen"), (F.col("filled") | (F.col("n_items") > 0)).alias("filled"),
+        step = steps.add(
+            front.join(known, ["url", "source_site"], "left").select(
+                "query_id", "source_site", "url", found.alias("found"), n_items.alias("n_items"), "next_url", (F.col("filled") | (n_items > 0)).alias("filled"), stop.alias("stop")
+            )
         )
-        if front.isEmpty():
+        open_ = step.where("stop IS NULL")
+        if hop == limit or open_.isEmpty():
             break
-    return reduce(DataFrame.unionByName, hops).drop("next_url", "seen", "filled")
+        visited = steps.table().select("query_id", "url")
+        front = open_.select("query_id", "source_site", F.col("next_url").alias("url"), "filled").join(visited, ["query_id", "url"], "left_anti")
+    # the next link of an open step, or of one at the limit, that leads to a page of the same walk
+    walked = steps.table()
+    again = walked.select("query_id", F.col("url").alias("next_url"), F.lit(True).alias("again")).distinct()
+    known_back = F.col("again") & (F.col("stop").isNull() | (F.col("stop") == "page_limit"))
+    last = walked.groupBy("query_id").agg(F.max("hop").alias("hop"), F.lit(True).alias("last"))
+    walked = walked.join(last, ["query_id", "hop"], "left").join(again, ["query_id", "next_url"], "left")
+    stop = F.when(F.col("last") & known_back, "repeated_page").otherwise(F.col("stop"))
+    return stage(walked.select("query_id", "source_site", "hop", "url", "found", "n_items", stop.alias("stop")), "visits")
 
 
 def select_for_enrichment(postings: DataFrame, selective: bool = False, min_score: int = 1) -> DataFrame:

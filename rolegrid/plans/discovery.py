@@ -12,15 +12,16 @@ from rolegrid.operators.crawl import enrich, select_for_enrichment, walk_pages
 from rolegrid.operators.dedupe import dedupe_postings
 from rolegrid.operators.store import to_store_columns, upsert_postings
 from rolegrid.operators.telemetry import discovery_counters
+from rolegrid.session import Rounds, stage
 from rolegrid.sources import pages as page_source
-from rolegrid.session import stage
+from rolegrid.sources.page_store import wanted_pages
 
 
 @dataclass(frozen=True)
 class DiscoveryOptions:
-    """Toggles of a discovery run; linkedin postings are always enriched."""
+    """Toggles of a discovery run; linkedin postings are always enriched. ``max_pages`` None walks whole chains."""
 
-    max_pages: int = 1
+    max_pages: int | None = 1
     enrich_greenhouse_details: bool = False
     enrich_lever_details: bool = False
     selective_detail_enrichment: bool = False
@@ -35,28 +36,22 @@ def _kind(pages: DataFrame, kind: str) -> DataFrame:
     return pages.where(F.col("kind") == kind) if "kind" in pages.columns else pages
 
 
-def newest_pages(pages: DataFrame) -> DataFrame:
-    """One version of each page: the newest by ``fetched_at``, told by narrow columns; text moves once."""
-    if "fetched_at" in pages.columns:
-        last = pages.groupBy("url", "site").agg(F.max("fetched_at").alias("fetched_at"))
-        pages = pages.join(last, ["url", "site", "fetched_at"], "left_semi")
-    return pages.dropDuplicates(["url", "site"])
+class ListingReader:
+    """Reads the listing pages that a walk asks for: cards and next link of each, page text dropped.
 
+    The semi join with the wanted urls comes before the page reader, so that only wanted pages are parsed.
+    """
 
-def page_index(pages: DataFrame) -> DataFrame:
-    """One pass over the stored pages: cards and next link per page, page text dropped.
+    def __init__(self, pages: DataFrame) -> None:
+        self.listings, self.contents = _kind(pages, "listing"), Rounds(pages.sparkSession, "contents")
 
-    A page stored several times counts once, in its newest version by ``fetched_at``. Everything after this works
-    on a narrow table, however long the pages are.
-    """
-    version = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(0)
-    read = _kind(pages, "listing").select("url", "site", version.alias("version"), page_source.page_content("site", "html").alias("c"))
-    indexed = read.select(
-        "url", "site", "version", "c.cards", F.size("c.cards").alias("n_items"), "c.error",
-        page_source.resolve_url("url", "c.href").alias("next_url"),
-    )
-    newest = F.max_by(F.struct("cards", "n_items", "error", "next_url"), F.struct("version", F.xxhash64("cards", "next_url"))).alias("c")
-    return stage(indexed.groupBy("url", "site").agg(newest).select("url", "site", "c.*"), "page-index")
+    def read(self, wanted: DataFrame) -> None:
+        content = wanted_pages(self.listings, wanted).select("url", "site", page_source.page_content("site", "html").alias("c"))
+        next_url = F.when(F.col("site") != "linkedin", page_source.resolve_url("url", "c.href"))
+        self.contents.add(content.select("url", "site", "c.cards", F.size("c.cards").alias("n_items"), "c.error", next_url.alias("next_url")))
+
+    def table(self) -> DataFrame:
+        return self.contents.table()
 
 
 def collect_postings(queries: DataFrame, pages: DataFrame, options: DiscoveryOptions = DiscoveryOptions()) -> dict[str, DataFrame]:
@@ -66,16 +61,15 @@ def collect_postings(queries: DataFrame, pages: DataFrame, options: DiscoveryOpt
     character, so that a query id that is the beginning of another one comes first.
 
     ``queries(query_id, source_site, start_url, include_keywords, exclude_keywords, location_hints)``,
-    ``pages(url, site, html[, kind])``. Returns ``visits``, ``parsed`` (before duplicate removal) and
+    ``pages(url, site, html[, kind, fetched_at])``, best as written by ``sources.page_store``. Returns ``visits``, ``parsed`` (before duplicate removal) and
     ``postings`` with ``query_id`` and the unique order column ``ord``.
     """
-    index = page_index(pages)
-    single = F.when(F.col("site") == "linkedin", F.lit(None).cast("string")).otherwise(F.col("next_url"))
-    visits = walk_pages(queries, index.withColumn("next_url", single), options.max_pages)
+    reader = ListingReader(pages)
+    visits = walk_pages(queries, reader, options.max_pages)
     # the walk of a query whose start page is missing has no found page, so it brings no postings
     seen = visits.where("found").select("query_id", "hop", "url", F.col("source_site").alias("site"))
     starts = queries.select("query_id", F.col("start_url").alias("board_url"), "include_keywords", "exclude_keywords", "location_hints")
-    cards = seen.join(index.select("url", "site", "cards"), ["url", "site"]).join(starts, "query_id")
+    cards = seen.join(reader.table().select("url", "site", "cards"), ["url", "site"]).join(starts, "query_id")
     rows = page_source.apply_defaults(page_source.listing_hints(cards.withColumnRenamed("url", "page_url")))
     rows = rows.withColumn("ord", F.format_string("%s\x01%06d\x01%09d", F.col("query_id").cast("string"), "hop", "position"))
     rows = select_for_enrichment(rows, options.selective_detail_enrichment, options.min_listing_stage_score)
@@ -85,8 +79,7 @@ def collect_postings(queries: DataFrame, pages: DataFrame, options: DiscoveryOpt
     rows = stage(rows.withColumn("detail_url", detail_url), "listings")
 
     wanted = rows.where("selected").select(F.col("detail_url").alias("url"), F.col("source_site").alias("site")).distinct()
-    detail_pages = _kind(pages, "detail").join(wanted, ["url", "site"], "left_semi")
-    details = page_source.extract_details(newest_pages(detail_pages))
+    details = page_source.extract_details(wanted_pages(_kind(pages, "detail"), wanted))
     parsed = stage(enrich(rows, details, order="ord"), "parsed")
     kept = dedupe_postings(parsed, order="ord", scope="query_id")
     return {"visits": visits, "parsed": parsed, "postings": stage(kept, "found")}

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -57,3 +58,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """A staged table that grows by one part a round; reading it all needs one scan, however many rounds there were."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.path = spark, os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+        self.schema, self.rounds = None, 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the part of the next round and return it as a plain scan."""
+        self.rounds, self.schema = self.rounds + 1, df.schema
+        part = os.path.join(self.path, f"hop={self.rounds}")
+        df.write.parquet(part)
+        return self.spark.read.schema(df.schema).parquet(part)
+
+    def table(self) -> DataFrame:
+        """All parts, with the number of the round as ``hop``."""
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("hop", T.IntegerType())])).parquet(self.path)

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from rolegrid.functions.reports import discovery_line
 from rolegrid.operators import review
+from rolegrid.operators.crawl import walk_pages
 from rolegrid.operators.telemetry import with_totals
-from rolegrid.plans.discovery import DiscoveryOptions, discover
+from rolegrid.plans.discovery import DiscoveryOptions, collect_postings, discover
 from rolegrid.plans.search import search
 from rolegrid.schemas import DECISION_LOG, DISCOVERY_QUERY, POSTING
 from rolegrid.sources import metadata, readers, sinks
+from rolegrid.sources import pages as page_source
+from rolegrid.sources.page_store import open_page_store, wanted_pages, write_page_store
 from rolegrid.sources.tables import SnapshotTable
 from rolegrid.streaming import live
 from tests.test_store import batch, posting, table
@@ -180,3 +183,66 @@ def test_decision_stream_matches_batch(spark, tmp_path):
     query.awaitTermination()
     expected = review.current_decisions(spark.createDataFrame(rows, DECISION_LOG))
     assert sorted(map(str, spark.table("decisions").collect())) == sorted(map(str, expected.collect()))
+
+
+def test_only_visited_pages_are_read(spark):
+    """A page that no walk stands on never reaches the page reader; a page of two walks reaches it once."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def read(html):
+        calls.add(1)
+        if "untouched" in html:
+            raise ValueError("not to be read")
+        return [{"title": html, "href": "/j/1"}]
+
+    page_source.register_extractor("own", read)
+    try:
+        link = '<a rel="next" href="{}">x</a>'.format
+        rows = [("https://o.test/1", "one" + link("/2")), ("https://o.test/2", "two" + link("/3")), ("https://o.test/3", "three" + link("/1")), ("https://o.test/9", "nine" + link("/2"))]
+        rows += [(f"https://o.test/x{i}", "untouched") for i in range(40)]
+        stored = write_page_store(spark.createDataFrame([(u, "own", "listing", h) for u, h in rows], "url string, site string, kind string, html string"), buckets=4)
+        starts = spark.createDataFrame([("a", "own", "A", "https://o.test/1", [], [], []), ("b", "own", "B", "https://o.test/9", [], [], [])], DISCOVERY_QUERY)
+        visits = collect_postings(starts, stored, DiscoveryOptions(max_pages=None))["visits"]
+        got = sorted((r.query_id, r.hop, r.url[-1], r.stop) for r in visits.collect())
+        assert got == [("a", 1, "1", None), ("a", 2, "2", None), ("a", 3, "3", "repeated_page"), ("b", 1, "9", None), ("b", 2, "2", None), ("b", 3, "3", None), ("b", 4, "1", "repeated_page")]
+        assert calls.value == 4
+    finally:
+        page_source._EXTRACTORS.pop("own")
+
+
+def test_stored_pages_are_not_shuffled(spark):
+    rows = [(f"https://o.test/{i}", "greenhouse", "listing", "text") for i in range(50)]
+    stored = write_page_store(spark.createDataFrame(rows, "url string, site string, kind string, html string"), buckets=4)
+    wanted = stored.where("url like '%7'").select("url", "site")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = wanted_pages(stored, spark.createDataFrame(wanted.collect(), wanted.schema))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 5
+        # only the wanted urls are shuffled, nothing between the scan of the pages and the choice of a version
+        assert "Bucketed: true" in plan and plan.count("Exchange ") == plan.count("Exchange hashpartitioning(_url") > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_page_versions_are_defined(spark, tmp_path):
+    rows = [("u", "s", "old", datetime(2026, 1, 1)), ("u", "s", "b", datetime(2026, 1, 2)), ("u", "s", "a", datetime(2026, 1, 2)), ("u", "s", "none", None), ("v", "s", "x", None), ("v", "s", "x", None)]
+    pages_ = spark.createDataFrame(rows, "url string, site string, html string, fetched_at timestamp")
+    wanted = pages_.select("url", "site").distinct()
+    first = {r.url: r.html for r in wanted_pages(pages_, wanted).collect()}
+    assert first["u"] in ("a", "b") and first["v"] == "x"
+    path = str(tmp_path / "pages")
+    for seed in range(3):
+        stored = write_page_store(pages_.orderBy(F.rand(seed)), f"{path}{seed}", buckets=2)
+        again = open_page_store(stored, f"{path}{seed}", 2)
+        assert {r.url: r.html for r in wanted_pages(again, wanted).collect()} == first
+
+
+def test_walk_in_a_given_index_without_bound(spark):
+    rows = [(f"p{i}", "s", f"p{i + 1}" if i < 20 else None, 1) for i in range(21)] + [("loop", "s", "loop", 1)]
+    index = spark.createDataFrame(rows, "url string, site string, next_url string, n_items int")
+    starts = spark.createDataFrame([("a", "s", "p0"), ("b", "s", "p15"), ("c", "s", "loop"), ("d", "s", "gone")], "query_id string, source_site string, start_url string")
+    got = {}
+    for r in walk_pages(starts, index, None).orderBy("hop").collect():
+        got.setdefault(r.query_id, []).append((r.url, r.stop))
+    assert {q: (len(v), v[-1][1]) for q, v in got.items()} == {"a": (21, "no_next"), "b": (6, "no_next"), "c": (1, "repeated_page"), "d": (1, "start_missing")}
