@@ -220,7 +220,7 @@ def test_stored_pages_are_not_shuffled(spark):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert found.count() == 5
         # only the wanted urls are shuffled, nothing between the scan of the pages and the choice of a version
-        assert "Bucketed: true" in plan and plan.count("Exchange ") == plan.count("Exchange hashpartitioning(_url") > 0
+        assert "Bucketed: true" in plan and "Exchange" not in plan[: plan.index("FileScan")]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
