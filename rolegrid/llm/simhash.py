@@ -13,8 +13,11 @@ A fingerprint says little of a short or a much edited text. With ``similarity``
 equal fingerprints too, and each must be confirmed: the texts share that part of all their distinct shingles of five
 words, counted in full. Only confirmed links join texts. Candidates are the pairs at ``radius`` bits or fewer, and at
 twice that together with a second fingerprint of other hashes, whose numbers of shingles allow the similarity; both
-fingerprints count distinct shingles once here, as the similarity does. A task returns a forest of its candidates and, where they are few, all others; the texts whose candidates were held back meet
-again in a next round, without the pairs that confirmed links have joined by then, until none is held back.
+fingerprints count distinct shingles once here, as the similarity does. Where candidates are few, they are confirmed by a join
+with the shingles of their texts. Where a block of a tile has many, its texts are held back and meet again tile by tile with
+their shingles: an upper bound of what two texts share (counts of shingles by hash bucket) drops pairs that cannot reach the
+similarity, the others are counted in full in the task, and only confirmed links that join two trees leave it. So
+the rows of every join grow with the texts, however many candidates a group has.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; a null id never becomes
 a component id while the component has another; repeated rows stay, each with its class; an empty table gives an
@@ -23,7 +26,7 @@ empty table. Other columns pass through untouched, whatever their names.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +41,10 @@ SEED = 42
 BITS = 64
 #: Fingerprints of one cell that are compared as one tile.
 TILE = 2048
-#: Rounds in which candidates may be held back; the next one returns all that are left.
-ROUNDS = 8
-#: Candidates for each text beside the forest that a block of rows may return.
+#: Candidates for each text of a block that are confirmed by a join; beyond that the texts are held back.
 SPARE = 4
+#: Shingles of the texts of a tile that travels with its shingles, and of a row on the way.
+HEAVY_TILE, SLICE = 1 << 21, 1024
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -249,14 +252,15 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     return dealt(distinct, ["f"], radius, distinct.count()).mapInArrow(run, "a bigint, b bigint")
 
 
-def meet(host: np.ndarray, guest: np.ndarray, radius: int, similarity: float, forest: Forest, turn: int):
-    """The candidates of two tiles, rows of ``f, g, n, node, ..., root``, block by block: arrays of nodes ``a, b`` to check,
-    and the nodes with candidates held back.
+def by_population(prints: np.ndarray) -> np.ndarray:
+    return np.argsort(np.bitwise_count(prints.view(np.uint64)), kind="stable")
 
-    Each tree takes its first link to another tree, as in Boruvka's algorithm: the nearest one, or after the first round
-    any one, because the nearest was tried.
+
+def near(host: np.ndarray, guest: np.ndarray, radius: int, similarity: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The candidates of two tiles, block by block: row numbers of host and guest, nearest first.
+
+    Rows are ``f, g, n, node, ...`` by population count of ``f``; a last ``root``, if there is one, tells texts that are joined already.
     """
-    host, guest = (x[np.argsort(np.bitwise_count(x[:, 0].view(np.uint64)), kind="stable")] for x in (host, guest))
     print_a, print_b = np.ascontiguousarray(host[:, 0]).view(np.uint64), np.ascontiguousarray(guest[:, 0]).view(np.uint64)
     pop, high = np.bitwise_count(print_a).astype(np.int64), np.bitwise_count(print_b).astype(np.int64)
     for i in range(0, len(host), 256):
@@ -264,60 +268,160 @@ def meet(host: np.ndarray, guest: np.ndarray, radius: int, similarity: float, fo
         apart = np.bitwise_count(print_a[i : i + 256, None] ^ print_b[None, low:top])
         x, y = np.nonzero(apart <= radius)
         apart = apart[x, y].astype(np.int64)
-        p, q = host[i + x], guest[low + y]
+        x, y = x + i, y + low
+        p, q = host[x], guest[y]
         apart += np.bitwise_count((p[:, 1] ^ q[:, 1]).view(np.uint64))
-        fit = (apart <= 2 * radius) & (np.minimum(p[:, 2], q[:, 2]) >= similarity * np.maximum(p[:, 2], q[:, 2])) & (p[:, -1] != q[:, -1])
-        if host is guest or np.array_equal(print_a, print_b):
+        fit = (apart <= 2 * radius) & (np.minimum(p[:, 2], q[:, 2]) >= similarity * np.maximum(p[:, 2], q[:, 2]))
+        if host.shape[1] > 4:
+            fit &= p[:, 4] != q[:, 4]
+        if same:
             fit &= p[:, 3] < q[:, 3]
-        p, q, apart = p[fit], q[fit], apart[fit]
-        if not len(p):
-            continue
-        order = np.argsort(apart, kind="stable") if turn == 1 else np.random.default_rng(turn + i).permutation(len(p))
-        p, q = p[order], q[order]
-        taken = np.zeros(len(p), bool)
-        left = np.arange(len(p))
-        while len(left):
-            names, of = np.unique(np.concatenate([p[left, -1], q[left, -1]]), return_inverse=True)
-            roots = np.array([forest.root(v) for v in names.tolist()], np.int64)[of]
-            open_ = roots[: len(left)] != roots[len(left) :]
-            mine, left = roots[: len(left)][open_], left[open_]
-            for k in left[np.unique(mine, return_index=True)[1]].tolist():
-                before = len(forest.links)
-                forest.add(int(p[k, -1]), int(q[k, -1]))
-                taken[k] = len(forest.links) > before
-        held = ~taken
-        if turn > ROUNDS or held.sum() <= SPARE * len(np.unique(np.concatenate([p[:, 3], q[:, 3]]))):
-            yield p[:, 3], q[:, 3], np.empty(0, np.int64)
-        else:
-            yield p[taken, 3], q[taken, 3], np.unique(np.concatenate([p[held, 3], q[held, 3]]))
-
-
-def candidates(nodes: DataFrame, radius: int, similarity: float, turn: int, n: int) -> DataFrame:
-    """Pairs ``a, b`` of nodes to check; a row without ``b`` says that candidates of ``a`` are held back.
-
-    ``nodes`` has ``f, g, n, node`` and, after the first round, ``root``; nodes with one root do not meet.
-    """
-    columns = nodes.columns
+        order = np.argsort(apart[fit], kind="stable")
+        if len(order):
+            yield x[fit][order], y[fit][order]
+
+
+def candidates(nodes: DataFrame, radius: int, similarity: float, n: int) -> DataFrame:
+    """Pairs ``a, b`` of nodes (``f, g, n, node``) to check; a row without ``b`` says that ``a`` has too many and is held back."""
+    width = len(nodes.columns)
 
     def run(batches):
-        now, host, forest, told = None, None, Forest(), set()
+        now, host, told = None, None, set()
         for batch in batches:
             lists = batch.column(3)
             bounds = lists.offsets.to_numpy()
             values = lists.values.to_numpy(zero_copy_only=False)
             for i, at in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]))):
-                members = values[bounds[i] : bounds[i + 1]].reshape(-1, len(columns))
+                members = values[bounds[i] : bounds[i + 1]].reshape(-1, width)
+                members = members[by_population(np.ascontiguousarray(members[:, 0]))]
                 if at[2] == 0:
-                    now, host, forest, told = at[:2], members.copy(), Forest(), set()
+                    now, host, told = at[:2], members, set()
                 if at[:2] != now:
                     raise ValueError("a tile came before its host")
-                for a, b, held in meet(host, host if at[2] == 0 else members, radius, similarity, forest, turn):
-                    forest.links = []
-                    held = [v for v in held.tolist() if v not in told]
-                    told.update(held)
-                    yield pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *held], pa.int64()), pa.array([*b.tolist(), *[None] * len(held)], pa.int64())], ["a", "b"])
+                # a host is followed by itself as its first guest: it comes once, as host
+                for x, y in near(host, members, radius, similarity, at[2] == 0):
+                    a, b = host[x, 3], members[y, 3]
+                    met = np.unique(np.concatenate([a, b]))
+                    held = np.empty(0, np.int64)
+                    if len(a) > SPARE * len(met):
+                        held = np.array([v for v in met.tolist() if v not in told], np.int64)
+                        told.update(held.tolist())
+                        a, b = a[:0], b[:0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, held])), pa.array([*b.tolist(), *[None] * len(held)], pa.int64())], ["a", "b"])
+
+    return dealt(nodes, nodes.columns, radius, n).mapInArrow(run, "a bigint, b bigint")
+
+
+class ShingleTile:
+    """Texts of a tile with all their shingles: rows ``f, g, n, node, root`` by population count, ``sets`` beside."""
 
-    return dealt(nodes, columns, radius, n).mapInArrow(run, "a bigint, b bigint")
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        self.cache: dict[int, np.ndarray] = {}
+
+    def add(self, rows: np.ndarray, slices: list[np.ndarray]) -> None:
+        self.parts.append((rows, slices))
+
+    def close(self) -> "ShingleTile":
+        """Put the slices of each text together; they come one after the other."""
+        rows, slices = np.concatenate([r for r, _ in self.parts]), [v for _, s in self.parts for v in s]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:, 3] != rows[:-1, 3]]))
+        stops = [*first[1:].tolist(), len(rows)]
+        sets = [np.sort(np.concatenate(slices[a:b])) for a, b in zip(first.tolist(), stops)]
+        order = by_population(np.ascontiguousarray(rows[first, 0]))
+        self.rows, self.sets, self.parts = rows[first][order], [sets[i] for i in order.tolist()], []
+        return self
+
+    def counts(self, buckets: int) -> np.ndarray:
+        """How many shingles each text has in each hash bucket."""
+        if buckets not in self.cache:
+            sizes = np.array([len(s) for s in self.sets])
+            text = np.repeat(np.arange(len(self.sets)), sizes)
+            bucket = (np.concatenate(self.sets).view(np.uint64) >> np.uint64(20)) & np.uint64(buckets - 1)
+            table = np.bincount(text * buckets + bucket.astype(np.int64), minlength=len(self.sets) * buckets)
+            self.cache = {buckets: table.astype(np.min_scalar_type(int(table.max(initial=0)))).reshape(-1, buckets)}
+        return self.cache[buckets]
+
+    def buckets(self) -> int:
+        """About twice the shingles of a text, a power of two."""
+        mean = sum(map(len, self.sets)) / len(self.sets)
+        return 1 << int(np.clip(np.ceil(np.log2(2 * mean + 1)), 6, 13))
+
+
+def confirm(host: ShingleTile, guest: ShingleTile, radius: int, similarity: float, forest: Forest) -> None:
+    """Add the confirmed links of two tiles to ``forest``: pairs in one tree are left out, and those that a bound excludes."""
+    buckets = max(host.buckets(), guest.buckets())
+    for x, y in near(host.rows, guest.rows, radius, similarity, host is guest):
+        for low in range(0, len(x), 4096):
+            p, q = x[low : low + 4096], y[low : low + 4096]
+            both = host.rows[p, 2] + guest.rows[q, 2]
+            most = np.minimum(host.counts(buckets)[p], guest.counts(buckets)[q]).sum(axis=1, dtype=np.int64)
+            able = most >= similarity * (both - most) - 1e-9
+            for i, j, n in zip(p[able].tolist(), q[able].tolist(), both[able].tolist()):
+                a, b = int(host.rows[i, 4]), int(guest.rows[j, 4])
+                if forest.root(a) != forest.root(b):
+                    shared = len(np.intersect1d(host.sets[i], guest.sets[j], assume_unique=True))
+                    if shared >= similarity * (n - shared):
+                        forest.add(a, b)
+
+
+def confirmed_in_tiles(held: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Confirmed links ``a, b`` between roots of ``held`` (``f, g, n, node, root, shingles``): enough to connect all that is connected.
+
+    A tile is a share of the texts of one population count with some ``HEAVY_TILE`` shingles; each meets itself and the tiles
+    within the radius.
+    """
+    placed = held.withColumn("cell", F.bit_count("f").cast("int"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.sum("n") / HEAVY_TILE).alias("tiles"))
+    sliced = F.expr(f"explode(transform(sequence(0, greatest(size(shingles) - 1, 0), {SLICE}), i -> slice(shingles, i + 1, {SLICE})))")
+    placed = placed.join(sizes, "cell").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiles = staged(placed.select("cell", "tile", "f", "g", "n", "node", "root", sliced.alias("slice")), "heavy-tiles")
+    index = tiles.select("cell", "tile").distinct()
+    steps = F.explode(F.sequence(F.col("cell"), F.least(F.col("cell") + radius, F.lit(BITS)))).alias("cell")
+    to = index.select(F.col("cell").alias("at_cell"), F.col("tile").alias("at_tile"), "cell").select("at_cell", "at_tile", steps)
+    pairs = to.join(index, "cell").where("cell > at_cell or tile >= at_tile")
+    rows = tiles.join(pairs, ["cell", "tile"])
+    own = (F.col("cell") == F.col("at_cell")) & (F.col("tile") == F.col("at_tile"))
+    rows = rows.select("at_cell", "at_tile", (~own).cast("int").alias("guest"), "cell", "tile", "f", "g", "n", "node", "root", "slice")
+    ordered = rows.repartition("at_cell", "at_tile").sortWithinPartitions("at_cell", "at_tile", "guest", "cell", "tile", "node")
+
+    def run(batches):
+        at, name, host, tile, forest = None, None, None, None, None
+
+        def settle():
+            """The tile that came last is complete: it is the host, or meets the host."""
+            nonlocal host
+            tile.close()
+            host = tile if host is None else host
+            confirm(host, tile, radius, similarity, forest)
+
+        def told():
+            links, forest.links = forest.links, []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]], axis=1)
+            members = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[5:10]], axis=1)
+            bounds, values = batch.column(10).offsets.to_numpy(), batch.column(10).values.to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                key = tuple(keys[low].tolist())
+                if key != name:
+                    if name is not None:
+                        settle()
+                    if key[:2] != at:
+                        if forest is not None:
+                            yield told()
+                        if key[2]:
+                            raise ValueError("a tile came before its host")
+                        at, host, forest = key[:2], None, Forest()
+                    name, tile = key, ShingleTile()
+                tile.add(members[low:high].copy(), [values[bounds[i] : bounds[i + 1]].copy() for i in range(low, high)])
+        if name is not None:
+            settle()
+            yield told()
+
+    return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -360,20 +464,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def similar_links(prints: DataFrame, docs: DataFrame, radius: int, similarity: float) -> DataFrame:
     """Confirmed links between the texts of ``docs``, enough to connect all candidates that can be confirmed."""
     nodes = staged(prints.select(F.col("p").alias("f"), "g", "n", F.col("row_key").alias("node")).distinct(), "nodes")
-    turn, open_, found, sets = 1, nodes, [], None
-    while n := open_.count():
-        tried = staged(candidates(open_, radius, similarity, turn, n).distinct(), "candidates")
-        if sets is None:
-            sets = shingle_sets(tried.select(F.col("a").alias("node")).union(tried.where("b is not null").select("b")).distinct(), prints, docs)
-        found.append(staged(confirmed(tried.where("b is not null"), sets, similarity), "links"))
-        held = tried.where("b is null").select(F.col("a").alias("node"))
-        if held.isEmpty():
-            break
-        roots = components(reduce(DataFrame.union, found))
-        held = nodes.join(held.distinct(), "node").join(roots, "node", "left")
-        open_ = staged(held.select("f", "g", "n", "node", F.coalesce("root", "node").alias("root")), "nodes")
-        turn += 1
-    return reduce(DataFrame.union, found) if found else nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    tried = staged(candidates(nodes, radius, similarity, nodes.count()).distinct(), "candidates")
+    pairs, held = tried.where("b is not null"), tried.where("b is null").select(F.col("a").alias("node")).distinct()
+    sets = shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(held).distinct(), prints, docs)
+    found = staged(confirmed(pairs, sets, similarity), "links")
+    roots = components(found)
+    heavy = nodes.join(held, "node").join(roots, "node", "left").select("f", "g", "n", "node", F.coalesce("root", "node").alias("root"))
+    return found.union(staged(confirmed_in_tiles(heavy.join(sets, "node").select("f", "g", "n", "node", "root", "shingles"), radius, similarity), "links"))
 
 
 def classes(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str = "text", words: int = 3, similarity: float | None = None) -> DataFrame:

@@ -366,9 +366,10 @@ def plain_classes(texts, similarity=0.8):
     return root
 
 
-@pytest.mark.parametrize("tile, spare, rounds", [(2048, 4, 8), (16, 0, 2)])
-def test_similar_classes_equal_all_pairs(spark, monkeypatch, tile, spare, rounds):
-    for name, value in (("TILE", tile), ("SPARE", spare), ("ROUNDS", rounds)):
+@pytest.mark.parametrize("tile, spare, heavy, cut", [(2048, 4, 1 << 21, 1024), (16, 0, 3000, 50), (2048, 1000, 1 << 21, 1024)])
+def test_similar_classes_equal_all_pairs(spark, monkeypatch, tile, spare, heavy, cut):
+    """Candidates held back in part, all of them, and none of them."""
+    for name, value in (("TILE", tile), ("SPARE", spare), ("HEAVY_TILE", heavy), ("SLICE", cut)):
         monkeypatch.setattr(simhash, name, value)
     rng = random.Random(5)
     vocabulary = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(2000)]
@@ -387,6 +388,29 @@ def test_similar_classes_equal_all_pairs(spark, monkeypatch, tile, spare, rounds
     assert [r.component_id for r in got] == want
 
 
+def test_large_group_mostly_below_the_similarity(spark):
+    """2,000 texts around one passage: all of them candidates of each other, few near copies."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(2000)]
+    shared, texts = rng.choices(vocabulary, k=90), []
+    for i in range(2000):
+        if i % 50 == 1:
+            words = texts[-1].split(" ")
+            words[rng.randrange(len(words))] = "edited"
+        else:
+            words = shared + rng.choices(vocabulary, k=40)
+        texts.append(" ".join(words))
+    sets, want = shingled(texts), list(range(len(texts)))
+    for i in range(1, len(texts), 50):
+        assert len(sets[i] & sets[i - 1]) >= 0.8 * len(sets[i] | sets[i - 1])
+        want[i] = i - 1
+    prints = simhash.with_both_fingerprints(frame(spark, texts).select(F.xxhash64("text").alias("row_key"), "text"))
+    nodes = prints.select(F.col("p").alias("f"), "g", "n", F.col("row_key").alias("node"))
+    assert simhash.candidates(nodes, 18, 0.8, 2000).where("b is null").count() > 1000
+    got = simhash.classes(frame(spark, texts), radius=18, similarity=0.8).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == want
+
+
 def appended(seed, words, low, high, pairs=40):
     """Texts of random words, each followed by itself with more words at its end."""
     rng = random.Random(seed)
@@ -411,7 +435,7 @@ def test_long_texts_are_judged_by_all_shingles(spark):
 
 def test_registered_queries_and_columns(spark):
     names = [n for n in __spark_entry__.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
     scored = queries.op1_toxicity(spark, SMALL)
     assert scored.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
     assert scored.where("score not between 0 and 1 or predicted <> cast(score >= 0.7 as int)").count() == 0
