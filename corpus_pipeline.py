@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolegrid.llm import decontaminate, language, line_dedup, mixing, simhash
-from rolegrid.llm.common import staged
+from rolegrid.llm.common import free_name, staged
 
 
 #: A document whose shortest code is no better than eight bits a byte is in no learned language.
@@ -18,9 +18,10 @@ MOST_BITS = 8.0
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those that no learned language can code, go; ``lang`` becomes the prediction."""
     model = language.fit(docs.where(~F.coalesce(language.fold_of("doc_id", 4) == 2, F.lit(False))))
-    found = language.with_language(docs, model, "found")
-    known = found.where((F.col("found.lang") != language.UNKNOWN) & (F.col("found.bits") < MOST_BITS))
-    return known.withColumn("lang", F.col("found.lang")).drop("found")
+    name = free_name(docs, "found")
+    found = language.with_language(docs, model, name)
+    known = found.where((F.col(f"{name}.lang") != language.UNKNOWN) & (F.col(f"{name}.bits") < MOST_BITS))
+    return known.withColumn("lang", F.col(f"{name}.lang")).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
