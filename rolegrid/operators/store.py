@@ -1,21 +1,18 @@
 """The postings table: upsert, lifecycle, scores, prompts.
 
-The table is a plain snapshot; every operator takes the current table and returns the next one. See
-``sources.tables`` for how snapshots are written and published.
+Every operator takes the current table and returns the next one. ``sources.tables`` keeps such a table in buckets, of which
+only the changed ones are written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolegrid.functions.text import fold, non_empty
 from rolegrid.operators import review, scoring
-from rolegrid.operators.components import components, shared_key_edges
 from rolegrid.operators.dedupe import greedy_keep
+from rolegrid.operators.lookups import replay_lookups
 from rolegrid.operators.matching import with_search_text
 from rolegrid.schemas import DEFAULT_RULES, LISTING_ONLY_PREFIX, METADATA_COLUMNS, POSTING, RULE_LISTS
 from rolegrid.session import stage
@@ -96,82 +93,7 @@ def _merged_struct(old: Column, new: Column) -> Column:
 
 # ---- upsert ------------------------------------------------------------------------------------------
 #
-# An upsert looks up one incoming row after the other: by url first, then by source id, in the store as the rows
-# before have left it. What a row meets depends on keys alone, and only on rows it is connected with by shared
-# keys. So the lookups are replayed in order on narrow key rows, each connected component by itself; what the rows
-# then make of the posting they meet is an aggregate for each field.
-
-REPLAYED = "ord {kind}, target string, action string"
-
-
-def _keys(df: DataFrame) -> Column:
-    identity = F.when(F.col("source_job_id") != "", F.concat(F.lit("i:"), "source_site", F.lit(":"), "source_job_id"))
-    return F.array_compact(F.array(F.concat(F.lit("u:"), "url"), identity))
-
-
-def _replay():
-    """Sequential lookups; built here so that it travels to the executors with the job."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, at, held = None, {}, {}
-        for batch in batches:
-            out = []
-            rows = zip(*(batch.column(n).to_pylist() for n in ("component", "stored", "ord", "row", "url", "source_site", "source_job_id")))
-            for component, stored, order, row, url, site, job in rows:
-                if component != now:
-                    now, at, held = component, {}, {}  # at: key -> posting; held: posting -> its keys and source id
-                job = job or None
-                by_url = at.get(("u", url))
-                by_id = at.get(("i", site, job)) if job else None
-                if not stored and by_url and by_id and by_url != by_id:
-                    out.append((order, None, "conflict"))
-                    continue
-                target = row if stored else by_url or by_id or row
-                known = target in held
-                old_keys, old_job = held.get(target, ((), None))
-                for key in old_keys:
-                    if at.get(key) == target:
-                        del at[key]
-                job = job or old_job
-                keys = (("u", url),) + ((("i", site, job),) if job else ())
-                held[target] = keys, job
-                for key in keys:
-                    at.setdefault(key, target) if stored else at.__setitem__(key, target)
-                if not stored:
-                    out.append((order, target, "updated" if known else "inserted"))
-            if out:
-                orders, targets, actions = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(orders, batch.schema.field("ord").type), pa.array(targets, pa.string()), pa.array(actions, pa.string())], ["ord", "target", "action"]
-                )
-
-    return run
-
-
-def replay_lookups(store: DataFrame, batch: DataFrame, order: str) -> DataFrame:
-    """``ord, target, action`` for each incoming row: the posting it meets and whether that inserted, updated or is
-    in conflict (JN9). Targets are ``s<id>`` for stored rows and ``n<order>`` for the row that inserts a posting.
-
-    A row in conflict meets one posting by url and another by source id; it changes nothing. Stored rows come in
-    only if they share a key with the batch. A task holds the keys of one component at a time.
-    """
-    narrow = ["url", "source_site", "source_job_id"]
-    # a key met only in the middle of the batch still is a key of some incoming row, so batch keys find all stored rows
-    incoming = batch.select(F.concat(F.lit("n"), F.col(order).cast("string")).alias("row"), F.col(order).alias("ord"), *narrow)
-    keys = incoming.select(F.explode(_keys(incoming)).alias("key")).distinct()
-    kept = store.select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("row"), F.lit(None).cast(batch.schema[order].dataType).alias("ord"), "id", *narrow)
-    touched = kept.select("row", F.explode(_keys(kept)).alias("key")).join(keys, "key", "left_semi").select("row").distinct()
-    rows = stage(
-        incoming.withColumns({"stored": F.lit(False), "id": F.lit(None).cast("bigint")})
-        .unionByName(kept.join(touched, "row", "left_semi").withColumn("stored", F.lit(True)).withColumn("id", F.col("id").cast("bigint"))),
-        "lookups",
-    )
-    pairs = rows.select("row", F.explode(_keys(rows)).alias("key"))
-    tied = components(shared_key_edges(pairs, "row", "key"))
-    placed = rows.join(tied, rows["row"] == tied["node"], "left").withColumn("component", F.coalesce("root", "row")).drop("node", "root")
-    ordered = placed.repartition("component").sortWithinPartitions("component", F.desc("stored"), "id", "ord")
-    kind = batch.schema[order].dataType.simpleString()
-    return ordered.mapInArrow(_replay(), REPLAYED.format(kind=kind))
+# Which posting each incoming row meets is found by ``lookups``; what the rows then make of it is an aggregate for each field.
 
 
 def fold_updates(rows: DataFrame, target: str, order: str) -> DataFrame:
@@ -223,12 +145,13 @@ def dense_ids(rows: DataFrame, order: str, start: int) -> DataFrame:
     return placed.join(F.broadcast(shifts), "_part").withColumn("id", inside + F.col("_shift") + F.lit(start - 1)).drop("_part", "_shift")
 
 
-def upsert_postings(store: DataFrame, incoming: DataFrame, order: str = "seq") -> dict[str, DataFrame]:
+def upsert_postings(store: DataFrame, incoming: DataFrame, order: str = "seq", last_id: int | None = None) -> dict[str, DataFrame]:
     """Insert new postings, update known ones, as if row by row in order (SK5).
 
-    Returns ``store`` (the next table), ``outcome`` (``order``, ``action``: inserted, updated or conflict, one row
-    for each incoming row) and ``conflicts`` (the incoming rows in conflict; they change nothing). Incoming urls are
-    expected in canonical form; the order has to be unique.
+    Returns ``store`` (the next table: ``kept``, stored postings with their changes, and ``added`` ones), ``changed`` (the ids
+    that incoming rows met), ``outcome`` (``order``, ``action``: inserted, updated or conflict, one row for each
+    incoming row) and ``conflicts`` (the incoming rows in conflict; they change nothing). Incoming urls are expected in
+    canonical form; the order has to be unique. New ids follow ``last_id``, by default the greatest one of the store.
     """
     store = store.select("id", *STORED)
     batch = stage(to_store_columns(incoming).select(order, *STORED), "incoming")
@@ -238,11 +161,16 @@ def upsert_postings(store: DataFrame, incoming: DataFrame, order: str = "seq") -
     old = folded.where(F.col("target").startswith("s")).select(F.col("target").substr(F.lit(2), F.length("target")).cast(store.schema["id"].dataType).alias("id"), F.struct(*STORED).alias("new"))
     pieces = store.join(old, "id", "left").withColumn("row", F.struct(*STORED))
     kept = pieces.select("id", F.when(F.col("new").isNull(), F.col("row")).otherwise(_merged_struct(F.col("row"), F.col("new"))).alias("row")).select("id", "row.*")
-    last_id = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    if last_id is None:
+        last_id = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     fresh = folded.where(F.col("target").startswith("n")).withColumnRenamed("first_order", order)
     added = dense_ids(fresh.select(order, *STORED), order, last_id + 1)
+    kept, added = kept.select("id", *STORED), added.select("id", *STORED)
     return {
-        "store": kept.select("id", *STORED).unionByName(added.select("id", *STORED)),
+        "store": kept.unionByName(added),
+        "kept": kept,
+        "added": added,
+        "changed": old.select("id"),
         "outcome": met.select(F.col("ord").alias(order), "action"),
         "conflicts": rows.where("action = 'conflict'").select(order, *STORED),
     }

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rolegrid.operators.dedupe import canonicalize_postings
-from rolegrid.operators.store import upsert_postings
-from rolegrid.sources.tables import SnapshotTable
+from rolegrid.sources.tables import BucketTable
 
 
-def stream_upserts(postings: DataFrame, table: SnapshotTable, checkpoint: str, order: str = "seq", name: str = "upserts",
+def stream_upserts(postings: DataFrame, table: BucketTable, checkpoint: str, order: str = "seq", name: str = "upserts",
                    **trigger) -> StreamingQuery:
-    """Upsert every micro-batch of extracted postings into a snapshot table (SM1).
+    """Upsert every micro-batch of extracted postings into a stored table, of which it reads and writes the touched buckets (SM1).
 
     A batch that is replayed after a failure is recognized by the id of the query, which belongs to its checkpoint,
     and its number, and is skipped. A new checkpoint under an old name starts a new count.
@@ -23,11 +22,8 @@ def stream_upserts(postings: DataFrame, table: SnapshotTable, checkpoint: str, o
 
     def apply(batch: DataFrame, number: int) -> None:
         query = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-        label = f"{name}-{query}-{number}"
-        if batch.isEmpty() or table.committed(label):
-            return
-        result = upsert_postings(table.read(), canonicalize_postings(batch), order)
-        table.publish(result["store"], batch=label)
+        if not batch.isEmpty():
+            table.upsert(canonicalize_postings(batch), order, batch=(f"{name}-{query}", number))
 
     writer = postings.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).queryName(name)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

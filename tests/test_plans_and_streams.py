@@ -15,7 +15,7 @@ from rolegrid.schemas import DECISION_LOG, DISCOVERY_QUERY, POSTING
 from rolegrid.sources import metadata, readers, sinks
 from rolegrid.sources import pages as page_source
 from rolegrid.sources.page_store import open_page_store, wanted_pages, write_page_store
-from rolegrid.sources.tables import SnapshotTable
+from rolegrid.sources.tables import BucketTable
 from rolegrid.streaming import live
 from tests.test_store import batch, posting, table
 
@@ -158,7 +158,7 @@ def test_metadata(spark):
 
 
 def test_upsert_stream_is_idempotent(spark, tmp_path):
-    source, target = str(tmp_path / "in"), SnapshotTable(spark, str(tmp_path / "store"), POSTING)
+    source, target = str(tmp_path / "in"), BucketTable(spark, str(tmp_path / "store"), buckets=4)
     batch(spark, [posting(url="https://x.test/1/?utm_a=b", job_id="A"), posting(url="https://x.test/2")]).write.parquet(source)
     schema = spark.read.parquet(source).schema
 

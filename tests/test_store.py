@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from rolegrid.operators import lookups
 from rolegrid.operators import store as S
 from rolegrid.operators.store import STORED
 from rolegrid.schemas import POSTING
@@ -120,6 +121,37 @@ def test_moving_urls_and_ids_equal_one_row_at_a_time(spark, seed):
     same_as_sequential(spark, stored, incoming)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_segments_equal_one_row_at_a_time(spark, monkeypatch, seed):
+    """One hot id, moving urls and conflicts, cut in segments of seven rows that are replayed in parallel."""
+    monkeypatch.setattr(lookups, "SEGMENT", 7)
+    rng = random.Random(100 + seed)
+    stored = [posting(1, "u0", "hot"), posting(2, "u1", None), posting(3, "u2", "j1")][: seed + 1]
+    incoming = [
+        posting(url=f"u{rng.randrange(6 + 4 * seed)}", job_id=rng.choice(["hot", "hot", "hot", None, "j1", f"j{rng.randrange(4)}"]), title=f"t{n}")
+        for n in range(80)
+    ]
+    incoming += [posting(url="u3", job_id="hot", title=f"same{n}") for n in range(30)]
+    same_as_sequential(spark, stored, incoming)
+    found = lookups.replay_lookups(table(spark, stored), batch(spark, incoming), "seq")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # the segments' results are there, no task is left that replays a whole component
+
+
+def test_stored_postings_that_share_a_key(spark, monkeypatch):
+    """A component in which two stored postings have one key is never cut; the first one holds the key."""
+    monkeypatch.setattr(lookups, "SEGMENT", 3)
+    stored = [posting(1, "u0", "a"), posting(2, "u0", "b")]
+    incoming = [posting(url=u, job_id=j, title=f"{u}{j}{n}") for n in range(4) for u, j in (("u0", None), ("u1", "b"), ("u2", "a"), ("u1", None))]
+    found = lookups.replay_lookups(table(spark, stored), batch(spark, incoming), "seq")
+    plain, want = lookups.Lookups(), {}
+    for r in stored:
+        plain.put(f"s{r['id']}", r["url"], r["source_site"], r["source_job_id"])
+    for n, r in enumerate(incoming, 1):
+        want[n] = plain.meet(f"n{n}", r["url"], r["source_site"], r["source_job_id"])
+    assert {r.ord: (r.target, r.action) for r in found.collect()} == want
+
+
 def test_rows_that_chain(spark):
     """Urls that move along rows of one batch, and four rows that meet one stored posting."""
     empty = same_as_sequential(spark, [], [posting(url="v1", job_id="a"), posting(url="v2", job_id="a"), posting(url="v2", job_id="c")])
