@@ -42,7 +42,7 @@ BITS = 64
 #: Fingerprints of one cell that are compared as one tile.
 TILE = 2048
 #: Candidates for each text of a block that are confirmed by a join; beyond that the texts are held back.
-SPARE = 4
+SPARE = 2
 #: Shingles of the texts of a tile that travels with its shingles, and of a row on the way.
 HEAVY_TILE, SLICE = 1 << 21, 1024
 
@@ -286,7 +286,15 @@ def candidates(nodes: DataFrame, radius: int, similarity: float, n: int) -> Data
     width = len(nodes.columns)
 
     def run(batches):
-        now, host, told = None, None, set()
+        now, host, told, spare = None, None, set(), []
+
+        def settle():
+            """The host has met all its guests. A pair of two texts that are held back meets in the next pass."""
+            a, b = (np.concatenate([s[i] for s in spare]) if spare else np.empty(0, np.int64) for i in (0, 1))
+            held = np.array(sorted(told), np.int64)
+            open_ = ~(np.isin(a, held) & np.isin(b, held))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[open_], held])), pa.array([*b[open_].tolist(), *[None] * len(held)], pa.int64())], ["a", "b"])
+
         for batch in batches:
             lists = batch.column(3)
             bounds = lists.offsets.to_numpy()
@@ -295,19 +303,21 @@ def candidates(nodes: DataFrame, radius: int, similarity: float, n: int) -> Data
                 members = values[bounds[i] : bounds[i + 1]].reshape(-1, width)
                 members = members[by_population(np.ascontiguousarray(members[:, 0]))]
                 if at[2] == 0:
-                    now, host, told = at[:2], members, set()
+                    if now is not None:
+                        yield settle()
+                    now, host, told, spare = at[:2], members, set(), []
                 if at[:2] != now:
                     raise ValueError("a tile came before its host")
                 # a host is followed by itself as its first guest: it comes once, as host
                 for x, y in near(host, members, radius, similarity, at[2] == 0):
                     a, b = host[x, 3], members[y, 3]
                     met = np.unique(np.concatenate([a, b]))
-                    held = np.empty(0, np.int64)
                     if len(a) > SPARE * len(met):
-                        held = np.array([v for v in met.tolist() if v not in told], np.int64)
-                        told.update(held.tolist())
-                        a, b = a[:0], b[:0]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, held])), pa.array([*b.tolist(), *[None] * len(held)], pa.int64())], ["a", "b"])
+                        told.update(met.tolist())
+                    else:
+                        spare.append((a, b))
+        if now is not None:
+            yield settle()
 
     return dealt(nodes, nodes.columns, radius, n).mapInArrow(run, "a bigint, b bigint")
 
