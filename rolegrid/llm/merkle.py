@@ -207,7 +207,8 @@ def witnessed(docs: DataFrame, fields: Sequence[str] = FIELDS, key: str = "doc_i
     and ``group_place, groups``: the place of the subroot."""
     carry = carry or {}
     rows = docs.select(F.col(key).alias("key"), F.col(group).alias("grp"), leaf([F.col(f) for f in fields]).alias("digest"), *(c.alias(n) for n, c in carry.items()))
-    nodes = staged(numbered(rows, "grp", ["key", "digest"]), "leaves")
+    # written first: the range sort looks at its rows twice, and texts should be hashed once
+    nodes = staged(numbered(staged(rows, "hashed"), "grp", ["key", "digest"]), "leaves")
     above = above_blocks(block_roots(nodes))
     subroots = above.where("place = 0").select(F.lit(0).alias("grp"), F.col("grp").alias("name"), F.col("top").alias("digest"))
     subroots = staged(numbered(subroots, "grp", ["name"]), "subroots")
