@@ -8,14 +8,13 @@ keys is kept, rows sharing a key with a kept row are dropped, the rest goes into
 
 Only ``(order, key)`` pairs move, never the payload. Each round starts with ``groupBy(key)`` minimum and
 count, which Spark combines before the shuffle, so a key held by a third of all rows costs one row per map
-task. A kept row is recognized by the number of keys it won; no join back to the hot key is needed.
+task. A kept row is recognized by the number of keys it won; no join back to the hot key is needed. Chains, in which
+each row waits for the one before, are decided by jumping pointers, in a number of steps that grows with the logarithm of
+their length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +23,8 @@ from rolegrid.functions.urls import canonical_url
 from rolegrid.operators.skew import heavy_keys, salted_join
 from rolegrid.session import stage
 
-# Long chains of keys can need one round per row. After this many rounds a remainder that is proven small
-# is finished by an ordered scan in one task; a larger one goes on in rounds.
-ROUNDS_BEFORE_SCAN = 12
-SCAN_LIMIT = 200_000
+# Rounds after which chains are looked for as well; most tables are done before.
+CONTRACT_AFTER = 2
 
 
 def canonicalize_postings(postings: DataFrame) -> DataFrame:
@@ -35,7 +32,7 @@ def canonicalize_postings(postings: DataFrame) -> DataFrame:
     return postings.withColumn("url", canonical_url("url", "source_site"))
 
 
-def _round(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _round(pairs: DataFrame, contract: bool) -> tuple[DataFrame, DataFrame | None]:
     """One round over ``(ord, n_keys, key)``: returns kept orders and what is still undecided, if any."""
     per_key = stage(
         pairs.groupBy("key").agg(
@@ -51,29 +48,46 @@ def _round(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     shared = per_key.where(F.col("n") > 1)
     if shared.isEmpty():
         return kept, None
-    taken = shared.join(kept, "ord", "left_semi").select("key")
-    hit = salted_join(pairs, taken, "key", "left_semi", heavy_keys(shared, "key"), spread="ord")
-    decided = hit.select("ord").unionByName(kept).distinct()
+    heavy = heavy_keys(shared, "key")
+    if contract:
+        chained = _chains(pairs, shared, heavy)
+        kept = stage(kept.unionByName(chained.where("kept").select("ord")).distinct(), "kept")
+        taken = pairs.join(kept, "ord", "left_semi").select("key").distinct()
+        decided = kept.unionByName(chained.select("ord"))
+    else:
+        taken, decided = shared.join(kept, "ord", "left_semi").select("key"), kept
+    hit = salted_join(pairs, taken, "key", "left_semi", heavy, spread="ord")
+    decided = hit.select("ord").unionByName(decided).distinct()
     return kept, pairs.join(decided, "ord", "left_anti")
 
 
-def _ordered_scan():
-    """The bounded last step; built here so that it travels to the executors with the job."""
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = pd.concat(list(frames), ignore_index=True)
-        used: set[str] = set()
-        kept = []
-        for order, keys in pairs.groupby("ord", sort=True)["key"]:
-            if used.isdisjoint(keys):
-                kept.append(order)
-                used.update(keys)
-        yield pd.DataFrame({"ord": pd.Series(kept, dtype=pairs["ord"].dtype)})
-
-    return scan
+def _chains(pairs: DataFrame, shared: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """``ord, kept`` of the rows at the end of chains, however long these are.
 
-
-def greedy_keep(rows: DataFrame, order: str, keys: Column, rounds_before_scan: int = ROUNDS_BEFORE_SCAN) -> DataFrame:
+    A row whose only earlier neighbour is one row, tied by keys that no third row has, is kept exactly if that row
+    is dropped. Such rows point to their neighbour; pointers jump to the pointer's own target, doubling their
+    length, until they end at a row that comes first on all of its keys, and so is kept, or at one that has to
+    wait. Which of the two a row gets depends on the parity of the way.
+    """
+    tied = salted_join(pairs.select("ord", "key"), shared.select("key", F.col("ord").alias("first"), "n"), "key", "left", heavy, spread="ord")
+    later = F.col("n").isNotNull() & (F.col("first") != F.col("ord"))
+    rows = tied.groupBy("ord").agg(
+        F.min(F.when(later, F.col("first"))).alias("to"), F.max(F.when(later, F.col("first"))).alias("other"), F.bool_or(later & (F.col("n") > 2)).alias("crowded")
+    )
+    rows = stage(rows, "neighbours")
+    first = rows.where("to IS NULL").select("ord")
+    ways = stage(rows.where("NOT crowded AND to = other").select("ord", "to", F.lit(True).alias("odd"), F.lit(False).alias("ended")), "ways")
+    while not (open_ := ways.where("NOT ended")).isEmpty():
+        ahead = ways.select(F.col("ord").alias("to"), F.col("to").alias("far"), F.col("odd").alias("more"), F.col("ended").alias("end"))
+        odd = F.col("odd") != F.coalesce("more", F.lit(False))
+        # a row that waits, or comes first, is no pointer itself: the way ends there
+        jumped = open_.join(ahead, "to", "left").select("ord", F.coalesce("far", "to").alias("to"), odd.alias("odd"), F.coalesce("end", F.lit(True)).alias("ended"))
+        ways = stage(ways.where("ended").unionByName(jumped), "ways")
+    settled = ways.join(first.withColumnRenamed("ord", "to"), "to", "left_semi").select("ord", (~F.col("odd")).alias("kept"))
+    return stage(settled, "chains")
+
+
+def greedy_keep(rows: DataFrame, order: str, keys: Column, contract_after: int = CONTRACT_AFTER) -> DataFrame:
     """Order values of the rows that survive, as one column ``ord`` (DD1).
 
     ``order`` has to be unique; ``keys`` is an array of non-null strings. A row without keys survives.
@@ -85,18 +99,14 @@ def greedy_keep(rows: DataFrame, order: str, keys: Column, rounds_before_scan: i
     survivors = keyless
     done = 0
     while True:
-        kept, left = _round(pairs)
+        kept, left = _round(pairs, contract=done >= contract_after)
         survivors = survivors.unionByName(kept)
         if left is None:
             return survivors
         pairs = stage(left, "undecided")
         done += 1
-        open_pairs = pairs.count()
-        if open_pairs == 0:
+        if pairs.isEmpty():
             return survivors
-        if done >= rounds_before_scan and open_pairs <= SCAN_LIMIT:
-            tail = pairs.select("ord", "key").repartition(1).mapInPandas(_ordered_scan(), survivors.schema)
-            return survivors.unionByName(tail)
 
 
 def dedupe_postings(postings: DataFrame, order: str, scope: str | None = None) -> DataFrame:

@@ -47,9 +47,23 @@ def test_any_rows_match_the_scan(spark, lists):
     assert kept(spark, rows) == scan(rows)
 
 
-def test_long_chain_is_finished_by_the_bounded_scan(spark):
-    rows = [(i, [f"c{i}", f"c{i + 1}"]) for i in range(1500)]
-    assert kept(spark, rows, rounds_before_scan=2) == list(range(0, 1500, 2))
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A chain of 20,000 rows, each waiting for the one before: three rounds, and jumps by its logarithm."""
+    rounds, written = [], []
+    monkeypatch.setattr(D, "_round", lambda pairs, contract, plain=D._round: rounds.append(contract) or plain(pairs, contract))
+    monkeypatch.setattr(D, "stage", lambda df, label, plain=D.stage: written.append(label) or plain(df, label))
+    rows = [(i, [f"c{i}", f"c{i + 1}"]) for i in range(20_000)]
+    assert kept(spark, rows) == list(range(0, 20_000, 2))
+    assert len(rounds) <= 4 and written.count("ways") <= 18
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_chains_with_branches_equal_a_scan(spark, seed):
+    """Chains that meet, fork and end at crowded keys."""
+    rng = random.Random(seed)
+    rows = [(i, [f"c{i}", f"c{max(0, i - rng.choice([1, 1, 1, 2, 5]))}", *(["hub"] if rng.random() < 0.03 else [])]) for i in range(60)]
+    rng.shuffle(rows)
+    assert kept(spark, rows, contract_after=seed) == scan(rows)
 
 
 def test_hot_key(spark, monkeypatch):
