@@ -52,11 +52,11 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedupe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept pages; pages of one host with one title, or of one canonical url, are the same."""
     rows = page_rows(spark, sf_dir)
     found = F.array(
-        F.concat(F.lit("h:"), F.regexp_replace(urls.url_host("url"), r"^.*?([^.]+\.[^.]+\.[^.]+)$", "$1"), F.lit("|"), F.substring_index("title", " ", 1)),
+        F.concat(F.lit("h:"), urls.url_host("url"), F.lit("|"), F.col("title")),
         F.concat(F.lit("u:"), urls.canonical_url("url")),
-        F.concat(F.lit("t:"), F.col("title")),
     )
     return dedupe.greedy_keep(rows, "page_id", found).select(F.col("ord").alias("page_id"))
 
@@ -111,11 +111,12 @@ def dedupe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List helpers over small lists made of document columns."""
+    """List helpers over the lines of whole document texts and other document columns."""
     items = F.array(
         "source", F.concat(F.lit("  "), F.upper("source")), "lang", F.upper("lang"), F.lit(" a   B "), F.concat("lang", F.lit("  "), "source"),
         F.upper(F.concat("lang", F.lit(" "), "source")),
     )
+    items = F.concat(items, F.split(F.coalesce("text", F.lit("")), "\n"))
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", text.clean_list(items).alias("l"))
     return rows.select(
         "doc_id", joined("l").alias("cleaned"), joined(text.distinct_ci("l")).alias("distinct_ci"),
@@ -210,8 +211,7 @@ UNION ALL SELECT p_partkey, 4, 'https://linkedin.com/jobs/search?currentJobId='
 UNION ALL SELECT p_partkey, 5, 'https://indeed.com/viewjob?from=%2A~serp&jk=' || k, k, 'www.indeed.com' FROM p
 UNION ALL SELECT p_partkey, 6, 'https://acme.example/a//' || k, k, 'acme.example' FROM p""",
     "dedupe_pages": greedy_sql(
-        f"""SELECT page_id AS id, ['h:' || regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^.*?([^.]+\\.[^.]+\\.[^.]+)$', '\\1') || '|' || split_part(title, ' ', 1),
-  'u:' || {_CANON}, 't:' || title] AS ks
+        f"""SELECT page_id AS id, ['h:' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) || '|' || title, 'u:' || {_CANON}] AS ks
   FROM (SELECT page_id, url, trim(regexp_replace(lower(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '{_WS}', ' ', 'g')) AS title FROM pages)""",
         "page_id",
     ),
@@ -234,13 +234,14 @@ SELECT p_partkey, CASE WHEN p_type <> 'SMALL' THEN 'source:' || lower(p_brand) |
   CASE WHEN p_type <> 'SMALL' THEN lower(p_brand) || ':' || lower(p_type) || '-' || p_partkey END AS identity,
   lower(p_name) || ' x/' || lower(p_brand) || '/' || lower(p_type) AS fallback,
   replace(lower(p_brand), '#', '') AS company_key, replace(lower(p_brand), '#', ' ') AS match_key FROM part""",
-    "keyword_lists": """
-WITH l AS (SELECT doc_id, lang, source, [source, upper(source), lang, upper(lang), 'a B', lang || ' ' || source, upper(lang || ' ' || source)] AS l FROM documents)
-SELECT doc_id, array_to_string(l, ' | ') AS cleaned,
-  array_to_string([source, lang, 'a B', lang || ' ' || source], ' | ') AS distinct_ci,
-  lower(array_to_string([source, lang, 'a B', lang || ' ' || source], ' | ')) AS folded,
-  array_to_string(l, ' | ') AS ordered_union,
-  'my_' || source || '_site' AS slug, lang <> 'de' AS good_slug FROM l""",
+    "keyword_lists": r"""
+WITH r AS (SELECT doc_id, lang, source, list_concat([source, upper(source), lang, upper(lang), 'a B', lang || ' ' || source, upper(lang || ' ' || source)],
+   list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+', ' ', 'g')))) AS l FROM documents),
+c AS (SELECT *, list_transform(l, lambda x: lower(x)) AS low FROM r),
+d AS (SELECT *, array_to_string(list_filter(l, lambda x, i: list_position(low, lower(x)) = i), ' | ') AS ci FROM c)
+SELECT doc_id, array_to_string(l, ' | ') AS cleaned, ci AS distinct_ci, lower(ci) AS folded,
+  array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' | ') AS ordered_union,
+  'my_' || source || '_site' AS slug, lang <> 'de' AS good_slug FROM d""",
     "description_lines": r"""
 SELECT doc_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n FROM (
   SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'),

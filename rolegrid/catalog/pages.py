@@ -203,21 +203,23 @@ def customer_boards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 def _discovered(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     queries, pages = customer_boards(spark, sf_dir)
-    stored = table(spark, sf_dir, "part").where(F.col("p_type") == "PROMO").select(
+    # all parts are stored; promoted ones under the url that boards show, the others under an old one
+    host = F.when(F.col("p_type") == "PROMO", "https://boards.greenhouse.io/all/jobs/").otherwise("https://old.test/p/")
+    stored = table(spark, sf_dir, "part").select(
         (F.col("p_partkey") + 1).alias("id"), F.lit("greenhouse").alias("source_site"), F.lit(None).cast("string").alias("source_job_id"),
-        html("https://boards.greenhouse.io/all/jobs/", F.col("p_partkey")).alias("url"), F.lit("old").alias("title"), F.lit("old").alias("company"),
+        html(host, F.col("p_partkey")).alias("url"), F.lit("old").alias("title"), F.lit("old").alias("company"),
         F.lit("old").alias("location"), F.lit("remote").alias("remote_status"), F.lit("unknown").alias("employment_type"),
         F.lit("unknown").alias("seniority"), F.lit("old").alias("description_text"))
     from rolegrid.operators.store import to_store_columns
 
     at = F.lit("2024-01-01").cast("timestamp")
     store = to_store_columns(stored, at).select(*[f.name for f in POSTING])
-    options = DiscoveryOptions(max_pages=3, enrich_greenhouse_details=True)
+    options = DiscoveryOptions(max_pages=None, enrich_greenhouse_details=True)
     return discover(queries, write_page_store(pages), store, options, seen_at=at)
 
 
 def discover_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of a discovery run over all customers' boards, three pages each."""
+    """Counters of a discovery run over all pages of all customers' boards."""
     return _discovered(spark, sf_dir)["counters"]
 
 
@@ -242,7 +244,7 @@ QUERIES = {
 _WALKED = """
 it AS (SELECT o_custkey AS c, o_orderkey AS o, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 nr AS (SELECT c, o, dense_rank() OVER (PARTITION BY c ORDER BY o) AS nr FROM (SELECT DISTINCT c, o FROM it)),
-seen AS (SELECT it.c, it.p, n.nr FROM it JOIN nr n ON it.c = n.c AND it.o = n.o WHERE nr <= 3),
+seen AS (SELECT c, p FROM it),
 kept AS (SELECT DISTINCT c, p FROM seen),
 promo AS (SELECT p_partkey FROM part WHERE p_type = 'PROMO')"""
 
@@ -290,7 +292,7 @@ w AS (SELECT q, 1 AS hop, o, true AS found, n, nxt, false AS filled, CASE WHEN n
 SELECT q AS query_id, hop, 'o' || o AS url, found, n AS n_items, stop FROM w""",
     "discover_job": f"""
 WITH {_WALKED},
-pg AS (SELECT c, least(max(nr), 3) AS pages FROM nr GROUP BY c), ps AS (SELECT c, count(*) AS parsed FROM seen GROUP BY c),
+pg AS (SELECT c, max(nr) AS pages FROM nr GROUP BY c), ps AS (SELECT c, count(*) AS parsed FROM seen GROUP BY c),
 fst AS (SELECT p, min(CAST(c AS VARCHAR)) AS first_c FROM kept GROUP BY p),
 kp AS (SELECT kept.c, count(*) AS kept, count(*) FILTER (kept.p NOT IN (FROM promo) AND first_c = CAST(kept.c AS VARCHAR)) AS ins FROM kept JOIN fst USING (p) GROUP BY kept.c)
 SELECT CAST(c AS VARCHAR) AS query_id, 'ok' AS status, 1::BIGINT AS queries_attempted, pages AS pages_fetched, 0::BIGINT AS pages_failed, parsed AS jobs_parsed, ins AS jobs_inserted, kept - ins AS jobs_updated,
@@ -301,5 +303,6 @@ WITH {_WALKED}, f AS (SELECT DISTINCT p FROM kept)
 SELECT CASE WHEN p IS NOT NULL THEN p || '?utm_source=b' END AS source_job_id, 'https://boards.greenhouse.io/all/jobs/' || coalesce(p, p_partkey) AS url, CASE WHEN p IS NULL THEN 'old' ELSE 'Part ' || p END AS title,
   CASE WHEN p IS NULL THEN 'old' ELSE 'Detail ' || p END AS location, CASE WHEN p IS NULL THEN 'remote' ELSE 'onsite' END AS remote_status,
   CASE WHEN p IS NULL THEN 'unknown' ELSE 'full_time' END AS employment_type, CASE WHEN p_partkey IS NULL THEN 'Listing-only discovery from Greenhouse jobs page.' ELSE 'old' END AS description_text
-FROM f FULL JOIN promo ON p = p_partkey""",
+FROM f FULL JOIN promo ON p = p_partkey
+UNION ALL SELECT NULL, 'https://old.test/p/' || p_partkey, 'old', 'old', 'remote', 'unknown', 'old' FROM part WHERE p_type <> 'PROMO'""",
 }

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from rolegrid.catalog.common import joined, spread, table
 from rolegrid.catalog.pages import customer_boards, html
 from rolegrid.operators import intents, matching, registry, validate
+from rolegrid.plans.discovery import DiscoveryOptions
 from rolegrid.plans.search import search
 from rolegrid.schemas import CONSTRAINTS, LIST_CONSTRAINTS
+from rolegrid.sources.page_store import write_page_store
 
 
 def _flat(df: DataFrame, *keys: str) -> DataFrame:
@@ -155,7 +157,7 @@ def registry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _searched(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Every customer asks for parts on the board of an order's customer."""
+    """Every customer asks for parts on two boards, of which all pages and details are read."""
     queries, pages = customer_boards(spark, sf_dir)
     boards = queries.select(
         F.concat(F.lit("Firm "), "query_id").alias("company_name"), "source_site", F.col("start_url").alias("board_url"),
@@ -163,7 +165,8 @@ def _searched(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     prompts = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("prompt_id"),
         html("Find backend roles at Firm ", F.col("c_custkey"), " or Firm ", F.col("c_nationkey"), ". avoid part 1", F.col("c_nationkey"), ".").alias("raw_prompt_text"))
-    return search(prompts, boards, spread(pages.where("kind = 'listing'")), now=F.lit("2024-01-01").cast("timestamp"))
+    options = DiscoveryOptions(max_pages=None, enrich_greenhouse_details=True)
+    return search(prompts, boards, write_page_store(pages), options, now=F.lit("2024-01-01").cast("timestamp"))
 
 
 def search_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +273,7 @@ UNION ALL SELECT 'refused', replace(upper(co), '#', ' '), CASE site WHEN 'lever'
 }
 _SEARCH = """
 WITH it AS (SELECT o_custkey AS c, o_orderkey AS o, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-f AS (SELECT DISTINCT it.c, it.o, p FROM it JOIN (SELECT c, min(o) AS o FROM it GROUP BY c) USING (c, o)),
+f AS (SELECT DISTINCT c, b.o, p FROM it JOIN (SELECT c, min(o) AS o FROM it GROUP BY c) b USING (c)),
 ask AS (SELECT c_custkey AS pid, c_nationkey AS nk, b FROM customer, unnest(list_distinct([c_custkey, c_nationkey])) t(b)),
 ev AS (SELECT pid, nk, b, o, p, NOT contains('part ' || p, 'part 1' || nk) AS passed FROM ask JOIN f ON f.c = ask.b)
 """

@@ -77,8 +77,8 @@ def upsert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as matches of parts: what the store of small parts lacks, first line item first."""
-    stored = stored_parts(spark, sf_dir).where(F.col("location") == "SMALL")
+    """Line items as matches of parts: what the store of all parts lacks (those without an id), first line item first."""
+    stored = stored_parts(spark, sf_dir)
     items = table(spark, sf_dir, "lineitem")
     found = items.groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("o")).select(
         F.concat_ws("-", F.lpad(F.col("o").cast("string"), 12, "0"), "l_partkey", "l_suppkey").alias("ord"),
@@ -286,7 +286,7 @@ WITH e AS (SELECT p_partkey + 1 AS id, list_filter([
  ], lambda x: x IS NOT NULL) AS e FROM part)
 SELECT id, list_sum(list_transform(e, lambda x: x.p))::DOUBLE AS score, array_to_string(list_transform(e, lambda x: x.t), ' | ') AS why FROM e""",
     "new_matches": """
-WITH stored AS (SELECT p_partkey, CASE WHEN p_size <= 40 THEN 'J' || p_partkey END AS jid FROM part WHERE p_type = 'SMALL'),
+WITH stored AS (SELECT p_partkey, CASE WHEN p_size <= 40 THEN 'J' || p_partkey END AS jid FROM part),
 f AS (SELECT lpad(CAST(min(l_orderkey) AS VARCHAR), 12, '0') || '-' || l_partkey || '-' || l_suppkey AS ord, 'J' || l_partkey AS jid, 'https://shop.test/p/' || l_partkey || '/' || l_suppkey AS url FROM lineitem GROUP BY l_partkey, l_suppkey)
 SELECT ord, url, jid AS source_job_id FROM f WHERE jid NOT IN (SELECT jid FROM stored WHERE jid IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY jid ORDER BY ord) = 1""",
     "mark_stale": """

@@ -16,11 +16,13 @@ from rolegrid.session import Rounds, stage
 
 
 class PageReader(Protocol):
-    """Reads pages when they are wanted; ``table`` holds ``url, site, next_url, n_items, error`` of all pages read so far."""
+    """Reads pages when they are wanted; its table holds ``url, site, next_url, n_items, error``."""
 
-    def read(self, wanted: DataFrame) -> None: ...
+    def read(self, wanted: DataFrame, most: int) -> None:
+        """Read the pages ``url, site`` of ``wanted``, of which there are ``most`` at most."""
 
-    def table(self) -> DataFrame: ...
+    def table(self) -> DataFrame:
+        """All pages read so far."""
 
 
 def walk_pages(starts: DataFrame, pages: DataFrame | PageReader, max_pages: int | None = 1) -> DataFrame:
@@ -39,12 +41,12 @@ def walk_pages(starts: DataFrame, pages: DataFrame | PageReader, max_pages: int
     steps, stored = Rounds(starts.sparkSession, "steps"), isinstance(pages, DataFrame)
     limit = None if max_pages is None else max(1, max_pages)
     front = starts.select("query_id", "source_site", F.col("start_url").alias("url"), F.lit(False).alias("filled"))
-    hop = 0
-    while True:
+    open_walks, hop = front.count(), 0
+    while open_walks:
         hop += 1
         if not stored:
-            wanted = front.select("url", F.col("source_site").alias("site")).distinct()
-            pages.read(wanted if hop == 1 else wanted.join(pages.table().select("url", "site"), ["url", "site"], "left_anti"))
+            wanted = front.select("url", F.col("source_site").alias("site"))
+            pages.read(wanted if hop == 1 else wanted.join(pages.table().select("url", "site"), ["url", "site"], "left_anti"), open_walks)
         known = pages if stored else pages.table()
         error = F.col("error").isNotNull() if "error" in known.columns else F.lit(False)
         known = known.select("url", F.col("site").alias("source_site"), "next_url", "n_items", F.lit(True).alias("hit"), error.alias("unread"))
@@ -56,28 +58,26 @@ def walk_pages(starts: DataFrame, pages: DataFrame | PageReader, max_pages: int
             .when(~found, "start_missing" if hop == 1 else "page_missing")
             .when((n_items == 0) & F.col("filled"), "empty_page")
             .when(F.col("next_url").isNull(), "no_next")
-            .when(F.col("next_url") == F.col("url"), "repeated_page")
         )
-        if hop == limit:
-            # a link back to a page seen before is told below, for all hops alike
-            stop = F.coalesce(stop, F.lit("page_limit"))
+        # whoever is back on a page of the same walk has ended on the page before
+        if hop > 1:
+            front = front.join(steps.table().select("query_id", "url"), ["query_id", "url"], "left_anti")
         step = steps.add(
             front.join(known, ["url", "source_site"], "left").select(
                 "query_id", "source_site", "url", found.alias("found"), n_items.alias("n_items"), "next_url", (F.col("filled") | (n_items > 0)).alias("filled"), stop.alias("stop")
             )
         )
-        open_ = step.where("stop IS NULL")
-        if hop == limit or open_.isEmpty():
+        if hop == limit:
             break
-        visited = steps.table().select("query_id", "url")
-        front = open_.select("query_id", "source_site", F.col("next_url").alias("url"), "filled").join(visited, ["query_id", "url"], "left_anti")
-    # the next link of an open step, or of one at the limit, that leads to a page of the same walk
+        front = step.where("stop IS NULL").select("query_id", "source_site", F.col("next_url").alias("url"), "filled")
+        open_walks = front.count()
+    # the last step of a walk that did not stop leads to a page seen before, or to one beyond the limit
     walked = steps.table()
-    again = walked.select("query_id", F.col("url").alias("next_url"), F.lit(True).alias("again")).distinct()
-    known_back = F.col("again") & (F.col("stop").isNull() | (F.col("stop") == "page_limit"))
     last = walked.groupBy("query_id").agg(F.max("hop").alias("hop"), F.lit(True).alias("last"))
+    again = walked.select("query_id", F.col("url").alias("next_url"), F.lit(True).alias("again")).distinct()
     walked = walked.join(last, ["query_id", "hop"], "left").join(again, ["query_id", "next_url"], "left")
-    stop = F.when(F.col("last") & known_back, "repeated_page").otherwise(F.col("stop"))
+    ended = F.when(F.col("again"), "repeated_page").otherwise("page_limit")
+    stop = F.when(F.col("last") & F.col("stop").isNull(), ended).otherwise(F.col("stop"))
     return stage(walked.select("query_id", "source_site", "hop", "url", "found", "n_items", stop.alias("stop")), "visits")
 
 

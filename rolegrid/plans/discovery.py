@@ -45,8 +45,8 @@ class ListingReader:
     def __init__(self, pages: DataFrame) -> None:
         self.listings, self.contents = _kind(pages, "listing"), Rounds(pages.sparkSession, "contents")
 
-    def read(self, wanted: DataFrame) -> None:
-        content = wanted_pages(self.listings, wanted).select("url", "site", page_source.page_content("site", "html").alias("c"))
+    def read(self, wanted: DataFrame, most: int) -> None:
+        content = wanted_pages(self.listings, wanted, most).select("url", "site", page_source.page_content("site", "html").alias("c"))
         next_url = F.when(F.col("site") != "linkedin", page_source.resolve_url("url", "c.href"))
         self.contents.add(content.select("url", "site", "c.cards", F.size("c.cards").alias("n_items"), "c.error", next_url.alias("next_url")))
 
