@@ -150,8 +150,9 @@ def replay_lookups(store: DataFrame, batch: DataFrame, order: str, segment: int
     nodes = incoming.select("row", *NARROW).unionByName(stored.select("row", *NARROW))
     pairs = nodes.select("row", F.explode(key_list(nodes)).alias("key"))
     tied = components(shared_key_edges(pairs, "row", "key"))
+    # joined again where it is used: combinations are narrow, another written copy costs more
     placed = lambda df: df.join(tied.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("root", "row")).drop("root")
-    incoming, stored = stage(placed(incoming), "combinations"), stage(placed(stored), "stored")
+    incoming, stored = placed(incoming), placed(stored)
     sizes = incoming.groupBy("component").agg(F.count("*").alias("combos"), F.sum("n").alias("rows"), F.min("first").alias("begin"))
     sizes = sizes.join(stored.groupBy("component").agg(F.count("*").alias("held"), F.min("row").alias("one")), "component", "left").withColumn("held", F.coalesce("held", F.lit(0)))
     # of stored postings that share a key the first holds it; a component with such ones is never cut
@@ -163,12 +164,14 @@ def replay_lookups(store: DataFrame, batch: DataFrame, order: str, segment: int
 
     heavy = heavy_keys(incoming.select("combo", "n"), "combo")
     ways = incoming.join(sizes.select("component", "way", "begin", "one"), "component").select("combo", "component", "way", "begin", "one")
-    rows = stage(salted_join(rows, ways, "combo", "inner", heavy, "ord").withColumn("row", F.concat(F.lit("n"), F.col("ord").cast("string"))), "lookups")
+    rows = salted_join(rows, ways, "combo", "inner", heavy, "ord").withColumn("row", F.concat(F.lit("n"), F.col("ord").cast("string")))
+    ways_met = {r["way"] for r in sizes.select("way").distinct().collect()}
+    if ways_met - {"plain"}:
+        rows = stage(rows, "lookups")
     target = F.coalesce("one", F.concat(F.lit("n"), F.col("begin").cast("string")))
     action = F.when(F.col("one").isNull() & (F.col("ord") == F.col("begin")), "inserted").otherwise("updated")
     found = rows.where("way = 'plain'").select("ord", target.alias("target"), action.alias("action"))
 
-    ways_met = {r["way"] for r in sizes.select("way").distinct().collect()}
     nothing = F.lit(None).cast(kind).alias("ord")
     if "whole" in ways_met:
         begin = stored.join(sizes.where("way = 'whole'").select("component"), "component", "left_semi")
