@@ -3,15 +3,18 @@
 A page is parsed into a tree. Every container outside plain prose is hashed with all that is below it; Spark counts,
 for each host, on how many different pages (by main text) each hash occurs. Containers that recur on ``min_pages``
 of them at least are template and go, as do menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments, which are known by their element or by a word of their class, id or role. What is left
-of the articles (or of the main part, or of the body, if the page has none) is the text: references decoded, white
+styles and reader comments, which are known by their element or by a name in their class, id or role that has a furniture
+word and no word of state (sidebar-left is one, with-sidebar and comments-open are not). Names of main and body say
+nothing, an article goes only by a whole name, and what lies around the main part counts by name only if a main part is
+left then; a header with a heading inside the main part stays. What is left of the articles (or of the main part, or of the body, if the page has none) is the text: references decoded, white
 space inside a block made one space, blocks in page order joined by one space.
 
 A container that is an article, main or body, or lies around one, is never a template; nor is prose (paragraphs,
 headings, list items, quotes), so a sentence that many articles share stays.
 
 Defined results: null and empty html give an empty text; a null or hostless url is a host of its own; repeated rows
-share a result; unclosed and misnested elements are closed where a browser would; an empty table gives an empty
+share a result; unclosed and misnested elements are closed where a browser would; broken markup of megabytes is read in
+linear time, a tag that never ends is text, a quote that never ends an ordinary character; an empty table gives an empty
 table. Columns beyond the named ones are not read.
 """
 
@@ -28,7 +31,11 @@ from pyspark.sql import functions as F
 
 from rolegrid.llm.common import map_batches, staged
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+#: A tag without angle brackets in its attributes; all others take the way of ``TagEnds``.
+PLAIN_TAG = re.compile(TAG.pattern + r"((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+SPECIAL = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"\s+")
 
@@ -46,7 +53,10 @@ MARKS = frozenset(
     "subscription signup sidebar menu navbar nav navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus respond share sharing social related recommended widget "
     "popup modal overlay login paywall pagination pager toolbar skip complementary contentinfo search".split()
 )
+#: Words that say how a page is laid out (with-sidebar, comments-open), not what an element is.
+STATES = frozenset("with has have no not without is open opened closed enabled disabled on off allowed count".split())
 MAIN = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr tbody thead figcaption".split())
 
 
@@ -57,28 +67,75 @@ class Element:
         self.tag, self.attributes, self.children = tag, attributes, []
         self.mark: str | None = None
 
-    def furniture(self) -> bool:
+    def furniture(self, named: bool = True) -> bool:
+        """Page furniture by element or, if ``named``, by class, id and role: a name with a furniture word and no word of state.
+        An article is one only if a whole name says so; main and body never are."""
         if self.tag in FURNITURE:
             return True
-        if not self.attributes:
+        if not self.attributes or self.tag in ("main", "body", "html"):
             return False
         for name, value in ATTRIBUTE.findall(self.attributes):
             name, value = name.lower(), value.strip("\"'").lower()
-            if name in ("class", "id", "role") and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-                return True
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return True
+            if named and name in ("class", "id", "role"):
+                for token in value.split():
+                    words = [token] if self.tag == "article" else re.split(r"[^a-z0-9]+", token)
+                    if not MARKS.isdisjoint(words) and STATES.isdisjoint(words):
+                        return True
         return False
 
 
+class TagEnds:
+    """Where tags end: at the first ``>`` outside quotes; a quote that is never closed is an ordinary character. What was found for
+    one position is kept, so that broken markup is scanned once."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, {c: source.rfind(c) for c in ">\"'"}
+        self.known: dict[int, int] = {}
+        self.span = (0, -1)
+
+    def special(self, at: int) -> int:
+        """The next ``>`` or quote from ``at`` on, or -1."""
+        if not self.span[0] <= at <= self.span[1]:
+            found = SPECIAL.search(self.source, at)
+            self.span = (at, found.start() if found else len(self.source))
+        return self.span[1] if self.span[1] < len(self.source) else -1
+
+    def after(self, at: int) -> int:
+        """The end of the tag whose attributes start at ``at``, or -1."""
+        seen, end = [], -1
+        while at <= self.last[">"]:
+            p = self.special(at)
+            if p < 0 or p in self.known:
+                end = self.known.get(p, -1)
+                break
+            seen.append(p)
+            sign = self.source[p]
+            if sign == ">":
+                end = p
+                break
+            at = (self.source.find(sign, p + 1) if p < self.last[sign] else p) + 1
+        self.known.update(dict.fromkeys(seen, end))
+        return end
+
+
 def parse(source: str) -> Element:
     """A tree of elements and texts (as they stand, references not decoded)."""
-    root = Element("", "")
+    root, ends = Element("", ""), TagEnds(source)
     stack, at, end = [root], 0, len(source)
+    open_: dict[str, int] = {}
 
     def close(tags: set[str] | frozenset[str], borders: set[str] | frozenset[str]) -> None:
+        for t in tags:
+            if open_.get(t):
+                break
+        else:
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                for e in stack[i:]:
+                    open_[e.tag] -= 1
                 del stack[i:]
                 return
             if stack[i].tag in borders:
@@ -91,18 +148,27 @@ def parse(source: str) -> Element:
             break
         if low > at:
             stack[-1].children.append(source[at:low])
-        found = TOKEN.match(source, low)
-        if found is None:
-            stack[-1].children.append("<")
-            at = low + 1
-            continue
-        at = found.end()
-        name = found[2]
-        if not name:
-            continue
+        found = PLAIN_TAG.match(source, low)
+        if found:
+            at, name, attributes = found.end(), found[2], found[3]
+        else:
+            if low > ends.last[">"] and not source.startswith("<!--", low):
+                stack[-1].children.append(source[low:])
+                break
+            found = COMMENT.match(source, low)
+            if found:
+                at = found.end()
+                continue
+            found = TAG.match(source, low)
+            stop = ends.after(found.end()) if found else -1
+            if stop < 0:
+                stack[-1].children.append("<")
+                at = low + 1
+                continue
+            at, name, attributes = stop + 1, found[2], source[found.end() : stop]
         tag = name.lower()
         if found[1]:
-            if tag == "br" or tag == "p" and not any(e.tag == "p" for e in stack):
+            if tag == "br" or tag == "p" and not open_.get("p"):
                 stack[-1].children.append(Element(tag, ""))
             elif tag not in VOID:
                 close({tag}, frozenset() if tag not in INLINE else PROSE | ENDS_PARAGRAPH)
@@ -111,14 +177,15 @@ def parse(source: str) -> Element:
             close({"p"}, {"button", "table", "td", "th", "li", "article", "section", "div"})
         if tag in ENDS:
             close(*ENDS[tag])
-        element = Element(tag, found[3])
+        element = Element(tag, attributes)
         stack[-1].children.append(element)
         if tag in RAW:
-            stop = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
-            element.children.append(source[at : stop.start() if stop else end])
-            at = end if stop is None else (source.find(">", stop.start()) + 1 or end)
-        elif tag not in VOID and not found[3].endswith("/"):
+            close_ = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
+            element.children.append(source[at : close_.start() if close_ else end])
+            at = end if close_ is None else (source.find(">", close_.start()) + 1 or end)
+        elif tag not in VOID and not attributes.endswith("/"):
             stack.append(element)
+            open_[tag] = open_.get(tag, 0) + 1
     return root
 
 
@@ -152,19 +219,27 @@ def mark(root: Element) -> None:
 
 def main_text(root: Element, template: set[str] | frozenset[str] = frozenset()) -> str:
     """Text of the main part without furniture and without the subtrees whose hash is in ``template``."""
-    gone = lambda e: e.furniture() or e.mark in template
-
-    def parts(element: Element, tags: tuple[str, ...]) -> list[Element]:
-        out, todo = [], [element]
+    def gone(e: Element, named: bool = True) -> bool:
+        if e.tag == "header" and e.mark not in template and any(c.tag in HEADINGS for c in walk(e)):
+            return not in_main
+        return e.furniture(named) or e.mark in template
+
+    def parts(tag: str, named: bool = True) -> list[Element]:
+        """The outermost elements of a kind that are not inside furniture."""
+        out, todo = [], [root]
         while todo:
             now = todo.pop()
-            if now.tag in tags:
+            if now.tag == tag:
                 out.append(now)
-            elif now.tag in ("", "html", "body") or not gone(now):
+            elif now.tag in ("", "html", "body") or not gone(now, named):
                 todo.extend(c for c in reversed(now.children) if not isinstance(c, str))
-        return [e for e in out if not gone(e)]
+        return [e for e in out if tag == "body" or not gone(e, named)]
 
-    tops = parts(root, ("article",)) or parts(root, ("main",)) or parts(root, ("body",)) or [root]
+    # what lies around the main part is furniture by its name only as long as that leaves a main part
+    in_main = False
+    tops = parts("article") or parts("main") or parts("article", False) or parts("main", False)
+    in_main = bool(tops)
+    tops = tops or parts("body") or [root]
     blocks: list[str] = []
     pieces: list[str] = []
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import string
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -313,6 +314,31 @@ def test_lines_equal_a_count_of_all(spark, keep):
         assert [r.text for r in out] == want
 
 
+ARTICLE = "<h1>T</h1><p>one two</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<body class="has-sidebar"><nav>x</nav><div>{ARTICLE}</div></body>', f'<article class="post with-comments">{ARTICLE}</article>', f'<article class="post comments-open">{ARTICLE}<div class="comments-area">c</div></article>',
+    f'<div class="layout with-sidebar"><article>{ARTICLE}</article><div class="sidebar-left">s</div></div>', f'<main class="with-sidebar">{ARTICLE}<footer>f</footer></main>',
+    '<article><header class="entry-header"><h1>T</h1></header><p>one two</p><div class="share-buttons">s</div></article>', f'<div class="notice-board"><article>{ARTICLE}</article></div>',
+    f'<article>{ARTICLE}</article><section class="comments"><article class="comment">bad</article></section>', f'<body><header><h1>Site</h1></header><div>{ARTICLE}</div><div class="cookie-banner">c</div></body>',
+])
+def test_articles_are_not_lost_with_their_layout(page):
+    assert html.main_text(html.parse(page)) == "T one two"
+
+
+@pytest.mark.parametrize("page", ['<a "' + "<a x" * 250_000, "<a x" * 250_000, '<a b="' * 170_000, "<a x" * 250_000 + '">"', '<a "' * 200_000 + ">", "<a '\"" * 150_000 + ">", "<!" * 500_000, "<span>" * 50_000 + "<div>" * 50_000, "<div>" * 50_000 + "</i>" * 100_000])
+def test_broken_markup_is_read_in_linear_time(page):
+    start = time.perf_counter()
+    html.main_text(html.parse(page))
+    assert time.perf_counter() - start < 20
+
+
+def test_ends_of_tags():
+    for page, want in (("<p>a < b \"quoted\" c > d</p>", 'a < b "quoted" c > d'), ('<a title="x > y">z</a>', "z"), ("<p class='a>b'>t</p>", "t"), ("<!-- a > b --><p>x</p>", "x"), ('<p>open "quote <b>bold</b>', 'open "quote bold'), ("<b x='>q</b> w", "q w")):
+        assert html.main_text(html.parse(page)) == want
+
+
 # ---- simhash -----------------------------------------------------------------------------------------
 
 
