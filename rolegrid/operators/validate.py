@@ -70,8 +70,13 @@ def failures_without_message(results: DataFrame) -> DataFrame:
     return results.where(~F.col("success") & F.coalesce(F.col("error"), F.lit("")).eqNullSafe(""))
 
 
+def no_list_reasons(names: str) -> Column:
+    """Reasons for the fields named in the column ``names``, in which something else stands for a list (PR2)."""
+    return F.transform(names, lambda n: F.concat(n, F.lit(": value must be a list")))
+
+
 def judge_registry(entries: DataFrame) -> DataFrame:
-    """Normalize registry entries and add ``reasons`` (PR2, PR3, PR7)."""
+    """Normalize registry entries and add ``reasons`` (PR2, PR3, PR7). A column ``not_lists`` may name fields of a wrong kind."""
     site = site_slug("source_site")
     supported = ", ".join(sorted(BOARD_SITES))
     checks = [
@@ -82,7 +87,10 @@ def judge_registry(entries: DataFrame) -> DataFrame:
         _issue(list_has_blank("tags"), "tags: value must not be empty"),
         _issue(list_has_blank("location_hints"), "location_hints: value must not be empty"),
     ]
-    return entries.withColumn("reasons", F.array_compact(F.array(*checks))).withColumns(
+    reasons = F.array_compact(F.array(*checks))
+    if "not_lists" in entries.columns:
+        reasons = F.concat(reasons, no_list_reasons("not_lists"))
+    return entries.withColumn("reasons", reasons).drop("not_lists").withColumns(
         {
             "company_name": squash_ws("company_name"),
             "source_site": site,

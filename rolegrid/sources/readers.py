@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from rolegrid.functions.text import clean_list, is_site_slug, list_has_blank, site_slug, squash_ws
 from rolegrid.functions.urls import http_url
 from rolegrid.operators.store import backfill
-from rolegrid.operators.validate import split_valid, validate_registry
+from rolegrid.operators.validate import no_list_reasons, split_valid, validate_registry
 from rolegrid.schemas import DEFAULT_RULES, DISCOVERY_QUERY, REGISTRY, RULE_LISTS, RULES
 
 
@@ -25,8 +25,13 @@ def read_postings_jdbc(spark: SparkSession, url: str, table: str = "jobs", **opt
 
 
 def _json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.withColumn("idx", F.monotonically_increasing_id())
+    """Rows of a JSON file with their position ``idx``, and ``not_lists``: the list fields whose value is something else."""
+    lists = [f.name for f in schema if isinstance(f.dataType, T.ArrayType)]
+    loose = T.StructType([T.StructField(f.name, T.VariantType() if f.name in lists else f.dataType) for f in schema])
+    rows = spark.read.schema(loose).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    wrong = [F.when(~F.schema_of_variant(n).rlike("^(ARRAY|VOID)"), n) for n in lists]
+    rows = rows.withColumns({"idx": F.monotonically_increasing_id(), "not_lists": F.array_compact(F.array(*wrong).cast("array<string>"))})
+    return rows.withColumns({n: F.try_variant_get(n, "$", "array<string>") for n in lists})
 
 
 def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -38,10 +43,13 @@ def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def read_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """One row of scoring rule lists: a JSON object, or the defaults without a path (SR14)."""
+    """One row of scoring rule lists: a JSON object, or the defaults without a path (SR14). A value that is no list is an error."""
     if path is None:
         return spark.createDataFrame([tuple(DEFAULT_RULES.get(n, []) for n in RULE_LISTS)], RULES)
-    rules = spark.read.schema(RULES).option("multiLine", True).json(path)
+    rules = _json_rows(spark, path, RULES)
+    wrong = rules.select(F.explode("not_lists")).first()
+    if wrong:
+        raise ValueError(f"{wrong[0]}: value must be a list")
     return rules.select(*[clean_list(n).alias(n) for n in RULE_LISTS])
 
 
@@ -67,7 +75,7 @@ def read_discovery_queries(spark: SparkSession, path: str) -> tuple[DataFrame, D
         F.when(http_url("start_url").isNull(), "start_url: not a web address"),
         *[F.when(list_has_blank(n), f"{n}: value must not be empty") for n in lists],
     ]
-    judged = rows.withColumn("reasons", F.array_compact(F.array(*checks)))
+    judged = rows.withColumn("reasons", F.concat(F.array_compact(F.array(*checks)), no_list_reasons("not_lists"))).drop("not_lists")
     good, bad = split_valid(judged)
     good = good.select(
         F.col("idx").cast("string").alias("query_id"),

@@ -3,6 +3,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolegrid.functions.reports import discovery_line
@@ -149,6 +150,21 @@ def test_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "matches")).where("reviewed = 'true'").count() == 0
 
 
+def test_a_value_that_is_no_list_is_an_issue(spark, tmp_path):
+    entry = {"company_name": "A", "source_site": "lever", "board_url": "https://a.test"}
+    rows = [entry | {"tags": "one"}, entry | {"board_url": "https://b.test", "company_name": "B", "tags": None, "location_hints": ["x", 3]}, entry | {"company_name": "C", "board_url": "https://c.test", "tags": {"a": 1}, "location_hints": 5}]
+    (tmp_path / "registry.json").write_text(json.dumps(rows))
+    good, issues = readers.read_registry(spark, str(tmp_path / "registry.json"))
+    assert [(r.company_name, r.tags, r.location_hints) for r in good.collect()] == [("B", [], ["x", "3"])]
+    assert sorted(r.issue for r in issues.collect()) == ["entry[0] invalid: tags: value must be a list", "entry[2] invalid: tags: value must be a list; location_hints: value must be a list"]
+    (tmp_path / "queries.json").write_text(json.dumps([{"source_site": "lever", "label": "L", "start_url": "https://jobs.lever.co/a", "include_keywords": "k"}]))
+    good, bad = readers.read_discovery_queries(spark, str(tmp_path / "queries.json"))
+    assert good.count() == 0 and bad.first().reasons == ["include_keywords: value must be a list"]
+    (tmp_path / "rules.json").write_text('{"include_keywords": "python"}')
+    with pytest.raises(ValueError, match="include_keywords: value must be a list"):
+        readers.read_rules(spark, str(tmp_path / "rules.json"))
+
+
 def test_metadata(spark):
     rows = spark.createDataFrame([('{"team":"t","score":true,"z":{"a":1}}',), ('{"score":"12","db_id":3}',), ('{"score":12.5,"score_explanations":["+1"]}',), ("{}",)], "metadata_json string")
     got = [(r.team, r.score, r.score_explanations, r.extra) for r in metadata.decode_metadata(rows).collect()]
