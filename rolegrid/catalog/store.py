@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from rolegrid.catalog.common import joined, stamp, table, texts
 from rolegrid.operators import crawl, matching, review, scoring, store
 from rolegrid.operators.dedupe import canonicalize_postings
 from rolegrid.schemas import POSTING, RULE_LISTS, RULES
+from rolegrid.session import shared_dir
+from rolegrid.sources.tables import BucketTable
 
 
 def _ts(text: str):
@@ -62,15 +67,26 @@ def incoming_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.to_store_columns(rows.unionByName(new, allowMissingColumns=True))
 
 
-def upsert_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = store.upsert_postings(stored_parts(spark, sf_dir), incoming_parts(spark, sf_dir))
-    return result["store"].select(
+def _plain(postings: DataFrame) -> DataFrame:
+    return postings.select(
         "id", "source_job_id", "url", "title", "location", "remote_status", "employment_type", "seniority", "job_status",
         stamp("posted_at").alias("posted_at"), stamp("last_seen_at").alias("last_seen_at"), "description_text", "team",
         F.coalesce("score", F.lit(-1.0)).alias("score"), "extra",
     )
 
 
+def upsert_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(store.upsert_postings(stored_parts(spark, sf_dir), incoming_parts(spark, sf_dir))["store"])
+
+
+def upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same parts written to a table in buckets, by an upsert into the empty table and one of what comes in."""
+    stored = BucketTable(spark, os.path.join(shared_dir(spark), f"postings-{uuid.uuid4().hex}"), buckets=16)
+    stored.upsert(stored_parts(spark, sf_dir).withColumnRenamed("id", "seq"))
+    stored.upsert(incoming_parts(spark, sf_dir))
+    return _plain(stored.read())
+
+
 def upsert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = store.upsert_postings(stored_parts(spark, sf_dir), incoming_parts(spark, sf_dir))
     return result["outcome"].groupBy("action").agg(F.count("*").alias("n"))
@@ -213,6 +229,7 @@ def pages_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "upsert_store": upsert_store,
+    "upsert_buckets": upsert_buckets,
     "upsert_outcome": upsert_outcome,
     "upsert_moves": upsert_moves,
     "rescore_store": rescore_store,
@@ -253,6 +270,7 @@ final AS (
 
 ORACLES = {
     "upsert_store": _UPSERT + "SELECT * REPLACE (CAST(coalesce(score, -1) AS DOUBLE) AS score) FROM final",
+    "upsert_buckets": _UPSERT + """SELECT * REPLACE (CAST(coalesce(score, -1) AS DOUBLE) AS score, regexp_replace(extra, '^.\"size\":(\\d+),\"old\":true.$', '{"old":true,"size":\\1}') AS extra) FROM final""",
     "upsert_outcome": _UPSERT + "SELECT 'updated' AS action, count(*) AS n FROM hit UNION ALL SELECT 'inserted', count(*) FROM fresh",
     "upsert_moves": """
 WITH RECURSIVE li AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY seq) AS n FROM (SELECT DISTINCT l_partkey AS p,
