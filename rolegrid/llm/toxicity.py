@@ -1,11 +1,14 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, and context windows that tell quotation from abuse.
 
 The lexicon is learned from a bounded sample of labelled rows. A word enters if it stands in many different contexts
-(previous and next word, so that copies of one text count once) of toxic rows and hardly in clean ones; word
-beginnings shared by several such words enter as stems. Words and stems form a trie. A token is matched by running
-the automaton that accepts everything within its allowed distance (insertions, deletions, substitutions, swaps of
-neighbours) along the trie; only branches both can follow are visited. Words of five letters and more may be
-misspelled by one edit, unless such misspellings are common in the clean rows; shorter words and stems not.
+(previous and next word) of several toxic texts and hardly in clean ones, where a text counts by the share of the word's
+contexts that no text before it holds, so that one long text, its copies and its near copies together count little more than once; word beginnings shared by several such words enter as stems. Words
+and stems form a trie. A token is matched by running the automaton that accepts everything within its allowed distance
+(insertions, deletions, substitutions, swaps of neighbours) along the trie; only branches both can follow are visited.
+Every entry of four letters or more may be misspelled by one edit, of eight or more by two; a stem in the part before its
+last letter, which has to stand. What the clean rows of the sample hold near an entry (a token near a word, the beginning
+of a token near a stem) is barred one by one, and leaves the other misspellings of that entry alone; these count less the
+more neighbours of the entry the clean rows hold just once, as that many more are to be expected in texts not seen.
 
 Each hit has a weight by its window: less inside quotation marks or near a verb of reporting, more near a pronoun
 that addresses somebody. The score of a document is a logistic function, fitted on the same sample, of its weighted
@@ -43,32 +46,50 @@ MISSPELLED, QUOTED = 0.8, 0.2
 REMEMBERED = 400_000
 
 
+def allowed(entry: str) -> int:
+    """Edits that an entry may be misspelled by."""
+    return (len(entry) >= 4) + (len(entry) >= 8)
+
+
+def letters(part: str) -> int:
+    """The letters of a string as bits; letters may share a bit."""
+    out = 0
+    for c in part:
+        out |= 1 << ord(c) % 61
+    return out
+
+
 class Trie:
-    """Words and stems (which accept every ending) with the edits allowed for each."""
-
-    def __init__(self, words: dict[str, int], stems: list[str]):
-        self.words, self.stems = words, stems
-        self.root: dict = {}
-        for entry, stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
-            node = self.root
-            for letter in entry:
-                node = node.setdefault(letter, {})
-            node["stem" if stem else "word"] = entry
-        heads = {w[: len(w) // 2] for w, edits in words.items() if edits} | set(stems) | {w for w, edits in words.items() if not edits}
-        tails = {w[len(w) // 2 :] for w, edits in words.items() if edits}
-        self.swapped = {w[: h - 1] + w[h] + w[h - 1] + w[h + 1 :] for w, edits in words.items() if edits and (h := len(w) // 2)}
-        any_of = lambda parts: "|".join(map(re.escape, sorted(parts, key=lambda p: (-len(p), p)))) or "(?!)"
-        self.possible = re.compile(rf"(?:{any_of(heads)})|.*(?:{any_of(tails)})\Z", re.S)
+    """Words and stems (which accept every ending) with the edits allowed for each, and the barred misspellings."""
+
+    def __init__(self, words: dict[str, int], stems: dict[str, int], barred: frozenset[str] = frozenset()):
+        self.words, self.stems, self.barred = words, stems, barred
+        self.root: dict = {"most": 0}
+        for kind, entries in (("word", words), ("stem", stems)):
+            for entry, edits in entries.items():
+                node = self.root
+                for letter in entry:
+                    node = node.setdefault(letter, {"most": 0})
+                    node["most"] = max(node["most"], edits)
+                node[kind] = entry
+        self.word_letters = [(letters(w), len(w), edits) for w, edits in words.items()]
+        self.stem_letters = [(letters(w), len(w), edits) for w, edits in stems.items()]
+
+    def possible(self, token: str) -> bool:
+        """False only where nothing can match: an edit adds one letter at most, and takes one away at most."""
+        held, size = letters(token), len(token)
+        for mask, length, edits in self.word_letters:
+            if -edits <= size - length <= edits and (mask & ~held).bit_count() <= edits and (held & ~mask).bit_count() <= edits:
+                return True
+        for mask, length, edits in self.stem_letters:
+            if size >= length - edits and (mask & ~letters(token[: length + edits])).bit_count() <= edits and (letters(token[: length - edits]) & ~mask).bit_count() <= edits:
+                return True
+        return False
 
-    def match(self, token: str) -> tuple[str, int] | None:
-        """The entry nearest to a token and the edits between them.
-
-        One edit leaves the first or the second half of a word as it is, or swaps the letters where they meet; a
-        token with neither half, and none of these swaps, cannot match and is not run along the trie.
-        """
-        if not (self.possible.match(token) or token in self.swapped):
-            return None
-        best: tuple[int, str] | None = None
+    def near(self, token: str):
+        """All ``(edits, entry, matched part)`` within the allowed edits; a word matches a whole token, a stem a beginning."""
+        if not self.possible(token):
+            return
         first = list(range(len(token) + 1))
         todo = [(self.root, "", first, first)]
         while todo:
@@ -76,34 +97,43 @@ class Trie:
             for letter, child in node.items():
                 if len(letter) > 1:
                     continue
-                new = [row[0] + 1]
+                new, stands = [row[0] + 1], []
                 for i, c in enumerate(token, 1):
-                    cost = min(new[-1] + 1, row[i] + 1, row[i - 1] + (c != letter))
-                    if i > 1 and c == letter_before and token[i - 2] == letter and row is not before:
-                        cost = min(cost, before[i - 2] + 1)
-                    new.append(cost)
-                if min(new) > 1:
+                    kept = row[i - 1] + (c != letter)
+                    swapped = i > 1 and c == letter_before and token[i - 2] == letter and row is not before
+                    if swapped:
+                        kept = min(kept, before[i - 2] + 1)
+                    new.append(min(new[-1] + 1, row[i] + 1, kept))
+                    if c == letter or swapped:
+                        stands.append((kept, i))
+                if min(new) > child["most"]:
                     continue
-                if "stem" in child and 0 in new:
-                    best = min(best or (9, ""), (0, child["stem"]))
+                if "stem" in child:
+                    for edits, i in stands:
+                        if edits <= self.stems[child["stem"]]:
+                            yield edits, child["stem"], token[:i]
                 if "word" in child and new[-1] <= self.words[child["word"]]:
-                    best = min(best or (9, ""), (new[-1], child["word"]))
+                    yield new[-1], child["word"], token
                 todo.append((child, letter, new, row))
+
+    def match(self, token: str) -> tuple[str, int] | None:
+        """The nearest entry that a token matches without a barred misspelling, and the edits between them."""
+        best = min(((edits, entry) for edits, entry, part in self.near(token) if not edits or part not in self.barred), default=None)
         return (best[1], best[0]) if best else None
 
 
 class Memo(dict):
-    """Token bytes to edits (0, 1), or -1 where nothing matches; forgets all when full."""
+    """Token bytes to (misspelled, trust), or None where nothing matches; forgets all when full."""
 
-    def __init__(self, trie: Trie):
+    def __init__(self, trie: Trie, trust: dict[tuple[str, int], float] | None = None):
         super().__init__()
-        self.trie = trie
+        self.trie, self.trust = trie, trust or {}
 
-    def __missing__(self, token: bytes) -> int:
+    def __missing__(self, token: bytes) -> tuple[bool, float] | None:
         found = self.trie.match(token.decode("utf-8", "replace").lower())
         if len(self) >= REMEMBERED:
             self.clear()
-        self[token] = out = -1 if found is None else found[1]
+        self[token] = out = found and (found[1] > 0, self.trust.get(found, 1.0))
         return out
 
 
@@ -124,7 +154,7 @@ def features(text: bytes, memo: Memo) -> tuple[float, float, float, int]:
     """Weighted exact hits, weighted misspelled hits, weighted hits for a hundred tokens, number of hits."""
     folded = text.translate(FOLD)
     tokens = folded.split()
-    hits = [i for i, t in enumerate(tokens) if memo[t] >= 0]
+    hits = [i for i, t in enumerate(tokens) if memo[t]]
     if not hits:
         return 0.0, 0.0, 0.0, 0
     plain = text.decode("utf-8", "replace")
@@ -148,7 +178,8 @@ def features(text: bytes, memo: Memo) -> tuple[float, float, float, int]:
             weight *= 0.5
         if not ADDRESS.isdisjoint(near):
             weight *= 1.2
-        sums[memo[tokens[i]]] += weight
+        misspelled, trust = memo[tokens[i]]
+        sums[misspelled] += weight * trust
     return sums[0], sums[1], 100 * sum(sums) / len(tokens), len(hits)
 
 
@@ -160,7 +191,9 @@ def load(exact, misspelled):
 @dataclass
 class Model:
     words: dict[str, int] = field(default_factory=dict)
-    stems: list[str] = field(default_factory=list)
+    stems: dict[str, int] = field(default_factory=dict)
+    barred: frozenset[str] = frozenset()
+    trust: dict[tuple[str, int], float] = field(default_factory=dict)
     weights: np.ndarray | None = None
 
     def score(self, exact: float, misspelled: float) -> float:
@@ -170,8 +203,12 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
-def choose(counts: dict[str, tuple[int, int]], toxic_rows: int, clean_rows: int, support: int = 5, lift: float = 30.0) -> tuple[dict[str, int], list[str]]:
-    """Words with their allowed edits, and stems, from counts of (toxic contexts, clean occurrences)."""
+def choose(counts: dict[str, tuple[int, int]], toxic_rows: int, clean_rows: int, support: int = 5, lift: float = 30.0, bar: float = 3.0) -> tuple[dict[str, int], dict[str, int], frozenset[str], dict[tuple[str, int], float]]:
+    """Words and stems with their allowed edits, barred misspellings, and what (entry, edits) is trusted if below 1.
+
+    ``counts`` holds for each word its toxic contexts (none where too few texts hold it) and its clean occurrences. What is near
+    an entry is barred if it occurs in clean rows and is not ``bar`` times as frequent in toxic ones.
+    """
     ratio = clean_rows / max(1, toxic_rows)
     strong = lambda pos, neg, least: pos >= least and pos * ratio >= lift * max(neg, 0.5)
     words = {w for w, (pos, neg) in counts.items() if len(w) >= 4 and strong(pos, neg, support)}
@@ -192,14 +229,24 @@ def choose(counts: dict[str, tuple[int, int]], toxic_rows: int, clean_rows: int,
         while longer := [s for s, (p, _, k) in sums.items() if len(s) == len(stem) + 1 and s.startswith(stem) and p >= 0.95 * pos and k >= 4]:
             stem = longer[0]
         stems.append(stem)
-    kept = {w: int(len(w) >= 5) for w in words if not any(w.startswith(s) for s in stems)}
-    trie = Trie(kept, stems)
-    wrong: dict[str, int] = defaultdict(int)
-    for w, (_, neg) in counts.items():
-        found = trie.match(w) if neg else None
-        if found and found[1]:
-            wrong[found[0]] += neg
-    return {w: edits if wrong[w] * 50 <= counts[w][0] * ratio else 0 for w, edits in kept.items()}, stems
+    kept = {w: allowed(w) for w in words if not any(w.startswith(s) for s in stems)}
+    ends = {s: allowed(s) for s in stems}
+    trie = Trie(kept, ends)
+    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    entries: dict[str, set[tuple[str, int]]] = defaultdict(set)
+    for w, (pos, neg) in counts.items():
+        found = {(part, entry, edits) for edits, entry, part in trie.near(w) if edits}
+        for part, entry, edits in found:
+            entries[part].add((entry, edits))
+        for part in {part for part, _, _ in found}:
+            seen[part][0] += pos
+            seen[part][1] += neg
+    barred = frozenset(part for part, (pos, neg) in seen.items() if neg and pos * ratio < bar * neg)
+    once: dict[tuple[str, int], int] = defaultdict(int)
+    for part in barred:
+        for key in entries[part]:
+            once[key] += seen[part][1] == 1
+    return kept, ends, barred, {key: 1 / (1 + n) for key, n in once.items() if n}
 
 
 def regress(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, steps: int = 50) -> np.ndarray:
@@ -215,48 +262,62 @@ def regress(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.0
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_label: int = 3000) -> Model:
-    """Lexicon and weights from at most ``rows_per_label`` rows of each label, those of smallest id hash, whole texts."""
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_label: int = 3000, least_texts: float = 2.5) -> Model:
+    """Lexicon and weights from at most ``rows_per_label`` rows of each label, those of smallest id hash, whole texts.
+
+    A word needs ``least_texts`` toxic texts' worth of contexts of their own.
+    """
     judged = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
+    judged = judged.where("toxic in (0, 1)")
+    total = {r.toxic: r.n for r in judged.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(total) < 2:
+        return Model()
+    # hashes are even, so that the smallest ones of a label lie below this bound, and no task gets the rows of a whole label
+    bound = {k: min(2**63 - 1, -(2**63) + 2**64 * 2 * (rows_per_label + 50) // n) for k, n in total.items()}
+    low = judged.where(F.xxhash64("id") <= F.when(F.col("toxic") == 1, F.lit(bound[1])).otherwise(F.lit(bound[0])))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    chosen = judged.where("toxic in (0, 1)").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_label).drop("n")
+    chosen = low.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_label).drop("n")
     chosen = staged(chosen, "sample-ids")  # two labels, so at most 2 * rows_per_label rows: bounded, and broadcast below
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
     rows = staged(rows.select("text", "toxic"), "sample")
 
     def count(batch: pa.RecordBatch):
-        seen: dict[tuple[str, int], int] = defaultdict(int)
+        seen: dict[tuple[str, int, int], int] = defaultdict(int)
         for value, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
             tokens = value.translate(FOLD).split()
             if toxic:
+                whole = hash_of(value)
                 for before, token, after in zip([b"", *tokens], tokens, [*tokens[1:], b""]):
-                    seen[token, hash_of(before + b" " + after)] = 1
+                    seen[token, whole, hash_of(before + b" " + after)] = 1
             else:
                 for token in tokens:
-                    seen[token, 0] += 1
+                    seen[token, 0, 0] += 1
         keys = list(seen)
-        return [[k[0].decode("utf-8", "replace").lower() for k in keys], [k[1] for k in keys], [seen[k] for k in keys]]
-
-    counted = map_batches(rows, count, "word string, context bigint, n bigint").groupBy("word", "context").agg(F.sum("n").alias("n"))
-    by_word = counted.groupBy("word").agg(F.count(F.when(F.col("context") != 0, 1)).alias("pos"), F.coalesce(F.sum(F.when(F.col("context") == 0, F.col("n"))), F.lit(0)).alias("neg")).toPandas()
-    sizes = {r.toxic: (r.n, r.took) for r in judged.join(chosen.select("id", F.lit(1).alias("took")), "id", "left").groupBy("toxic").agg(F.count("*").alias("n"), F.count("took").alias("took")).collect()}
-    if not all(sizes.get(k, (0, 0))[1] for k in (0, 1)):
-        return Model()
-    words, stems = choose(dict(zip(by_word.word, zip(by_word.pos.tolist(), by_word.neg.tolist()))), sizes[1][1], sizes[0][1])
-    model = Model(words, stems)
+        return [[k[0].decode("utf-8", "replace").lower() for k in keys], [k[1] for k in keys], [k[2] for k in keys], [seen[k] for k in keys]]
+
+    counted = map_batches(rows, count, "word string, whole bigint, context bigint, n bigint").groupBy("word", "whole", "context").agg(F.sum("n").alias("n"))
+    first = F.min("whole").over(Window.partitionBy("word", "context"))  # no more rows a context than sampled toxic rows
+    by_text = counted.withColumn("own", (F.col("whole") == first).cast("double")).groupBy("word", "whole").agg(F.sum("own").alias("own"), F.count("*").alias("held"), F.sum("n").alias("n"))
+    toxic_text = F.col("whole") != 0
+    by_word = by_text.groupBy("word").agg(
+        F.when(F.sum(F.when(toxic_text, F.col("own") / F.col("held"))) >= least_texts, F.sum(F.when(toxic_text, F.col("own"))).cast("long")).otherwise(0).alias("pos"),
+        F.coalesce(F.sum(F.when(~toxic_text, F.col("n"))), F.lit(0)).alias("neg")).toPandas()
+    took = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    words, stems, barred, trust = choose(dict(zip(by_word.word, zip(by_word.pos.tolist(), by_word.neg.tolist()))), took[1], took[0])
+    model = Model(words, stems, barred, trust)
     table = with_features(rows, model, "f").select("toxic", "f.*").toPandas()
-    weight = table.toxic.map({k: n / took for k, (n, took) in sizes.items()}).to_numpy(float)
+    weight = table.toxic.map({k: n / took[k] for k, n in total.items()}).to_numpy(float)
     # what the windows are for, as a prior of a twentieth of the toxic rows each: one plain hit, exact or misspelled, is
     # abuse, one in quotation marks is not; samples where single hits say something else outweigh it
     prior = [(1.0, 0.0, 1.0), (0.0, 1.0, 1.0), (QUOTED, 0.0, 0.0)]
     exact, misspelled, toxic = np.concatenate([table[["exact", "misspelled", "toxic"]].to_numpy(float), prior]).T
-    weight = np.concatenate([weight, [sizes[1][0] / 20] * len(prior)])
+    weight = np.concatenate([weight, [total[1] / 20] * len(prior)])
     model.weights = regress(load(exact, misspelled)[:, None], toxic, weight)
     return model
 
 
 def hash_of(value: bytes) -> int:
-    """Non-zero 62-bit hash."""
+    """Odd 62-bit hash."""
     return (xxhash.xxh64_intdigest(value) >> 2) | 1
 
 
@@ -272,7 +333,7 @@ def with_features(docs: DataFrame, model: Model, name: str, text: str = "text")
     def run(batch: pa.RecordBatch):
         if not held:
             model = pickle.loads(sent.value)
-            held.extend([model, Memo(Trie(model.words, model.stems))])
+            held.extend([model, Memo(Trie(model.words, model.stems, model.barred), model.trust)])
         model, memo = held
         rows = []
         for value in texts(batch.column(at)):

@@ -54,19 +54,33 @@ def edits(a: str, b: str) -> int:
     return d[-1, -1]
 
 
-WORDS = {"abcde": 1, "abxyz": 1, "scum": 0, "bbaabb": 1}
+WORDS = {"abcde": 1, "abxyz": 1, "scum": 0, "bbaabb": 1, "abcdeyzx": 2}
+STEMS = {"dead": 1, "dab": 0}
+BARRED = frozenset(["abcdd", "ded"])
 
 
-@settings(max_examples=600, deadline=None)
-@given(st.text("abcdexyzsum", max_size=8))
+def stem_edits(token: str, stem: str, most: int):
+    """Beginnings of a token near a stem whose last letter, or whose swapped last two, stand."""
+    for n in range(1, len(token) + 1):
+        part = token[:n]
+        costs = [edits(part[:-1], stem[:-1])] * (part[-1] == stem[-1]) + [edits(part[:-2], stem[:-2]) + 1] * (n > 1 and part[-2:] == stem[-1] + stem[-2])
+        if costs and min(costs) <= most:
+            yield min(costs), stem, part
+
+
+@settings(max_examples=900, deadline=None)
+@given(st.text("abcdexyzsum", max_size=9) | st.tuples(st.sampled_from([*WORDS, *STEMS]), st.lists(st.tuples(st.integers(0, 8), st.sampled_from("abcdexyz")), max_size=2)).map(
+    lambda t: "".join([t[0], *(c for _, c in t[1])]) if len(t[1]) < 2 else t[0][: t[1][0][0]] + t[1][0][1] + t[0][t[1][1][0] :]))
 def test_automaton_accepts_what_is_near(token):
-    found = toxicity.Trie(WORDS, ["dead"]).match(token)
-    near = [(edits(token, w), w) for w, most in WORDS.items() if edits(token, w) <= most] + [(0, "dead")] * token.startswith("dead")
+    found = toxicity.Trie(WORDS, STEMS, BARRED).match(token)
+    near = [(edits(token, w), w, token) for w, most in WORDS.items() if edits(token, w) <= most]
+    near += [x for s, most in STEMS.items() for x in stem_edits(token, s, most)]
+    near = [(n, entry) for n, entry, part in near if not n or part not in BARRED]
     assert (found[::-1] if found else None) == (min(near) if near else None)
 
 
 def test_quotation_weighs_less():
-    memo = toxicity.Memo(toxicity.Trie({"idiot": 1}, []))
+    memo = toxicity.Memo(toxicity.Trie({"idiot": 1}, {}))
     weight = lambda t: toxicity.features(t.encode(), memo)[:2]
     assert weight('He said "what an idiot" and left')[0] < weight('what an "idea": idiot and left')[0] <= weight("you idiot")[0]
     assert weight("an id1ot")[1] > 0 == weight("an id1ot")[0]
@@ -84,6 +98,10 @@ def test_toxic_rows_are_found_and_clean_ones_left(spark):
         for _ in range(rng.randint(1, 3) if toxic else 0):
             words.insert(rng.randrange(len(words)), rng.choice(bad))
         rows.append((i, " ".join(words), int(toxic)))
+    long = [w for _ in range(40) for w in ("blorpen", *rng.choices(plain, k=4))]
+    for i in (600, 602, 603, 605):  # one long text and near copies of it teach no word of theirs
+        rows.append((i, " ".join([*long, rng.choice(bad)]), 1))
+        long[rng.randrange(200)] = long[rng.randrange(200)] = rng.choice(plain)
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.fit(docs, docs.where("doc_id % 3 <> 1").select("doc_id", "toxic"))
     assert set(model.words) == set(bad)
@@ -92,6 +110,29 @@ def test_toxic_rows_are_found_and_clean_ones_left(spark):
         assert (r.f.score >= 0.7) == bool(r.toxic), r
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_every_learned_term_is_found_misspelled(seed):
+    rng = random.Random(seed)
+    make = lambda low, high: "".join(rng.choices(string.ascii_lowercase, k=rng.randint(low, high)))
+    clean = {make(2, 9): (0, rng.randint(1, 200)) for _ in range(2000)}
+    stem = make(5, 5)
+    terms = {make(4, 4), make(4, 7), make(8, 12)} | {stem + make(1, 4) for _ in range(8)}
+    counts = clean | {t: (20, 0) for t in terms}
+    words, stems, barred, _ = toxicity.choose(counts, 500, 500)
+    assert all(any(t.startswith(s) for s in stems) or words[t] == toxicity.allowed(t) >= 1 for t in terms)
+    trie = toxicity.Trie(words, stems, barred)
+    assert not [w for w in clean if trie.match(w)]
+    for term in [*words, *stems]:
+        stands = term in stems
+        for _ in range(50):
+            wrong = term
+            for _ in range(toxicity.allowed(term)):
+                i, letter = rng.randrange(len(wrong) - 1 - stands), rng.choice("0147*")
+                wrong = rng.choice([wrong[:i] + letter + wrong[i + 1 :], wrong[:i] + letter + wrong[i:], wrong[:i] + wrong[i + 1] + wrong[i] + wrong[i + 2 :]])
+            if edits(wrong, term) <= toxicity.allowed(term) and not any(wrong.startswith(b) for b in barred):
+                assert trie.match(wrong + "s" * stands), (wrong, term)
+
+
 # ---- language ----------------------------------------------------------------------------------------
 
 
