@@ -1,8 +1,7 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, and context windows that tell quotation from abuse.
 
 The lexicon is learned from a bounded sample of labelled rows. A word enters if it stands in many different contexts
-(previous and next word) of several toxic texts and hardly in clean ones, where a text counts by the share of the word's
-contexts that no text before it holds, so that one long text, its copies and its near copies together count little more than once; word beginnings shared by several such words enter as stems. Words
+(previous and next word, so that copies of one text count once) of toxic rows and hardly in clean ones; word beginnings shared by several such words enter as stems. Words
 and stems form a trie. A token is matched by running the automaton that accepts everything within its allowed distance
 (insertions, deletions, substitutions, swaps of neighbours) along the trie; only branches both can follow are visited.
 Every entry of four letters or more may be misspelled by one edit, of eight or more by two; a stem in the part before its
@@ -22,13 +21,14 @@ all scores are zero; repeated rows are each scored; an empty table gives an empt
 from __future__ import annotations
 
 import pickle
-import re
+import uuid
 from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +44,8 @@ QUOTES = ('"', "“”", "„“", "«»", "»«", "‘’")
 WINDOW = 6
 MISSPELLED, QUOTED = 0.8, 0.2
 REMEMBERED = 400_000
+#: The model in use and its remembered tokens, kept for the next task of a Python worker.
+HELD: dict[str, tuple] = {}
 
 
 def allowed(entry: str) -> int:
@@ -64,38 +66,50 @@ class Trie:
 
     def __init__(self, words: dict[str, int], stems: dict[str, int], barred: frozenset[str] = frozenset()):
         self.words, self.stems, self.barred = words, stems, barred
-        self.root: dict = {"most": 0}
+        self.root: dict = {"most": 0, "below": 0}
+        self.of_size: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        self.stem_letters: list[tuple[int, int, int, int]] = []
+        bit = 1
         for kind, entries in (("word", words), ("stem", stems)):
             for entry, edits in entries.items():
                 node = self.root
                 for letter in entry:
-                    node = node.setdefault(letter, {"most": 0})
+                    node = node.setdefault(letter, {"most": 0, "below": 0})
                     node["most"] = max(node["most"], edits)
+                    node["below"] |= bit
                 node[kind] = entry
-        self.word_letters = [(letters(w), len(w), edits) for w, edits in words.items()]
-        self.stem_letters = [(letters(w), len(w), edits) for w, edits in stems.items()]
-
-    def possible(self, token: str) -> bool:
-        """False only where nothing can match: an edit adds one letter at most, and takes one away at most."""
-        held, size = letters(token), len(token)
-        for mask, length, edits in self.word_letters:
-            if -edits <= size - length <= edits and (mask & ~held).bit_count() <= edits and (held & ~mask).bit_count() <= edits:
-                return True
-        for mask, length, edits in self.stem_letters:
-            if size >= length - edits and (mask & ~letters(token[: length + edits])).bit_count() <= edits and (letters(token[: length - edits]) & ~mask).bit_count() <= edits:
-                return True
-        return False
+                if kind == "word":
+                    for size in range(len(entry) - edits, len(entry) + edits + 1):
+                        self.of_size[size].append((letters(entry), edits, bit))
+                else:
+                    self.stem_letters.append((letters(entry), len(entry), edits, bit))
+                bit <<= 1
+
+    def possible(self, token: str) -> int:
+        """Bits of the entries that can match: an edit adds one letter at most, and takes one away at most."""
+        held, size, out = [0], len(token), 0
+        for c in token:
+            held.append(held[-1] | 1 << ord(c) % 61)
+        whole = held[-1]
+        for mask, edits, bit in self.of_size.get(size, ()):
+            if (mask & ~whole).bit_count() <= edits and (whole & ~mask).bit_count() <= edits:
+                out |= bit
+        for mask, length, edits, bit in self.stem_letters:
+            if size >= length - edits and (mask & ~held[min(size, length + edits)]).bit_count() <= edits and (held[length - edits] & ~mask).bit_count() <= edits:
+                out |= bit
+        return out
 
     def near(self, token: str):
         """All ``(edits, entry, matched part)`` within the allowed edits; a word matches a whole token, a stem a beginning."""
-        if not self.possible(token):
+        possible = self.possible(token)
+        if not possible:
             return
         first = list(range(len(token) + 1))
         todo = [(self.root, "", first, first)]
         while todo:
             node, letter_before, row, before = todo.pop()
             for letter, child in node.items():
-                if len(letter) > 1:
+                if len(letter) > 1 or not child["below"] & possible:
                     continue
                 new, stands = [row[0] + 1], []
                 for i, c in enumerate(token, 1):
@@ -206,7 +220,7 @@ class Model:
 def choose(counts: dict[str, tuple[int, int]], toxic_rows: int, clean_rows: int, support: int = 5, lift: float = 30.0, bar: float = 3.0) -> tuple[dict[str, int], dict[str, int], frozenset[str], dict[tuple[str, int], float]]:
     """Words and stems with their allowed edits, barred misspellings, and what (entry, edits) is trusted if below 1.
 
-    ``counts`` holds for each word its toxic contexts (none where too few texts hold it) and its clean occurrences. What is near
+    ``counts`` holds for each word its toxic contexts and its clean occurrences. What is near
     an entry is barred if it occurs in clean rows and is not ``bar`` times as frequent in toxic ones.
     """
     ratio = clean_rows / max(1, toxic_rows)
@@ -262,11 +276,8 @@ def regress(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.0
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_label: int = 3000, least_texts: float = 2.5) -> Model:
-    """Lexicon and weights from at most ``rows_per_label`` rows of each label, those of smallest id hash, whole texts.
-
-    A word needs ``least_texts`` toxic texts' worth of contexts of their own.
-    """
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_label: int = 3000) -> Model:
+    """Lexicon and weights from at most ``rows_per_label`` rows of each label, those of smallest id hash, whole texts."""
     judged = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     judged = judged.where("toxic in (0, 1)")
     total = {r.toxic: r.n for r in judged.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -282,26 +293,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = staged(rows.select("text", "toxic"), "sample")
 
     def count(batch: pa.RecordBatch):
-        seen: dict[tuple[str, int, int], int] = defaultdict(int)
+        seen: dict[tuple[str, int], int] = defaultdict(int)
         for value, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
             tokens = value.translate(FOLD).split()
             if toxic:
-                whole = hash_of(value)
                 for before, token, after in zip([b"", *tokens], tokens, [*tokens[1:], b""]):
-                    seen[token, whole, hash_of(before + b" " + after)] = 1
+                    seen[token, hash_of(before + b" " + after)] = 1
             else:
                 for token in tokens:
-                    seen[token, 0, 0] += 1
+                    seen[token, 0] += 1
         keys = list(seen)
-        return [[k[0].decode("utf-8", "replace").lower() for k in keys], [k[1] for k in keys], [k[2] for k in keys], [seen[k] for k in keys]]
-
-    counted = map_batches(rows, count, "word string, whole bigint, context bigint, n bigint").groupBy("word", "whole", "context").agg(F.sum("n").alias("n"))
-    first = F.min("whole").over(Window.partitionBy("word", "context"))  # no more rows a context than sampled toxic rows
-    by_text = counted.withColumn("own", (F.col("whole") == first).cast("double")).groupBy("word", "whole").agg(F.sum("own").alias("own"), F.count("*").alias("held"), F.sum("n").alias("n"))
-    toxic_text = F.col("whole") != 0
-    by_word = by_text.groupBy("word").agg(
-        F.when(F.sum(F.when(toxic_text, F.col("own") / F.col("held"))) >= least_texts, F.sum(F.when(toxic_text, F.col("own"))).cast("long")).otherwise(0).alias("pos"),
-        F.coalesce(F.sum(F.when(~toxic_text, F.col("n"))), F.lit(0)).alias("neg")).toPandas()
+        return [[k[0].decode("utf-8", "replace").lower() for k in keys], [k[1] for k in keys], [seen[k] for k in keys]]
+
+    counted = map_batches(rows, count, "word string, context bigint, n bigint").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    by_word = counted.groupBy("word").agg(F.count(F.when(F.col("context") != 0, 1)).alias("pos"), F.coalesce(F.sum(F.when(F.col("context") == 0, F.col("n"))), F.lit(0)).alias("neg")).toPandas()
     took = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     words, stems, barred, trust = choose(dict(zip(by_word.word, zip(by_word.pos.tolist(), by_word.neg.tolist()))), took[1], took[0])
     model = Model(words, stems, barred, trust)
@@ -317,10 +322,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def hash_of(value: bytes) -> int:
-    """Odd 62-bit hash."""
+    """Non-zero 62-bit hash."""
     return (xxhash.xxh64_intdigest(value) >> 2) | 1
 
 
+def held(key: str, sent: Broadcast) -> tuple[Model, Memo]:
+    """A model and its memo, kept in the worker; named in the module, so that tasks of one worker share them."""
+    if key not in HELD:
+        model = pickle.loads(sent.value)
+        HELD.clear()
+        HELD[key] = model, Memo(Trie(model.words, model.stems, model.barred), model.trust)
+    return HELD[key]
+
+
 def with_features(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
     """``docs`` with a last column ``name``: struct of ``exact, misspelled, density, hits, score``."""
     at = docs.columns.index(text)
@@ -328,13 +342,10 @@ def with_features(docs: DataFrame, model: Model, name: str, text: str = "text")
     fields = ("exact", "misspelled", "density", "hits", "score")
     kind = T.StructType([T.StructField(f, T.LongType() if f == "hits" else T.DoubleType()) for f in fields])
     arrow = pa.struct([(f, pa.int64() if f == "hits" else pa.float64()) for f in fields])
-    held: list = []
+    key = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch):
-        if not held:
-            model = pickle.loads(sent.value)
-            held.extend([model, Memo(Trie(model.words, model.stems, model.barred), model.trust)])
-        model, memo = held
+        model, memo = held(key, sent)
         rows = []
         for value in texts(batch.column(at)):
             found = features(value, memo)
