@@ -13,6 +13,7 @@ from rolegrid.catalog.common import spread, stamp, table
 from rolegrid.operators import crawl
 from rolegrid.plans.discovery import DiscoveryOptions, discover
 from rolegrid.schemas import POSTING
+from rolegrid.session import stage
 from rolegrid.sources import pages as page_source
 from rolegrid.sources.page_store import write_page_store
 
@@ -40,7 +41,7 @@ def greenhouse_card(key: Column, title: Column, place: Column, team: Column, for
 def extract_greenhouse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per order, one card per line item; the return flag picks the markup."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_extendedprice")
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    items = spread(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines")))
     cards = F.transform("lines", lambda x: greenhouse_card(
         html(x["l_partkey"], "-", x["l_suppkey"]), html("Part  ", x["l_partkey"], " &amp; line ", x["l_linenumber"]),
         html("Hall ", x["l_quantity"].cast("int")), html("Team ", x["l_linestatus"]), x["l_returnflag"]))
@@ -48,7 +49,7 @@ def extract_greenhouse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://boards.greenhouse.io/order"), "l_orderkey").alias("url"), F.lit("greenhouse").alias("site"), "l_orderkey",
         html('<html><section class="level-0"><h1>Order ', F.col("l_orderkey"), "</h1></section><body>", F.array_join(cards, "\n"), "</body></html>").alias("html"),
     )
-    return page_source.extract_listings(spread(pages)).select(
+    return page_source.extract_listings(pages).select(
         "l_orderkey", F.col("position").cast("int").alias("position"), "source_job_id", "url", "title", "company", "location", "team", "remote_status", "description_text"
     )
 
@@ -67,9 +68,9 @@ def extract_lever(spark: SparkSession, sf_dir: str) -> DataFrame:
         '">Send</a><span class="workplaceTypes">On-site</span><h5 data-qa="posting-name"><b>', brand, "</b> ", name, "</h5></div></main>",
     )
     page = F.concat(wrapped, own)
-    pages = table(spark, sf_dir, "part").select(
+    pages = spread(table(spark, sf_dir, "part")).select(
         k, html("https://jobs.lever.co/part-", k, "_co?x=1").alias("url"), F.lit("lever").alias("site"), page.alias("html"))
-    return page_source.extract_listings(spread(pages)).select(
+    return page_source.extract_listings(pages).select(
         "p_partkey", F.col("position").cast("int").alias("position"), "source_job_id", "url", "title", "company", "location", "team", "workplace_type")
 
 
@@ -85,10 +86,10 @@ def extract_linkedin(spark: SparkSession, sf_dir: str) -> DataFrame:
         '&amp;x=1">', F.col("o_orderpriority"), '</a><div class="artdeco-entity-lockup__caption">Remote ', F.col("o_custkey"),
         '</div><div class="artdeco-entity-lockup__caption">ignored</div></li><li class="jobs-search-results__list-item"><span class="job-search-card__location">no link</span></li></ul>',
     )
-    pages = table(spark, sf_dir, "orders").select(
+    pages = spread(table(spark, sf_dir, "orders")).select(
         k, html("https://www.linkedin.com/jobs/search/", k).alias("url"), F.lit("linkedin").alias("site"),
         F.lit(None).cast("string").alias("board_url"), page.alias("html"))
-    return page_source.extract_listings(spread(pages)).select(
+    return page_source.extract_listings(pages).select(
         "o_orderkey", F.col("position").cast("int").alias("position"), "source_job_id", "url", "title", "company", "location", "remote_status",
         stamp("posted_at").alias("posted_at"), "posted_time")
 
@@ -101,9 +102,9 @@ def extract_indeed(spark: SparkSession, sf_dir: str) -> DataFrame:
         '</span><div class="companyLocation">Nation ', F.col("c_nationkey"), '</div><div class="job-snippet">first ', k, '</div><div class="jobMetaDataGroup">then ', seg,
         '</div></div><div class="slider_item"><a data-jk="d', k, '" href="https://www.indeed.com/viewjob?x=', k, '">', seg, "</a></div>",
     )
-    pages = table(spark, sf_dir, "customer").select(
+    pages = spread(table(spark, sf_dir, "customer")).select(
         k, html("https://www.indeed.com/q", k).alias("url"), F.lit("indeed").alias("site"), F.lit(None).cast("string").alias("board_url"), page.alias("html"))
-    return page_source.extract_listings(spread(pages)).select(
+    return page_source.extract_listings(pages).select(
         "c_custkey", F.col("position").cast("int").alias("position"), "source_job_id", "url", "title", "company", "location", "snippet")
 
 
@@ -130,8 +131,8 @@ def extract_details(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("lever").alias("site"), html("https://jobs.lever.co/acme/", k, "/").alias("url"), lever.alias("html")),
         F.struct(F.lit("linkedin").alias("site"), html("https://www.linkedin.com/jobs/view/", k, "/?x=1").alias("url"), linkedin.alias("html")),
     )).alias("f")
-    pages = table(spark, sf_dir, "orders").select(forms).select("f.*")
-    return page_source.extract_details(spread(pages)).select(
+    pages = spread(table(spark, sf_dir, "orders")).select(forms).select("f.*")
+    return page_source.extract_details(pages).select(
         "source_site", "source_job_id", "title", "company", "location", "employment_type", "remote_status", "team", "posted_time",
         F.coalesce("employment_type_text", F.lit("")).alias("employment_type_text"), "description_text")
 
@@ -218,7 +219,7 @@ def _discovered(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     at = F.lit("2024-01-01").cast("timestamp")
     store = to_store_columns(stored, at).select(*[f.name for f in POSTING])
     options = DiscoveryOptions(max_pages=None, enrich_greenhouse_details=True)
-    return discover(queries, write_page_store(pages), store, options, seen_at=at)
+    return discover(queries, write_page_store(stage(pages, "spelled")), store, options, seen_at=at)
 
 
 def discover_job(spark: SparkSession, sf_dir: str) -> DataFrame:

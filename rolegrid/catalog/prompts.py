@@ -14,6 +14,7 @@ from rolegrid.operators import intents, matching, registry, validate
 from rolegrid.plans.discovery import DiscoveryOptions
 from rolegrid.plans.search import search
 from rolegrid.schemas import CONSTRAINTS, LIST_CONSTRAINTS
+from rolegrid.session import stage
 from rolegrid.sources.page_store import write_page_store
 
 
@@ -166,7 +167,7 @@ def _searched(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.col("c_custkey").alias("prompt_id"),
         html("Find backend roles at Firm ", F.col("c_custkey"), " or Firm ", F.col("c_nationkey"), ". avoid part 1", F.col("c_nationkey"), ".").alias("raw_prompt_text"))
     options = DiscoveryOptions(max_pages=None, enrich_greenhouse_details=True)
-    return search(prompts, boards, write_page_store(pages), options, now=F.lit("2024-01-01").cast("timestamp"))
+    return search(prompts, boards, write_page_store(stage(pages, "spelled")), options, now=F.lit("2024-01-01").cast("timestamp"))
 
 
 def search_job(spark: SparkSession, sf_dir: str) -> DataFrame:

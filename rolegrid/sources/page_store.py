@@ -17,17 +17,27 @@ from rolegrid.session import shared_dir
 
 #: Wanted urls that may be broadcast.
 SMALL = 100_000
+#: Page text of a bucket, about, in a store that chooses its buckets itself.
+BUCKET_BYTES = 64 << 20
+
+
+def bucket_count(pages: DataFrame) -> int:
+    """Buckets for ``pages`` by their text, one for each core at least: every hop of a walk opens all buckets, so that many small
+    ones cost more than the pages in them. Reads the text once, so ``pages`` should be a stored table."""
+    size = pages.agg(F.sum(F.octet_length("html").cast("bigint"))).first()[0] or 0
+    return max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
 
 
 def write_page_store(pages: DataFrame, path: str | None = None, buckets: int | None = None) -> DataFrame:
     """Write ``pages(url, site, html[, kind, fetched_at, ...])`` in ``buckets`` files by url and return the stored table.
 
-    Choose ``buckets`` so that one of them fits a task; it is also the number of tasks that read pages.
+    Choose ``buckets`` so that one of them fits a task; it is also the number of tasks that read pages. By default
+    ``bucket_count`` chooses.
     """
     spark = pages.sparkSession
     name = f"pages_{uuid.uuid4().hex}"
     path = path or os.path.join(shared_dir(spark), name)
-    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    buckets = buckets or bucket_count(pages)
     order = [c for c in ("kind", "url") if c in pages.columns]
     pages.repartition(buckets, "url").write.bucketBy(buckets, "url").sortBy(*order).option("path", path).saveAsTable(name)
     return spark.table(name)

@@ -13,7 +13,7 @@ from rolegrid.operators.telemetry import with_totals
 from rolegrid.plans.discovery import DiscoveryOptions, collect_postings, discover
 from rolegrid.plans.search import search
 from rolegrid.schemas import DECISION_LOG, DISCOVERY_QUERY, POSTING
-from rolegrid.sources import metadata, readers, sinks
+from rolegrid.sources import metadata, page_store, readers, sinks
 from rolegrid.sources import pages as page_source
 from rolegrid.sources.page_store import open_page_store, wanted_pages, write_page_store
 from rolegrid.sources.tables import BucketTable
@@ -262,3 +262,19 @@ def test_walk_in_a_given_index_without_bound(spark):
     for r in walk_pages(starts, index, None).orderBy("hop").collect():
         got.setdefault(r.query_id, []).append((r.url, r.stop))
     assert {q: (len(v), v[-1][1]) for q, v in got.items()} == {"a": (21, "no_next"), "b": (6, "no_next"), "c": (1, "repeated_page"), "d": (1, "start_missing")}
+
+
+def test_small_stores_have_few_buckets(spark, monkeypatch):
+    """Each hop of a walk opens every bucket, so their number follows the text of the pages, not the shuffle partitions."""
+    rows = spark.range(300).select(F.concat(F.lit("u"), "id").alias("url"), F.lit("own").alias("site"), F.repeat(F.lit("x"), 1000).alias("html"))
+    cores = spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 10 * cores + 100)
+    try:
+        stored = write_page_store(rows)
+        assert page_store.bucket_count(rows) == cores and stored.rdd.getNumPartitions() <= cores and stored.count() == 300
+        monkeypatch.setattr(page_store, "BUCKET_BYTES", 300_000 // (3 * cores))
+        assert page_store.bucket_count(rows) == 3 * cores
+        assert page_store.bucket_count(rows.limit(0)) == cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
