@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,27 @@ cloudpickle.register_pickle_by_value(markup)
 CARDS = "array<struct<" + ",".join(f"{f}:string" for f in markup.CARD_FIELDS) + ">>"
 DETAIL = "struct<" + ",".join(f"{f}:string" for f in markup.DETAIL_FIELDS) + ",insights:array<string>,description:string,error:string>"
 
+_CARDS_TYPE = pa.list_(pa.struct([(f, pa.string()) for f in markup.CARD_FIELDS]))
+_PAGE_TYPE = pa.struct([("cards", _CARDS_TYPE), ("href", pa.string()), ("error", pa.string())])
+_DETAIL_TYPE = pa.struct([
+    *[(f, pa.string()) for f in markup.DETAIL_FIELDS], ("insights", pa.list_(pa.string())), ("description", pa.string()), ("error", pa.string())])
+#: Pages whose captures a worker holds as Python objects at a time.
+SLICE = 500
+
+
+def captured(read: Callable[[str, str], object], kind: pa.DataType) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """``read`` over columns of sites and pages: a slice of a batch at a time, so that a worker's memory does not grow with the batch."""
+
+    def column(sites: pa.Array, pages: pa.Array) -> pa.Array:
+        slices = [
+            pa.array([read(n, p) for n, p in zip(sites[at:at + SLICE].to_pylist(), pages[at:at + SLICE].to_pylist())], kind)
+            for at in range(0, len(pages), SLICE)
+        ]
+        return pa.concat_arrays(slices) if slices else pa.array([], kind)
+
+    return column
+
+
 # Extractors by site (UD1): page text in, list of card dicts out.
 _EXTRACTORS: dict[str, Callable[[str | None], list[dict]]] = {}
 
@@ -58,15 +80,17 @@ def page_content(site: Column | str, html: Column | str) -> Column:
     """``cards``, next-link target ``href`` and parse ``error`` of a listing page, read in one pass."""
     own = dict(_EXTRACTORS)
 
-    @F.pandas_udf(f"struct<cards:{CARDS},href:string,error:string>")
-    def content(sites: pd.Series, pages: pd.Series) -> pd.DataFrame:
-        def one(name, page):
-            found = markup.read_page("" if name in own else name, page)
-            if name in own:
-                found["cards"] = [{f: c.get(f) for f in markup.CARD_FIELDS} for c in own[name](page)]
-            return found
+    def one(name, page):
+        found = markup.read_page("" if name in own else name, page)
+        if name in own:
+            found["cards"] = [{f: c.get(f) for f in markup.CARD_FIELDS} for c in own[name](page)]
+        return found
+
+    read = captured(one, _PAGE_TYPE)
 
-        return pd.DataFrame([one(n, p) for n, p in zip(sites, pages)], columns=["cards", "href", "error"])
+    @F.arrow_udf(f"struct<cards:{CARDS},href:string,error:string>")
+    def content(sites: pa.Array, pages: pa.Array) -> pa.Array:
+        return read(sites, pages)
 
     return once(content)(as_col(site), as_col(html))
 
@@ -75,27 +99,29 @@ def listing_cards(site: Column | str, html: Column | str) -> Column:
     """Raw cards of a listing page; empty for a site without extractor."""
     own = dict(_EXTRACTORS)
 
-    @F.pandas_udf(CARDS)
-    def cards(sites: pd.Series, pages: pd.Series) -> pd.Series:
-        def one(name, page):
-            if name in own:
-                return [{f: c.get(f) for f in markup.CARD_FIELDS} for c in own[name](page)]
-            return markup.read_cards(name, page)
+    def one(name, page):
+        if name in own:
+            return [{f: c.get(f) for f in markup.CARD_FIELDS} for c in own[name](page)]
+        return markup.read_cards(name, page)
+
+    read = captured(one, _CARDS_TYPE)
 
-        return pd.Series([one(n, p) for n, p in zip(sites, pages)])
+    @F.arrow_udf(CARDS)
+    def cards(sites: pa.Array, pages: pa.Array) -> pa.Array:
+        return read(sites, pages)
 
     return once(cards)(as_col(site), as_col(html))
 
 
 def detail_captures(site: Column | str, html: Column | str) -> Column:
-    @F.pandas_udf(DETAIL)
-    def captures(sites: pd.Series, pages: pd.Series) -> pd.DataFrame:
-        columns = [*markup.DETAIL_FIELDS, "insights", "description", "error"]
-        rows = [
-            markup.read_detail(n, p) if n in markup.DETAIL_RULES else dict.fromkeys(columns)
-            for n, p in zip(sites, pages)
-        ]
-        return pd.DataFrame(rows, columns=columns)
+    def one(name, page):
+        return markup.read_detail(name, page) if name in markup.DETAIL_RULES else {}
+
+    read = captured(one, _DETAIL_TYPE)
+
+    @F.arrow_udf(DETAIL)
+    def captures(sites: pa.Array, pages: pa.Array) -> pa.Array:
+        return read(sites, pages)
 
     return once(captures)(as_col(site), as_col(html))
 

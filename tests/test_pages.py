@@ -161,3 +161,64 @@ def test_next_links(spark):
     df = spark.createDataFrame([("http://h.test/b", i, h) for i, (h, _) in enumerate(cases)], "url string, i int, html string")
     got = df.select("i", P.resolve_url("url", P.next_href("html")).alias("n")).orderBy("i").collect()
     assert [r.n for r in got] == [e for _, e in cases]
+
+
+class Events:
+    """Notes what a walker is fed."""
+
+    def __init__(self):
+        self.seen = []
+
+    def start(self, tag, attrs):
+        self.seen.append((tag, dict(attrs)))
+
+    def end(self, tag):
+        self.seen.append(tag)
+
+    def data(self, data):
+        self.seen.append([data])
+
+
+PIECES = [
+    '<div class="a b">', "</div>", "text &amp; more", " ", "<br/>", "<br />", "<!-- c -->", "<!doctype html>", "<script>if (a<b) {}</script>",
+    '<STYLE type="x">p{} </b></style>', '<a href="/x?a=1&amp;b=2" x>', "<a href='y' Class=z>", "</a>", "<", ">", "&", "&#60;", "&lt", '"', "'", "=", "</", "/>",
+    "<!--", "-->", "<script", "</script>", "<b disabled>", '<img src="a>b"/>', "<p/ >", "</p x>", "<style>", "</ script>", '<i a="1" a="2">', '<i a="1"b="2">',
+    "\x0b", "\xa0", '<script src="a"></SCRIPT>', "<?x?>", "<!---->", "<!--->", "<title>a<b></title>", "<script/>", "</script >"]
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it():
+    """Pages cut by one expression give the events of the full parser; pages with other markup are left to it."""
+    rng, plain = random.Random(7), 0
+    for _ in range(20_000):
+        page = "".join(rng.choice(PIECES) for _ in range(rng.randrange(1, 9)))
+        events = Events(), Events()
+        markup._walk(page, events[0])
+        reader = markup.Reader(events[1])
+        reader.feed(page)
+        reader.close()
+        assert events[0].seen == events[1].seen, page
+        plain += markup._tokens(page) is not None
+    assert 2_000 < plain < 18_000
+    assert markup._tokens('<p>a<script>b</p>') is None and markup._tokens("<p a=b>") is None
+    assert max(len(markup._TAGS), len(markup._CLASSES), len(markup._ROLES)) <= markup.KEPT
+
+
+def test_pages_are_read_in_slices():
+    """Captures of a batch are held as Python objects for a slice at a time."""
+    held = []
+    read = P.captured(lambda site, page: held.append(page) or {"error": page}, P._DETAIL_TYPE)
+    n = 2 * P.SLICE + 3
+    out = read(P.pa.array(["x"] * n), P.pa.array([str(i) for i in range(n)]))
+    assert out.field("error").to_pylist() == held == [str(i) for i in range(n)] and out.type == P._DETAIL_TYPE
+    assert len(read(P.pa.array([], P.pa.string()), P.pa.array([], P.pa.string()))) == 0
+
+
+@pytest.mark.parametrize("name", ["extract_details", "extract_greenhouse", "extract_lever", "extract_linkedin", "extract_indeed"])
+def test_page_text_is_not_shuffled(spark, name):
+    """Pages are spelled after the rows are dealt: no exchange of the extraction carries page text."""
+    from rolegrid.catalog.pages import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    while plan.children().nonEmpty():
+        assert "Exchange" not in plan.nodeName() or "html" not in plan.output().mkString(",")
+        plan = plan.inputPlan() if plan.nodeName().startswith("AdaptiveSparkPlan") else plan.children().head()
