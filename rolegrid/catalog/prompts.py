@@ -96,13 +96,13 @@ def order_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boards of every prompt, with label and notes."""
-    plan = registry.compile_plan(order_intents(spark, sf_dir), supplier_registry(spark, sf_dir))
+    plan = registry.compile_plan(stage(order_intents(spark, sf_dir), "intents"), supplier_registry(spark, sf_dir))
     return plan["queries"].select("prompt_id", "company_name", "source_site", "board_url", "label", joined("notes", " ").alias("notes"))
 
 
 def plan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts without a plan, and the notes of the others."""
-    plan = registry.compile_plan(order_intents(spark, sf_dir), supplier_registry(spark, sf_dir))
+    plan = registry.compile_plan(stage(order_intents(spark, sf_dir), "intents"), supplier_registry(spark, sf_dir))
     notes = plan["notes"].select("prompt_id", joined("plan_notes", " ").alias("text"))
     return plan["errors"].select("prompt_id", F.col("error").alias("text")).unionByName(notes)
 
@@ -118,7 +118,7 @@ def plan_without_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def discovery_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executable queries with merged keyword and location lists."""
-    plan = registry.compile_plan(order_intents(spark, sf_dir), supplier_registry(spark, sf_dir))
+    plan = registry.compile_plan(stage(order_intents(spark, sf_dir), "intents"), supplier_registry(spark, sf_dir))
     rows = registry.to_discovery_queries(plan["queries"])
     return rows.select("prompt_id", "start_url", joined("include_keywords").alias("include_keywords"), joined("exclude_keywords").alias("exclude_keywords"),
                        joined("location_hints").alias("location_hints"))

@@ -135,3 +135,11 @@ def test_posting_checks(spark, reason, change):
     assert [r.reasons for r in bad.collect()] == [[reason]]
     row = good.first()
     assert (row.source_site, row.title, row.url) == ("my_site_x", "a b", "https://x.test/")
+
+
+def test_intents_of_orders_are_made_once(spark):
+    """The plan joins written intents; it does not gather the line items of all orders again."""
+    from rolegrid.catalog.prompts import QUERIES
+
+    for name in ("discovery_queries", "registry_match"):
+        assert not [f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
