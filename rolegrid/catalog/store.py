@@ -127,14 +127,17 @@ def upsert_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as sightings of their parts, one after the other: each under one of two urls of the part, every
     fourth without the part's id. So urls move, new postings appear beside the stored one, and some sightings conflict."""
     stored = stored_parts(spark, sf_dir)
-    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint")
-    seq = (line * 1_000_000 + F.col("l_partkey")) * 2 + F.col("l_suppkey") % 2
-    rows = table(spark, sf_dir, "lineitem").select(
+    # all that a sighting says follows from these three numbers, so repeats go before its texts are spelled
+    sighted = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("line"), "l_partkey", (F.col("l_suppkey") % 2).alias("side")).distinct()
+    line, side = F.col("line"), F.col("side")
+    seq = (line * 1_000_000 + F.col("l_partkey")) * 2 + side
+    rows = sighted.select(
         seq.alias("seq"), F.lit("shop").alias("source_site"), F.when(line % 4 != 0, F.concat(F.lit("J"), "l_partkey")).alias("source_job_id"),
-        F.concat(F.lit("https://shop.test/m/"), "l_partkey", F.lit("/"), F.col("l_suppkey") % 2).alias("url"), F.concat(F.lit("Seen "), seq).alias("title"),
+        F.concat(F.lit("https://shop.test/m/"), "l_partkey", F.lit("/"), side).alias("url"), F.concat(F.lit("Seen "), seq).alias("title"),
         F.lit("C").alias("company"), F.lit("here").alias("location"), F.lit("unknown").alias("remote_status"), F.lit("unknown").alias("employment_type"), F.lit("unknown").alias("seniority"),
         F.lit("d").alias("description_text"), F.lit(None).cast("string").alias("extra"),
-    ).distinct()
+    )
     out = store.upsert_postings(stored, store.to_store_columns(rows, _ts("2024-02-01")))
     return out["store"].select("id", "url", "source_job_id", "title")
 

@@ -253,3 +253,19 @@ def test_prompt_upsert(spark):
 
 def test_store_columns_are_complete():
     assert set(STORED) | {"id"} == set(POSTING.fieldNames())
+
+
+def test_repeated_sightings_go_before_their_texts_are_spelled(spark, monkeypatch):
+    """The distinct of upsert_moves shuffles numbers, no texts."""
+    from rolegrid.catalog import store as catalog
+
+    given = []
+    monkeypatch.setattr(catalog.store, "upsert_postings", lambda old, new: given.append(new) or {"store": old})
+    catalog.upsert_moves(spark, "/root/testdata/sf0.001")
+    plan, exchanges = given[0]._jdf.queryExecution().executedPlan(), 0
+    while plan.children().nonEmpty() or plan.nodeName().startswith("AdaptiveSparkPlan"):
+        if "Exchange" in plan.nodeName():
+            exchanges += 1
+            assert "string" not in plan.schema().simpleString()
+        plan = plan.executedPlan() if plan.nodeName().startswith("AdaptiveSparkPlan") else plan.children().head()
+    assert exchanges == 1
