@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,9 @@ from rolegrid.operators.skew import heavy_keys, key_counts, salted_join
 from rolegrid.schemas import LISTING_ONLY_PREFIX, METADATA_COLUMNS
 from rolegrid.session import Rounds, stage
 
+#: Walks of no more pages than this are never worth reading ahead.
+AHEAD_HOPS = 4
+
 
 class PageReader(Protocol):
     """Reads pages when they are wanted; its table holds ``url, site, next_url, n_items, error``."""
@@ -21,6 +25,10 @@ class PageReader(Protocol):
     def read(self, wanted: DataFrame, most: int) -> None:
         """Read the pages ``url, site`` of ``wanted``, of which there are ``most`` at most."""
 
+    def read_ahead(self, sites: DataFrame, walks: int, hop: int) -> bool:
+        """Before hop ``hop`` of ``walks`` open walks: read all pages of ``sites(site)`` at once if that costs less than to look
+        for pages hop by hop, and say whether that was done."""
+
     def table(self) -> DataFrame:
         """All pages read so far."""
 
@@ -40,10 +48,13 @@ def walk_pages(starts: DataFrame, pages: DataFrame | PageReader, max_pages: int
     """
     steps, stored = Rounds(starts.sparkSession, "steps"), isinstance(pages, DataFrame)
     limit = None if max_pages is None else max(1, max_pages)
+    long = limit is None or limit > AHEAD_HOPS
     front = starts.select("query_id", "source_site", F.col("start_url").alias("url"), F.lit(False).alias("filled"))
     open_walks, hop = front.count(), 0
     while open_walks:
         hop += 1
+        if not stored and long and pages.read_ahead(starts.select(F.col("source_site").alias("site")).distinct(), open_walks, hop):
+            return _visits(_jump(starts, pages.table(), limit))
         if not stored:
             wanted = front.select("url", F.col("source_site").alias("site"))
             pages.read(wanted if hop == 1 else wanted.join(pages.table().select("url", "site"), ["url", "site"], "left_anti"), open_walks)
@@ -71,8 +82,59 @@ def walk_pages(starts: DataFrame, pages: DataFrame | PageReader, max_pages: int
             break
         front = step.where("stop IS NULL").select("query_id", "source_site", F.col("next_url").alias("url"), "filled")
         open_walks = front.count()
-    # the last step of a walk that did not stop leads to a page seen before, or to one beyond the limit
-    walked = steps.table()
+    return _visits(steps.table())
+
+
+def _jump(starts: DataFrame, known: DataFrame, limit: int | None) -> DataFrame:
+    """The steps of all walks over pages that are all known: ways of 1, 2, 4, ... links are put together from halves, and
+    a walk doubles its length in each round.
+
+    Until it comes back to a page a walk sees other pages at each hop, and from then on none but seen ones; so its number of different
+    pages is the hop before the first repeated one.
+    """
+    known = known.select("url", F.col("site").alias("source_site"), "next_url", "n_items", F.col("error").isNotNull().alias("unread"))
+    seen = F.struct(F.lit(True).alias("hit"), "unread", F.coalesce("n_items", F.lit(0)).alias("n_items"), "next_url").alias("page")
+    nodes = known.select("url", "source_site", seen)
+    linked = nodes.where("NOT page.unread AND page.next_url IS NOT NULL")
+    ends = nodes.select(F.col("url").alias("to"), "source_site", F.col("page").alias("page_to"))
+    ways = linked.select("url", "source_site", F.col("page.next_url").alias("to"), (F.col("page.n_items") > 0).alias("filled_by"))
+    ways = stage(ways.join(ends, ["to", "source_site"], "left"), "ways")
+    first = starts.select("query_id", "source_site", F.col("start_url").alias("url"))
+    rows = first.join(nodes, ["url", "source_site"], "left").select("query_id", "source_site", F.lit(1).alias("hop"), "url", F.lit(False).alias("filled"), "page")
+    found = F.coalesce("page.hit", F.lit(False)) & ~F.coalesce("page.unread", F.lit(False))
+    n_items = F.coalesce("page.n_items", F.lit(0))
+    stop = (
+        F.when(F.col("page.unread"), F.when(F.col("hop") == 1, "start_unreadable").otherwise("page_unreadable"))
+        .when(~found, F.when(F.col("hop") == 1, "start_missing").otherwise("page_missing"))
+        .when((n_items == 0) & F.col("filled"), "empty_page")
+        .when(F.col("page.next_url").isNull(), "no_next")
+    )
+    done, length = [], 1
+    while True:
+        rows = stage(rows.withColumn("stop", stop), "walks")
+        whole = rows.groupBy("query_id").agg(F.min(F.when(F.col("stop").isNotNull(), F.col("hop"))).alias("end"), F.count_distinct("url").alias("n_urls"))
+        closed = F.col("end").isNotNull() | (F.col("n_urls") < length)
+        if limit is not None and length >= limit:
+            closed = F.lit(True)
+        cut = F.least("end", F.greatest("n_urls", F.lit(1)), F.lit(limit))
+        rows = rows.join(whole.select("query_id", cut.alias("cut"), closed.alias("closed")), "query_id").where("hop <= cut").drop("cut")
+        rows = stage(rows, "cut")
+        done.append(rows.where("closed").select("query_id", "source_site", "hop", "url", found.alias("found"), n_items.alias("n_items"), "page.next_url", "stop"))
+        rows = rows.where("NOT closed").drop("closed", "stop")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        if length > 1:
+            half = ways.select("url", "source_site", F.col("to").alias("mid"), F.col("filled_by").alias("filled_first"))
+            other = ways.select(F.col("url").alias("mid"), "source_site", "to", "filled_by", "page_to")
+            both = half.join(other, ["mid", "source_site"])
+            ways = stage(both.select("url", "source_site", "to", (F.col("filled_first") | F.col("filled_by")).alias("filled_by"), "page_to"), "ways")
+        ahead = rows.join(ways, ["url", "source_site"]).select(
+            "query_id", "source_site", (F.col("hop") + length).alias("hop"), F.col("to").alias("url"), (F.col("filled") | F.col("filled_by")).alias("filled"), F.col("page_to").alias("page"))
+        rows, length = rows.unionByName(ahead), 2 * length
+
+
+def _visits(walked: DataFrame) -> DataFrame:
+    """Visits from steps: the last step of a walk that did not stop leads to a page seen before, or to one beyond the limit."""
     last = walked.groupBy("query_id").agg(F.max("hop").alias("hop"), F.lit(True).alias("last"))
     again = walked.select("query_id", F.col("url").alias("next_url"), F.lit(True).alias("again")).distinct()
     walked = walked.join(last, ["query_id", "hop"], "left").join(again, ["query_id", "next_url"], "left")

@@ -14,7 +14,10 @@ from rolegrid.operators.store import to_store_columns, upsert_postings
 from rolegrid.operators.telemetry import discovery_counters
 from rolegrid.session import Rounds, stage
 from rolegrid.sources import pages as page_source
-from rolegrid.sources.page_store import wanted_pages
+from rolegrid.sources.page_store import newest_pages, wanted_pages
+
+#: All listing pages are read at once if one in so many of them is wanted in one hop, or after so many hops.
+AHEAD_SHARE, AHEAD_AFTER = 16, 8
 
 
 @dataclass(frozen=True)
@@ -39,14 +42,28 @@ def _kind(pages: DataFrame, kind: str) -> DataFrame:
 class ListingReader:
     """Reads the listing pages that a walk asks for: cards and next link of each, page text dropped.
 
-    The semi join with the wanted urls comes before the page reader, so that only wanted pages are parsed.
+    The semi join with the wanted urls comes before the page reader, so that only wanted pages are parsed. But each hop scans the whole
+    store; to parse all pages of a site costs about three such scans. So they are all read at once where the walks stand on a good
+    part of them, and after so many hops that the scans have cost more.
     """
 
     def __init__(self, pages: DataFrame) -> None:
-        self.listings, self.contents = _kind(pages, "listing"), Rounds(pages.sparkSession, "contents")
+        self.listings, self.contents, self.total = _kind(pages, "listing"), Rounds(pages.sparkSession, "contents"), None
 
     def read(self, wanted: DataFrame, most: int) -> None:
-        content = wanted_pages(self.listings, wanted, most).select("url", "site", page_source.page_content("site", "html").alias("c"))
+        self._add(wanted_pages(self.listings, wanted, most))
+
+    def read_ahead(self, sites: DataFrame, walks: int, hop: int) -> bool:
+        if self.total is None:
+            self.total = self.listings.count()
+        if walks * AHEAD_SHARE < self.total and hop <= AHEAD_AFTER:
+            return False
+        self.contents = Rounds(self.listings.sparkSession, "contents")
+        self._add(newest_pages(self.listings.join(F.broadcast(sites), "site", "left_semi")))
+        return True
+
+    def _add(self, pages: DataFrame) -> None:
+        content = pages.select("url", "site", page_source.page_content("site", "html").alias("c"))
         next_url = F.when(F.col("site") != "linkedin", page_source.resolve_url("url", "c.href"))
         self.contents.add(content.select("url", "site", "c.cards", F.size("c.cards").alias("n_items"), "c.error", next_url.alias("next_url")))
 

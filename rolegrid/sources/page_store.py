@@ -53,15 +53,20 @@ def open_page_store(example: DataFrame, path: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def wanted_pages(pages: DataFrame, wanted: DataFrame, most: int | None = None) -> DataFrame:
-    """The pages ``url, site`` of ``wanted``, one version of each: the newest by ``fetched_at`` (null is oldest), of several such the one
-    with the greatest hash of its columns. The caller may know that there are ``most`` wanted pages at most; up to ``SMALL``
-    they are broadcast, and pages that nobody wants end at the scan."""
+def newest_pages(pages: DataFrame) -> DataFrame:
+    """One version of each page ``url, site``: the newest by ``fetched_at`` (null is oldest), of several such the one with the greatest
+    hash of its columns."""
     rest = [c for c in pages.columns if c not in ("url", "site")]
     version = F.struct(F.col("fetched_at") if "fetched_at" in rest else F.lit(0), F.xxhash64(*rest))
+    return pages.groupBy("url", "site").agg(F.max_by(F.struct(*rest), version).alias("_page")).select("url", "site", "_page.*")
+
+
+def wanted_pages(pages: DataFrame, wanted: DataFrame, most: int | None = None) -> DataFrame:
+    """The pages ``url, site`` of ``wanted``, one version of each as in ``newest_pages``. The caller may know that there are ``most``
+    wanted pages at most; up to ``SMALL`` they are broadcast, and pages that nobody wants end at the scan."""
     # joined on the url alone, so that a store bucketed by url is not shuffled
     sites = wanted.groupBy(F.col("url").alias("_url")).agg(F.collect_set("site").alias("_sites"))
     if most is not None and most <= SMALL:
         sites = F.broadcast(sites)
     hit = pages.join(sites, (F.col("url") == F.col("_url")) & F.array_contains("_sites", F.col("site")), "left_semi")
-    return hit.groupBy("url", "site").agg(F.max_by(F.struct(*rest), version).alias("_page")).select("url", "site", "_page.*")
+    return newest_pages(hit)

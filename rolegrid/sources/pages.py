@@ -83,7 +83,10 @@ def page_content(site: Column | str, html: Column | str) -> Column:
     def one(name, page):
         found = markup.read_page("" if name in own else name, page)
         if name in own:
-            found["cards"] = [{f: c.get(f) for f in markup.CARD_FIELDS} for c in own[name](page)]
+            try:
+                found["cards"] = [{f: c.get(f) for f in markup.CARD_FIELDS} for c in own[name](page)]
+            except Exception as failure:  # a page that is read ahead, and that no walk asks for, must not end the job
+                return {"cards": [], "href": None, "error": f"{type(failure).__name__}: {failure}"}
         return found
 
     read = captured(one, _PAGE_TYPE)

@@ -10,6 +10,7 @@ from rolegrid.functions.reports import discovery_line
 from rolegrid.operators import review
 from rolegrid.operators.crawl import walk_pages
 from rolegrid.operators.telemetry import with_totals
+from rolegrid.plans import discovery
 from rolegrid.plans.discovery import DiscoveryOptions, collect_postings, discover
 from rolegrid.plans.search import search
 from rolegrid.schemas import DECISION_LOG, DISCOVERY_QUERY, POSTING
@@ -278,3 +279,44 @@ def test_small_stores_have_few_buckets(spark, monkeypatch):
         assert page_store.bucket_count(rows.limit(0)) == cores
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_long_walks_are_read_ahead_with_the_same_visits(spark, monkeypatch):
+    """Walks over a good part of a store scan it once and not at each hop; every kind of end is the same either way."""
+    def read(html):
+        if "broken" in html:
+            raise ValueError("broken page")
+        return [] if "empty" in html else [{"title": html[:5], "href": "/j"}]
+
+    def chain(name, texts, after=None):
+        urls = [f"https://o.test/{name}{i}" for i in range(len(texts))]
+        links = [*urls[1:], after]
+        return [(u, t + (f'<a rel="next" href="{n}">x</a>' if n else "")) for u, t, n in zip(urls, texts, links)]
+
+    page_source.register_extractor("own", read)
+    try:
+        rows = chain("long", ["card"] * 12) + chain("loop", ["card"] * 5, "https://o.test/loop2") + chain("self", ["empty"], "https://o.test/self0")
+        rows += chain("gap", ["empty", "empty", "card", "card", "empty", "card"]) + chain("gone", ["card"] * 3, "https://o.test/nowhere")
+        rows += chain("bad", ["card", "card", "broken", "card"]) + chain("badstart", ["broken"]) + chain("wide", ["card"] * 4, "https://o.test/long0") + chain("loopgap", ["card", "empty", "card"], "https://o.test/loopgap0")
+        stored = write_page_store(spark.createDataFrame([(u, "own", "listing", h) for u, h in rows], "url string, site string, kind string, html string"), buckets=2)
+        names = ["long0", "long0", "long7", "loop0", "loop3", "self0", "gap0", "gap3", "gone0", "bad0", "badstart0", "wide0", "loopgap0", "loopgap2", "missing"]
+        starts = spark.createDataFrame([(f"{i:02d}{n}", "own", "A", f"https://o.test/{n}", [], [], []) for i, n in enumerate(names)], DISCOVERY_QUERY)
+        added = []
+        add = discovery.Rounds.add
+        monkeypatch.setattr(discovery.Rounds, "add", lambda self, df: added.append(1) or add(self, df))
+
+        def visits(limit, share, after):
+            monkeypatch.setattr(discovery, "AHEAD_SHARE", share)
+            monkeypatch.setattr(discovery, "AHEAD_AFTER", after)
+            added.clear()
+            reader = discovery.ListingReader(stored)
+            return sorted(map(str, walk_pages(starts, reader, limit).collect())), len(added)
+
+        for limit in (None, 6):
+            (plain, n_plain), (ahead, n_ahead) = visits(limit, 0, 1000), visits(limit, 16, 1000)
+            assert ahead == plain and n_ahead == 1 and n_plain >= (16 if limit is None else 6)
+        assert {s.split("stop=")[1][:-1] for s in plain} >= {"'no_next'", "'repeated_page'", "'empty_page'", "'page_missing'", "'page_unreadable'", "'start_unreadable'", "'start_missing'", "'page_limit'"}
+        # few walks turn to it when their hops have cost more
+        assert visits(None, 0, 3) == (visits(None, 0, 1000)[0], 7)
+    finally:
+        page_source._EXTRACTORS.pop("own")
