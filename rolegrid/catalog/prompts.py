@@ -163,7 +163,7 @@ def _searched(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     boards = queries.select(
         F.concat(F.lit("Firm "), "query_id").alias("company_name"), "source_site", F.col("start_url").alias("board_url"),
         F.array(F.lit("x")).alias("tags"), F.array(F.lit("y")).alias("location_hints"))
-    prompts = table(spark, sf_dir, "customer").select(
+    prompts = spread(table(spark, sf_dir, "customer")).select(
         F.col("c_custkey").alias("prompt_id"),
         html("Find backend roles at Firm ", F.col("c_custkey"), " or Firm ", F.col("c_nationkey"), ". avoid part 1", F.col("c_nationkey"), ".").alias("raw_prompt_text"))
     options = DiscoveryOptions(max_pages=None, enrich_greenhouse_details=True)

@@ -109,12 +109,13 @@ def greedy_keep(rows: DataFrame, order: str, keys: Column, contract_after: int =
             return survivors
 
 
-def dedupe_postings(postings: DataFrame, order: str, scope: str | None = None) -> DataFrame:
+def dedupe_postings(postings: DataFrame, order: str, scope: str | None = None, canonical: bool = False) -> DataFrame:
     """Canonicalize and deduplicate postings by source id, URL and title/company/location (DD1).
 
-    With ``scope`` (for example a query id) duplicates are looked for within equal scopes only.
+    With ``scope`` (for example a query id) duplicates are looked for within equal scopes only. ``canonical`` says that ``url``
+    already has its canonical form, which is dear and otherwise spelled twice, for the keys and for the rows that stay.
     """
-    return postings.transform(canonicalize_postings).transform(
+    return postings.transform(lambda df: df if canonical else canonicalize_postings(df)).transform(
         lambda df: df.join(
             greedy_keep(df, order, scoped(posting_keys(canonical=True), scope)).withColumnRenamed("ord", order), order, "left_semi"
         )

@@ -97,9 +97,9 @@ def collect_postings(queries: DataFrame, pages: DataFrame, options: DiscoveryOpt
 
     wanted = rows.where("selected").select(F.col("detail_url").alias("url"), F.col("source_site").alias("site")).distinct()
     details = page_source.extract_details(wanted_pages(_kind(pages, "detail"), wanted))
-    parsed = stage(enrich(rows, details, order="ord"), "parsed")
-    kept = dedupe_postings(parsed, order="ord", scope="query_id")
-    return {"visits": visits, "parsed": parsed, "postings": stage(kept, "found")}
+    parsed = stage(enrich(rows, details, order="ord").withColumn("canonical", canonical_url("url", "source_site")), "parsed")
+    kept = dedupe_postings(parsed.withColumn("url", F.col("canonical")).drop("canonical"), order="ord", scope="query_id", canonical=True)
+    return {"visits": visits, "parsed": parsed.drop("canonical"), "postings": stage(kept, "found")}
 
 
 def discover(queries: DataFrame, pages: DataFrame, store: DataFrame, options: DiscoveryOptions = DiscoveryOptions(),

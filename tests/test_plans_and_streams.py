@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolegrid.functions.reports import discovery_line
-from rolegrid.operators import review
+from rolegrid.operators import dedupe, review
 from rolegrid.operators.crawl import walk_pages
 from rolegrid.operators.telemetry import with_totals
 from rolegrid.plans import discovery
@@ -320,3 +320,28 @@ def test_long_walks_are_read_ahead_with_the_same_visits(spark, monkeypatch):
         assert visits(None, 0, 3) == (visits(None, 0, 1000)[0], 7)
     finally:
         page_source._EXTRACTORS.pop("own")
+
+
+def test_prompts_of_a_search_are_dealt_to_all_cores(spark, monkeypatch, tmp_path):
+    """A table that is one file of one row group would be parsed in one task."""
+    from rolegrid.catalog import prompts as catalog_prompts
+
+    for name, columns in (("orders", "id o_orderkey, id o_custkey"), ("lineitem", "id l_orderkey, id l_partkey"), ("part", "id p_partkey"), ("customer", "id c_custkey, id c_nationkey")):
+        spark.range(40).selectExpr(*columns.split(", ")).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    asked = []
+    monkeypatch.setattr(catalog_prompts, "stage", lambda df, label: df)
+    monkeypatch.setattr(catalog_prompts, "write_page_store", lambda pages: pages)
+    monkeypatch.setattr(catalog_prompts, "search", lambda prompts, *rest, **options: asked.append(prompts))
+    catalog_prompts._searched(spark, str(tmp_path))
+    assert asked[0].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and asked[0].count() == 40
+
+
+def test_canonical_urls_are_spelled_once(spark, monkeypatch):
+    """A discovery run spells the canonical url of a posting when it is parsed, and not again for keys and kept rows."""
+    monkeypatch.setattr(dedupe, "canonicalize_postings", lambda postings: postings)
+    card = '<div class="opening"><a class="opening" href="https://www.boards.greenhouse.io/a/jobs/7/?utm_source=b">T</a></div>'
+    stored = spark.createDataFrame([("https://boards.greenhouse.io/a", "greenhouse", card)], "url string, site string, html string")
+    starts = spark.createDataFrame([("q", "greenhouse", "A", "https://boards.greenhouse.io/a", [], [], [])], DISCOVERY_QUERY)
+    found = collect_postings(starts, stored)
+    assert [r.url for r in found["postings"].collect()] == ["https://boards.greenhouse.io/a/jobs/7"]
+    assert [r.url for r in found["parsed"].collect()] == ["https://www.boards.greenhouse.io/a/jobs/7/?utm_source=b"]
