@@ -38,8 +38,8 @@ def template_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority") == "3-MEDIUM", ", onsite is okay").otherwise("")
     text = html("Find ", role, " at Firm ", c, " in ", place, work, ". Skills with Tool ", c, " and Lib/", n,
                 "; avoid Corp ", c, ", sales roles. Prefer Port ", n, ". past 2 weeks. strange wishes here ", n, ".")
-    prompts = table(spark, sf_dir, "orders").select(n, text.alias("raw_prompt_text"))
-    return _flat(intents.parse_prompts(spread(prompts)), "o_orderkey")
+    orders = spread(table(spark, sf_dir, "orders").select(n, c, "o_orderstatus", "o_orderpriority"))  # the texts are spelled behind the shuffle
+    return _flat(intents.parse_prompts(orders.select(n, text.alias("raw_prompt_text"))), "o_orderkey")
 
 
 PHRASES = {0: "remote preferred, last 3 days", 1: "Hybrid-only jobs this week on Greenhouse", 2: "must be on-site, past 2 months via LinkedIn",

@@ -67,10 +67,10 @@ def distinct_ci(value: Column | str, folded: bool = False) -> Column:
     """
     kept = let(
         string_list(value),
-        lambda items: let(
+        lambda items: F.when(F.size(items) < 2, F.filter(items, F.isnotnull)).otherwise(let(
             F.transform(items, F.lower),
             lambda low: F.filter(items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1),
-        ),
+        )),
     )
     return F.transform(kept, F.lower) if folded else kept
 
@@ -79,13 +79,22 @@ def concat_lists(*values: Column | str) -> Column:
     return F.concat(*[string_list(v) for v in values])
 
 
+def one_of(*words: str) -> str:
+    """Patterns as alternatives, gathered by their first letter; alternatives with the same letter stay in order."""
+    groups: dict[str, list[str]] = {}
+    for word in words:
+        groups.setdefault(word[0], []).append(word[1:])
+    return "|".join(first + ("(?:" + "|".join(rest) + ")" if len(rest) > 1 else rest[0]) for first, rest in groups.items())
+
+
 def any_contains(haystack: Column, needles: Iterable[str]) -> Column:
-    """Any of the words is a substring; one pattern, so one pass over the text."""
-    return haystack.rlike("|".join(map(re.escape, needles)))
+    """Any of the words is a substring; one pattern, so one pass over the text. Words that hold another one add nothing."""
+    words = list(dict.fromkeys(needles))
+    return haystack.rlike(one_of(*[re.escape(w) for w in words if not any(v != w and v in w for v in words)]))
 
 
 def any_prefix(text: Column, prefixes: Iterable[str]) -> Column:
-    return text.rlike("^(?:" + "|".join(map(re.escape, prefixes)) + ")")
+    return text.rlike("^(?:" + one_of(*map(re.escape, prefixes)) + ")")
 
 
 def site_slug(value: Column | str) -> Column:

@@ -143,3 +143,29 @@ def test_intents_of_orders_are_made_once(spark):
 
     for name in ("discovery_queries", "registry_match"):
         assert not [f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
+
+
+def test_prompts_of_orders_are_spelled_behind_the_shuffle(spark):
+    """Rows are dealt to the cores as given columns; the longer texts made of them are not shuffled."""
+    from rolegrid.catalog.prompts import QUERIES
+
+    node = QUERIES["template_prompts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Repartition":
+        node = node.children().head()
+    assert "raw_prompt_text" not in [node.output().apply(i).name() for i in range(node.output().length())]
+
+
+def test_many_mentions_and_odd_letters(spark):
+    """A mention is judged by the characters before it, however many mentions these hold; odd letters and white space count as before."""
+    prompts = [
+        "avoid " + "qa jobs " * 30 + "prefer " + "ml\troles " * 200,
+        "avoid qa jobs ml roles",
+        "Data roleſ at Quolt, ſenior, Krypto. uſing kafka  streams",
+        "Data roles/openings at Quolt  Inc or\tVemp",
+    ]
+    rows = spark.createDataFrame(list(enumerate(prompts)), "i int, raw_prompt_text string")
+    got = {r.i: r.want for r in parse_prompts(rows).collect()}
+    assert got[0].include_keywords == ["QA", "machine learning"] and got[0].preferred_titles == ["Machine Learning Engineer"]
+    assert got[1].include_keywords == [] and got[1].target_titles == []
+    assert got[2].include_keywords == ["kafka streams", "data"] and got[2].seniority_preferences == ["senior"]
+    assert got[3].include_companies == ["Quolt Inc", "Vemp"]
