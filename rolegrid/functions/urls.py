@@ -147,7 +147,17 @@ def canonical_url(url: Column | str, site: Column | str | None = None) -> Column
         host = let(raw_host, lambda h: canonical_host(h, p["site"]))
         return let(host, lambda h: on_host(p, h))
 
-    return F.when(url.isNotNull(), let(parts, on_parts))
+    plain = F.substring_index(url, "?", 1)
+    return F.when(url.rlike(PLAIN_URL), plain).when(url.isNotNull(), let(parts, on_parts))
+
+
+# A web address of plain characters that is canonical on every site but for a query of tracking parameters alone: no user, port,
+# www. or empty path part, and no first path part that a site may spell in another way.
+_TRACKED = rf"(?i:{TRACKING_PREFIX}[a-z0-9_]*|{'|'.join(TRACKING_KEYS)})=[^&#\s]*"
+PLAIN_URL = (
+    r"\Ahttps?://(?!www\.)[a-z0-9.-]+(?!/(?!jobs/|view/)(?i:embed|jobs|view)(?:[/?]|\z))(?:/[A-Za-z0-9_.~%-]+)+"
+    rf"(?:\?(?:{_TRACKED}(?:&{_TRACKED})*)?)?\z"
+)
 
 
 def path_parts(url: Column | str) -> Column:

@@ -171,17 +171,18 @@ def merge_detail(listing: Column, detail: Column) -> dict[str, Column]:
     return out
 
 
-def enrich(postings: DataFrame, details: DataFrame, order: str) -> DataFrame:
+def enrich(postings: DataFrame, details: DataFrame, order: str, counts: DataFrame | None = None) -> DataFrame:
     """Merge detail pages into the selected postings (JN5).
 
     ``postings`` carries ``selected`` and ``detail_url``; ``details`` holds one row per url. Adds
-    ``detail_found``. A posting listed by very many queries is spread over tasks.
+    ``detail_found``. A posting listed by very many queries is spread over tasks; who has counted the selected postings
+    already gives ``counts(detail_url, n)``.
     """
     names = list(merge_detail(F.col("l"), F.col("d")))
     side = details.select(F.col("url").alias("detail_url"), F.struct(*[c for c in names]).alias("d"))
     keyed = postings.withColumn("detail_url", F.when(F.col("selected"), F.col("detail_url")))
     wanted, rest = keyed.where("detail_url IS NOT NULL"), keyed.where("detail_url IS NULL")
-    counts = key_counts(wanted, "detail_url")
+    counts = key_counts(wanted, "detail_url") if counts is None else counts
     joined = salted_join(wanted, side, "detail_url", "left", heavy_keys(counts, "detail_url"), spread=order)
     joined = joined.withColumn("detail_found", F.col("d").isNotNull()).withColumn("l", F.struct(*names))
     filled = {

@@ -25,6 +25,8 @@ from rolegrid.session import stage
 
 # Rounds after which chains are looked for as well; most tables are done before.
 CONTRACT_AFTER = 2
+# Rows that may be broadcast, and the share of rows up to which those that share a key are looked for first.
+SMALL, FEW = 100_000, 4
 
 
 def canonicalize_postings(postings: DataFrame) -> DataFrame:
@@ -94,6 +96,41 @@ def greedy_keep(rows: DataFrame, order: str, keys: Column, contract_after: int =
     """
     keyed = rows.select(F.col(order).alias("ord"), F.array_distinct(keys).alias("keys"))
     keyed = stage(keyed.withColumn("n_keys", F.size("keys")), "keyed")
+    tied = _tied(keyed)
+    if tied is None:
+        return _decide(keyed, contract_after)
+    alone = keyed.join(tied.select("ord"), "ord", "left_anti").select("ord")
+    return alone.unionByName(_decide(tied, contract_after))
+
+
+def greedy_drop(rows: DataFrame, order: str, keys: Column, contract_after: int = CONTRACT_AFTER) -> DataFrame:
+    """Order values of the rows that do not survive, as one column ``ord``: what ``greedy_keep`` leaves out."""
+    keyed = rows.select(F.col(order).alias("ord"), F.array_distinct(keys).alias("keys"))
+    keyed = stage(keyed.withColumn("n_keys", F.size("keys")), "keyed")
+    tied = _tied(keyed)
+    tied = keyed if tied is None else tied
+    return stage(tied.select("ord").join(_decide(tied, contract_after), "ord", "left_anti"), "dropped")
+
+
+def _tied(keyed: DataFrame) -> DataFrame | None:
+    """The rows of ``ord, keys, n_keys`` that may share a key with another one, by hashes of 64 bits; all others survive, and
+    the rounds need not carry them. None if they are too many for that to pay."""
+    hashed = keyed.select("ord", F.explode("keys").alias("key")).select("ord", F.xxhash64("key").alias("h"))
+    shared = stage(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    found, total = shared.agg(F.count("*"), F.sum("n")).first(), keyed.count()
+    if (found[1] or 0) * FEW > total:
+        return None
+    if found[0] <= SMALL:
+        hit = hashed.join(F.broadcast(shared.select("h")), "h", "left_semi")
+    else:
+        hit = salted_join(hashed, shared.select("h"), "h", "left_semi", heavy_keys(shared, "h"), spread="ord")
+    hit = stage(hit.select("ord").distinct(), "tied")
+    few = (found[1] or 0) <= SMALL
+    return stage(keyed.join(F.broadcast(hit) if few else hit, "ord", "left_semi"), "tied")
+
+
+def _decide(keyed: DataFrame, contract_after: int) -> DataFrame:
+    """Order values of the rows of ``ord, keys, n_keys`` that survive, found in rounds."""
     keyless = keyed.where(F.col("n_keys") == 0).select("ord")
     pairs = keyed.where(F.col("n_keys") > 0).select("ord", "n_keys", F.explode("keys").alias("key"))
     survivors = keyless
@@ -114,12 +151,11 @@ def dedupe_postings(postings: DataFrame, order: str, scope: str | None = None, c
 
     With ``scope`` (for example a query id) duplicates are looked for within equal scopes only. ``canonical`` says that ``url``
     already has its canonical form, which is dear and otherwise spelled twice, for the keys and for the rows that stay.
+    Few dropped rows are broadcast, so that the others stay where they are.
     """
-    return postings.transform(lambda df: df if canonical else canonicalize_postings(df)).transform(
-        lambda df: df.join(
-            greedy_keep(df, order, scoped(posting_keys(canonical=True), scope)).withColumnRenamed("ord", order), order, "left_semi"
-        )
-    )
+    postings = postings if canonical else canonicalize_postings(postings)
+    dropped = greedy_drop(postings, order, scoped(posting_keys(canonical=True), scope)).withColumnRenamed("ord", order)
+    return postings.join(F.broadcast(dropped) if dropped.count() <= SMALL else dropped, order, "left_anti")
 
 
 def scoped(keys: Column, scope: str | None) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.functions.text import as_col, iso_text, string_list
 from rolegrid.operators.scoring import constraint_criteria, score_events
-from rolegrid.operators.skew import heavy_keys, key_counts, salted_join
+from rolegrid.operators.skew import heavy_keys, key_counts, two_sided_join
 
 SEARCHED = ("title", "company", "location", "description")
 
@@ -145,11 +145,14 @@ def candidates(postings: DataFrame, wants: DataFrame, on: str, spread: str) -> D
 
     ``wants`` holds one row per prompt and board it searches, with the key column ``on``. Each pair is a
     row of the result, so the cost is the size of the result. Boards that hold a large share of the
-    postings are spread over many tasks.
+    postings, or that a large share of the prompts search, are spread over many tasks. What a prompt scores is spelled here
+    into ``criteria``, once for a row of ``wants`` and not for each pair.
     """
     ready = with_search_text(postings)
-    counts = key_counts(postings.where(F.col(on).isNotNull()), on)
-    return salted_join(ready, wants, on, "inner", heavy_keys(counts, on), spread=spread)
+    heavy = [heavy_keys(key_counts(side.where(F.col(on).isNotNull()), on), on) for side in (postings, wants)]
+    asked = wants.withColumn("criteria", constraint_criteria(F.col("want")))
+    by_prompt = "prompt_id" if "prompt_id" in wants.columns else "want"
+    return two_sided_join(ready, asked, on, *heavy, spread=(spread, by_prompt))
 
 
 def evaluate(pairs: DataFrame, now: Column | None = None) -> DataFrame:
@@ -157,7 +160,9 @@ def evaluate(pairs: DataFrame, now: Column | None = None) -> DataFrame:
 
     Rejected rows carry no score. One table; ``passed`` tells the two parts from each other.
     """
-    judged = hard_filter(pairs, now).withColumn("criteria", constraint_criteria(F.col("want")))
+    judged = hard_filter(pairs, now)
+    if "criteria" not in judged.columns:
+        judged = judged.withColumn("criteria", constraint_criteria(F.col("want")))
     events = F.when(F.col("passed"), score_events(F.col("criteria")))
     return (
         judged.withColumn("events", events)

@@ -26,6 +26,28 @@ def heavy_keys(counts: DataFrame, key: str, count: str = "n", min_rows: int = HE
     return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
+def two_sided_join(left: DataFrame, right: DataFrame, key: str, heavy_left: DataFrame | None, heavy_right: DataFrame | None,
+                   spread: tuple[str, str], buckets: int | None = None) -> DataFrame:
+    """Inner equi join where the side that makes a key heavy is spread, and the other one repeated.
+
+    A key that is heavy on both sides is spread on the left. ``spread`` names a column with many values for each side.
+    """
+    if heavy_right is None:
+        return salted_join(left, right, key, "inner", heavy_left, spread[0], buckets)
+    buckets = buckets or max(8, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sides = heavy_right.select(key, F.lit("r").alias("_heavy"))
+    if heavy_left is not None:
+        sides = heavy_left.select(key, F.lit("l").alias("_heavy")).unionByName(sides.join(heavy_left, key, "left_anti"))
+    every = F.sequence(F.lit(0), F.lit(buckets - 1))
+
+    def salted(side: DataFrame, own: str, column: str) -> DataFrame:
+        one = F.array(F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int"))
+        salts = F.when(F.col("_heavy") == own, one).when(F.col("_heavy").isNotNull(), every).otherwise(F.array(F.lit(0)))
+        return side.join(F.broadcast(sides), key, "left").withColumn("_salt", F.explode(salts)).drop("_heavy")
+
+    return salted(left, "l", spread[0]).join(salted(right, "r", spread[1]), [key, "_salt"]).drop("_salt")
+
+
 def key_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
 

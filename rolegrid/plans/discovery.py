@@ -92,14 +92,18 @@ def collect_postings(queries: DataFrame, pages: DataFrame, options: DiscoveryOpt
     rows = select_for_enrichment(rows, options.selective_detail_enrichment, options.min_listing_stage_score)
     on = F.col("source_site").isin(*options.enriched_sites())
     rows = rows.withColumn("selected", on & (F.col("selected") | (F.col("source_site") == "linkedin")))
-    detail_url = F.when(F.col("source_site") == "linkedin", canonical_url("url", "source_site")).otherwise(F.col("url"))
+    # no detail page changes a url, so the canonical form is spelled here for all that follows
+    rows = rows.withColumn("canonical", canonical_url("url", "source_site"))
+    detail_url = F.when(F.col("source_site") == "linkedin", F.col("canonical")).otherwise(F.col("url"))
     rows = stage(rows.withColumn("detail_url", detail_url), "listings")
 
-    wanted = rows.where("selected").select(F.col("detail_url").alias("url"), F.col("source_site").alias("site")).distinct()
-    details = page_source.extract_details(wanted_pages(_kind(pages, "detail"), wanted))
-    parsed = stage(enrich(rows, details, order="ord").withColumn("canonical", canonical_url("url", "source_site")), "parsed")
+    by_site = rows.where("selected").groupBy("detail_url", F.col("source_site").alias("site")).agg(F.count("*").alias("n"))
+    by_site = stage(by_site.where("detail_url IS NOT NULL"), "wanted")
+    counts = by_site.groupBy("detail_url").agg(F.sum("n").alias("n"))
+    details = page_source.extract_details(wanted_pages(_kind(pages, "detail"), by_site.select(F.col("detail_url").alias("url"), "site")))
+    parsed = stage(enrich(rows, details, "ord", counts), "parsed")
     kept = dedupe_postings(parsed.withColumn("url", F.col("canonical")).drop("canonical"), order="ord", scope="query_id", canonical=True)
-    return {"visits": visits, "parsed": parsed.drop("canonical"), "postings": stage(kept, "found")}
+    return {"visits": visits, "parsed": parsed.drop("canonical"), "postings": kept}
 
 
 def discover(queries: DataFrame, pages: DataFrame, store: DataFrame, options: DiscoveryOptions = DiscoveryOptions(),
@@ -109,8 +113,7 @@ def discover(queries: DataFrame, pages: DataFrame, store: DataFrame, options: Di
     Returns the next ``store``, ``counters`` per query, ``conflicts`` and ``postings``.
     """
     found = collect_postings(queries, pages, options)
-    batch = stage(to_store_columns(found["postings"], seen_at), "batch")
-    result = upsert_postings(store, batch, "ord")
-    stored = batch.select("query_id", "ord").join(result["outcome"], "ord")
+    result = upsert_postings(store, to_store_columns(found["postings"], seen_at), "ord")
+    stored = found["postings"].select("query_id", "ord").join(result["outcome"], "ord")
     counters = discovery_counters(queries, found["visits"], found["parsed"], stored)
     return {"store": result["store"], "counters": counters, "conflicts": result["conflicts"], "postings": found["postings"]}

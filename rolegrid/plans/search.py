@@ -34,7 +34,8 @@ def search(prompts: DataFrame, registry: DataFrame, pages: DataFrame, options: D
     walked = starts.drop("prompt_id", "label").dropDuplicates(["query_id"])
     found = collect_postings(walked, pages, options)
     wants = starts.select("prompt_id", "query_id").join(intents.select("prompt_id", "want"), "prompt_id")
-    postings = to_store_columns(found["postings"], now)
+    # the lists that the board was walked with are those of any one of its prompts; a pair has its own prompt's ``want``
+    postings = to_store_columns(found["postings"].drop("include_keywords", "exclude_keywords", "location_hints"), now)
     evaluated = stage(evaluate(candidates(postings, wants, on="query_id", spread="ord"), now), "evaluated")
     planned = intents.where("error IS NULL").join(plan["errors"].select("prompt_id"), "prompt_id", "left_anti")
     errors = bad.unionByName(plan["errors"]).unionByName(not_executable(planned, queries))

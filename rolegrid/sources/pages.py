@@ -132,9 +132,9 @@ def detail_captures(site: Column | str, html: Column | str) -> Column:
 def resolve_url(base: Column | str, href: Column | str) -> Column:
     """Absolute form of a link found on a page (FN18)."""
 
-    @F.pandas_udf("string")
-    def absolute(bases: pd.Series, links: pd.Series) -> pd.Series:
-        return pd.Series([markup.resolve(b, h) for b, h in zip(bases, links)], dtype=object)
+    @F.arrow_udf("string")
+    def absolute(bases: pa.Array, links: pa.Array) -> pa.Array:
+        return pa.array([markup.resolve(b, h) for b, h in zip(bases.to_pylist(), links.to_pylist())], pa.string())
 
     return absolute(as_col(base), as_col(href))
 
@@ -165,16 +165,18 @@ def listing_hints(cards: DataFrame, board_url: str = "board_url") -> DataFrame:
         .when(site == "indeed", query_value(link, "jk"))
         .otherwise(non_empty(url_tail(link)))
     )
+    # the same for all cards of a page, so it is spelled before they become rows
     named_by_board = F.when(site.isin("greenhouse", "lever"), company_from_board_url(board_url, site))
     return (
-        cards.select("*", F.posexplode("cards").alias("position", "card"))
+        cards.withColumn("_board_company", named_by_board)
+        .select("*", F.posexplode("cards").alias("position", "card"))
         .drop("cards")
         .withColumn("posting_url", resolve_url(base, "card.href"))
         .withColumns(
             {
                 "source_job_id": squash_ws(F.coalesce(non_empty("card.job_id"), link_id)),
                 "title_hint": squash_ws("card.title"),
-                "company_hint": squash_ws(F.coalesce(non_empty("card.company"), named_by_board)),
+                "company_hint": squash_ws(F.coalesce(non_empty("card.company"), F.col("_board_company"))),
                 "location_hint": squash_ws("card.location"),
                 "department_hint": squash_ws("card.department"),
                 "workplace_type": F.when(site == "linkedin", F.col("card.workplace_type")),
@@ -183,7 +185,7 @@ def listing_hints(cards: DataFrame, board_url: str = "board_url") -> DataFrame:
                 "snippet": F.col("card.snippet"),
             }
         )
-        .drop("card")
+        .drop("card", "_board_company")
     )
 
 

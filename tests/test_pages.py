@@ -186,6 +186,29 @@ PIECES = [
     "\x0b", "\xa0", '<script src="a"></SCRIPT>', "<?x?>", "<!---->", "<!--->", "<title>a<b></title>", "<script/>", "</script >"]
 
 
+def test_pages_of_tags_and_texts_are_cut_at_their_brackets():
+    page = '<div class="opening">a &amp; b<br/><A href="/x?a=1&amp;b=2" title=\'t\'>x > y</a ></div> end'
+    assert markup._cut(page) == [
+        (1, "div", {"class": "opening"}), (0, "a & b", None), (1, "br", {}), (2, "br", None),
+        (1, "a", {"href": "/x?a=1&b=2", "title": "t"}), (0, "x > y", None), (2, "a", None), (2, "div", None), (0, " end", None)]
+    for other in ('<a title="x>y">', '<a title="x<y">', "<script>a</script>", "<STYLE/>", "<!-- c -->", "<p a=b>", "a < b", "<p", "<>"):
+        assert markup._cut(other) is None, other
+    for i in range(markup.KEPT + 9):
+        markup._cut(f'<a href="/{i}">')
+    assert len(markup._PIECES) <= markup.KEPT
+
+
+def test_whole_addresses_are_links_as_they_are(monkeypatch):
+    links = ["https://a.test/x?y=1", "https://a.test", "http://a.test:8/x/../y", "https://a.test/x;p", "https://a.test/?", "HTTPS://a.test/", "https://[a/", "/x", "", None]
+    bases = ["https://b.test/q/", "https://[b/", "", None]
+    short = [markup.resolve(b, h) for b in bases for h in links]
+    asked = []
+    monkeypatch.setattr(markup, "urljoin", lambda b, h, join=markup.urljoin: asked.append(h) or join(b, h))
+    assert markup.resolve("https://b.test/q/", "https://a.test/x?y=1") == "https://a.test/x?y=1" and not asked
+    monkeypatch.setattr(markup, "_WHOLE", lambda url: None)
+    assert short == [markup.resolve(b, h) for b in bases for h in links]
+
+
 def test_plain_markup_is_read_as_the_parser_reads_it():
     """Pages cut by one expression give the events of the full parser; pages with other markup are left to it."""
     rng, plain = random.Random(7), 0

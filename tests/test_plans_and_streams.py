@@ -336,6 +336,31 @@ def test_prompts_of_a_search_are_dealt_to_all_cores(spark, monkeypatch, tmp_path
     assert asked[0].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and asked[0].count() == 40
 
 
+def test_few_duplicates_leave_the_other_postings_where_they_are(spark, monkeypatch):
+    """The rounds see rows that share a key only, and no kept posting is written or shuffled again."""
+    seen, first = [], dedupe._round
+    monkeypatch.setattr(dedupe, "_round", lambda pairs, contract: seen.append(pairs.count()) or first(pairs, contract))
+    cards = [(i, f"T{i}") for i in range(40)]
+    out = collect_postings(queries(spark, HOME), pages(spark, [(HOME, "listing", page([*cards, (7, "T7")]))]), DiscoveryOptions())
+    assert out["postings"].count() == 40 and out["parsed"].count() == 41
+    assert seen == [6]  # two rows with three keys each
+    plan = out["postings"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "strategy=broadcast" in plan
+
+
+def test_search_spells_criteria_once_a_prompt(spark, monkeypatch):
+    """What a prompt scores is spelled before it meets postings; a pair carries its own wishes, not those of the walk."""
+    from rolegrid.operators import matching
+
+    registry = spark.createDataFrame([("Acme", "greenhouse", HOME, [], [])], "company_name string, source_site string, board_url string, tags array<string>, location_hints array<string>")
+    prompts = spark.createDataFrame([(1, "Find backend roles at Acme."), (2, "Find any roles at Acme.")], "prompt_id int, raw_prompt_text string")
+    spelled, judge = [], matching.hard_filter
+    monkeypatch.setattr(matching, "hard_filter", lambda pairs, now=None: spelled.append("criteria" in pairs.columns) or judge(pairs, now))
+    out = search(prompts, registry, pages(spark, [(HOME, "listing", page([(1, "Backend Dev"), (2, "Cook")]))]), now=F.lit(datetime(2026, 1, 1)))
+    assert spelled == [True] and "criteria" not in out["evaluated"].columns and "include_keywords" not in out["evaluated"].columns
+    assert {(r.prompt_id, r.title): r.match_score for r in out["evaluated"].collect()} == {(1, "Backend Dev"): 30, (1, "Cook"): 15, (2, "Backend Dev"): 15, (2, "Cook"): 15}
+
+
 def test_canonical_urls_are_spelled_once(spark, monkeypatch):
     """A discovery run spells the canonical url of a posting when it is parsed, and not again for keys and kept rows."""
     monkeypatch.setattr(dedupe, "canonicalize_postings", lambda postings: postings)

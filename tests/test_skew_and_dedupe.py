@@ -131,3 +131,33 @@ def test_pages_of_one_title_are_the_same_on_any_host(spark, tmp_path):
     pages = spark.createDataFrame([(i, u, f"<title>{t}</title>") for i, u, t in rows], "page_id long, url string, html string")
     pages.write.parquet(str(tmp_path / "pages.parquet"))
     assert sorted(r.page_id for r in dedupe_pages(spark, str(tmp_path)).collect()) == [1, 3]
+
+
+def test_keys_that_many_rows_of_either_side_hold_are_spread(spark):
+    left = spark.createDataFrame([(i, "a" if i < 90 else f"k{i}") for i in range(100)], "i int, k string")
+    right = spark.createDataFrame([(j, "b" if j < 90 else f"k{j}") for j in range(100)] + [(200, "a"), (201, "a")], "j int, k string").union(spark.createDataFrame([(300, "a")], "j int, k string"))
+    left = left.union(spark.createDataFrame([(500, "b"), (501, "b")], "i int, k string"))
+    heavy = [skew.heavy_keys(skew.key_counts(side, "k"), "k", min_rows=50) for side in (left, right)]
+    assert [[r.k for r in h.collect()] for h in heavy] == [["a"], ["b"]]
+    whole = sorted(map(tuple, left.join(right, "k").collect()))
+    joined = skew.two_sided_join(left, right, "k", *heavy, spread=("i", "j"), buckets=8)
+    assert sorted(map(tuple, joined.collect())) == whole and len(whole) == 90 * 3 + 90 * 2 + 10
+    both = skew.two_sided_join(left, right, "k", heavy[0].union(heavy[1]), heavy[1], spread=("i", "j"), buckets=8)
+    assert sorted(map(tuple, both.collect())) == whole
+    salts = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in salts
+
+
+@pytest.mark.parametrize("few", [4, 10**9])
+def test_survivors_do_not_depend_on_the_search_for_shared_keys(spark, monkeypatch, few):
+    rng = random.Random(few)
+    rows = [(i, rng.sample([f"k{rng.randrange(150)}", f"k{rng.randrange(150)}", f"u{i}", f"v{i}"], rng.randrange(4))) for i in range(200)]
+    monkeypatch.setattr(D, "FEW", few)
+    want, taken = [], set()
+    for i, keys in rows:
+        if not taken.intersection(keys):
+            want.append(i)
+            taken.update(keys)
+    stay = kept(spark, rows)
+    dropped = sorted(r.ord for r in D.greedy_drop(frame(spark, rows), "ord", F.array_compact("keys")).collect())
+    assert stay == want and sorted(stay + dropped) == list(range(200))
